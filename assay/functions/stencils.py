@@ -1,0 +1,205 @@
+"""Array expressions on row-major grids: a grid stays in its row, so no stencil shuffles pixels."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def lit(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind an intermediate array once; without it the optimizer may re-evaluate it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def div(a, b) -> Column:
+    return F.call_function("div", lit(a), lit(b)).cast("int")
+
+
+def at(grid: Column, w: Column, r: Column, c: Column) -> Column:
+    return F.element_at(grid, (r * w + c + 1).cast("int"))
+
+
+def clamp(i: Column, n: Column) -> Column:
+    return F.least(F.greatest(i, F.lit(0)), n - 1)
+
+
+def reflect(i: Column, n: Column) -> Column:
+    """Half-sample reflection: -1 -> 0, n -> n - 1."""
+    return F.when(i < 0, -i - 1).when(i >= n, 2 * n - 1 - i).otherwise(i)
+
+
+def pixels(h, w, f: Callable[[Column, Column], Column]) -> Column:
+    """Array of f(row, column) over an h x w window; empty when a side is not positive."""
+    h, w = lit(h), lit(w)
+    cells = F.when((h > 0) & (w > 0), F.sequence(F.lit(0), h * w - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(cells, lambda i: f(div(i, w), i % w))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def mean(values: Column) -> Column:
+    return total(values) / F.size(values)
+
+
+def share(values: Column, test: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter(values, test)) / F.size(values)
+
+
+def variance(values: Column, ddof: int = 0) -> Column:
+    """Two-pass variance of an array."""
+    centred = let(mean(values), lambda m: total(F.transform(values, lambda v: (v - m) * (v - m))))
+    return centred / (F.size(values) - ddof)
+
+
+def add_all(terms: list[Column]) -> Column:
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
+
+def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
+    radius = int(truncate * sigma + 0.5)
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    return [x / sum(raw) for x in raw]
+
+
+def separable(grid: Column, h, w, weights: list[float]) -> Column:
+    """The same kernel along rows, then along columns, with reflected edges."""
+    h, w = lit(h), lit(w)
+    radius = len(weights) // 2
+    taps = list(zip(range(-radius, radius + 1), weights))
+
+    def across(r, c):
+        return add_all([at(grid, w, r, reflect(c + k, w)) * F.lit(x) for k, x in taps])
+
+    def down(g):
+        return pixels(h, w, lambda r, c: add_all([at(g, w, reflect(r + k, h), c) * F.lit(x) for k, x in taps]))
+
+    return let(pixels(h, w, across), down)
+
+
+def box_mean(grid: Column, h, w, radius: int) -> Column:
+    """Mean over a square window; cells outside the grid are zeros that count in the divisor."""
+    h, w = lit(h), lit(w)
+    steps = range(-radius, radius + 1)
+
+    def inside(g, r, c, ok):
+        return F.when(ok, at(g, w, r, c)).otherwise(0.0)
+
+    def across(r, c):
+        return add_all([inside(grid, r, c + k, (c + k >= 0) & (c + k < w)) for k in steps])
+
+    def down(g):
+        area = float((2 * radius + 1) ** 2)
+        return pixels(
+            h, w, lambda r, c: add_all([inside(g, r + k, c, (r + k >= 0) & (r + k < h)) for k in steps]) / area
+        )
+
+    return let(pixels(h, w, across), down)
+
+
+# Luminance quantization table of the JPEG standard (Annex K), row by row.
+LUMA_TABLE = (
+    16, 11, 10, 16, 24, 40, 51, 61,
+    12, 12, 14, 19, 26, 58, 60, 55,
+    14, 13, 16, 24, 40, 57, 69, 56,
+    14, 17, 22, 29, 51, 87, 80, 62,
+    18, 22, 37, 56, 68, 109, 103, 77,
+    24, 35, 55, 64, 81, 104, 113, 92,
+    49, 64, 78, 87, 103, 121, 120, 101,
+    72, 92, 95, 98, 112, 100, 103, 99,
+)
+
+
+def scaled_table(quality: int) -> list[int]:
+    """Quantization steps for a quality 1..100."""
+    scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+    return [min(255, max(1, (q * scale + 50) // 100)) for q in LUMA_TABLE]
+
+
+def dct_matrix() -> list[float]:
+    """Orthonormal 8-point DCT-II, row u, column x."""
+    return [
+        math.sqrt((1 if u == 0 else 2) / 8) * math.cos((2 * x + 1) * u * math.pi / 16)
+        for u in range(8)
+        for x in range(8)
+    ]
+
+
+def requantize(grid: Column, h, w, quality: int) -> Column:
+    """8x8 block DCT, quantization with the scaled table, inverse, clipped to 0..255.
+
+    Height and width must be multiples of eight.
+    """
+    h, w = lit(h), lit(w)
+    steps = [float(q) for q in scaled_table(quality)]
+
+    def body(basis: Column) -> Column:
+        def coef(u, x):
+            return F.element_at(basis, (u * 8 + x + 1).cast("int"))
+
+        def forward_rows(r, c):
+            return add_all([coef(c % 8, F.lit(k)) * (at(grid, w, r, c - c % 8 + k) - 128.0) for k in range(8)])
+
+        def quantized(g, table):
+            def f(r, c):
+                raw = add_all([coef(r % 8, F.lit(k)) * at(g, w, r - r % 8 + k, c) for k in range(8)])
+                q = F.element_at(table, ((r % 8) * 8 + c % 8 + 1).cast("int"))
+                return F.floor(raw / q + 0.5) * q
+
+            return pixels(h, w, f)
+
+        def inverse_rows(g):
+            return pixels(
+                h, w, lambda r, c: add_all([coef(F.lit(k), c % 8) * at(g, w, r, c - c % 8 + k) for k in range(8)])
+            )
+
+        def inverse_cols(g):
+            def f(r, c):
+                raw = add_all([coef(F.lit(k), r % 8) * at(g, w, r - r % 8 + k, c) for k in range(8)]) + 128.0
+                return F.least(F.greatest(raw, F.lit(0.0)), F.lit(255.0))
+
+            return pixels(h, w, f)
+
+        table = F.array(*[F.lit(q) for q in steps])
+        return let(
+            pixels(h, w, forward_rows),
+            lambda a: let(quantized(a, table), lambda b: let(inverse_rows(b), inverse_cols)),
+        )
+
+    return let(F.array(*[F.lit(x) for x in dct_matrix()]), body)
+
+
+def shrink_repeat(grid: Column, h, w, scale: float) -> Column:
+    """Block mean down to floor(side * scale) cells per side and nearest repeat back to the old size."""
+    h, w = lit(h), lit(w)
+
+    def small(n):
+        return F.greatest(F.lit(1), F.floor(n * F.lit(scale)).cast("int"))
+
+    def bounds(j, n, m):
+        """First and past-the-end source cell of target cell j."""
+        return div(j * n + m - 1, m), div((j + 1) * n + m - 1, m)
+
+    def across(r, c):
+        lo, hi = bounds(div(c * small(w), w), w, small(w))
+        return mean(F.slice(grid, (r * w + lo + 1).cast("int"), hi - lo))
+
+    def down(g):
+        def f(r, c):
+            lo, hi = bounds(div(r * small(h), h), h, small(h))
+            return mean(F.transform(F.sequence(lo, hi - 1), lambda k: at(g, w, k, c)))
+
+        return pixels(h, w, f)
+
+    return let(pixels(h, w, across), down)
