@@ -53,16 +53,21 @@ def replica_weights(cells: DataFrame, by: list[str], replicas: int = REPLICAS, s
     """One weighted copy of every cell per replica; weightless copies are dropped."""
     # thousandths of a percent of a score as an integer: text of it is the same on every engine
     name = [*[F.col(b) for b in by], F.col("y"), F.col("pred"), F.round(F.col("p4") * 10000).cast("long")]
-    # a fixed number of partitions: the cells are few, their replicas are not
+    # spread the few cells over all cores before they multiply; a round-robin exchange is not coalesced
     width = cells.sparkSession.sparkContext.defaultParallelism
-    cells = cells.repartition(width, *by, "y", "p4", "pred").withColumn("_cdf", poisson_cdf(F.col("n")))
-    rep = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
-    z = normal_hash(seed, *name, F.col("rep"))
-    # bound, or the draw would be hashed again for every entry of the CDF
-    exact = let(unit_hash(seed, *name, F.col("rep")), lambda u: F.size(F.filter("_cdf", lambda c: c <= u)))
-    large = F.greatest(F.lit(0), F.floor(F.col("n") + F.sqrt(F.col("n")) * z + 0.5))
-    weight = F.when(F.col("n") <= EXACT_LIMIT, exact).otherwise(large).cast("long")
-    return rep.withColumn("w", weight).where("w > 0").drop("_cdf", "n")
+    cells = cells.repartition(width).withColumn("_cdf", poisson_cdf(F.col("n")))
+    n = F.col("n")
+
+    def draw(rep: Column) -> Column:
+        # bound, or the draw would be hashed again for every entry of the CDF
+        exact = let(unit_hash(seed, *name, rep), lambda u: F.size(F.filter("_cdf", lambda c: c <= u)))
+        large = F.greatest(F.lit(0), F.floor(n + F.sqrt(n) * normal_hash(seed, *name, rep) + 0.5))
+        weight = F.when(n <= EXACT_LIMIT, exact).otherwise(large).cast("long")
+        return F.struct(rep.alias("rep"), weight.alias("w"))
+
+    copies = F.transform(F.sequence(F.lit(0), F.lit(replicas - 1)), draw)
+    keep = [*by, "y", "p4", "pred"]
+    return cells.select(*keep, F.inline(F.filter(copies, lambda c: c["w"] > 0)))
 
 
 def replica_metrics(weighted: DataFrame, by: list[str]) -> DataFrame:
