@@ -139,3 +139,15 @@ def split_reconcile(declared: DataFrame, actual: DataFrame, split: str = "split"
     out = declared.select(split, F.col("rows").alias("declared_rows")).join(counted, split, "full")
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("declared_rows", "actual_rows")})
     return out.withColumn("matches", F.col("declared_rows") == F.col("actual_rows"))
+
+
+def assemble_sources(parts: list[tuple[str, str, DataFrame | None]]) -> DataFrame:
+    """Union of (source, label, table) with tags; absent sources (None) are skipped, missing columns become null."""
+    tagged = [
+        df.withColumn("source", F.lit(source)).withColumn("label", F.lit(label))
+        for source, label, df in parts
+        if df is not None
+    ]
+    if not tagged:
+        raise ValueError("no source is present")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

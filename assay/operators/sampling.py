@@ -323,12 +323,6 @@ def response_deltas(df: DataFrame, key: str, variants: list[str], crops: list[st
     )
 
 
-def distinct_prompts(df: DataFrame, text: str, order: list[Column], limit: int, keep: list[str]) -> DataFrame:
-    """First row per text, then the first ``limit`` rows in ``order``."""
-    first = dedup_exact(df, text, order, keep)
-    return first.orderBy(*order).limit(limit)
-
-
 def bounded_values(df: DataFrame, column: str, limit: int = 1000) -> list:
     """Distinct values of a small dimension; fails when there are more than ``limit``."""
     return sorted(r[0] for r in bounded_rows(df.select(column).where(F.col(column).isNotNull()).distinct(), limit))
