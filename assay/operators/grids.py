@@ -356,9 +356,9 @@ def crop_grid(df: DataFrame, size: int, key: str = "id") -> DataFrame:
         F.sequence(F.lit(0), F.lit(size - 1)),
         lambda r: F.slice("grid", ((F.col("_c.top") + r) * F.col("w") + F.col("_c.left") + 1).cast("int"), size),
     )
-    return rows.select(
-        key, F.col("_c.crop").alias("crop"), F.lit(size).alias("h"), F.lit(size).alias("w"), F.flatten(lines).alias("grid")
-    )
+    # cut first, rename after: an alias "w" beside the lambda would capture the old width
+    cut = rows.select(key, F.col("_c.crop").alias("crop"), F.flatten(lines).alias("grid"))
+    return cut.withColumns({"h": F.lit(size), "w": F.lit(size)})
 
 
 FEATURE_NAMES = (

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from assay.plans import q_joins, q_metrics, q_prompts, q_quality, q_sampling, q_scalars, q_scans  # noqa: F401
+from assay.plans import q_grids, q_joins, q_metrics, q_prompts, q_quality, q_sampling, q_scalars, q_scans  # noqa: F401
 from assay.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
