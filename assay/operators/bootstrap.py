@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.hashing import normal_hash, unit_hash
 from assay.functions.scalars import THRESHOLD
-from assay.functions.stencils import let
+from assay.functions.arrays import let
 from assay.operators.metrics import add_rates
 
 REPLICAS = 2000

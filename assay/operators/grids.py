@@ -1,354 +1,181 @@
 """Feature jobs on grids (id, h, w, grid ARRAY<DOUBLE>, row-major gray values 0..255).
 
-Features are column expressions, so one projection computes any set of them without a shuffle. Spectral
-features use numpy inside Arrow batches because an FFT is not an expression.
+One pass over the rows computes any set of features: Arrow batches go to numpy kernels as stacks of
+equally sized grids, in chunks of bounded memory. No job here shuffles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.hashing import normal_hash
-from assay.functions.stencils import (
-    add_all, at, box_mean, clamp, div, gaussian_weights, let, lit, mean, pixels, reflect, requantize, separable, share,
-    shrink_repeat, variance,
-)
-
-
-def gradient(grid: Column, h, w, sharp: float = 60.0) -> dict[str, Column]:
-    """Sobel magnitude: mean and share of strong edges; reflected borders."""
-    h, w = lit(h), lit(w)
-
-    def px(r, c):
-        return at(grid, w, reflect(r, h), reflect(c, w))
-
-    def magnitude(r, c):
-        gx = add_all([F.lit(k) * (px(r + d, c + 1) - px(r + d, c - 1)) for d, k in ((-1, 1.0), (0, 2.0), (1, 1.0))])
-        gy = add_all([F.lit(k) * (px(r + 1, c + d) - px(r - 1, c + d)) for d, k in ((-1, 1.0), (0, 2.0), (1, 1.0))])
-        return F.sqrt(gx * gx + gy * gy)
-
-    both = let(
-        pixels(h, w, magnitude),
-        lambda m: F.struct(mean(m).alias("grad_mean"), share(m, lambda v: v > sharp).alias("sharp_edges")),
-    )
-    return {"grad_mean": both["grad_mean"], "sharp_edges": both["sharp_edges"]}
-
-
-def flatness(grid: Column, h, w, limit: float = 1.0) -> Column:
-    """Share of cells whose 3x3 standard deviation is under ``limit``; nearest borders."""
-    h, w = lit(h), lit(w)
-    around = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
+from assay.functions import kernels as k
+from assay.functions.hashing import hash_hex
 
-    def local_std(r, c):
-        cells = [at(grid, w, clamp(r + dr, h), clamp(c + dc, w)) for dr, dc in around]
-        first, second = add_all(cells) / 9.0, add_all([v * v for v in cells]) / 9.0
-        return F.sqrt(F.greatest(second - first * first, F.lit(0.0)))
+CHUNK_CELLS = 1 << 21
+Kernel = Callable[[dict[str, np.ndarray], np.ndarray], Iterator[dict[str, np.ndarray]]]
 
-    return let(pixels(h, w, local_std), lambda s: share(s, lambda v: v < limit))
 
+def _stack(column: pa.Array, h: int, w: int) -> np.ndarray:
+    """(n, h, w) view of a list column."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), h, w)
 
-def blockiness_ratio(grid: Column, h, w) -> Column:
-    """Differences at positions 0, 8, 16... over those at 1, 9, 17..., along rows and columns."""
-    h, w = lit(h), lit(w)
 
-    def along_rows(start: int):
-        n = div(w - 2 - start, 8) + 1
-        return mean(pixels(h, n, lambda r, j: F.abs(at(grid, w, r, j * 8 + start + 1) - at(grid, w, r, j * 8 + start))))
+def _arrow(values: np.ndarray, n: int) -> pa.Array:
+    if isinstance(values, str):
+        return pa.array([values] * n, pa.string())
+    if values.ndim == 1:
+        return pa.array(values)
+    flat = values.reshape(n, -1)
+    offsets = pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))
 
-    def along_cols(start: int):
-        n = div(h - 2 - start, 8) + 1
-        return mean(pixels(n, w, lambda i, c: F.abs(at(grid, w, i * 8 + start + 1, c) - at(grid, w, i * 8 + start, c))))
 
-    within = (along_rows(1) + along_cols(1)) / 2
-    across = (along_rows(0) + along_cols(0)) / 2
-    return across / (within + 1e-9)
+def grid_job(df: DataFrame, inputs: list[str], keep: list[str], kernel: Kernel, out: str, seed=0) -> DataFrame:
+    """(keep, outputs) rows of ``kernel``, which maps stacks and per-asset hashes to columns.
 
-
-def blockiness_phase(grid: Column, h, w) -> Column:
-    """Mean over the 64 grid offsets of (block edge - block interior) differences.
-
-    Needs sides of at least 15 so that every offset keeps a whole block; null below.
+    ``keep[0]`` is the asset key that seeds the noise. Rows of one batch may differ in size; they are
+    stacked per size. Chunks hold about CHUNK_CELLS cells.
     """
-    h, w = lit(h), lit(w)
-    dx = pixels(h, w - 1, lambda r, c: F.abs(at(grid, w, r, c + 1) - at(grid, w, r, c)))
-    dy = pixels(h - 1, w, lambda r, c: F.abs(at(grid, w, r + 1, c) - at(grid, w, r, c)))
-
-    def body(dxs: Column, dys: Column) -> Column:
-        def one(oy: Column, ox: Column) -> Column:
-            nh, nw = div(h - oy, 8), div(w - ox, 8)
-            ev = mean(pixels(nh * 8, nw, lambda r, b: at(dxs, w - 1, oy + r, ox + b * 8 + 6)))
-            iv = mean(pixels(nh * 8, nw * 6, lambda r, j: at(dxs, w - 1, oy + r, ox + div(j, 6) * 8 + j % 6)))
-            eh = mean(pixels(nh, nw * 8, lambda b, c: at(dys, w, oy + b * 8 + 6, ox + c)))
-            ih = mean(pixels(nh * 6, nw * 8, lambda j, c: at(dys, w, oy + div(j, 6) * 8 + j % 6, ox + c)))
-            return (ev + eh) / 2 - (iv + ih) / 2
-
-        return mean(pixels(8, 8, one))
-
-    return F.when((h >= 15) & (w >= 15), let(dx, lambda a: let(dy, lambda b: body(a, b))))
-
-
-def grain(grid: Column, h, w) -> Column:
-    """Second-difference energy over both axes against gradient and variance."""
-    h, w = lit(h), lit(w)
-
-    def px(r, c):
-        return at(grid, w, r, c)
-
-    def second(r, c):
-        row = px(r, c + 2) - 2.0 * px(r, c + 1) + px(r, c)
-        col = px(r + 2, c) - 2.0 * px(r + 1, c) + px(r, c)
-        return F.abs(row) + F.abs(col)
-
-    def first(r, c):
-        return F.abs(px(r + 1, c + 1) - px(r + 1, c)) + F.abs(px(r + 1, c + 1) - px(r, c + 1))
-
-    lap = mean(pixels(h - 2, w - 2, second))
-    grad = mean(pixels(h - 2, w - 2, first)) / 2
-    return lap / (grad + variance(grid) + 1e-6)
-
-
-def noise_sigma(grid: Column, h, w, tiles: int = 8, smoothest: int = 6, sigma: float = 1.0) -> Column:
-    """Noise in the smoothest of tiles x tiles tiles of the residual to a Gaussian."""
-    h, w = lit(h), lit(w)
-    th, tw = div(h, tiles), div(w, tiles)
-
-    def body(smooth: Column) -> Column:
-        def tile(ty, tx):
-            cells = pixels(
-                th,
-                tw,
-                lambda r, c: at(grid, w, ty * th + r, tx * tw + c) - at(smooth, w, ty * th + r, tx * tw + c),
-            )
-            return let(cells, variance)
-
-        return F.sqrt(mean(F.slice(F.array_sort(pixels(tiles, tiles, tile)), 1, smoothest)))
-
-    return let(separable(grid, h, w, gaussian_weights(sigma)), body)
-
-
-def colorfulness(red: Column, green: Column, blue: Column) -> Column:
-    rg = F.zip_with(red, green, lambda a, b: a - b)
-    yb = F.zip_with(F.zip_with(red, green, lambda a, b: 0.5 * (a + b)), blue, lambda a, b: a - b)
-
-    def body(x: Column, z: Column) -> Column:
-        spread = F.sqrt(variance(x) + variance(z))
-        return spread + 0.3 * F.sqrt(F.pow(mean(x), 2) + F.pow(mean(z), 2))
-
-    return let(rg, lambda x: let(yb, lambda z: body(x, z)))
-
-
-def _rgb(red: Column, green: Column, blue: Column, f) -> Column:
-    """Array of f(r, g, b) per cell."""
-    zipped = F.zip_with(F.zip_with(red, green, lambda r, g: F.struct(r.alias("r"), g.alias("g"))), blue, lambda rg, b: f(rg["r"], rg["g"], b))
-    return zipped
-
+    names = out.split(", ")
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + names)
+    labels = [*keep, *[n.rsplit(" ", 1)[0] for n in names]]
+    base = F.conv(F.substring(hash_hex(seed, F.col(keep[0])), 1, 8), 16, 10).cast("long")
+    carried = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
+    rows = df.where(F.col(inputs[0]).isNotNull()).select(*carried, "h", "w", *inputs, base.alias("_base"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hs, ws = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "w"))
+            for h, w in sorted(set(zip(hs.tolist(), ws.tolist()))):
+                at = np.flatnonzero((hs == h) & (ws == w))
+                step = max(1, CHUNK_CELLS // max(1, h * w))
+                for lo in range(0, len(at), step):
+                    part = batch.take(pa.array(at[lo : lo + step]))
+                    stacks = {c: _stack(part.column(c), h, w) for c in inputs}
+                    hashes = part.column("_base").to_numpy(zero_copy_only=False)
+                    for made in kernel(stacks, hashes):
+                        cols = [part.column(f"_k{i}") for i in range(len(keep))]
+                        cols += [_arrow(made[c], part.num_rows) for c in labels[len(keep) :]]
+                        yield pa.RecordBatch.from_arrays(cols, names=labels)
+
+    return rows.mapInArrow(run, schema)
+
+
+# feature -> function of (gray stack, rgb stack or None, options)
+_RGB = ("colorfulness", "sat_mean", "sat_std", "unique_colors")
+
+
+def _compute(name: str, g: np.ndarray, rgb: np.ndarray | None, opt: dict) -> np.ndarray:
+    if name.startswith("roundtrip_q") or name.startswith("ela_q"):
+        return np.abs(g - k.requantize(g, int(name.rsplit("q", 1)[1]))).mean(k.CELLS)
+    table: dict[str, Callable[[], np.ndarray]] = {
+        "noise_sigma": lambda: k.noise_sigma(g),
+        "blockiness": lambda: k.block_ratio(g),
+        "blockiness_phase": lambda: k.block_phase(g),
+        "grain": lambda: k.grain(g),
+        "hf_energy_ratio": lambda: k.spectrum(g)[0],
+        "spectral_flatness": lambda: k.spectrum(g)[1],
+        "hf_ratio": lambda: k.band_ratio(g, opt.get("low", (1, 16)), opt.get("high", (32, 64))),
+        "grad_mean": lambda: k.sobel(g).mean(k.CELLS),
+        "sharp_edges": lambda: (k.sobel(g) > opt.get("sharp", 60.0)).mean(k.CELLS),
+        "flatness": lambda: (k.local_std(g) < opt.get("flat", 1.0)).mean(k.CELLS),
+        "colorfulness": lambda: k.colorfulness(rgb),
+        "sat_mean": lambda: k.saturation(rgb)[0],
+        "sat_std": lambda: k.saturation(rgb)[1],
+        "unique_colors": lambda: k.unique_colors(rgb),
+        "lap": lambda: k.hard_signals(g)[0],
+        "block": lambda: k.hard_signals(g)[1],
+        "block_runs": lambda: k.hard_signals(g, spatial=False)[1],
+    }
+    return table[name]()
 
-def saturation(red: Column, green: Column, blue: Column, eight_bit: bool = True) -> dict[str, Column]:
-    """Mean and population std of HSV saturation, quantized to 8 bits by default."""
-    def sat(r, g, b):
-        hi, lo = F.greatest(r, g, b), F.least(r, g, b)
-        s = F.when(hi > 0, (hi - lo) / hi).otherwise(0.0)
-        return F.floor(s * 255) / 255.0 if eight_bit else s
 
-    both = let(
-        _rgb(red, green, blue, sat),
-        lambda s: F.struct(mean(s).alias("sat_mean"), F.sqrt(variance(s)).alias("sat_std")),
-    )
-    return {"sat_mean": both["sat_mean"], "sat_std": both["sat_std"]}
+# Order of the feature vectors.
+FEATURE_NAMES = (
+    "noise_sigma", "ela_q90", "blockiness", "roundtrip_q55", "roundtrip_q75", "roundtrip_q95", "hf_energy_ratio",
+    "spectral_flatness", "grad_mean", "sharp_edges", "flatness", "colorfulness", "sat_mean", "sat_std",
+    "unique_colors", "exif_present",
+)
+DEGRADE_NAMES = ("blockiness_phase", "grain", "hf_ratio")
 
 
-def unique_colors(red: Column, green: Column, blue: Column) -> Column:
-    """Distinct 8-bit colours per cell; packed into one integer so that the distinct is hash-based."""
-    packed = _rgb(red, green, blue, lambda r, g, b: (F.floor(r) * 65536 + F.floor(g) * 256 + F.floor(b)).cast("long"))
-    return F.size(F.array_distinct(packed)) / F.size(red)
+def grid_features(df: DataFrame, names: list[str], keep: list[str], **options) -> DataFrame:
+    """(keep, one column per feature); only the colour features need red, green and blue columns."""
+    colour = any(n in _RGB for n in names)
+    inputs = ["grid", "red", "green", "blue"] if colour else ["grid"]
 
+    def kernel(stacks: dict[str, np.ndarray], hashes: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        rgb = np.stack([stacks[c] for c in inputs[1:]]) if colour else None
+        yield {n: np.asarray(_compute(n, stacks["grid"], rgb, options), dtype=float) for n in names}
 
-def quant_loss(grid: Column, h, w, quality: int) -> Column:
-    """Mean absolute change by one DCT quantization round trip."""
-    return let(
-        requantize(grid, h, w, quality), lambda g: mean(F.zip_with(grid, g, lambda a, b: F.abs(a - b)))
-    )
+    return grid_job(df, inputs, keep, kernel, ", ".join(f"{n} double" for n in names))
 
 
-def hard_signals(grid: Column, h, w, spatial: bool = True) -> dict[str, Column]:
-    """lap: mixed first/second difference; block: difference at block rows minus the inner one.
+def feature_vector(df: DataFrame, names: list[str], keep: list[str], extra: list[str] = (), **options) -> DataFrame:
+    """(keep, features) in the order of ``names``, which travel as column metadata.
 
-    ``spatial=False`` cuts the row-major values into runs of 64 instead of 8x8 blocks.
+    Names in ``extra`` are taken from columns of ``df`` instead of being computed, such as exif_present.
     """
-    h, w = lit(h), lit(w)
-    lap = mean(
-        pixels(
-            h - 1,
-            w - 1,
-            lambda r, c: F.abs(at(grid, w, r + 1, c + 1) - 2.0 * at(grid, w, r + 1, c) + at(grid, w, r, c + 1)),
-        )
-    )
-    bh, bw = div(h, 8), div(w, 8)
-
-    def cell(block, i, j):
-        if spatial:
-            return at(grid, w, div(block, bw) * 8 + i, (block % bw) * 8 + j)
-        # position inside the cropped row-major array
-        k = block * 64 + i * 8 + j
-        return at(grid, w, div(k, bw * 8), k % (bw * 8))
-
-    edge = mean(pixels(bh * bw, 56, lambda b, k: F.abs(cell(b, div(k, 8) + 1, k % 8) - cell(b, div(k, 8), k % 8))))
-    # rows 1..7 of every block
-    inner = mean(
-        pixels(bh * bw, 49, lambda b, k: F.abs(cell(b, div(k, 7) + 1, k % 7 + 1) - cell(b, div(k, 7) + 1, k % 7)))
-    )
-    return {"lap": lap, "block": edge - inner}
-
-
-COLOR_BINS = 8
-
-
-def color_stats(red: Column, green: Column, blue: Column, bins: int = COLOR_BINS) -> Column:
-    """97 values: channel means, stds (n-1), skews, min-max histograms, hue-saturation histogram."""
-    channels = [red, green, blue]
-
-    def std(x):
-        return F.sqrt(variance(x, 1))
-
-    def skew(x):
-        cubed = let(mean(x), lambda m: mean(F.transform(x, lambda v: F.pow(v - m, 3))))
-        return cubed / (F.pow(std(x), 3) + 1e-6)
-
-    def histogram(codes: Column, size: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.size(F.filter(codes, lambda v: v == b)) / F.size(codes)
-        )
-
-    def channel_hist(x):
-        lo, hi = F.array_min(x), F.array_max(x)
-        codes = let(
-            F.struct(lo.alias("lo"), hi.alias("hi")),
-            lambda s: F.transform(
-                x, lambda v: F.least(F.floor((v - s["lo"]) / (s["hi"] - s["lo"] + 1e-6) * bins), F.lit(bins - 1)).cast("int")
-            ),
-        )
-        return let(codes, lambda c: histogram(c, bins))
-
-    def hue_sat(r, g, b):
-        mx, mn = F.greatest(r, g, b), F.least(r, g, b)
-        delta = mx - mn + 1e-9
-        sextant = (
-            F.when(mx == r, F.pmod((g - b) / delta, F.lit(6.0)))
-            .when(mx == g, (b - r) / delta + 2.0)
-            .otherwise((r - g) / delta + 4.0)
-        )
-        hue = F.when(delta > 1e-4, sextant / 6.0).otherwise(0.0)
-        sat = F.when(mx > 1e-6, delta / (mx + 1e-9)).otherwise(0.0)
+    computed = [n for n in names if n not in extra]
+    made = grid_features(df, computed, [*keep, *extra], **options)
+    vector = F.array(*[F.col(n).cast("double") for n in names])
+    return made.select(*keep, vector.alias("features", metadata={"feature_names": list(names)}))
 
-        def code(x):
-            unit = F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-            return F.least(F.floor(unit * (bins - 1e-4)), F.lit(bins - 1)).cast("int")
 
-        return code(hue) * bins + code(sat)
+def color_stats(df: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, stats): the 97 colour statistics of red, green and blue."""
+    def kernel(stacks: dict[str, np.ndarray], hashes: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        yield {"stats": k.color_stats(np.stack([stacks[c] for c in ("red", "green", "blue")]))}
 
-    moments = F.array(*[f(x) for f in (mean, std, skew) for x in channels])
-    joint = let(_rgb(red, green, blue, hue_sat), lambda c: histogram(c, bins * bins))
-    return F.concat(moments, *[channel_hist(x) for x in channels], joint)
+    return grid_job(df, ["red", "green", "blue"], keep, kernel, "stats array<double>")
 
 
-def highpass(grid: Column, h, w) -> Column:
-    """Residual to the 5x5 mean, scaled by its largest magnitude."""
-    residual = F.zip_with(grid, box_mean(grid, h, w, 2), lambda v, m: v - m)
+def view(df: DataFrame, keep: list[str], kind: str) -> DataFrame:
+    """(keep, grid): 'highpass' residual or 'lowpass' version of every grid."""
+    f = {"highpass": k.highpass, "lowpass": k.lowpass}[kind]
 
-    def scaled(r: Column) -> Column:
-        return let(
-            F.array_max(F.transform(r, lambda v: F.abs(v))) + 1e-6, lambda top: F.transform(r, lambda v: v / top)
-        )
+    def kernel(stacks: dict[str, np.ndarray], hashes: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        yield {"grid": f(stacks["grid"])}
 
-    return let(residual, scaled)
+    return grid_job(df, ["grid"], keep, kernel, "grid array<double>")
 
 
-def lowpass(grid: Column, h, w) -> Column:
-    """Two stacked 9x9 means."""
-    return let(box_mean(grid, h, w, 4), lambda g: box_mean(g, h, w, 4))
+def quant_stability(df: DataFrame, keep: list[str], sigma: float = 0.06, bits: int = 5, draws: int = 3, seed=0) -> DataFrame:
+    """(keep, flip_share) of channels in 0..255 under hash-seeded normal noise."""
+    def kernel(stacks: dict[str, np.ndarray], hashes: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        rgb = np.stack([stacks[c] for c in ("red", "green", "blue")]) / 255.0
+        yield {"flip_share": k.quant_flips(rgb, hashes, sigma, bits, draws)}
 
+    return grid_job(df, ["red", "green", "blue"], keep, kernel, "flip_share double", seed)
 
-def quant_stability(
-    channels: list[Column], key: Column, sigma: float = 0.06, bits: int = 5, draws: int = 3, seed=0
-) -> Column:
-    """Share of cells in [0, 1] whose quantized code flips under normal noise from md5."""
-    top = 2**bits - 1
 
-    def code(v):
-        return F.bround(F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)) * top, 0)
+def degrade_variants(df: DataFrame, keep: list[str], variants=k.VARIANTS, seed=0) -> DataFrame:
+    """(keep, h, w, variant, grid): one row per asset and variant, 'clean' included."""
+    def kernel(stacks: dict[str, np.ndarray], hashes: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        g = stacks["grid"]
+        yield {"variant": "clean", "grid": g}
+        for name, kind, param in variants:
+            yield {"variant": name, "grid": k.degrade(g, hashes, kind, param)}
 
-    def flips(channel: int, draw: int) -> Column:
-        def one(v, i):
-            noise = normal_hash(seed, key, channel, i, draw)
-            return F.when(code(v + sigma * noise) != code(v), 1.0).otherwise(0.0)
-
-        return mean(F.transform(channels[channel], one))
-
-    parts = [flips(c, d) for d in range(draws) for c in range(len(channels))]
-    return add_all(parts) / len(parts)
-
-
-# (name, kind, parameter) of the degradation battery.
-VARIANTS = (
-    ("jpeg80", "jpeg", 80),
-    ("jpeg60", "jpeg", 60),
-    ("jpeg40", "jpeg", 40),
-    ("resize0.75", "resize", 0.75),
-    ("resize0.5", "resize", 0.5),
-    ("blur1", "blur", 1.0),
-    ("blur2", "blur", 2.0),
-    ("noise0.02", "noise", 0.02),
-    ("noise0.05", "noise", 0.05),
-    ("web", "web", (0.75, 60)),
-)
-RECOMPRESS = 90
-
-
-def degrade(grid: Column, h, w, key: Column, kind: str, param, seed=0) -> Column:
-    """One degraded grid; all but 'jpeg' and 'web' end in a recompression at quality 90."""
-    if kind == "jpeg":
-        return requantize(grid, h, w, param)
-    if kind == "web":
-        scale, quality = param
-        return let(shrink_repeat(grid, h, w, scale), lambda g: requantize(g, h, w, quality))
-    if kind == "resize":
-        out = shrink_repeat(grid, h, w, param)
-    elif kind == "blur":
-        out = separable(grid, h, w, gaussian_weights(param))
-    elif kind == "noise":
-        out = F.transform(
-            grid,
-            lambda v, i: F.least(F.greatest(v + param * 255 * normal_hash(seed, key, i), F.lit(0.0)), F.lit(255.0)),
-        )
-    else:
-        raise ValueError(f"unknown degradation {kind}")
-    return let(out, lambda g: requantize(g, h, w, RECOMPRESS))
-
-
-def degrade_variants(df: DataFrame, key: str = "id", variants=VARIANTS, seed=0, keep: list[str] = ()) -> DataFrame:
-    """(key, keep, h, w, variant, grid): one row per asset and variant, 'clean' included."""
-    h, w, g, k = F.col("h"), F.col("w"), F.col("grid"), F.col(key)
-    made = [F.struct(F.lit("clean").alias("variant"), g.alias("grid"))]
-    made += [
-        F.struct(F.lit(name).alias("variant"), degrade(g, h, w, k, kind, param, seed).alias("grid"))
-        for name, kind, param in variants
-    ]
-    out = df.select(key, *keep, "h", "w", F.explode(F.array(*made)).alias("_v"))
-    return out.select(key, *keep, "h", "w", F.col("_v.variant").alias("variant"), F.col("_v.grid").alias("grid"))
+    sized = df.withColumns({"_h": F.col("h"), "_w": F.col("w")})
+    out = grid_job(sized, ["grid"], [*keep, "_h", "_w"], kernel, "variant string, grid array<double>", seed)
+    return out.select(*keep, F.col("_h").alias("h"), F.col("_w").alias("w"), "variant", "grid")
 
 
 CROPS = ("top_left", "top_right", "bottom_left", "bottom_right", "centre")
 
 
 def crop_grid(df: DataFrame, size: int, key: str = "id") -> DataFrame:
-    """Five size x size crops per asset: corners and centre."""
+    """Five size x size crops per asset: corners and centre. Slices of the array; stays in the JVM."""
     h, w = F.col("h"), F.col("w")
-    zero, mid_r, mid_c = F.lit(0), div(h - size, 2), div(w - size, 2)
+    zero = F.lit(0)
+    mid_r, mid_c = (F.floor((x - size) / 2).cast("int") for x in (h, w))
     places = zip(CROPS, ((zero, zero), (zero, w - size), (h - size, zero), (h - size, w - size), (mid_r, mid_c)))
     crops = F.array(*[F.struct(F.lit(n).alias("crop"), t.alias("top"), le.alias("left")) for n, (t, le) in places])
     rows = df.select(key, "w", "grid", F.explode(crops).alias("_c"))
@@ -359,80 +186,3 @@ def crop_grid(df: DataFrame, size: int, key: str = "id") -> DataFrame:
     # cut first, rename after: an alias "w" beside the lambda would capture the old width
     cut = rows.select(key, F.col("_c.crop").alias("crop"), F.flatten(lines).alias("grid"))
     return cut.withColumns({"h": F.lit(size), "w": F.lit(size)})
-
-
-FEATURE_NAMES = (
-    "noise_sigma", "ela_q90", "blockiness", "roundtrip_q55", "roundtrip_q75", "roundtrip_q95", "hf_energy_ratio",
-    "spectral_flatness", "grad_mean", "sharp_edges", "flatness", "colorfulness", "sat_mean", "sat_std",
-    "unique_colors", "exif_present",
-)
-DEGRADE_NAMES = ("blockiness", "grain", "hf_ratio")
-
-
-def native_features(grid: Column, red: Column, green: Column, blue: Column, h, w) -> dict[str, Column]:
-    """Every feature that is an expression, by name."""
-    return {
-        "noise_sigma": noise_sigma(grid, h, w),
-        "ela_q90": quant_loss(grid, h, w, 90),
-        "blockiness": blockiness_ratio(grid, h, w),
-        "roundtrip_q55": quant_loss(grid, h, w, 55),
-        "roundtrip_q75": quant_loss(grid, h, w, 75),
-        "roundtrip_q95": quant_loss(grid, h, w, 95),
-        **gradient(grid, h, w),
-        "flatness": flatness(grid, h, w),
-        "colorfulness": colorfulness(red, green, blue),
-        **saturation(red, green, blue),
-        "unique_colors": unique_colors(red, green, blue),
-    }
-
-
-def feature_vector(df: DataFrame, columns: dict[str, Column], names: list[str], keep: list[str]) -> DataFrame:
-    """(keep, features array in the order of ``names``); the names travel as column metadata."""
-    vector = F.array(*[columns[n].cast("double") for n in names])
-    return df.select(*keep, vector.alias("features", metadata={"feature_names": list(names)}))
-
-
-def _spectrum(grid: np.ndarray) -> tuple[float, float]:
-    power = np.abs(np.fft.rfft2(grid - grid.mean())) ** 2
-    power[0, 0] = 0.0
-    radius = np.hypot(*np.indices(power.shape))
-    high = power[radius > radius.max() / 2].sum() / (power.sum() + 1e-9)
-    alive = power[power > 0]
-    flat = np.exp(np.log(alive).mean()) / (alive.mean() + 1e-12) if alive.size else np.nan
-    return float(high), float(flat)
-
-
-def _band_ratio(grid: np.ndarray, low: tuple[int, int], high: tuple[int, int]) -> float:
-    h, w = grid.shape
-    window = np.outer(np.hanning(h), np.hanning(w))
-    power = np.abs(np.fft.fftshift(np.fft.fft2((grid - grid.mean()) * window))) ** 2
-    rows, cols = np.indices(power.shape)
-    ring = np.hypot(rows - h // 2, cols - w // 2).astype(int).ravel()
-    sums, sizes = np.bincount(ring, weights=power.ravel()), np.bincount(ring)
-    radial = (sums / sizes)[1:65]
-    lows, highs = radial[slice(*low)], radial[slice(*high)]
-    return float(highs.mean() / (lows.mean() + 1e-9)) if lows.size and highs.size else float("nan")
-
-
-def spectral_features(
-    df: DataFrame, key: str = "id", low: tuple[int, int] = (1, 16), high: tuple[int, int] = (32, 64)
-) -> DataFrame:
-    """(key, hf_energy_ratio, spectral_flatness, hf_ratio); FFT per row inside Arrow batches, no shuffle."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            grids = [np.asarray(g, dtype=float).reshape(h, w) for g, h, w in zip(b["grid"], b["h"], b["w"])]
-            spectra = [_spectrum(g) for g in grids]
-            yield pd.DataFrame(
-                {
-                    key: b[key],
-                    "hf_energy_ratio": [s[0] for s in spectra],
-                    "spectral_flatness": [s[1] for s in spectra],
-                    "hf_ratio": [_band_ratio(g, low, high) for g in grids],
-                }
-            )
-
-    schema = f"{key} {kind}, hf_energy_ratio double, spectral_flatness double, hf_ratio double"
-    return df.select(key, "h", "w", "grid").mapInPandas(run, schema)
-

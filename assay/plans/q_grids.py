@@ -7,20 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.functions.stencils import dct_matrix, gaussian_weights, mean, scaled_table
+from assay.functions.arrays import mean
+from assay.functions.kernels import RECOMPRESS, VARIANTS, dct_matrix, gaussian_weights, scaled_table
 from assay.operators import grids as g
 from assay.plans.base import query, r, rounded
-from assay.plans.proxies import grids, normal_sql, rgb_grids, wide_grids, with_ctes
-
-
-
-def cells():
-    return F.col("grid"), F.col("h"), F.col("w")
-
-
-def rgb():
-    return F.col("red"), F.col("green"), F.col("blue")
-
+from assay.plans.proxies import grids, rgb_grids, wide_grids, with_ctes
 
 
 
@@ -48,8 +39,7 @@ SELECT id, {r('avg(m)')} AS grad_mean, {r('avg((m > 60)::INT)')} AS sharp_edges
     ).replace("\n, ", ",\n", 1),
 )
 def q_gradient(spark, sf):
-    f = g.gradient(*cells())
-    return rounded(grids(spark, sf).select("id", f["grad_mean"].alias("grad_mean"), f["sharp_edges"].alias("sharp_edges")))
+    return rounded(g.grid_features(grids(spark, sf), ["grad_mean", "sharp_edges"], ["id"]))
 
 
 @query(
@@ -65,7 +55,7 @@ SELECT id, {r('avg((s < 12.0)::INT)')} AS flatness FROM sd GROUP BY id""",
 )
 def q_flatness(spark, sf):
     """Limit 12: the proxy grids are noisier than photographs."""
-    return rounded(grids(spark, sf).select("id", g.flatness(*cells(), 12.0).alias("flatness")))
+    return rounded(g.grid_features(grids(spark, sf), ["flatness"], ["id"], flat=12.0))
 
 
 @query(
@@ -79,7 +69,7 @@ SELECT id, {r('''(avg(x) FILTER (k = 'h' AND m = 0) + avg(x) FILTER (k = 'v' AND
     ).replace("\n, ", ",\n", 1),
 )
 def q_block_ratio(spark, sf):
-    return rounded(wide_grids(spark, sf).select("id", g.blockiness_ratio(*cells()).alias("blockiness")))
+    return rounded(g.grid_features(wide_grids(spark, sf), ["blockiness"], ["id"]))
 
 
 @query(
@@ -97,7 +87,7 @@ SELECT id, {r('avg(v)')} AS blockiness_phase FROM p GROUP BY id""",
     ).replace("\n, ", ",\n", 1),
 )
 def q_block_phase(spark, sf):
-    return rounded(wide_grids(spark, sf).select("id", g.blockiness_phase(*cells()).alias("blockiness_phase")))
+    return rounded(g.grid_features(wide_grids(spark, sf), ["blockiness_phase"], ["id"]))
 
 
 @query(
@@ -114,7 +104,7 @@ SELECT s.id, {r('avg(lap) / (avg(grad) / 2 + max(var) + 1e-6)')} AS grain FROM s
     ).replace("\n, ", ",\n", 1),
 )
 def q_grain(spark, sf):
-    return rounded(grids(spark, sf).select("id", g.grain(*cells()).alias("grain")))
+    return rounded(g.grid_features(grids(spark, sf), ["grain"], ["id"]))
 
 
 def blur_sql(src: str, out: str, n: int, sigma: float, keys: str = "id") -> str:
@@ -146,7 +136,7 @@ k AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY x) AS n FROM t)
 SELECT id, {r('sqrt(avg(x))')} AS noise_sigma FROM k WHERE n <= 6 GROUP BY id""",
 )
 def q_noise(spark, sf):
-    return rounded(wide_grids(spark, sf).select("id", g.noise_sigma(*cells()).alias("noise_sigma")))
+    return rounded(g.grid_features(wide_grids(spark, sf), ["noise_sigma"], ["id"]))
 
 
 @query(
@@ -161,8 +151,7 @@ SELECT id, {r('sum(p) FILTER (u * u + w * w > 65 / 4) / (sum(p) + 1e-9)')} AS hf
     ).replace("\n, ", ",\n", 1),
 )
 def q_spectrum(spark, sf):
-    df = g.spectral_features(grids(spark, sf), low=(1, 3), high=(3, 5))
-    return rounded(df.select("id", "hf_energy_ratio", "spectral_flatness"))
+    return rounded(g.grid_features(grids(spark, sf), ["hf_energy_ratio", "spectral_flatness"], ["id"]))
 
 
 @query(
@@ -180,8 +169,7 @@ SELECT id, {r('avg(p) FILTER (ring BETWEEN 5 AND 8) / (avg(p) FILTER (ring BETWE
 )
 def q_hf(spark, sf):
     """Bands scaled to the 16x16 grids: rings 2..4 against 5..8."""
-    df = g.spectral_features(wide_grids(spark, sf), low=(1, 4), high=(4, 8))
-    return rounded(df.select("id", "hf_ratio"))
+    return rounded(g.grid_features(wide_grids(spark, sf), ["hf_ratio"], ["id"], low=(1, 4), high=(4, 8)))
 
 
 @query(
@@ -193,7 +181,7 @@ FROM (SELECT id, red - green AS a, 0.5 * (red + green) - blue AS b FROM rgb) GRO
     ),
 )
 def q_colorfulness(spark, sf):
-    return rounded(rgb_grids(spark, sf).select("id", g.colorfulness(*rgb()).alias("colorfulness")))
+    return rounded(g.grid_features(rgb_grids(spark, sf), ["colorfulness"], ["id"]))
 
 
 @query(
@@ -205,8 +193,7 @@ def q_colorfulness(spark, sf):
     ),
 )
 def q_saturation(spark, sf):
-    f = g.saturation(*rgb())
-    return rounded(rgb_grids(spark, sf).select("id", f["sat_mean"].alias("sat_mean"), f["sat_std"].alias("sat_std")))
+    return rounded(g.grid_features(rgb_grids(spark, sf), ["sat_mean", "sat_std"], ["id"]))
 
 
 @query(
@@ -219,11 +206,11 @@ FROM rgb GROUP BY id""",
 )
 def q_unique(spark, sf):
     """Values are coarsened to 16 levels so that some colours repeat."""
-    coarse = [F.transform(c, lambda v: F.floor(v / 16).cast("double")) for c in rgb()]
-    return rounded(rgb_grids(spark, sf).select("id", g.unique_colors(*coarse).alias("unique_colors")))
+    coarse = {c: F.transform(c, lambda v: F.floor(v / 16).cast("double")) for c in ("red", "green", "blue")}
+    return rounded(g.grid_features(rgb_grids(spark, sf).withColumns(coarse), ["unique_colors"], ["id"]))
 
 
-_DCT = _values("dct", "u, x, a", [(u, x, dct_matrix()[u * 8 + x]) for u in range(8) for x in range(8)])
+_DCT = _values("dct", "u, x, a", [(u, x, float(dct_matrix()[u, x])) for u in range(8) for x in range(8)])
 
 
 def _steps(name: str, quality: int) -> str:
@@ -257,8 +244,7 @@ LOSSES = ((90, "ela_q90"), (55, "roundtrip_q55"), (75, "roundtrip_q75"), (95, "r
     + " GROUP BY px.id",
 )
 def q_quant_loss(spark, sf):
-    cols = [g.quant_loss(*cells(), q).alias(n) for q, n in LOSSES]
-    return rounded(grids(spark, sf).select("id", *cols))
+    return rounded(g.grid_features(grids(spark, sf), [n for _, n in LOSSES], ["id"]))
 
 
 @query(
@@ -278,9 +264,7 @@ FROM l JOIN e ON e.id = l.id JOIN h ON h.id = l.id AND h.kind = e.kind GROUP BY
     ).replace("\n, ", ",\n", 1),
 )
 def q_hard_signals(spark, sf):
-    f, runs = g.hard_signals(*cells()), g.hard_signals(*cells(), spatial=False)
-    df = wide_grids(spark, sf).select("id", f["lap"].alias("lap"), f["block"].alias("block"), runs["block"].alias("block_runs"))
-    return rounded(df)
+    return rounded(g.grid_features(wide_grids(spark, sf), ["lap", "block", "block_runs"], ["id"]))
 
 
 _CH = "SELECT id, 0 AS ch, red AS v FROM rgb UNION ALL SELECT id, 1, green FROM rgb UNION ALL SELECT id, 2, blue FROM rgb"
@@ -308,7 +292,7 @@ UNION ALL SELECT ids.id, (33 + k.b)::INT, {r('coalesce(jh.s, 0)')} FROM ids CROS
     ).replace("\n, ", ",\n", 1),
 )
 def q_color_stats(spark, sf):
-    df = rgb_grids(spark, sf).select("id", g.color_stats(*rgb()).alias("stats"))
+    df = g.color_stats(rgb_grids(spark, sf), ["id"])
     return rounded(df.select("id", F.posexplode("stats").alias("pos", "value")))
 
 
@@ -327,8 +311,8 @@ d AS (SELECT px.id, px.i, px.v - m.v AS v FROM px JOIN m ON m.id = px.id AND m.r
 SELECT id, i::INT AS pos, {r('v / (max(abs(v)) OVER (PARTITION BY id) + 1e-6)')} AS value FROM d""",
 )
 def q_highpass(spark, sf):
-    df = grids(spark, sf).select("id", F.posexplode(g.highpass(*cells())).alias("pos", "value"))
-    return rounded(df)
+    df = g.view(grids(spark, sf), ["id"], "highpass")
+    return rounded(df.select("id", F.posexplode("grid").alias("pos", "value")))
 
 
 @query(
@@ -340,23 +324,41 @@ def q_highpass(spark, sf):
 SELECT id, (r * 8 + c)::INT AS pos, {r('v')} AS value FROM m2""",
 )
 def q_lowpass(spark, sf):
-    df = grids(spark, sf).select("id", F.posexplode(g.lowpass(*cells())).alias("pos", "value"))
-    return rounded(df)
+    df = g.view(grids(spark, sf), ["id"], "lowpass")
+    return rounded(df.select("id", F.posexplode("grid").alias("pos", "value")))
+
+
+def noise_sql(src: str, out: str, stream: str) -> str:
+    """``src`` with (id, i) and a column n of standard normals: the 32-bit mix as one step per view."""
+    base = "concat('0x', substr(md5(concat_ws(':', '0', id)), 1, 8))::UBIGINT"
+    start = [f"({base} + i::UBIGINT * 2654435769 + (2 * ({stream}) + {k})::UBIGINT * 2246822507) & 4294967295" for k in (0, 1)]
+    mask = 4294967295
+
+    def step(shift: int, factor: int) -> str:
+        return ", ".join(f"((xor({x}, {x} >> {shift}) * {factor}) & {mask}) AS {x}" for x in ("x0", "x1"))
+
+    u = [f"((xor({x}, {x} >> 16) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)" for x in ("x0", "x1")]
+    return f"""{out}_0 AS (SELECT *, {start[0]} AS x0, {start[1]} AS x1 FROM {src}),
+{out}_1 AS (SELECT * EXCLUDE (x0, x1), {step(16, 2146121005)} FROM {out}_0),
+{out}_2 AS (SELECT * EXCLUDE (x0, x1), {step(15, 2221713035)} FROM {out}_1),
+{out} AS (SELECT * EXCLUDE (x0, x1), sqrt(-2.0 * ln({u[0]})) * cos(2 * pi() * {u[1]}) AS n FROM {out}_2)"""
+
+
+NOISE_CH = noise_sql("ch", "x", "ch * 3 + draw")
 
 
 @query(
     "quant_stability",
-    with_ctes(
-        "rgb",
-        body=f""", ch AS ({_CH.replace("AS v FROM rgb", "AS v, i FROM rgb").replace("green FROM", "green, i FROM").replace("blue FROM", "blue, i FROM")}),
-x AS (SELECT id, ch, i, draw, v / 255 AS v, v / 255 + 0.06 * {normal_sql('0', 'id', 'ch', 'i', 'draw')} AS n FROM ch CROSS JOIN range(3) t(draw))
-SELECT id, {r('avg((round_even(least(greatest(n, 0), 1) * 31, 0) <> round_even(least(greatest(v, 0), 1) * 31, 0))::INT)')} AS flip_share
+    with_ctes("rgb", body="").rstrip()
+    + f""",
+ch AS (SELECT id, i, ch, draw, v / 255 AS v FROM (SELECT id, i, 0 AS ch, red AS v FROM rgb UNION ALL SELECT id, i, 1, green FROM rgb
+  UNION ALL SELECT id, i, 2, blue FROM rgb) CROSS JOIN range(3) t(draw)),
+{NOISE_CH}
+SELECT id, {r('avg((round_even(least(greatest(v + 0.06 * n, 0), 1) * 31, 0) <> round_even(least(greatest(v, 0), 1) * 31, 0))::INT)')} AS flip_share
 FROM x GROUP BY id""",
-    ).replace("\n, ", ",\n", 1),
 )
 def q_stability(spark, sf):
-    unit = [F.transform(c, lambda v: v / 255.0) for c in rgb()]
-    return rounded(rgb_grids(spark, sf).select("id", g.quant_stability(unit, F.col("id")).alias("flip_share")))
+    return rounded(g.quant_stability(rgb_grids(spark, sf), ["id"]))
 
 
 def _shrink_sql(src: str, out: str, n: int) -> str:
@@ -364,21 +366,21 @@ def _shrink_sql(src: str, out: str, n: int) -> str:
 
 
 def _variant_sql() -> str:
-    parts, final = [_DCT], []
-    for name, kind, param in g.VARIANTS:
+    parts, final = [_DCT, noise_sql("px", "noisy", "0")], []
+    for name, kind, param in VARIANTS:
         key = "v_" + name.replace(".", "_")
         src = f"{key}_0"
         if kind == "jpeg":
             parts.append(requant_sql("px", key, param))
         elif kind == "resize":
-            parts += [_shrink_sql("px", src, int(8 * param)), requant_sql(src, key, g.RECOMPRESS)]
+            parts += [_shrink_sql("px", src, int(8 * param)), requant_sql(src, key, RECOMPRESS)]
         elif kind == "web":
             parts += [_shrink_sql("px", src, int(8 * param[0])), requant_sql(src, key, param[1])]
         elif kind == "blur":
-            parts += [blur_sql("px", src, 8, param), requant_sql(src, key, g.RECOMPRESS)]
+            parts += [blur_sql("px", src, 8, param), requant_sql(src, key, RECOMPRESS)]
         else:
-            noise = f"{src} AS (SELECT id, r, c, least(greatest(v + {param * 255!r} * {normal_sql('0', 'id', 'i')}, 0.0), 255.0) AS v FROM px)"
-            parts += [noise, requant_sql(src, key, g.RECOMPRESS)]
+            noise = f"{src} AS (SELECT id, r, c, least(greatest(v + {param * 255!r} * n, 0.0), 255.0) AS v FROM noisy)"
+            parts += [noise, requant_sql(src, key, RECOMPRESS)]
         final.append(f"SELECT id, r, c, v, '{name}' AS variant FROM {key}")
     final.append("SELECT id, r, c, v, 'clean' FROM px")
     return ",\n".join(parts) + ",\nall_v AS (" + " UNION ALL ".join(final) + ")"
@@ -395,8 +397,7 @@ SELECT a.id, variant, {r('avg(a.v)', 5)} AS mean_v, {r('avg(abs(a.v - px.v))', 5
 FROM all_v a JOIN px ON px.id = a.id AND px.r = a.r AND px.c = a.c GROUP BY a.id, variant""",
 )
 def q_variants(spark, sf):
-    df = grids(spark, sf)
-    made = g.degrade_variants(df.withColumn("clean", F.col("grid")), keep=["clean"])
+    made = g.degrade_variants(grids(spark, sf).withColumn("clean", F.col("grid")), ["id", "clean"])
     change = F.zip_with("grid", "clean", lambda a, b: F.abs(a - b))
     return rounded(made.select("id", "variant", mean(F.col("grid")).alias("mean_v"), mean(change).alias("change")), 5)
 
@@ -440,8 +441,7 @@ SELECT px.id, 3, 'roundtrip_q75', {r('avg(abs(px.v - j75.v))')} FROM px JOIN j75
   WHERE px.id IN (FROM keep) GROUP BY px.id""",
 )
 def q_vector(spark, sf):
-    cols = g.native_features(F.col("grid"), *rgb(), F.col("h"), F.col("w"))
-    df = g.feature_vector(rgb_grids(spark, sf), cols, list(VECTOR), ["id"])
+    df = g.feature_vector(rgb_grids(spark, sf), list(VECTOR), ["id"])
     names = F.array(*[F.lit(n) for n in df.schema["features"].metadata["feature_names"]])
     out = df.select("id", F.posexplode("features").alias("pos", "value"))
-    return rounded(out.select("id", "pos", F.element_at(names, F.col("pos") + 1).alias("name"), "value"))
+    return rounded(out.select("id", "pos", F.element_at(names, F.col("pos") + 1).alias("name"), "value"))
\ No newline at end of file

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.hashing import unit_hash
 from assay.functions.provenance import FAMILIES
-from assay.functions.stencils import mean
+from assay.functions.arrays import mean
 from assay.operators import joins, quality, sampling
 from assay.plans.base import query
 from assay.plans.proxies import assets, grids, manifest, table, u_sql, with_ctes
