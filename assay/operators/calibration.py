@@ -29,9 +29,10 @@ def fold_of(key: Column, folds: int = 5, seed=0) -> Column:
 
 
 def _logistic(df: DataFrame, reg: float, intercept: bool = True):
+    weight = {"weightCol": "_w"} if "_w" in df.columns else {}
     lr = LogisticRegression(
         featuresCol="_x", labelCol="_y", maxIter=MAX_ITER, regParam=reg, fitIntercept=intercept,
-        standardization=False, tol=1e-9,
+        standardization=False, tol=1e-8, **weight,
     )
     return lr.fit(df)
 
@@ -97,16 +98,29 @@ def batch_score_linear(df: DataFrame, model: DataFrame, features: str = "feature
     return df.join(one).withColumn("p", p).drop("mean", "scale", "coef", "intercept")
 
 
-def batch_score(df: DataFrame, make_predict: Callable, features: list[str], batch_size: int = 32) -> DataFrame:
-    """Add ``p`` with a pluggable model: ``make_predict`` loads it once per Python worker."""
-    udf = predict_batch_udf(make_predict, return_type=T.DoubleType(), batch_size=batch_size)
+def batch_score(
+    df: DataFrame, make_predict: Callable, features: list[str], shapes: list | None = None, batch_size: int = 32
+) -> DataFrame:
+    """Add ``p`` with a pluggable model: ``make_predict`` loads it once per Python worker.
+
+    ``shapes`` gives the shape of each array column.
+    """
+    udf = predict_batch_udf(
+        make_predict, return_type=T.DoubleType(), batch_size=batch_size, input_tensor_shapes=shapes
+    )
     return df.withColumn("p", udf(*[F.col(f) for f in features]))
 
 
 def fit_temperature(df: DataFrame, y: str = "y", p: str = "p") -> float:
-    """Temperature minimizing the log loss of sigmoid(logit / T): one weight without intercept, inverted."""
-    data = df.select(F.array(clipped_logit(F.col(p))).alias("_l"), F.col(y).alias("y"))
-    weight = float(_logistic(_vectors(data, "_l"), 0.0, intercept=False).coefficients[0])
+    """Temperature minimizing the log loss of sigmoid(logit / T): one weight without intercept, inverted.
+
+    Equal (score, label) pairs are merged with their count first.
+    """
+    cells = df.groupBy(F.col(p).alias("p"), F.col(y).cast("double").alias("_y")).agg(
+        F.count(F.lit(1)).cast("double").alias("_w")
+    )
+    data = cells.select(array_to_vector(F.array(clipped_logit(F.col("p")))).alias("_x"), "_y", "_w")
+    weight = float(_logistic(data, 0.0, intercept=False).coefficients[0])
     return max(1.0 / weight, 1e-6) if weight else float("inf")
 
 
@@ -125,23 +139,34 @@ def isotonic_knots(model) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, "boundary double, prediction double")
 
 
+def _by_case(column: str, values: dict) -> Column:
+    """The expression of the row's case; one pass scores all folds or families."""
+    out = F.lit(None).cast("double")
+    for key, value in values.items():
+        out = F.when(F.col(column) == key, value).otherwise(out)
+    return out
+
+
 def calibration_scores(df: DataFrame, folds: int = 5, seed=0, key: str = "id") -> DataFrame:
     """(id, fold, y, policy, p) held-out scores of identity, temperature and isotonic."""
     data = df.select(key, F.col("y").cast("int").alias("y"), "p", fold_of(F.col(key), folds, seed).alias("fold"))
     kept = data.persist()
-    parts = []
+    temperatures, isotonic = {}, []
+    cols = [key, "fold", "y"]
     try:
         for k in range(folds):
-            train, test = kept.where(F.col("fold") != k), data.where(F.col("fold") == k)
-            t = fit_temperature(train)
-            iso = fit_isotonic(train)
-            cols = [key, "fold", "y"]
-            parts.append(test.select(*cols, F.lit("identity").alias("policy"), "p"))
-            parts.append(test.select(*cols, F.lit("temperature").alias("policy"), apply_temperature(F.col("p"), t).alias("p")))
-            parts.append(iso.transform(test).select(*cols, F.lit("isotonic").alias("policy"), F.col("p_cal").alias("p")))
+            train = kept.where(F.col("fold") != k)
+            temperatures[k] = F.lit(fit_temperature(train))
+            held = fit_isotonic(train).transform(data.where(F.col("fold") == k))
+            isotonic.append(held.select(*cols, F.lit("isotonic").alias("policy"), F.col("p_cal").alias("p")))
     finally:
         kept.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    cooled = apply_temperature(F.col("p"), _by_case("fold", temperatures))
+    both = F.array(
+        F.struct(F.lit("identity").alias("policy"), F.col("p").alias("p")),
+        F.struct(F.lit("temperature").alias("policy"), cooled.alias("p")),
+    )
+    return reduce(DataFrame.unionByName, isotonic, data.select(*cols, F.inline(both)))
 
 
 def calibration_cv(df: DataFrame, folds: int = 5, seed=0, key: str = "id") -> DataFrame:
@@ -180,24 +205,31 @@ def grouped_cv(
 ) -> DataFrame:
     """Out-of-fold scores ``p``; an original and its variants share the group and hence the fold."""
     data = df.withColumn("fold", fold_of(F.col(group), folds, seed))
-    parts = []
-    for k in range(folds):
-        weights, b = fit_logistic(data.where(F.col("fold") != k), features, y, c)
-        parts.append(data.where(F.col("fold") == k).withColumn("p", linear_probability(F.col(features), weights, b)))
-    return reduce(DataFrame.unionByName, parts)
+    kept = data.select("fold", features, y).persist()
+    models = {}
+    try:
+        for k in range(folds):
+            models[k] = fit_logistic(kept.where(F.col("fold") != k), features, y, c)
+    finally:
+        kept.unpersist()
+    scores = {k: linear_probability(F.col(features), w, b) for k, (w, b) in models.items()}
+    return data.withColumn("p", _by_case("fold", scores))
 
 
 def leave_one_family_out(
     df: DataFrame, family: str, families: list[str], threshold: float, features: str = "features", y: str = "y"
 ) -> DataFrame:
     """(family, n, recall): each variant family scored by a fit on all other rows, clean originals included."""
-    parts = []
-    for name in families:
-        weights, b = fit_logistic(df.where(F.col(family) != name), features, y)
-        held = df.where(F.col(family) == name)
-        parts.append(held.select(F.col(family).alias("family"), linear_probability(F.col(features), weights, b).alias("p")))
-    scored = reduce(DataFrame.unionByName, parts)
-    return scored.groupBy("family").agg(
+    kept = df.select(F.col(family).alias("family"), features, y).persist()
+    models = {}
+    try:
+        for name in families:
+            models[name] = fit_logistic(kept.where(F.col("family") != name), features, y)
+    finally:
+        kept.unpersist()
+    scores = {n: linear_probability(F.col(features), w, b) for n, (w, b) in models.items()}
+    held = df.select(F.col(family).alias("family"), features).where(F.col("family").isin(*families))
+    return held.withColumn("p", _by_case("family", scores)).groupBy("family").agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.col("p") >= threshold).cast("double")).alias("recall")
     )
 

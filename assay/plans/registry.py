@@ -1,6 +1,17 @@
 """All registered queries."""
 
-from assay.plans import q_grids, q_joins, q_metrics, q_prompts, q_quality, q_sampling, q_scalars, q_scans  # noqa: F401
+from assay.plans import (  # noqa: F401
+    q_grids,
+    q_joins,
+    q_metrics,
+    q_models,
+    q_prompts,
+    q_quality,
+    q_sampling,
+    q_scalars,
+    q_scans,
+    q_streams,
+)
 from assay.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -123,3 +123,24 @@ def stream_last_samples(df: DataFrame, keep: int = KEEP_SAMPLES, serve: int = SE
         "update",
         GroupStateTimeout.NoTimeout,
     )
+
+
+def run_available(df: DataFrame, path: str, mode: str = "append") -> str:
+    """Process everything available, one folder per micro-batch, and return the output folder.
+
+    A batch that is retried overwrites its own folder, so the output is exactly-once.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+    writer = df.writeStream.outputMode(mode).foreachBatch(save).trigger(availableNow=True)
+    query = writer.option("checkpointLocation", f"{path}/checkpoint").start()
+    query.awaitTermination()
+    return f"{path}/out"
+
+
+def latest_per_key(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Last version of every key in an update-mode output with its ``batch`` column."""
+    values = [c for c in updates.columns if c not in (*keys, "batch")]
+    newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
+    return newest.select(*keys, "_v.*")
