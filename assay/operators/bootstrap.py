@@ -40,19 +40,18 @@ def poisson_cdf(m: Column, limit: int = EXACT_LIMIT) -> Column:
 
 
 def bootstrap_cells(df: DataFrame, by: list[str], thr: float = THRESHOLD) -> DataFrame:
-    """(by, y, p4, pred, n): p kept to four digits for AUROC and Brier, the decision kept exactly."""
+    """(by, y, k4, pred, n): p as whole ten-thousandths for AUROC and Brier, the decision kept exactly."""
     return df.groupBy(
         *by,
         F.col("y").cast("int").alias("y"),
-        F.round("p", 4).alias("p4"),
+        F.floor(F.col("p") * 10000 + 0.5).cast("long").alias("k4"),
         (F.col("p") >= thr).cast("int").alias("pred"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def replica_weights(cells: DataFrame, by: list[str], replicas: int = REPLICAS, seed: int = SEED) -> DataFrame:
     """One weighted copy of every cell per replica; weightless copies are dropped."""
-    # thousandths of a percent of a score as an integer: text of it is the same on every engine
-    name = [*[F.col(b) for b in by], F.col("y"), F.col("pred"), F.round(F.col("p4") * 10000).cast("long")]
+    name = [*[F.col(b) for b in by], F.col("y"), F.col("pred"), F.col("k4")]
     # spread the few cells over all cores before they multiply; a round-robin exchange is not coalesced
     width = cells.sparkSession.sparkContext.defaultParallelism
     cells = cells.repartition(width).withColumn("_cdf", poisson_cdf(F.col("n")))
@@ -66,7 +65,7 @@ def replica_weights(cells: DataFrame, by: list[str], replicas: int = REPLICAS, s
         return F.struct(rep.alias("rep"), weight.alias("w"))
 
     copies = F.transform(F.sequence(F.lit(0), F.lit(replicas - 1)), draw)
-    keep = [*by, "y", "p4", "pred"]
+    keep = [*by, "y", "k4", "pred"]
     return cells.select(*keep, F.inline(F.filter(copies, lambda c: c["w"] > 0)))
 
 
@@ -74,19 +73,20 @@ def replica_metrics(weighted: DataFrame, by: list[str]) -> DataFrame:
     """The six fields of every replica; rates divide by the resampled counts."""
     keys = [*by, "rep"]
     # one exchange serves the cell sums, the window and the replica sums
-    cells = weighted.repartition(*keys).groupBy(*keys, "p4").agg(
+    cells = weighted.repartition(*keys).groupBy(*keys, "k4").agg(
         F.sum("w").alias("n"),
         F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(0)).alias("pos"),
         F.sum(F.when((F.col("y") == 1) & (F.col("pred") == 1), F.col("w")).otherwise(0)).alias("_tp"),
         F.sum(F.when((F.col("y") == 0) & (F.col("pred") == 1), F.col("w")).otherwise(0)).alias("_fp"),
     )
     # at most 10,001 score cells per replica
-    below = Window.partitionBy(*keys).orderBy("p4").rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*keys).orderBy("k4").rowsBetween(Window.unboundedPreceding, -1)
     neg = F.col("n") - F.col("pos")
     cells = cells.withColumn("_below", F.coalesce(F.sum(neg).over(below), F.lit(0)))
     n_pos, n_neg = F.sum("pos").cast("double"), F.sum(neg).cast("double")
     wins = F.sum(F.col("pos") * (F.col("_below") + neg / 2))
-    sq = F.col("pos") * F.pow(F.col("p4") - 1, 2) + neg * F.pow(F.col("p4"), 2)
+    p4 = F.col("k4") / 10000
+    sq = F.col("pos") * F.pow(p4 - 1, 2) + neg * F.pow(p4, 2)
     out = cells.groupBy(*keys).agg(
         F.sum("_tp").alias("tp"),
         F.sum("_fp").alias("fp"),

@@ -185,7 +185,7 @@ def _boot_sql(replicas: int) -> str:
     limit = bootstrap.EXACT_LIMIT
     head = with_ctes("scores", body="").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
     return f"""{head},
-cells AS (SELECT suite, y, round(p, 4) AS p4, round(round(p, 4) * 10000)::BIGINT AS k4, (p >= 0.65)::INT AS pred,
+cells AS (SELECT suite, y, floor(p * 10000 + 0.5)::BIGINT / 10000 AS p4, floor(p * 10000 + 0.5)::BIGINT AS k4, (p >= 0.65)::INT AS pred,
                  count(*) AS m FROM scores GROUP BY ALL),
 sizes AS (SELECT DISTINCT m FROM cells WHERE m <= {limit}),
 cdf AS (SELECT m, 0 AS k, exp(-m::DOUBLE) AS pmf, exp(-m::DOUBLE) AS c FROM sizes
