@@ -1,7 +1,7 @@
 """Feature jobs on grids (id, h, w, grid ARRAY<DOUBLE>, row-major gray values 0..255).
 
 One pass over the rows computes any set of features: Arrow batches go to numpy kernels as stacks of
-equally sized grids, in chunks of bounded memory. No job here shuffles.
+equally sized grids, in chunks of bounded memory. No job here shuffles beyond dealing out small inputs.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from assay.functions import kernels as k
 from assay.functions.hashing import hash_hex
+from assay.operators.common import spread
 
 CHUNK_CELLS = 1 << 21
 Kernel = Callable[[dict[str, np.ndarray], np.ndarray], Iterator[dict[str, np.ndarray]]]
@@ -64,7 +65,7 @@ def grid_job(df: DataFrame, inputs: list[str], keep: list[str], kernel: Kernel,
                         cols += [_arrow(made[c], part.num_rows) for c in labels[len(keep) :]]
                         yield pa.RecordBatch.from_arrays(cols, names=labels)
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)
 
 
 # feature -> function of (gray stack, rgb stack or None, options)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.provenance import provenance_table
 from assay.functions.scalars import THRESHOLD
-from assay.operators.common import join_keys
+from assay.operators.common import join_keys, spread
 
 
 def fuse_scores(scores: DataFrame, key: str = "id", how: str = "max") -> DataFrame:
@@ -125,44 +125,48 @@ def sealed_tag_hits(df: DataFrame, path: str = "path", tags=SEALED_TAGS) -> Data
     return df.withColumn("tag", F.explode(F.filter(tests, lambda t: t.isNotNull())))
 
 
+_WORD_BREAK = r"[^\p{L}\p{N}]+"
+
+
 def _inner_words(text: Column) -> Column:
     """Words that are whole words of any text containing ``text``: all but the first and the last."""
-    words = F.split(text, r"[^\p{L}\p{N}]+")
+    words = F.split(text, _WORD_BREAK)
     return F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
 
 
 def sealed_passage_join(
-    docs: DataFrame, passages: DataFrame, doc_key: str, text: str, item_key: str, passage: str, gram: int = 3
+    docs: DataFrame, passages: DataFrame, doc_key: str, text: str, item_key: str, passage: str
 ) -> DataFrame:
     """Exact substring join for a table of sealed texts of any size: (doc_key, item_key).
 
-    A passage inside a text puts its inner words there as whole words, so the passage's first inner
-    word run is an equi-join key against the word runs of the texts; ``contains`` verifies each match.
-    Passages with too few words fall back to their own single inner word or, without one, to a bounded
+    A passage inside a text puts its inner words there as whole words, so the passage's first three inner
+    words are an equi-join key against the word triples of the texts; ``contains`` verifies each match.
+    Passages with fewer words fall back to their own single inner word or, without one, to a bounded
     list of literal tests.
     """
     low = F.lower
     anchors = passages.select(item_key, low(F.col(passage)).alias("_needle"))
     anchors = anchors.withColumn("_w", F.filter(_inner_words(F.col("_needle")), lambda w: w != ""))
-    anchors = anchors.withColumn("_g", F.when(F.size("_w") >= gram, gram).when(F.size("_w") >= 1, 1).otherwise(0))
-    keyed = anchors.where("_g > 0").select(
-        item_key, "_needle", "_g", F.xxhash64(F.array_join(F.slice("_w", 1, F.col("_g")), " ")).alias("_a")
-    )
-    rows = docs.select(doc_key, low(F.col(text)).alias("_text"))
-    words = F.filter(F.split("_text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-    def grams(size: int) -> Column:
-        at = F.sequence(F.lit(1), F.greatest(F.size("_words") - (size - 1), F.lit(1)))
-        return F.array_distinct(
-            F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(F.col("_words"), i, F.lit(size)), " ")))
-        )
-
-    tokens = rows.withColumn("_words", words)
+    n_words = F.size("_w")
+    anchors = anchors.withColumn("_g", F.when(n_words >= 3, 3).when(n_words >= 1, 1).otherwise(0))
+    rows = spread(docs.select(doc_key, F.col(text).alias("_text"))).withColumn("_text", low("_text"))
+    words = F.filter(F.split("_text", _WORD_BREAK), lambda w: w != "")
+    runs = {
+        3: lambda w: F.zip_with(
+            F.zip_with(F.slice(w, 1, F.size(w) - 2), F.slice(w, 2, F.size(w) - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+            F.slice(w, 3, F.size(w) - 2),
+            lambda ab, c: F.xxhash64(ab["a"], ab["b"], c),
+        ),
+        1: lambda w: F.transform(w, lambda a: F.xxhash64(a)),
+    }
     hits = None
-    for size in (gram, 1):
+    for size, run in runs.items():
+        first = F.xxhash64(*[F.get("_w", F.lit(i)) for i in range(size)])
+        keyed = anchors.where(F.col("_g") == size).select(item_key, "_needle", first.alias("_a"))
         # keys only; the text is fetched for the few candidate pairs
-        keys = tokens.select(doc_key, F.explode(grams(size)).alias("_a"))
-        found = keys.join(keyed.where(F.col("_g") == size), "_a").select(doc_key, item_key, "_needle")
+        tokens = rows.select(doc_key, words.alias("_words")).where(F.size("_words") >= size)
+        keys = tokens.select(doc_key, F.explode(F.array_distinct(run(F.col("_words")))).alias("_a"))
+        found = keys.join(keyed, "_a").select(doc_key, item_key, "_needle")
         hits = found if hits is None else hits.unionByName(found)
     pairs = hits.join(rows, doc_key).where(F.contains("_text", "_needle")).select(doc_key, item_key)
     bare = anchors.where("_g = 0").limit(1001).collect()
