@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from assay.functions.hashing import pick_index
 from assay.functions.scalars import apply_temperature, clipped_logit, score_linear
+from assay.operators.common import bounded_rows
 from assay.operators.metrics import auroc_avg_rank, brier, ece10, rates
 from assay.operators.reports import abstention_report
 from assay.operators.sampling import sweep_pick, threshold_sweep
@@ -86,16 +87,18 @@ def fit_logistic_baseline(
     fitted = df.sparkSession.createDataFrame(row, schema)
     scored = batch_score_linear(df.select(F.col(features).alias("features"), F.col(y).alias("y")), fitted)
     everything = scored.withColumn("_all", F.lit(0))
-    stats = rates(everything, ["_all"]).select(F.col("balanced_accuracy").alias("train_balanced_accuracy"), "_all")
-    stats = stats.join(auroc_avg_rank(everything, ["_all"]).select(F.col("auroc").alias("train_auroc"), "_all"), "_all")
-    return fitted.withColumn("_all", F.lit(0)).join(stats, "_all").drop("_all")
+    bal = bounded_rows(rates(everything, ["_all"]), 1)[0]["balanced_accuracy"]
+    auroc = bounded_rows(auroc_avg_rank(everything, ["_all"]), 1)[0]["auroc"]
+    return fitted.withColumns(
+        {"train_balanced_accuracy": F.lit(bal).cast("double"), "train_auroc": F.lit(auroc).cast("double")}
+    )
 
 
 def batch_score_linear(df: DataFrame, model: DataFrame, features: str = "features") -> DataFrame:
-    """Add ``p`` from a one-row model table, broadcast to the rows."""
-    one = F.broadcast(model.select("mean", "scale", "coef", "intercept").limit(1))
-    p = score_linear(F.col(features), F.col("mean"), F.col("scale"), F.col("coef"), F.col("intercept"))
-    return df.join(one).withColumn("p", p).drop("mean", "scale", "coef", "intercept")
+    """Add ``p`` from a one-row model table; the row becomes literals, so scoring is a projection."""
+    m = bounded_rows(model.select("mean", "scale", "coef", "intercept"), 1)[0]
+    p = score_linear(F.col(features), _array(m["mean"]), _array(m["scale"]), _array(m["coef"]), F.lit(m["intercept"]))
+    return df.withColumn("p", p)
 
 
 def batch_score(

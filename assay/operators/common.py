@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys`` that also matches null keys; with no keys, ``right`` must be one row."""
+    """Equi-join on ``keys`` that also matches null keys. For one overall group join on a constant column."""
     if not keys:
-        return left.crossJoin(F.broadcast(right))
+        raise ValueError("at least one key is needed")
     renamed = right.select(*[F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in right.columns])
     cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
     out = left.join(renamed, cond, how)

@@ -107,18 +107,22 @@ def auroc_of_cells(run: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def rank_curves(df: DataFrame, by: list[str], key: str = "id") -> DataFrame:
-    """Ordinal-rank auroc and step-wise auprc of each group; null for a single class."""
-    ranked = ordinal_ranks(df, by, key=key)
-    n_pos, n_neg = _pos(ranked)
+def _curve_aggs() -> list[Column]:
+    """Ordinal-rank auroc and step-wise auprc over ranked rows; null for a single class."""
+    n_pos, n_neg = F.max("all_n_pos").cast("double"), F.max(F.col("all_n") - F.col("all_n_pos")).cast("double")
     rank_sum = F.sum(F.when(F.col("y") == 1, F.col("rank_asc").cast("double")))
     precision = F.sum(F.when(F.col("y") == 1, F.col("pos_desc") / F.col("rank_desc")))
     both = (n_pos > 0) & (n_neg > 0)
-    return ranked.groupBy(*by).agg(
-        F.max("all_n").alias("n"),
+    return [
         F.when(both, (rank_sum - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg)).alias("auroc"),
         F.when(both, precision / n_pos).alias("auprc"),
-    )
+    ]
+
+
+def rank_curves(df: DataFrame, by: list[str], key: str = "id") -> DataFrame:
+    """Ordinal-rank auroc and step-wise auprc of each group."""
+    ranked = ordinal_ranks(df, by, key=key)
+    return ranked.groupBy(*by).agg(F.max("all_n").alias("n"), *_curve_aggs())
 
 
 def auroc_ordinal(df: DataFrame, by: list[str], key: str = "id") -> DataFrame:
@@ -134,60 +138,67 @@ def _recall_column(target: float) -> str:
 
 
 def _fpr_aggs(targets) -> list[Column]:
-    """Recall at the cut score per target, from cumulative cells.
+    """Recall at the cut score per target, over rows with running counts le_n, le_pos and sizes eq_n, eq_pos.
 
     The cut is the real score of rank max(1, ceil((1 - t) n)); it counts as positive itself, so the
     realized rate may exceed t.
     """
     n_pos, n_neg = F.col("all_n_pos"), F.col("all_n") - F.col("all_n_pos")
-    neg_le = F.col("cum_n") - F.col("cum_n_pos")
-    neg_lt = neg_le - (F.col("n") - F.col("n_pos"))
+    neg_le = F.col("le_n") - F.col("le_pos")
+    neg_lt = neg_le - (F.col("eq_n") - F.col("eq_pos"))
     out = []
     for t in targets:
         want = F.greatest(F.lit(1), F.ceil(F.lit(1.0 - t) * n_neg))
         at_cut = (neg_lt < want) & (neg_le >= want)
-        hit = n_pos - (F.col("cum_n_pos") - F.col("n_pos"))
+        hit = n_pos - (F.col("le_pos") - F.col("eq_pos"))
         value = F.when(at_cut & (n_pos > 0), hit / n_pos)
         out.append(F.max(value).alias(_recall_column(t)))
     return out
 
 
+def _as_ties(run: DataFrame) -> DataFrame:
+    """Cumulative cells under the names of the ranked rows."""
+    return run.withColumns(
+        {"le_n": F.col("cum_n"), "le_pos": F.col("cum_n_pos"), "eq_n": F.col("n"), "eq_pos": F.col("n_pos")}
+    )
+
+
 def recall_at_fpr(df: DataFrame, by: list[str], targets=FPR_TARGETS) -> DataFrame:
-    return cumulative_cells(df, by).groupBy(*by).agg(*_fpr_aggs(targets))
+    return _as_ties(cumulative_cells(df, by)).groupBy(*by).agg(*_fpr_aggs(targets))
+
+
+def _point_aggs(thr: float, n: Column, pos: Column) -> list[Column]:
+    """Confusion, brier, ece10 and mean confidence over rows or cells of weight n with pos positives."""
+    p, total = F.col("p"), F.sum(n)
+    gaps = [
+        F.coalesce(F.abs(F.sum(F.when(F.col("_bin") == b, p * n - pos))), F.lit(0.0)) for b in range(len(ECE_EDGES) - 1)
+    ]
+    return [
+        *_confusion_aggs(thr, n, pos),
+        (F.sum(pos * F.pow(p - 1, 2) + (n - pos) * F.pow(p, 2)) / total).alias("brier"),
+        F.when(total >= 10, sum(gaps[1:], gaps[0]) / total).otherwise(0.0).alias("ece10"),
+        (F.sum(n * p) / total).alias("mean_conf"),
+    ]
 
 
 def cell_metrics(df: DataFrame, by: list[str], thr: float = THRESHOLD, targets=FPR_TARGETS) -> DataFrame:
-    """All metrics that depend only on the cells, in one pass over the cumulative cells."""
-    run = cumulative_cells(df, by)
+    """All metrics that depend only on the score cells, with the tie-correct AUROC; no row-level shuffle."""
+    run = _as_ties(cumulative_cells(df, by)).withColumn("_bin", ece_bin(F.col("p")))
     n, pos = F.col("n"), F.col("n_pos")
-    sq1, sq0 = F.pow(F.col("p") - 1, 2), F.pow(F.col("p"), 2)
-    run = run.withColumn("_bin", ece_bin(F.col("p")))
     neg = (n - pos).cast("double")
     wins = F.sum(pos * ((F.col("cum_n") - F.col("cum_n_pos")).cast("double") - neg / 2))
-    bins = []
-    for b in range(10):
-        gap = F.abs(F.sum(F.when(F.col("_bin") == b, F.col("p") * n - pos)))
-        bins.append(F.coalesce(gap, F.lit(0.0)))
-    gap_sum = bins[0]
-    for g in bins[1:]:
-        gap_sum = gap_sum + g
-    total = F.sum(n)
     n_pos, n_neg = F.sum(pos).cast("double"), F.sum(n - pos).cast("double")
-    out = run.groupBy(*by).agg(
-        *_confusion_aggs(thr, n, pos),
-        (F.sum(pos * sq1 + (n - pos) * sq0) / total).alias("brier"),
-        F.when(total >= 10, gap_sum / total).otherwise(0.0).alias("ece10"),
-        (F.sum(n * F.col("p")) / total).alias("mean_conf"),
-        F.when((n_pos > 0) & (n_neg > 0), wins / (n_pos * n_neg)).alias("auroc_avg_rank"),
-        *_fpr_aggs(targets),
-    )
-    return add_rates(out)
+    auroc = F.when((n_pos > 0) & (n_neg > 0), wins / (n_pos * n_neg)).alias("auroc_avg_rank")
+    return add_rates(run.groupBy(*by).agg(*_point_aggs(thr, n, pos), auroc, *_fpr_aggs(targets)))
 
 
-def metrics_full(df: DataFrame, by: list[str], thr: float = THRESHOLD, key: str = "id") -> DataFrame:
-    """The full record: cell metrics plus ordinal-rank curves, joined on the group."""
-    curves = rank_curves(df, by, key).drop("n")
-    return join_keys(cell_metrics(df, by, thr).drop("auroc_avg_rank", "mean_conf"), curves, by)
+def metrics_full(
+    df: DataFrame, by: list[str], thr: float = THRESHOLD, key: str = "id", targets=FPR_TARGETS
+) -> DataFrame:
+    """The full record with ordinal-rank curves: one aggregate over the ranked rows."""
+    ranked = ordinal_ranks(df, by, key=key).withColumn("_bin", ece_bin(F.col("p")))
+    aggs = [*_point_aggs(thr, F.lit(1).cast("long"), F.col("y")), *_curve_aggs(), *_fpr_aggs(targets)]
+    return add_rates(ranked.groupBy(*by).agg(*aggs)).drop("mean_conf")
 
 
 def metrics_by_source(
@@ -215,8 +226,6 @@ def overlap_zone_auroc(
     zone = df.where(F.col(clean).between(low, high))
     everything = auroc_avg_rank(df, by).withColumnRenamed("auroc", "auroc_all").withColumnRenamed("n", "n_all")
     inside = auroc_avg_rank(zone, by).withColumnRenamed("auroc", "auroc_overlap").withColumnRenamed("n", "n_overlap")
-    if not by:
-        return everything.crossJoin(inside)
     return join_keys(everything, inside, by, "left").withColumn("n_overlap", F.coalesce("n_overlap", F.lit(0)))
 
 

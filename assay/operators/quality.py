@@ -83,37 +83,29 @@ def schema_violations(df: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode(F.filter(tests, lambda t: t.isNotNull())).alias("rule"))
 
 
-def split_overlap(df: DataFrame, key: str, split: str = "split") -> DataFrame:
-    """Keys that occur in more than one split. Minimum and maximum combine before the shuffle."""
-    rows = df.where(F.coalesce(F.col(key).cast("string") != "", F.lit(False)))
-    spans = rows.groupBy(key).agg(
+def split_spans(df: DataFrame, keys: list[str], split: str = "split") -> DataFrame:
+    """(kind, key, first_split, last_split, n) of keys that occur in more than one split, null and empty keys aside.
+
+    One pass serves all key columns; minimum, maximum and count combine before the shuffle.
+    """
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in keys])
+    rows = df.select(split, F.inline(pairs)).where(F.coalesce(F.col("key") != "", F.lit(False)))
+    spans = rows.groupBy("kind", "key").agg(
         F.min(split).alias("first_split"), F.max(split).alias("last_split"), F.count(F.lit(1)).alias("n")
     )
     return spans.where("first_split <> last_split")
 
 
 def split_disjoint(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(kind, key, first_split, last_split, n) over several identities, such as path and hash."""
-    parts = [
-        split_overlap(df, k).select(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key"), "first_split", "last_split", "n")
-        for k in keys
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Identities, such as path and hash, shared by splits; empty when the splits are disjoint."""
+    return split_spans(df, keys)
 
 
 def group_leak_audit(df: DataFrame, groups: list[str]) -> DataFrame:
-    """Leaking groups and rows per declared group key."""
-    parts = []
-    for g in groups:
-        hit = split_overlap(df, g)
-        parts.append(
-            hit.agg(
-                F.lit(g).alias("group_key"),
-                F.count(F.lit(1)).alias("leaking_groups"),
-                F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in_leaks"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    """(group_key, leaking_groups, rows_in_leaks) for each declared group that crosses splits."""
+    return split_spans(df, groups).groupBy(F.col("kind").alias("group_key")).agg(
+        F.count(F.lit(1)).alias("leaking_groups"), F.sum("n").alias("rows_in_leaks")
+    )
 
 
 def verdict(problems: dict[str, DataFrame], warnings: dict[str, DataFrame]) -> DataFrame:

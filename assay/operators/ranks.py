@@ -1,8 +1,8 @@
 """Exact ranks and cumulative counts without a global window.
 
 Rows collapse to cells (one per group and value) with map-side combining, so any number of equal
-scores costs one cell. Cells are split over fixed value buckets; only the bucket totals, at most a few
-thousand per group, are summed in one window. Buckets get finer towards both ends of [0, 1] because
+scores costs one cell. Cells are split over fixed value buckets; only the bucket totals, at most half a
+million per group and far fewer in practice, are summed in one window. Buckets get finer towards both ends of [0, 1] because
 saturated models put most of their scores there.
 """
 
@@ -15,7 +15,7 @@ from assay.functions.hashing import hash_hex
 from assay.operators.common import join_keys
 
 DEPTH = 60
-SPLITS = 64
+SPLITS = 4096
 
 
 def _log_bucket(m: Column) -> Column:
@@ -78,9 +78,11 @@ def cumulative_cells(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -
 def ordinal_ranks(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key: str = "id") -> DataFrame:
     """Row-level ordinal ranks, ties broken by md5(key).
 
-    Adds ``rank_asc``, ``rank_desc`` and ``pos_desc`` (positives up to the row in descending order).
+    Adds ``rank_asc``, ``rank_desc`` and ``pos_desc`` (positives up to the row in descending order), the
+    tie-inclusive counts ``le_n``, ``le_pos``, the tie sizes ``eq_n``, ``eq_pos`` and the group totals.
     Ties are split by the leading hash digits, so a score shared by a third of all rows is still
-    ranked by many tasks; the row-level window never holds more than one such slice.
+    ranked by many tasks; the row-level window never holds more than one such slice. One exchange of the
+    rows serves both the slice counts and the ranks inside the slices.
     """
     rows = df.select(
         *by,
@@ -89,6 +91,7 @@ def ordinal_ranks(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key:
         F.col(p).cast("double").alias("p"),
     )
     rows = rows.withColumn("_h", hash_hex(F.col("id"))).withColumn("_s", F.substring("_h", 1, 3))
+    rows = rows.repartition(*by, "p", "_s")
     slices = rows.groupBy(*by, "p", "_s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
     run = accumulate(slices, by, ["p", "_s"], ["n", "n_pos"])
     same = Window.partitionBy(*by, "p")
@@ -101,9 +104,10 @@ def ordinal_ranks(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key:
         "all_n_pos",
         F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("_tie_n"),
         F.coalesce(F.sum("n_pos").over(lower), F.lit(0)).alias("_tie_pos"),
-        F.max("cum_n").over(same).alias("_le_n"),
-        F.max("cum_n_pos").over(same).alias("_le_pos"),
-        F.sum("n").over(same).alias("_eq_n"),
+        F.max("cum_n").over(same).alias("le_n"),
+        F.max("cum_n_pos").over(same).alias("le_pos"),
+        F.sum("n").over(same).alias("eq_n"),
+        F.sum("n_pos").over(same).alias("eq_pos"),
     )
     inside = Window.partitionBy(*by, "p", "_s").orderBy("_h", "id")
     local = rows.select(
@@ -119,9 +123,13 @@ def ordinal_ranks(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key:
         "p",
         "all_n",
         "all_n_pos",
-        (F.col("_le_n") - F.col("_eq_n") + F.col("_tie_n") + F.col("_rn")).alias("rank_asc"),
-        (F.col("all_n") - F.col("_le_n") + F.col("_tie_n") + F.col("_rn")).alias("rank_desc"),
-        (F.col("all_n_pos") - F.col("_le_pos") + F.col("_tie_pos") + F.col("_rpos")).alias("pos_desc"),
+        "le_n",
+        "le_pos",
+        "eq_n",
+        "eq_pos",
+        (F.col("le_n") - F.col("eq_n") + F.col("_tie_n") + F.col("_rn")).alias("rank_asc"),
+        (F.col("all_n") - F.col("le_n") + F.col("_tie_n") + F.col("_rn")).alias("rank_desc"),
+        (F.col("all_n_pos") - F.col("le_pos") + F.col("_tie_pos") + F.col("_rpos")).alias("pos_desc"),
     )
 
 

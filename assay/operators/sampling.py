@@ -218,10 +218,9 @@ def hard_reason(name: Column, lap: Column, block: Column) -> Column:
 
 
 def hard_histograms(df: DataFrame) -> DataFrame:
-    """(kind, value, n) counts by reason and by source."""
-    by_reason = df.groupBy(F.col("reason").alias("value")).count().select(F.lit("reason").alias("kind"), "value", "count")
-    by_source = df.groupBy(F.col("source").alias("value")).count().select(F.lit("source").alias("kind"), "value", "count")
-    return by_reason.unionByName(by_source).withColumnRenamed("count", "n")
+    """(kind, value, n) counts by reason and by source, in one pass."""
+    sides = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in ("reason", "source")])
+    return df.select(F.inline(sides)).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def append_hard_capped(
@@ -261,9 +260,13 @@ def threshold_sweep(df: DataFrame, by: list[str], steps: int = 201) -> DataFrame
     hist = df.groupBy(*by, slot.alias("i")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos")
     )
-    empty = hist.select(*by).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    full = hist.unionByName(empty.withColumns({"n": F.lit(0).cast("long"), "pos": F.lit(0).cast("long")}))
-    full = full.groupBy(*by, "i").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    # at most steps + 1 entries per group
+    entry = F.struct(F.col("i").alias("key"), F.struct("n", "pos").alias("value"))
+    filled = hist.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
+    full = filled.select(*by, "_m", F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))).alias("i"))
+    cell = F.try_element_at("_m", F.col("i"))
+    n, pos = F.coalesce(cell["n"], F.lit(0)), F.coalesce(cell["pos"], F.lit(0))
+    full = full.select(*by, "i", n.alias("n"), pos.alias("pos"))
     above = Window.partitionBy(*by).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     out = full.select(

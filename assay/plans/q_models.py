@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assay.operators import calibration as c
 from assay.operators import grids as g
+from assay.operators.common import bounded_rows
 from assay.operators.metrics import auroc_avg_rank, brier, ece10
 from assay.plans.base import query, r, rounded
 from assay.plans.proxies import grids, scores, table, u_sql, wide_grids, with_ctes
@@ -111,9 +112,8 @@ def degraded_vectors(spark, sf):
 @query("grouped_cv")
 def q_grouped(spark, sf):
     oof = c.grouped_cv(degraded_vectors(spark, sf), "id")
-    pick = c.tuned_threshold(oof)
-    folds = auroc_avg_rank(oof, ["fold"])
-    return rounded(folds.join(F.broadcast(pick)), 4)
+    pick = bounded_rows(c.tuned_threshold(oof), 1)[0]
+    return rounded(auroc_avg_rank(oof, ["fold"]).withColumns({k: F.lit(pick[k]).cast("double") for k in ("t", "recall", "fpr")}), 4)
 
 
 @query(

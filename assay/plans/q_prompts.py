@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.operators import prompts
+from assay.operators.sampling import bounded_values
 from assay.plans.base import query
 from assay.plans.proxies import table, u_sql
 
@@ -13,12 +14,13 @@ N_PROMPTS = 300
 
 def templates(spark, sf):
     """One template per nation with two slots: all part types and all market segments (bounded vocabularies)."""
-    types = table(spark, sf, "part").agg(F.array_sort(F.collect_set("p_type")).alias("a"))
-    segments = table(spark, sf, "customer").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("b"))
+    words = [
+        bounded_values(table(spark, sf, "part"), "p_type"),
+        bounded_values(table(spark, sf, "customer"), "c_mktsegment"),
+    ]
+    slots = F.array(*[F.array(*[F.lit(w) for w in values]) for values in words])
     text = F.concat(F.lit("product photo of {0} in "), "n_name", F.lit(", {1} style"))
-    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("template_id"), text.alias("template"))
-    words = types.join(F.broadcast(segments)).select(F.array("a", "b").alias("slots"))
-    return nation.join(F.broadcast(words))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("template_id"), text.alias("template"), slots.alias("slots"))
 
 
 def _pick(values: str, slot: int) -> str:
