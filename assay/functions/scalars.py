@@ -106,7 +106,7 @@ def image_eligible(src: Column, width: Column, height: Column) -> Column:
 
 def fit_side(width: Column, height: Column, max_side: int = MAX_SEND_SIDE) -> tuple[Column, Column]:
     """Size after shrinking the longer side to ``max_side``; never enlarges."""
-    scale = F.least(F.lit(1.0), F.lit(float(max_side)) / F.greatest(width, height))
+    scale = F.least(F.lit(1.0), F.try_divide(F.lit(float(max_side)), F.greatest(width, height)))
 
     def side(v: Column) -> Column:
         return F.greatest(F.lit(1), round_half_up(v * scale)).cast("int")
@@ -122,7 +122,7 @@ def resize_crop_geometry(
     half_even: bool = True,
 ) -> dict[str, Column]:
     """Shortest side to ``resize_to``, centre crop: new size and crop offsets."""
-    scale = F.lit(float(resize_to)) / F.least(width, height)
+    scale = F.try_divide(F.lit(float(resize_to)), F.least(width, height))
     rounded = (lambda x: F.bround(x, 0)) if half_even else round_half_up
     w = F.greatest(F.lit(1), rounded(width * scale).cast("int"))
     h = F.greatest(F.lit(1), rounded(height * scale).cast("int"))

@@ -2,8 +2,8 @@
 
 Rows collapse to cells (one per group and value) with map-side combining, so any number of equal
 scores costs one cell. Cells are split over fixed value buckets; only the bucket totals, at most half a
-million per group and far fewer in practice, are summed in one window. Buckets get finer towards both ends of [0, 1] because
-saturated models put most of their scores there.
+million per group and far fewer in practice, are summed in one window. Buckets get finer towards both
+ends of [0, 1] because saturated models put most of their scores there.
 """
 
 from __future__ import annotations

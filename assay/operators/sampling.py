@@ -266,14 +266,14 @@ def threshold_sweep(df: DataFrame, by: list[str], steps: int = 201) -> DataFrame
     full = filled.select(*by, "_m", F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))).alias("i"))
     cell = F.try_element_at("_m", F.col("i"))
     n, pos = F.coalesce(cell["n"], F.lit(0)), F.coalesce(cell["pos"], F.lit(0))
-    full = full.select(*by, "i", n.alias("n"), pos.alias("pos"))
+    full = full.select(*by, "i", pos.alias("pos"), (n - pos).alias("neg"))
     above = Window.partitionBy(*by).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
     out = full.select(
         *by,
         "i",
-        (F.sum("pos").over(above) / F.sum("pos").over(whole)).alias("recall"),
-        (F.sum(F.col("n") - F.col("pos")).over(above) / F.sum(F.col("n") - F.col("pos")).over(whole)).alias("fpr"),
+        F.try_divide(F.sum("pos").over(above), F.sum("pos").over(whole)).alias("recall"),
+        F.try_divide(F.sum("neg").over(above), F.sum("neg").over(whole)).alias("fpr"),
     )
     return out.where("i >= 0").withColumn("t", F.element_at(grid, F.col("i") + 1))
 
@@ -294,7 +294,7 @@ def operating_point(df: DataFrame, by: list[str], min_real_recall: float = 0.98)
     n_neg = F.col("all_n") - n_pos
     neg_below = F.col("cum_n") - F.col("cum_n_pos") - (F.col("n") - F.col("n_pos"))
     pos_from = n_pos - F.col("cum_n_pos") + F.col("n_pos")
-    real, ai = neg_below / n_neg, pos_from / F.greatest(F.lit(1), n_pos)
+    real, ai = F.try_divide(neg_below, n_neg), pos_from / F.greatest(F.lit(1), n_pos)
     ok = (n_neg > 0) & (real >= min_real_recall)
     best = F.max(F.when(ok, F.struct(ai.alias("ai_recall"), F.col("p").alias("t"), real.alias("real_recall"))))
     return run.groupBy(*by).agg(best.alias("_b")).select(
