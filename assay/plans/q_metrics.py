@@ -210,7 +210,7 @@ rep AS (SELECT suite, rep, sum(tp) AS tp, sum(pos) - sum(tp) AS fn, sum(fp) AS f
 rr AS (SELECT suite, rep, auroc::DOUBLE AS auroc, brier::DOUBLE AS brier, {RATE_COLS} FROM rep)
 SELECT suite, metric, {r('avg(value)')} AS mean, {r('quantile_cont(value, 0.025)')} AS lo,
        {r('quantile_cont(value, 0.975)')} AS hi
-FROM rr UNPIVOT (value FOR metric IN (balanced_accuracy, ai_recall, real_recall, false_ai_rate, auroc, brier))
+FROM rr UNPIVOT INCLUDE NULLS (value FOR metric IN (balanced_accuracy, ai_recall, real_recall, false_ai_rate, auroc, brier))
 GROUP BY suite, metric"""
 
 

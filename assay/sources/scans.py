@@ -187,7 +187,8 @@ def scan_images(spark: SparkSession, root: str) -> DataFrame:
     """(path, h, w, channels, data) of decodable images; undecodable files are dropped by the reader."""
     df = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(root)
     return df.select(
-        F.col("image.origin").alias("path"),
+        # local files are listed as file:/x, but the image reader calls them file:///x
+        F.regexp_replace("image.origin", "^file:/+", "file:/").alias("path"),
         F.col("image.height").alias("h"),
         F.col("image.width").alias("w"),
         F.col("image.nChannels").alias("channels"),
