@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.session import scratch_dir
+
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` that also matches null keys. For one overall group join on a constant column."""
@@ -43,3 +45,23 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * TASK_BYTES else df
+
+
+def group_key(by: list[str]) -> Column:
+    """The group columns as one struct ``_g``.
+
+    Structs compare null fields as equal, so joins on ``_g`` keep null groups with a plain equality, which
+    unlike a null-safe comparison reuses an existing partitioning by the group.
+    """
+    return F.struct(*[F.col(b).alias(b) for b in by] or [F.lit(0).alias("_0")]).alias("_g")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a small derived table to the shared scratch folder and read it back.
+
+    Its true size is then known before the plan is made, so that Spark broadcasts it if it is under the
+    broadcast threshold and the large side of a join is not shuffled for it. Lineage is cut as well.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.hashing import hash_hex
-from assay.operators.common import join_keys
+from assay.operators.common import group_key
 
 DEPTH = 60
 SPLITS = 4096
@@ -39,35 +39,48 @@ def value_bucket(v: Column) -> Column:
 
 
 def score_cells(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """(by, p, n, n_pos): everything the rank metrics need, in one combined shuffle."""
-    return df.groupBy(*by, F.col(p).cast("double").alias("p")).agg(
+    """(by, p, n, n_pos): everything the rank metrics need, in one combined shuffle. Unscored rows are left out."""
+    rows = df.where(F.col(p).isNotNull())
+    return rows.groupBy(*by, F.col(p).cast("double").alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("n_pos")
     )
 
 
 def accumulate(
-    cells: DataFrame, by: list[str], order: list[str], counts: list[str], bucket: Column | None = None
+    cells: DataFrame,
+    by: list[str],
+    order: list[str],
+    counts: list[str],
+    bucket: Column | None = None,
+    keep_bucket: bool = False,
 ) -> DataFrame:
     """Inclusive running sums ``cum_x`` and group totals ``all_x`` of each count, in ``order``.
 
-    ``bucket`` must be non-decreasing in the leading order column.
+    ``bucket`` must be non-decreasing in the leading order column. The cells are shuffled once, by group
+    and bucket; window and join share that partitioning. With ``keep_bucket`` the output still carries
+    it, as ``_g`` and ``_b``, for further windows.
     """
-    cells = cells.withColumn("_b", score_bucket(F.col(order[0])) if bucket is None else bucket)
-    inner = Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    totals = cells.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in counts])
+    bucket = score_bucket(F.col(order[0])) if bucket is None else bucket
+    cells = cells.select(group_key(by), *[c for c in cells.columns if c not in by], bucket.alias("_b"))
+    inner = Window.partitionBy("_g", "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_g")
+    totals = cells.groupBy("_g", "_b").agg(*[F.sum(c).alias(c) for c in counts])
     offsets = totals.select(
-        *by,
+        "_g",
         "_b",
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_off_{c}") for c in counts],
         *[F.sum(c).over(whole).alias(f"all_{c}") for c in counts],
     )
     local = cells.select("*", *[F.sum(c).over(inner).alias(f"_in_{c}") for c in counts])
-    out = join_keys(local, offsets, [*by, "_b"])
+    out = local.join(offsets, ["_g", "_b"])
     for c in counts:
         out = out.withColumn(f"cum_{c}", F.col(f"_off_{c}") + F.col(f"_in_{c}"))
-    return out.drop("_b", *[f"_off_{c}" for c in counts], *[f"_in_{c}" for c in counts])
+    groups = [F.col(f"_g.`{b}`").alias(b) for b in by]
+    if keep_bucket:
+        groups += ["_g", "_b"]
+    dropped = {"_g", "_b", *[f"_off_{c}" for c in counts], *[f"_in_{c}" for c in counts]}
+    return out.select(*groups, *[c for c in out.columns if c not in dropped])
 
 
 def cumulative_cells(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -76,29 +89,31 @@ def cumulative_cells(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -
 
 
 def ordinal_ranks(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key: str = "id") -> DataFrame:
-    """Row-level ordinal ranks, ties broken by md5(key).
+    """Row-level ordinal ranks of the scored rows, ties broken by md5(key).
 
     Adds ``rank_asc``, ``rank_desc`` and ``pos_desc`` (positives up to the row in descending order), the
     tie-inclusive counts ``le_n``, ``le_pos``, the tie sizes ``eq_n``, ``eq_pos`` and the group totals.
     Ties are split by the leading hash digits, so a score shared by a third of all rows is still
-    ranked by many tasks; the row-level window never holds more than one such slice. One exchange of the
-    rows serves both the slice counts and the ranks inside the slices.
+    ranked by many tasks; the row-level window never holds more than one such slice. The rows are
+    shuffled once, for the ranks inside the slices; the join with the slice counts keeps that partitioning.
     """
-    rows = df.select(
+    rows = df.where(F.col(p).isNotNull()).select(
         *by,
         F.col(key).alias("id"),
         F.col(y).cast("long").alias("y"),
-        F.col(p).cast("double").alias("p"),
+        (F.col(p).cast("double") + 0.0).alias("p"),
     )
     rows = rows.withColumn("_h", hash_hex(F.col("id"))).withColumn("_s", F.substring("_h", 1, 3))
-    rows = rows.repartition(*by, "p", "_s")
-    slices = rows.groupBy(*by, "p", "_s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
-    run = accumulate(slices, by, ["p", "_s"], ["n", "n_pos"])
-    same = Window.partitionBy(*by, "p")
+    # the score as text: floating keys are normalized in every grouping and join, which would break the
+    # shared partitioning and shuffle the rows again
+    rows = rows.withColumn("_k", F.struct(group_key(by), F.col("p").cast("string").alias("k")))
+    slices = rows.groupBy("_k", "_s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"), F.max("p").alias("p"))
+    slices = slices.select("_k._g.*", "_k", "_s", "p", "n", "n_pos") if by else slices
+    run = accumulate(slices, by, ["p", "_s"], ["n", "n_pos"], keep_bucket=True)
+    same = Window.partitionBy("_g", "_b", "_k")
     lower = same.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     run = run.select(
-        *by,
-        "p",
+        "_k",
         "_s",
         "all_n",
         "all_n_pos",
@@ -109,13 +124,13 @@ def ordinal_ranks(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key:
         F.sum("n").over(same).alias("eq_n"),
         F.sum("n_pos").over(same).alias("eq_pos"),
     )
-    inside = Window.partitionBy(*by, "p", "_s").orderBy("_h", "id")
+    inside = Window.partitionBy("_k", "_s").orderBy("_h", "id")
     local = rows.select(
         "*",
         F.row_number().over(inside).alias("_rn"),
         F.sum("y").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("_rpos"),
     )
-    out = join_keys(local, run, [*by, "p", "_s"])
+    out = local.join(run, ["_k", "_s"])
     return out.select(
         *by,
         "id",

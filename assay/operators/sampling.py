@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.hashing import hash_hex
 from assay.functions.scalars import THRESHOLD
-from assay.operators.common import bounded_rows, join_keys
+from assay.operators.common import bounded_rows, group_key, join_keys, materialize
 from assay.operators.ranks import cumulative_cells
 
 SLICE_DIGITS = 3
@@ -32,18 +32,19 @@ def hash_bands(
     Quotas are ascending expressions of the group size ``n_group`` (and ``by``), or a function that adds
     columns q0, q1, ... to the table of groups.
     """
-    rows = df.withColumn("_h", hash_hex(seed, F.col(key))).withColumn("_s", F.substring("_h", 1, SLICE_DIGITS))
-    slices = rows.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_k"))
-    groups = slices.groupBy(*by).agg(F.sum("_k").alias("n_group"))
+    rows = df.withColumn("_g", group_key(by)).withColumn("_h", hash_hex(seed, F.col(key)))
+    rows = rows.withColumn("_s", F.substring("_h", 1, SLICE_DIGITS))
+    slices = rows.groupBy("_g", "_s").agg(F.count(F.lit(1)).alias("_k"))
+    groups = slices.groupBy("_g").agg(F.sum("_k").alias("n_group")).select("_g", "_g.*", "n_group")
     if callable(quotas):
         groups = quotas(groups)
         names = [c for c in groups.columns if c[0] == "q" and c[1:].isdigit()]
     else:
         names = [f"q{i}" for i in range(len(quotas))]
         groups = groups.withColumns(dict(zip(names, quotas)))
-    done = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    done = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     run = slices.withColumn("_before", F.coalesce(F.sum("_k").over(done), F.lit(0)))
-    run = join_keys(run, groups, by)
+    run = run.join(groups.select("_g", "n_group", *names), "_g")
     cuts = []
     for q in names:
         holds = (F.col("_before") < F.col(q)) & (F.col(q) <= F.col("_before") + F.col("_k"))
@@ -52,8 +53,9 @@ def hash_bands(
             F.when(none, "").otherwise(F.coalesce(every, F.lit("~"))).alias(f"_c_{q}"),
             F.max(F.when(holds, F.col(q) - F.col("_before"))).alias(f"_m_{q}"),
         ]
-    cut = run.groupBy(*by).agg(F.max("n_group").alias("n_group"), *cuts)
-    marked = join_keys(rows, cut, by)
+    # one row per group
+    cut = materialize(run.groupBy("_g").agg(F.max("n_group").alias("n_group"), *cuts))
+    marked = rows.join(cut, "_g")
     at_cut = F.lit(False)
     for q in names:
         at_cut = at_cut | (F.col("_s") == F.col(f"_c_{q}"))
@@ -66,10 +68,10 @@ def hash_bands(
         return total
 
     clear = marked.where(~at_cut).withColumn("band", band(F.lit(0)))
-    order = Window.partitionBy(*by, "_s").orderBy("_h", key)
+    order = Window.partitionBy("_g", "_s").orderBy("_h", key)
     edge = marked.where(at_cut).withColumn("_r", F.row_number().over(order))
     edge = edge.withColumn("band", band(F.col("_r"))).drop("_r")
-    drop = ["_h", "_s", *[f"_c_{q}" for q in names], *[f"_m_{q}" for q in names]]
+    drop = ["_g", "_h", "_s", *[f"_c_{q}" for q in names], *[f"_m_{q}" for q in names]]
     return clear.unionByName(edge).drop(*drop)
 
 
@@ -232,16 +234,16 @@ def append_hard_capped(
     """
     rows = hard.where(F.coalesce(F.col("path") != "", F.lit(False)))
     group = F.coalesce(F.col("reason"), F.lit("review")) if reason_rule else F.col("source")
-    rows = rows.withColumn("_g", group)
-    ordinary = train.groupBy(F.col("source").alias("_g")).agg(F.count(F.lit(1)).alias("_t"))
+    rows = rows.withColumn("_src", group)
+    ordinary = train.groupBy(F.col("source").alias("_src")).agg(F.count(F.lit(1)).alias("_t"))
 
     def limit(groups: DataFrame) -> DataFrame:
-        seen = join_keys(groups, ordinary, ["_g"], "left")
+        seen = join_keys(groups, ordinary, ["_src"], "left")
         allowed = F.lit(factor) * F.greatest(F.lit(1), F.coalesce("_t", F.lit(0)))
         return seen.withColumn("q0", F.greatest(F.lit(floor), allowed)).drop("_t")
 
-    kept = hash_bands(rows, ["_g"], "path", seed, limit).where("band = 0")
-    kept = kept.select("label", F.concat(F.lit("hard:"), "_g").alias("source"), "path")
+    kept = hash_bands(rows, ["_src"], "path", seed, limit).where("band = 0")
+    kept = kept.select("label", F.concat(F.lit("hard:"), "_src").alias("source"), "path")
     return train.select("label", "source", "path").unionByName(kept)
 
 
