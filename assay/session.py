@@ -7,10 +7,12 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_LOCAL: dict[str, str] = {}
 
-def local_session(cpus: str = "8", app: str = "assay") -> SparkSession:
+
+def local_session(cpus: str = "8", app: str = "assay", scratch: str | None = None) -> SparkSession:
     """A session for tests and the local benchmark; clusters bring their own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -19,20 +21,22 @@ def local_session(cpus: str = "8", app: str = "assay") -> SparkSession:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
+    return builder.getOrCreate()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder for intermediate tables.
+    """A fresh folder for an intermediate table, under the shared ``spark.checkpoint.dir``.
 
-    On a cluster it lies under the shared ``spark.checkpoint.dir``; a machine-local folder is only
-    used when that setting is absent and the master is local.
+    The setting is only read. Where it is unset, as in tests, a local master gets one temporary folder per
+    application; a cluster gets an error, since executors could not read a folder of one machine.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="assay-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        app = spark.sparkContext.applicationId
+        shared = _LOCAL.setdefault(app, _LOCAL.get(app) or tempfile.mkdtemp(prefix="assay-"))
     return f"{shared.rstrip('/')}/assay-{uuid.uuid4().hex}"
