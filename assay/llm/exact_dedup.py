@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.tables import named, stored
+from assay.llm.tables import join_groups, named, stored
 
 
 def exact_dedup(
@@ -50,11 +50,8 @@ def _split(level: DataFrame, keys: list[str], width: int, splits: int) -> DataFr
     groups = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.max("doc_id").alias("last")).filter("size > 1")
     # With unique ids the largest id names a group. The hash only matters for ids that come with several texts.
     path = F.struct(F.col("last"), F.xxhash64(*keys).alias("bytes"))
-    groups = groups.select(*[F.col(k).alias(f"g_{k}") for k in keys], "size", "last", path.alias("next"))
-    groups = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    rows = rows.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(splits)))
-    matched = [rows[k] == groups[f"g_{k}"] for k in keys] + [rows["part"] == groups["part"]]
-    joined = rows.join(groups, matched, "left")
+    groups = groups.select(*keys, "size", "last", path.alias("next"))
+    joined = join_groups(rows, groups, keys, splits)
     more = F.col("size").isNotNull() & (F.length("digit") == width)
     return joined.select(
         "doc_id",

@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.llm.cotraining import VERDICT, score_quality
 from assay.llm.exact_dedup import exact_dedup
 from assay.llm.licences import scan_licences, scan_sql
 from assay.llm.pair_merge import count_tokens
 from assay.llm.piece_codec import encode_pieces
+from assay.llm.positional_index import decontaminate
 from assay.llm.ring_shards import ring_shards
+from assay.llm.shingle_join import shingle_join
 from assay.llm.tables import documents
 
 QUERIES: dict = {}
@@ -37,6 +40,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+@query("op3_positional_index")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @query("op4_licence_scan", scan_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(documents(spark, sf_dir))
@@ -53,6 +61,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_cotraining")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", f"{VERDICT}.*")
+
+
+@query("op7_shingle_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join(documents(spark, sf_dir))
+
+
 @query("op9_ring_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(documents(spark, sf_dir))
@@ -62,3 +81,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)

@@ -40,6 +40,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], splits: int) -> DataFrame:
+    """Left join of rows that have a ``doc_id`` with one row per group, dealing the rows of a group to ``splits`` tasks.
+
+    Each group goes out ``splits`` times, so that one group with a third of all rows is no single task's work. Groups
+    of one row are best left out of ``groups`` before: their rows match nothing.
+    """
+    renamed = groups.select(*[F.col(k).alias(f"g_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+    renamed = renamed.withColumn("g_part", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    dealt = rows.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(splits)))
+    on = [dealt[k] == renamed[f"g_{k}"] for k in keys] + [dealt["part"] == renamed["g_part"]]
+    return dealt.join(renamed, on, "left").drop("part", "g_part", *[f"g_{k}" for k in keys])
+
+
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
