@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.llm.block_anchors import drop_repeats
 from assay.llm.cotraining import VERDICT, score_quality
 from assay.llm.exact_dedup import exact_dedup
 from assay.llm.licences import scan_licences, scan_sql
@@ -72,6 +73,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join(documents(spark, sf_dir))
 
 
+@query("op8_block_anchors")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query("op9_ring_shards")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring_shards(documents(spark, sf_dir))

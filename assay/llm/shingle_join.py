@@ -22,28 +22,11 @@ from pyspark.sql import types as T
 
 from assay.llm.components import components
 from assay.llm.tables import columns_of, in_batches, join_groups, named, stored
+from assay.llm.wordhash import WordHashes, mixed, rolled
 
 WORDS = 5
 LONGS = 8  # of the bitmap: 512 bits
 BITMAP = [f"bits{i}" for i in range(LONGS)]
-# An odd multiplier for rolling sums and the two of a 64-bit finalizer. Fixed values.
-ROLL, MIX, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX2)
-    return x ^ (x >> np.uint64(31))
 
 
 def shingles(text: str, hashes: WordHashes) -> np.ndarray:
@@ -51,12 +34,9 @@ def shingles(text: str, hashes: WordHashes) -> np.ndarray:
     own = text.encode("utf-8", "replace").lower().split()
     if not own:
         return np.zeros(0, np.int64)
-    h = np.array([hashes[w] for w in own], np.uint64)
-    width = min(WORDS, len(h))
-    total = np.full(len(h) - width + 1, width, np.uint64)
-    for i in range(width):
-        total = total * np.uint64(ROLL) + h[i : i + len(total)]
-    return np.unique(mixed(total).view(np.int64))
+    h, width = hashes.of(own), min(WORDS, len(own))
+    runs = rolled(h, width)[: len(h) - width + 1] if width == WORDS else mixed(rolled(h, width)[:1] + np.uint64(width))
+    return np.unique(runs.view(np.int64))
 
 
 def prefix_size(n: int) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,14 @@ def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def peeked(batches: Iterator[pa.RecordBatch], field: str) -> tuple[pa.DataType, Iterator[pa.RecordBatch]]:
+    """The Arrow type of a field, and the batches; no batch at all gives the null type."""
+    first = next(batches, None)
+    if first is None:
+        return pa.null(), iter(())
+    return first.schema.field(field).type, chain([first], batches)
+
+
 def in_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most ``size`` rows; long binary values and lists close a batch early."""
     held, weight = [], 0
