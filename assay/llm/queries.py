@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from assay.llm.block_anchors import drop_repeats
 from assay.llm.cotraining import VERDICT, score_quality
 from assay.llm.exact_dedup import exact_dedup
+from assay.llm.katz import katz_scores
 from assay.llm.licences import scan_licences, scan_sql
 from assay.llm.pair_merge import count_tokens
 from assay.llm.piece_codec import encode_pieces
@@ -41,6 +42,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+@query("op2_katz_scores")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(documents(spark, sf_dir))
+
+
 @query("op3_positional_index")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
