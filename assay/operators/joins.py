@@ -58,10 +58,13 @@ def provenance_join(df: DataFrame, source: str = "source") -> DataFrame:
 
 
 def compare_models(base: DataFrame, candidate: DataFrame, keys: list[str]) -> DataFrame:
-    """Two long metric tables side by side with the change."""
-    left = base.withColumnRenamed("value", "base")
-    right = candidate.withColumnRenamed("value", "candidate")
-    out = join_keys(left, right, [*keys, "metric"])
+    """Two long metric tables side by side with the change; intervals ``lo`` and ``hi`` come along where both have them."""
+    keep = [c for c in ("value", "lo", "hi") if c in base.columns and c in candidate.columns]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*keys, "metric", *[F.col(c).alias(name if c == "value" else f"{name}_{c}") for c in keep])
+
+    out = join_keys(side(base, "base"), side(candidate, "candidate"), [*keys, "metric"])
     return out.withColumn("delta", F.col("candidate") - F.col("base"))
 
 

@@ -1,6 +1,7 @@
 """Scorecard metrics; every function takes ``by`` so that all groups are computed in one job.
 
-Inputs carry ``y`` (0/1, 1 = ai), ``p`` (score) and, for ordinal ranks, ``id``.
+Inputs carry ``y`` (0/1, 1 = ai), ``p`` (score) and, for ordinal ranks, ``id``. One rule holds for all of them:
+rows without a score or a class take no part in any count or metric, and ``unscored`` counts them.
 """
 
 from __future__ import annotations
@@ -9,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.scalars import THRESHOLD
-from assay.operators.common import join_keys, ratio
-from assay.operators.ranks import cumulative_cells, ordinal_ranks
+from assay.operators.common import ratio
+from assay.operators.ranks import accumulate, cumulative_cells, ordinal_ranks
 
 # Bin edges as numpy's linspace(0, 1, 11) gives them; 0.3 lies below the fourth edge.
 ECE_EDGES = (
@@ -20,6 +21,17 @@ FPR_TARGETS = (0.005, 0.01, 0.02)
 MIN_PER_SOURCE = 10
 
 
+def scored(df: DataFrame) -> DataFrame:
+    """The rows that count."""
+    return df.where(F.col("p").isNotNull() & F.col("y").isNotNull())
+
+
+def unscored(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_rows, n_unscored): how many rows every metric leaves out; groups with none have 0."""
+    missing = F.count_if(F.col("p").isNull() | F.col("y").isNull())
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), missing.alias("n_unscored"))
+
+
 def _count(cond: Column, weight: Column) -> Column:
     return F.sum(F.when(cond, weight).otherwise(0))
 
@@ -52,7 +64,7 @@ def add_rates(df: DataFrame) -> DataFrame:
 
 
 def confusion(df: DataFrame, by: list[str], thr: float = THRESHOLD) -> DataFrame:
-    return df.groupBy(*by).agg(*_confusion_aggs(thr, F.lit(1), F.col("y").cast("long")))
+    return scored(df).groupBy(*by).agg(*_confusion_aggs(thr, F.lit(1), F.col("y").cast("long")))
 
 
 def rates(df: DataFrame, by: list[str], thr: float = THRESHOLD) -> DataFrame:
@@ -61,7 +73,7 @@ def rates(df: DataFrame, by: list[str], thr: float = THRESHOLD) -> DataFrame:
 
 def brier(df: DataFrame, by: list[str]) -> DataFrame:
     err = F.col("p") - F.col("y")
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("brier"))
+    return scored(df).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(err * err).alias("brier"))
 
 
 def ece_bin(p: Column) -> Column:
@@ -71,7 +83,7 @@ def ece_bin(p: Column) -> Column:
 
 
 def reliability_table(df: DataFrame, by: list[str]) -> DataFrame:
-    return df.groupBy(*by, ece_bin(F.col("p")).alias("bin")).agg(
+    return scored(df).groupBy(*by, ece_bin(F.col("p")).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg(F.col("y").cast("double")).alias("mean_y")
     )
 
@@ -200,12 +212,17 @@ def metrics_full(
     return add_rates(ranked.groupBy(*by).agg(*aggs)).drop("mean_conf")
 
 
+def point_metrics(df: DataFrame, by: list[str], thr: float = THRESHOLD) -> DataFrame:
+    """Confusion, rates, brier, ece10 and mean confidence: everything without ranks, in one aggregate over the rows."""
+    rows = scored(df).withColumn("_bin", ece_bin(F.col("p")))
+    return add_rates(rows.groupBy(*by).agg(*_point_aggs(thr, F.lit(1).cast("long"), F.col("y").cast("long"))))
+
+
 def metrics_by_source(
     df: DataFrame, by: list[str], thr: float = THRESHOLD, min_rows: int = MIN_PER_SOURCE
 ) -> DataFrame:
-    """Metrics of the groups with at least ``min_rows`` rows; small ones are dropped before the ranks."""
-    big = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).drop("_n")
-    return metrics_full(join_keys(df, big, by, "left_semi"), by, thr)
+    """Metrics of the groups with at least ``min_rows`` scored rows."""
+    return metrics_full(df, by, thr).where(F.col("n") >= min_rows)
 
 
 METRIC_FIELDS = (
@@ -221,11 +238,26 @@ def metrics_long(df: DataFrame, keys: list[str], fields=METRIC_FIELDS) -> DataFr
 def overlap_zone_auroc(
     df: DataFrame, by: list[str], clean: str = "p_clean", low: float = 0.3, high: float = 0.8
 ) -> DataFrame:
-    """Tie-correct AUROC over all rows and over rows whose clean score is ambiguous."""
-    zone = df.where(F.col(clean).between(low, high))
-    everything = auroc_avg_rank(df, by).withColumnRenamed("auroc", "auroc_all").withColumnRenamed("n", "n_all")
-    inside = auroc_avg_rank(zone, by).withColumnRenamed("auroc", "auroc_overlap").withColumnRenamed("n", "n_overlap")
-    return join_keys(everything, inside, by, "left").withColumn("n_overlap", F.coalesce("n_overlap", F.lit(0)))
+    """Tie-correct AUROC over all rows and over rows whose clean score is ambiguous, from the same score cells."""
+    inside = F.col(clean).between(low, high)
+    pos = F.col("y").cast("long")
+    cells = scored(df).groupBy(*by, F.col("p").cast("double").alias("p")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(pos).alias("n_pos"),
+        F.count_if(inside).alias("z"), F.sum(F.when(inside, pos).otherwise(0)).alias("z_pos"),
+    )
+    run = accumulate(cells, by, ["p"], ["n", "n_pos", "z", "z_pos"])
+
+    def area(n: str, n_pos: str) -> Column:
+        neg = (F.col(n) - F.col(n_pos)).cast("double")
+        below = (F.col(f"cum_{n}") - F.col(f"cum_{n_pos}")).cast("double") - neg
+        all_pos, all_neg = F.sum(n_pos).cast("double"), F.sum(F.col(n) - F.col(n_pos)).cast("double")
+        wins = F.sum(F.col(n_pos) * (below + neg / 2))
+        return F.when((all_pos > 0) & (all_neg > 0), wins / (all_pos * all_neg))
+
+    return run.groupBy(*by).agg(
+        F.sum("n").alias("n_all"), area("n", "n_pos").alias("auroc_all"),
+        F.sum("z").alias("n_overlap"), area("z", "z_pos").alias("auroc_overlap"),
+    )
 
 
 def score_profile(df: DataFrame, by: list[str], thr: float = THRESHOLD) -> DataFrame:

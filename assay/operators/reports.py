@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from assay.functions.scalars import HIGH_CONF, LOW_CONF, THRESHOLD
 from assay.operators.common import join_keys, ratio
-from assay.operators.metrics import brier, ece10, rates
+from assay.operators.metrics import METRIC_FIELDS, metrics_long, point_metrics, rates, scored
 from assay.operators.ranks import order_statistics
 
 
 def shift_report(df: DataFrame, by: list[str], thr: float = THRESHOLD) -> DataFrame:
-    """n, brier, ece10, rates and mean confidence per stratum: one aggregate plus the bin table."""
-    err = F.col("p") - F.col("y")
-    means = df.groupBy(*by).agg(F.avg(err * err).alias("brier"), F.avg("p").alias("mean_conf"))
-    keep = [*by, "n", "false_ai_rate", "ai_recall", "real_recall"]
-    out = join_keys(rates(df, by, thr).select(*keep), means, by)
-    return join_keys(out, ece10(df, by).drop("n"), by)
+    """n, brier, ece10, rates and mean confidence per stratum, from one aggregate."""
+    keep = ["n", "false_ai_rate", "ai_recall", "real_recall", "brier", "mean_conf", "ece10"]
+    return point_metrics(df, by, thr).select(*by, *keep)
 
 
 def degradation_report(df: DataFrame, variant: str = "variant", clean: str = "clean", thr: float = THRESHOLD) -> DataFrame:
@@ -54,7 +51,7 @@ def abstention_report(
     decided = (p >= high) | (p <= low)
     wrong = decided & ((p >= thr) != (F.col("y") == 1))
     n, n_dec = F.count(F.lit(1)), F.count_if(decided)
-    return df.groupBy(*by).agg(
+    return scored(df).groupBy(*by).agg(
         n.alias("n"),
         n_dec.alias("n_decided"),
         (1 - n_dec / n).alias("abstain_rate"),
@@ -66,7 +63,7 @@ def abstention_cells(df: DataFrame, cell: str, thr: float = THRESHOLD) -> DataFr
     """Wrong decisions and abstentions per cell; ``flag`` says the asset is abstained on."""
     wrong = (F.col("p") >= thr) != (F.col("y") == 1)
     flag = F.col("flag")
-    out = df.groupBy(cell).agg(
+    out = scored(df).groupBy(cell).agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(wrong).alias("wrong_baseline"),
         F.count_if(wrong & flag).alias("wrong_abstained"),
@@ -100,13 +97,10 @@ def abstention_gates(cells: DataFrame) -> DataFrame:
 
 def suite_line(df: DataFrame, by: list[str], thr: float = THRESHOLD) -> DataFrame:
     """The printed benchmark line; without both classes the recall of the present one stands for balance."""
-    r = rates(df, by, thr)
+    r = point_metrics(df, by, thr)
     present = F.when(F.col("n_ai") > 0, F.col("ai_recall")).otherwise(F.col("real_recall"))
     r = r.withColumn("bal_acc", F.coalesce("balanced_accuracy", present))
-    keep = [*by, "n", "n_ai", "n_real", "bal_acc", "ai_recall", "real_recall"]
-    out = join_keys(r.select(*keep), brier(df, by).drop("n"), by)
-    out = join_keys(out, ece10(df, by).drop("n"), by)
-    return join_keys(out, df.groupBy(*by).agg(F.avg("p").alias("mean_conf")), by)
+    return r.select(*by, "n", "n_ai", "n_real", "bal_acc", "ai_recall", "real_recall", "brier", "ece10", "mean_conf")
 
 
 def latency_percentiles(df: DataFrame, by: list[str], value: str = "latency_ms") -> DataFrame:
@@ -127,7 +121,15 @@ def latency_percentiles(df: DataFrame, by: list[str], value: str = "latency_ms")
 
 def with_intervals(metrics_long: DataFrame, ci: DataFrame, keys: list[str]) -> DataFrame:
     """Metric rows with their bootstrap interval where one exists."""
-    return join_keys(metrics_long, ci, [*keys, "metric"], "left")
+    return join_keys(metrics_long, ci.drop("mean"), [*keys, "metric"], "left")
+
+
+def scorecard_report(df: DataFrame, by: list[str], thr: float = THRESHOLD, fields=METRIC_FIELDS, **bootstrap) -> DataFrame:
+    """(by, metric, value, lo, hi): the point metrics of each group with their intervals; ece10 has none."""
+    from assay.operators.bootstrap import bootstrap_ci
+
+    values = metrics_long(point_metrics(df, by, thr), by, fields)
+    return with_intervals(values, bootstrap_ci(df, by, thr, **bootstrap), by)
 
 
 def bundle_report(metrics: DataFrame, by: list[str], name: str = "metrics") -> DataFrame:

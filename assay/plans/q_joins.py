@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions.provenance import SOURCE_META
-from assay.operators import joins, metrics
+from assay.operators import bootstrap, joins, reports
 from assay.operators.sampling import bounded_values
 from assay.plans.base import query, r, rounded
 from assay.plans.proxies import assets, case_sql, manifest, scores, table, with_ctes
-from assay.plans.q_metrics import metric_ctes
+from assay.plans.q_metrics import boot_ctes, metric_ctes
 
 
 @query(
@@ -94,6 +94,10 @@ def _long(name: str, src: str) -> str:
   UNPIVOT INCLUDE NULLS (value FOR metric IN ({_FIELDS})))"""
 
 
+def _intervals(name: str, src: str) -> str:
+    return f"{name} AS (WITH {boot_ctes(bootstrap.REPLICAS, src)} SELECT * FROM ci)"
+
+
 @query(
     "compare_models",
     with_ctes("scores", body="").rstrip()
@@ -101,15 +105,20 @@ def _long(name: str, src: str) -> str:
     + _long("base_long", "scores")
     + ",\n"
     + _long("cand_long", "sb")
+    + ",\n"
+    + _intervals("base_ci", "scores")
+    + ",\n"
+    + _intervals("cand_ci", "sb")
     + f"""
-SELECT b.suite, b.metric, {r('b.value')} AS base, {r('c.value')} AS candidate, {r('c.value - b.value')} AS delta
-FROM base_long b JOIN cand_long c ON b.suite = c.suite AND b.metric = c.metric""",
+SELECT b.suite, b.metric, {r('b.value')} AS base, {r('i.lo')} AS base_lo, {r('i.hi')} AS base_hi, {r('c.value')} AS candidate,
+  {r('j.lo')} AS candidate_lo, {r('j.hi')} AS candidate_hi, {r('c.value - b.value')} AS delta
+FROM base_long b JOIN cand_long c ON b.suite = c.suite AND b.metric = c.metric
+LEFT JOIN base_ci i ON b.suite = i.suite AND b.metric = i.metric LEFT JOIN cand_ci j ON b.suite = j.suite AND b.metric = j.metric""",
 )
 def q_compare(spark, sf):
     df = scores(spark, sf)
-    base = metrics.metrics_long(metrics.cell_metrics(df, ["suite"]), ["suite"])
     other = df.drop("p").withColumnRenamed("p_b", "p")
-    cand = metrics.metrics_long(metrics.cell_metrics(other, ["suite"]), ["suite"])
+    base, cand = (reports.scorecard_report(x, ["suite"]) for x in (df, other))
     return rounded(joins.compare_models(base, cand, ["suite"]))
 
 

@@ -178,40 +178,47 @@ def q_metrics_by_suite(spark, sf):
     return rounded(metrics.metrics_long(metrics.cell_metrics(scores(spark, sf), ["suite"]), ["suite"]))
 
 
-def _boot_sql(replicas: int) -> str:
-    u = u_sql("0", "suite", "y", "pred", "k4", "rep")
-    z1, z2 = u_sql("0", "suite", "y", "pred", "k4", "rep", "'r'"), u_sql("0", "suite", "y", "pred", "k4", "rep", "'t'")
-    z = f"(sqrt(-2.0 * ln(1.0 - {z1})) * cos({2 * 3.141592653589793!r} * {z2}))"
-    limit = bootstrap.EXACT_LIMIT
-    head = with_ctes("scores", body="").rstrip().replace("WITH ", "WITH RECURSIVE ", 1)
-    return f"""{head},
-cells AS (SELECT suite, y, floor(p * 10000 + 0.5)::BIGINT / 10000 AS p4, floor(p * 10000 + 0.5)::BIGINT AS k4, (p >= 0.65)::INT AS pred,
-                 count(*) AS m FROM scores GROUP BY ALL),
-sizes AS (SELECT DISTINCT m FROM cells WHERE m <= {limit}),
-cdf AS (SELECT m, 0 AS k, exp(-m::DOUBLE) AS pmf, exp(-m::DOUBLE) AS c FROM sizes
-        UNION ALL SELECT m, k + 1, pmf * m / (k + 1), c + pmf * m / (k + 1) FROM cdf
-        WHERE k + 1 <= ceil(m + 12 * sqrt(m) + 12)),
-cdf_list AS (SELECT m, list(c ORDER BY k) AS cs FROM cdf GROUP BY m),
-draws AS (SELECT suite, y, p4, pred, m, rep::INT AS rep, {u} AS u, CASE WHEN m > {limit} THEN {z} END AS z
-          FROM cells CROSS JOIN range({replicas}) t(rep)),
-weighted AS (SELECT suite, y, p4, pred, rep, CASE WHEN d.m <= {limit}
-      THEN len(list_filter(cs, lambda c: c <= u))
-      ELSE greatest(0, floor(d.m + sqrt(d.m) * d.z + 0.5))::BIGINT END AS w
-    FROM draws d LEFT JOIN cdf_list l ON d.m = l.m),
-rc AS (SELECT suite, rep, p4, sum(w) AS n, sum(w * y) AS pos, sum(w * y * pred) AS tp, sum(w * (1 - y) * pred) AS fp
-       FROM weighted WHERE w > 0 GROUP BY ALL),
-rw AS (SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY suite, rep ORDER BY p4
+def _mixed_ctes(src: str) -> str:
+    """``src`` with x0 and x1 mixed in steps, so that no expression repeats itself."""
+    def step(shift: int, factor: int) -> str:
+        return ", ".join(f"((xor({x}, {x} >> {shift}) * {factor}) & 4294967295) AS {x}" for x in ("x0", "x1"))
+
+    return f"""m1 AS (SELECT * EXCLUDE (x0, x1), {step(16, 0x7FEB352D)} FROM {src}),
+m2 AS (SELECT * EXCLUDE (x0, x1), {step(15, 0x846CA68B)} FROM m1),
+drawn AS (SELECT * EXCLUDE (x0, x1), (xor(x0, x0 >> 16) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u1,
+                 (xor(x1, x1 >> 16) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u2 FROM m2)"""
+
+
+def boot_ctes(replicas: int, src: str = "scores") -> str:
+    """rr with the six fields of every replica of a suite, and ci with mean, lo and hi."""
+    step, stream = bootstrap.REPLICA_STEP, bootstrap.STREAM_STEP
+    start = [f"(base + rep * {step}::UBIGINT + (2 * (1 - y) + {k}) * {stream}::UBIGINT) & 4294967295 AS x{k}" for k in (0, 1)]
+    return f"""cells AS (SELECT suite, p, y, count(*)::DOUBLE AS m,
+    concat('0x', substr(md5(concat_ws(':', '0', suite, floor(p * 1099511627776.0::DOUBLE)::BIGINT)), 1, 8))::UBIGINT AS base
+  FROM {src} WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY suite, p, y),
+starts AS (SELECT suite, p, y, m, rep, {', '.join(start)}
+  FROM (SELECT c.*, t.rep::UBIGINT AS rep FROM cells c CROSS JOIN range({replicas}) t(rep))),
+{_mixed_ctes('starts')},
+weighted AS (SELECT suite, p, y, rep, greatest(0.0, floor(m + sqrt(m) * z + (z * z - 1) / 6 + 0.5 - 0.025 / m)) AS w
+  FROM (SELECT *, sqrt(-2.0 * ln(u1)) * cos({2 * 3.141592653589793!r} * u2) AS z FROM drawn)),
+rc AS (SELECT suite, rep, p, sum(w) AS n, sum(w * y) AS pos FROM weighted GROUP BY ALL),
+rw AS (SELECT *, coalesce(sum(n - pos) OVER (PARTITION BY suite, rep ORDER BY p
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM rc),
-rep AS (SELECT suite, rep, sum(tp) AS tp, sum(pos) - sum(tp) AS fn, sum(fp) AS fp, sum(n - pos) - sum(fp) AS tn,
+rep AS (SELECT suite, rep, coalesce(sum(pos) FILTER (p >= 0.65), 0) AS tp, coalesce(sum(pos) FILTER (p < 0.65), 0) AS fn,
+       coalesce(sum(n - pos) FILTER (p >= 0.65), 0) AS fp, coalesce(sum(n - pos) FILTER (p < 0.65), 0) AS tn,
        sum(pos) AS n_ai, sum(n - pos) AS n_real,
        CASE WHEN sum(pos) > 0 AND sum(n - pos) > 0
             THEN sum(pos * (below + (n - pos) / 2)) / (sum(pos) * sum(n - pos)) END AS auroc,
-       sum(pos * (p4 - 1) * (p4 - 1) + (n - pos) * p4 * p4) / sum(n) AS brier FROM rw GROUP BY suite, rep),
-rr AS (SELECT suite, rep, auroc::DOUBLE AS auroc, brier::DOUBLE AS brier, {RATE_COLS} FROM rep)
-SELECT suite, metric, {r('avg(value)')} AS mean, {r('quantile_cont(value, 0.025)')} AS lo,
-       {r('quantile_cont(value, 0.975)')} AS hi
-FROM rr UNPIVOT INCLUDE NULLS (value FOR metric IN (balanced_accuracy, ai_recall, real_recall, false_ai_rate, auroc, brier))
-GROUP BY suite, metric"""
+       CASE WHEN sum(n) > 0 THEN sum(pos * (p - 1) * (p - 1) + (n - pos) * p * p) / sum(n) END AS brier FROM rw GROUP BY suite, rep),
+rr AS (SELECT suite, rep, auroc::DOUBLE AS auroc, brier::DOUBLE AS brier, {RATE_COLS} FROM rep),
+ci AS (SELECT suite, metric, avg(value) AS mean, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi
+  FROM rr UNPIVOT INCLUDE NULLS (value FOR metric IN (balanced_accuracy, ai_recall, real_recall, false_ai_rate, auroc, brier))
+  GROUP BY suite, metric)"""
+
+
+def _boot_sql(replicas: int) -> str:
+    head = with_ctes("scores", body="").rstrip()
+    return f"{head},\n{boot_ctes(replicas)}\nSELECT suite, metric, {r('mean')} AS mean, {r('lo')} AS lo, {r('hi')} AS hi FROM ci"
 
 
 @query("bootstrap_ci", _boot_sql(bootstrap.REPLICAS))
@@ -219,6 +226,45 @@ def q_bootstrap(spark, sf):
     return rounded(bootstrap.bootstrap_ci(scores(spark, sf), ["suite"]))
 
 
+SIX = "balanced_accuracy, ai_recall, real_recall, false_ai_rate, brier, ece10"
+
+
+@query(
+    "scorecard_report",
+    metric_sql(
+        "suite",
+        f"""SELECT v.suite, v.metric, {r('v.value')} AS value, {r('ci.lo')} AS lo, {r('ci.hi')} AS hi FROM (
+  SELECT * FROM (SELECT suite, {SIX} FROM rate JOIN means USING (suite) JOIN ece USING (suite))
+  UNPIVOT INCLUDE NULLS (value FOR metric IN ({SIX}))) v LEFT JOIN ci ON v.suite = ci.suite AND v.metric = ci.metric""",
+        extra=boot_ctes(bootstrap.REPLICAS) + ",",
+    ),
+)
+def q_scorecard(spark, sf):
+    return rounded(reports.scorecard_report(scores(spark, sf), ["suite"]))
+
+
+HOLES = """holes AS (SELECT id, suite, source, CASE WHEN id % 7 = 3 THEN NULL ELSE y END AS y, CASE WHEN id % 5 = 2 THEN NULL ELSE p END AS p FROM scores),
+whole AS (SELECT * FROM holes WHERE p IS NOT NULL AND y IS NOT NULL),"""
+
+
+@query(
+    "unscored_rows",
+    metric_sql(
+        "source",
+        f"""SELECT u.source, n_rows, n_unscored, rate.n, {', '.join(f'{r(c)} AS {c}' for c in ('ai_recall', 'real_recall', 'brier', 'ece10'))}
+FROM (SELECT source, count(*) AS n_rows, count(*) FILTER (p IS NULL OR y IS NULL) AS n_unscored FROM holes GROUP BY source) u
+JOIN rate USING (source) JOIN means USING (source) JOIN ece USING (source)""",
+        "whole",
+        HOLES,
+    ),
+)
+def q_unscored(spark, sf):
+    """A fifth of the scores and a seventh of the classes are missing."""
+    df = scores(spark, sf).withColumn("p", F.when(F.col("id") % 5 != 2, F.col("p"))).withColumn("y", F.when(F.col("id") % 7 != 3, F.col("y")))
+    record = metrics.point_metrics(df, ["source"]).select("source", "n", "ai_recall", "real_recall", "brier", "ece10")
+    return rounded(metrics.unscored(df, ["source"]).join(record, "source"))
+
+
 @query(
     "score_profile",
     with_ctes(

@@ -175,13 +175,43 @@ def test_bootstrap_is_centred_and_covers(spark):
     assert hit.any()
 
 
-def test_bootstrap_weights_of_large_cells(spark):
-    """One cell of many equal rows: its total weight has mean n and variance n, above and below the exact limit."""
-    for n in (40, 900):
-        df = frame(spark, {"g": [(1, 0.7)] * n})
-        w = bootstrap.replica_weights(bootstrap.bootstrap_cells(df, ["g"]), ["g"], replicas=1500)
-        r = w.agg(F.avg("w").alias("m"), F.var_samp("w").alias("v")).first()
-        assert abs(r["m"] - n) < 4 * np.sqrt(n / 1500) and 0.8 * n < r["v"] < 1.25 * n
+def test_bootstrap_weights_follow_poisson_at_every_size():
+    """One rule for all cells: mean and variance are the cell's size, and the distribution stays within the stated error."""
+    base = np.arange(400, dtype=np.int64) * 7919
+    for n in (1, 64, 65, 10**6):
+        w = bootstrap.poisson_weights(np.full(400, n), base, np.arange(500), 0).ravel()
+        assert abs(w.mean() - n) < 5 * np.sqrt(n / w.size) + 0.006 and 0.9 * n < w.var() < 1.1 * n
+    ones = bootstrap.poisson_weights(np.ones(400), base, np.arange(500), 0).ravel()
+    cdf = np.cumsum([np.exp(-1.0) / float(np.prod(range(1, k + 1))) for k in range(5)])
+    assert max(abs((ones <= k).mean() - cdf[k]) for k in range(5)) < 0.015
+    assert not bootstrap.poisson_weights(np.zeros(3), base[:3], np.arange(9), 1).any()
+
+
+def test_bootstrap_sums_do_not_depend_on_blocks():
+    rng = np.random.default_rng(1)
+    cells = {"p": rng.random(300), "n_pos": rng.integers(0, 3, 300), "n_neg": rng.integers(0, 3, 300), "base": rng.integers(0, 2**32, 300)}
+    whole, split = (bootstrap.replica_sums(cells, 0.65, 50, rows) for rows in (1024, 7))
+    assert np.allclose(whole, split)
+
+
+def test_unscored_rows_count_nowhere(spark):
+    """All metric functions agree on a table with missing scores and classes."""
+    rows = [(i, "g", i % 2, (i * 37 % 101) / 100) for i in range(60)]
+    holes = [(i, g, None if i % 11 == 0 else y, None if i % 7 == 0 else p) for i, g, y, p in rows]
+    schema = "id long, g string, y int, p double"
+    whole = spark.createDataFrame([r for r in holes if r[2] is not None and r[3] is not None], schema)
+    holed, n = spark.createDataFrame(holes, schema), sum(r[2] is not None and r[3] is not None for r in holes)
+    reports_of = (
+        metrics.rates, metrics.brier, metrics.ece10, metrics.reliability_table, metrics.point_metrics, metrics.cell_metrics,
+        metrics.metrics_full, metrics.metrics_by_source, reports.suite_line, reports.shift_report, reports.abstention_report,
+    )
+    for report in reports_of:
+        got, want = (sorted(map(str, report(df, ["g"]).collect())) for df in (holed, whole))
+        assert got == want, report.__name__
+        if report is not metrics.reliability_table:
+            assert report(holed, ["g"]).first()["n"] == n
+    left_out = metrics.unscored(holed, ["g"]).first()
+    assert (left_out["n_rows"], left_out["n_unscored"]) == (60, 60 - n)
 
 
 def test_single_class_bootstrap_skips_null_metrics(spark):
