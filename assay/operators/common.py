@@ -33,20 +33,6 @@ def bounded_rows(df: DataFrame, limit: int) -> list:
     return rows
 
 
-TASK_BYTES = 128 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input to all cores before costly per-row work.
-
-    A small table is often a single row group and would be a single task. Inputs of at least one task's
-    bytes per core are split by the scan already and are returned as they are: no shuffle at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * TASK_BYTES else df
-
-
 def group_key(by: list[str]) -> Column:
     """The group columns as one struct ``_g``.
 

@@ -7,6 +7,8 @@ equally sized grids, in chunks of bounded memory. No job here shuffles beyond de
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,6 @@ from pyspark.sql import functions as F
 
 from assay.functions import kernels as k
 from assay.functions.hashing import hash_hex
-from assay.operators.common import spread
 
 CHUNK_CELLS = 1 << 21
 Kernel = Callable[[dict[str, np.ndarray], np.ndarray], Iterator[dict[str, np.ndarray]]]
@@ -36,11 +37,12 @@ def _arrow(values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))
 
 
-def grid_job(df: DataFrame, inputs: list[str], keep: list[str], kernel: Kernel, out: str, seed=0) -> DataFrame:
+def grid_job(df: DataFrame, inputs: list[str], keep: list[str], kernel: Kernel, out: str, seed=0, tasks: int = 0) -> DataFrame:
     """(keep, outputs) rows of ``kernel``, which maps stacks and per-asset hashes to columns.
 
     ``keep[0]`` is the asset key that seeds the noise. Rows of one batch may differ in size; they are
-    stacked per size. Chunks hold about CHUNK_CELLS cells.
+    stacked per size. Chunks hold about CHUNK_CELLS cells. Rows with a missing, incomplete or null plane are left out.
+    ``tasks`` deals the rows out anew; by default they stay as the scan split them.
     """
     names = out.split(", ")
     kinds = dict(df.dtypes)
@@ -48,7 +50,9 @@ def grid_job(df: DataFrame, inputs: list[str], keep: list[str], kernel: Kernel,
     labels = [*keep, *[n.rsplit(" ", 1)[0] for n in names]]
     base = F.conv(F.substring(hash_hex(seed, F.col(keep[0])), 1, 8), 16, 10).cast("long")
     carried = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
-    rows = df.where(F.col(inputs[0]).isNotNull()).select(*carried, "h", "w", *inputs, base.alias("_base"))
+    # every plane must be there with a value in each cell
+    sound = [F.coalesce((F.size(c) == F.col("h") * F.col("w")) & ~F.exists(c, lambda v: v.isNull()), F.lit(False)) for c in inputs]
+    rows = df.where(reduce(and_, sound)).select(*carried, "h", "w", *inputs, base.alias("_base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +69,7 @@ def grid_job(df: DataFrame, inputs: list[str], keep: list[str], kernel: Kernel,
                         cols += [_arrow(made[c], part.num_rows) for c in labels[len(keep) :]]
                         yield pa.RecordBatch.from_arrays(cols, names=labels)
 
-    return spread(rows).mapInArrow(run, schema)
+    return (rows.repartition(tasks) if tasks else rows).mapInArrow(run, schema)
 
 
 # feature -> function of (gray stack, rgb stack or None, options)
@@ -74,7 +78,7 @@ _RGB = ("colorfulness", "sat_mean", "sat_std", "unique_colors")
 
 def _compute(name: str, g: np.ndarray, rgb: np.ndarray | None, opt: dict) -> np.ndarray:
     if name.startswith("roundtrip_q") or name.startswith("ela_q"):
-        return np.abs(g - k.requantize(g, int(name.rsplit("q", 1)[1]))).mean(k.CELLS)
+        return k.block_loss(g, int(name.rsplit("q", 1)[1]))
     table: dict[str, Callable[[], np.ndarray]] = {
         "noise_sigma": lambda: k.noise_sigma(g),
         "blockiness": lambda: k.block_ratio(g),
@@ -156,19 +160,6 @@ def quant_stability(df: DataFrame, keep: list[str], sigma: float = 0.06, bits: i
     return grid_job(df, ["red", "green", "blue"], keep, kernel, "flip_share double", seed)
 
 
-def degrade_variants(df: DataFrame, keep: list[str], variants=k.VARIANTS, seed=0) -> DataFrame:
-    """(keep, h, w, variant, grid): one row per asset and variant, 'clean' included."""
-    def kernel(stacks: dict[str, np.ndarray], hashes: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
-        g = stacks["grid"]
-        yield {"variant": "clean", "grid": g}
-        for name, kind, param in variants:
-            yield {"variant": name, "grid": k.degrade(g, hashes, kind, param)}
-
-    sized = df.withColumns({"_h": F.col("h"), "_w": F.col("w")})
-    out = grid_job(sized, ["grid"], [*keep, "_h", "_w"], kernel, "variant string, grid array<double>", seed)
-    return out.select(*keep, F.col("_h").alias("h"), F.col("_w").alias("w"), "variant", "grid")
-
-
 CROPS = ("top_left", "top_right", "bottom_left", "bottom_right", "centre")
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assay.functions.provenance import provenance_table
 from assay.functions.scalars import THRESHOLD
-from assay.operators.common import join_keys, spread
+from assay.operators.common import join_keys
 
 
 def fuse_scores(scores: DataFrame, key: str = "id", how: str = "max") -> DataFrame:
@@ -33,9 +37,14 @@ def score_coverage(scores: DataFrame, labels: DataFrame, key: str = "id") -> Dat
     return both.groupBy(side.alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def job_matrix(prompts: DataFrame, models: list[str], done: DataFrame, prompt_key: str = "prompt_id") -> DataFrame:
-    """Every (model, prompt) not done yet; models are a short parameter list, exploded per prompt."""
-    jobs = prompts.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
+def job_matrix(prompts: DataFrame, models: DataFrame, done: DataFrame, prompt_key: str = "prompt_id", parts: int = 32) -> DataFrame:
+    """Every (model, prompt) not done yet, from a table of prompts and a table of models of any size.
+
+    Prompts are dealt to ``parts`` keys and every model goes to each, so that the matrix is built by an equi-join.
+    """
+    dealt = prompts.withColumn("_part", F.pmod(F.hash(prompt_key), F.lit(parts)))
+    every = models.select("model").distinct().withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    jobs = dealt.join(every, "_part").drop("_part")
     finished = done.select("model", prompt_key).distinct()
     return jobs.join(finished, ["model", prompt_key], "left_anti")
 
@@ -128,60 +137,44 @@ def sealed_tag_hits(df: DataFrame, path: str = "path", tags=SEALED_TAGS) -> Data
     return df.withColumn("tag", F.explode(F.filter(tests, lambda t: t.isNotNull())))
 
 
-_WORD_BREAK = r"[^\p{L}\p{N}]+"
-
-
-def _inner_words(text: Column) -> Column:
-    """Words that are whole words of any text containing ``text``: all but the first and the last."""
-    words = F.split(text, _WORD_BREAK)
-    return F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
-
-
 def sealed_passage_join(
-    docs: DataFrame, passages: DataFrame, doc_key: str, text: str, item_key: str, passage: str
+    docs: DataFrame, passages: DataFrame, doc_key: str, text: str, item_key: str, passage: str, block_bytes: int = 8 << 20
 ) -> DataFrame:
-    """Exact substring join for a table of sealed texts of any size: (doc_key, item_key).
+    """Exact substring join, ignoring case, for a table of sealed texts of any size: (doc_key, item_key).
 
-    A passage inside a text puts its inner words there as whole words, so the passage's first three inner
-    words are an equi-join key against the word triples of the texts; ``contains`` verifies each match.
-    Passages with fewer words fall back to their own single inner word or, without one, to a bounded
-    list of literal tests.
+    The sealed texts are the stated query set: they go to the scans in blocks of about ``block_bytes``, and each
+    scan finds all texts of its block in one walk over every document (Aho-Corasick). Nothing is shuffled, so a common
+    word is no hot key, and only one block is on the driver at a time. Null and empty passages match nothing.
     """
-    low = F.lower
-    anchors = passages.select(item_key, low(F.col(passage)).alias("_needle"))
-    anchors = anchors.withColumn("_w", F.filter(_inner_words(F.col("_needle")), lambda w: w != ""))
-    n_words = F.size("_w")
-    anchors = anchors.withColumn("_g", F.when(n_words >= 3, 3).when(n_words >= 1, 1).otherwise(0))
-    rows = spread(docs.select(doc_key, F.col(text).alias("_text"))).withColumn("_text", low("_text"))
-    words = F.filter(F.split("_text", _WORD_BREAK), lambda w: w != "")
-    runs = {
-        3: lambda w: F.zip_with(
-            F.zip_with(F.slice(w, 1, F.size(w) - 2), F.slice(w, 2, F.size(w) - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
-            F.slice(w, 3, F.size(w) - 2),
-            lambda ab, c: F.xxhash64(ab["a"], ab["b"], c),
-        ),
-        1: lambda w: F.transform(w, lambda a: F.xxhash64(a)),
-    }
-    hits = None
-    for size, run in runs.items():
-        first = F.xxhash64(*[F.get("_w", F.lit(i)) for i in range(size)])
-        keyed = anchors.where(F.col("_g") == size).select(item_key, "_needle", first.alias("_a"))
-        # keys only; the text is fetched for the few candidate pairs
-        tokens = rows.select(doc_key, words.alias("_words")).where(F.size("_words") >= size)
-        keys = tokens.select(doc_key, F.explode(F.array_distinct(run(F.col("_words")))).alias("_a"))
-        found = keys.join(keyed, "_a").select(doc_key, item_key, "_needle")
-        hits = found if hits is None else hits.unionByName(found)
-    pairs = hits.join(rows, doc_key).where(F.contains("_text", "_needle")).select(doc_key, item_key)
-    bare = anchors.where("_g = 0").limit(1001).collect()
-    if len(bare) > 1000:
-        raise ValueError("more than 1000 passages without an inner word")
-    if bare:
-        tests = [F.when(F.contains(F.col("_text"), F.lit(b["_needle"])), F.lit(b[item_key])) for b in bare]
-        short = rows.select(
-            doc_key, F.explode(F.filter(F.array(*tests), lambda t: t.isNotNull())).alias(item_key)
-        )
-        pairs = pairs.unionByName(short)
-    return pairs
+    needles = passages.select(F.col(item_key).alias("item"), F.lower(F.col(passage)).alias("needle")).where("needle <> ''")
+    size = needles.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("doc"), F.lower(F.col(text)).alias("text"))
+    kind = T.StructType([T.StructField(doc_key, rows.schema["doc"].dataType), T.StructField(item_key, needles.schema["item"].dataType)])
+    item_type = to_arrow_type(kind[item_key].dataType)
+    found = None
+    for block in range(blocks := max(1, -(-size // block_bytes))):
+        items: dict[str, list] = {}
+        for row in needles.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == block).toLocalIterator():
+            items.setdefault(row["needle"], []).append(row["item"])
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+
+        def search(batches, shared=shared):
+            walk = ahocorasick.Automaton()
+            for needle, of in shared.value.items():
+                walk.add_word(needle, of)
+            walk.make_automaton()
+            for batch in batches:
+                places, hits = [], []
+                for n, whole in enumerate(batch.column("text").to_pylist()):
+                    seen = {i for _, of in walk.iter(whole) for i in of} if len(walk) else ()
+                    places += [n] * len(seen)
+                    hits += seen
+                ids = batch.column("doc").take(pa.array(places, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(hits, item_type)], [doc_key, item_key])
+
+        pairs = rows.mapInArrow(search, kind)
+        found = pairs if found is None else found.unionAll(pairs)
+    return found
 
 
 def glob_regex(glob: str) -> str:

@@ -155,10 +155,20 @@ def order_statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def row_index(df: DataFrame, key: str, width: int = 65536) -> DataFrame:
-    """Zero-based ``row_idx`` in ascending order of a unique integer key, and the row count ``n_rows``.
+    """Zero-based ``row_idx`` in ascending order of an integer key, and the row count ``n_rows``.
 
-    Unique keys bound a bucket of ``width`` consecutive values to ``width`` rows.
+    Two levels: value buckets, of which there are a bounded number however sparse the keys, and in each of them runs
+    of ``width`` consecutive values, which bound a window however dense the keys.
     """
-    cells = df.withColumn("_c", F.lit(1))
-    out = accumulate(cells, [], [key], ["_c"], F.floor(F.col(key) / width))
-    return out.withColumn("row_idx", F.col("cum__c") - 1).withColumnRenamed("all__c", "n_rows").drop("_c", "cum__c")
+    rows = df.withColumn("_a", value_bucket(F.col(key) / 65536.0)).withColumn("_b", F.floor(F.col(key) / width))
+    fine = rows.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    first = Window.orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(0))
+    coarse = fine.groupBy("_a").agg(F.sum("_n").alias("_n")).select(
+        "_a", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("n_rows")
+    )
+    lower = Window.partitionBy("_a").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = fine.select("_a", "_b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower")).join(coarse, "_a")
+    place = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(key)) - 1
+    out = rows.withColumn("_place", place).join(offsets, ["_a", "_b"])
+    return out.withColumn("row_idx", F.col("_before") + F.col("_lower") + F.col("_place")).drop("_a", "_b", "_place", "_before", "_lower")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.hashing import hash_hex
 from assay.functions.scalars import THRESHOLD
-from assay.operators.common import bounded_rows, group_key, join_keys, materialize
+from assay.operators.common import group_key, join_keys, materialize
 from assay.operators.ranks import cumulative_cells
 
 SLICE_DIGITS = 3
@@ -188,10 +188,21 @@ def dedup_exact(df: DataFrame, key: str, order: list[Column], keep: list[str]) -
     return kept.unionByName(df.where(~has).select(key, *[c for c in keep if c != key]))
 
 
-def dedup_prefix(df: DataFrame, content: str, order: list[Column], keep: list[str], size: int = 256) -> DataFrame:
-    """First row per equal leading bytes."""
-    prefix = F.substring(F.col(content).cast("binary"), 1, size)
-    return dedup_exact(df.withColumn("_p", F.hex(prefix)), "_p", order, keep).drop("_p")
+def dedup_prefix(
+    df: DataFrame, content: str, order: list[Column], keep: list[str], size: int = 256, confirm: bool = True
+) -> DataFrame:
+    """First row per equal leading bytes, confirmed by a hash of the whole content.
+
+    ``confirm=False`` goes by the leading bytes alone; ``n_merged`` then counts the different contents that a kept row
+    stands for, so that false merges show. Confirmed rows have 1 there; rows without content pass with null.
+    """
+    whole = F.sha2(F.col(content).cast("binary"), 256)
+    prefix = F.hex(F.substring(F.col(content).cast("binary"), 1, size))
+    key = F.when(F.length(prefix) > 0, F.concat_ws(":", prefix, whole) if confirm else prefix)
+    rows = df.withColumn("_p", key).withColumn("_w", whole)
+    kept = dedup_exact(rows, "_p", order, keep)
+    merged = rows.where("_p IS NOT NULL").groupBy("_p").agg(F.count_distinct("_w").alias("n_merged"))
+    return kept.join(merged, "_p", "left").drop("_p")
 
 
 def mine_hard(df: DataFrame, k_real: int = 200, k_ai: int = 200, thr: float = THRESHOLD, key: str = "path") -> DataFrame:
@@ -326,8 +337,3 @@ def response_deltas(df: DataFrame, key: str, variants: list[str], crops: list[st
         F.stddev_pop(F.when(is_crop, F.col("p"))).alias("crop_std"),
         far.alias("max_crop_delta"),
     )
-
-
-def bounded_values(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """Distinct values of a small dimension; fails when there are more than ``limit``."""
-    return sorted(r[0] for r in bounded_rows(df.select(column).where(F.col(column).isNotNull()).distinct(), limit))

@@ -161,22 +161,25 @@ def grids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rgb_grids(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, h, w, grid, red, green, blue) with the next two embeddings as green and blue."""
+    """(id, h, w, grid, red, green, blue) with the next two embeddings as green and blue; the last ones go on with the first."""
     g = grids(spark, sf)
-    green = g.select((F.col("id") - 1).alias("id"), F.col("grid").alias("green"))
-    blue = g.select((F.col("id") - 2).alias("id"), F.col("grid").alias("blue"))
-    return g.withColumn("red", F.col("grid")).join(green, "id").join(blue, "id")
+    size = table(spark, sf, "embeddings").agg((F.max("vec_id") + 1).alias("_n")).withColumn("_one", F.lit(1))
+    g = g.withColumn("_one", F.lit(1)).join(size, "_one")
+    green, blue = (
+        g.select(F.pmod(F.col("id") - step, F.col("_n")).alias("id"), F.col("grid").alias(name)) for step, name in ((1, "green"), (2, "blue"))
+    )
+    return g.drop("_one", "_n").withColumn("red", F.col("grid")).join(green, "id").join(blue, "id")
 
 
 def wide_grids(spark: SparkSession, sf: str) -> DataFrame:
-    """(id, h, w, grid): four consecutive embeddings as the row bands of one 16x16 grid."""
+    """(id, h, w, grid): up to four consecutive embeddings as the row bands of one grid of 16 columns."""
     g = table(spark, sf, "embeddings").select(
         F.floor(F.col("vec_id") / 4).alias("id"), F.struct("vec_id", _gray().alias("g")).alias("part")
     )
     # four parts per grid at most
-    bands = g.groupBy("id").agg(F.array_sort(F.collect_list("part")).alias("parts")).where("size(parts) = 4")
+    bands = g.groupBy("id").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     flat = F.flatten(F.transform("parts", lambda p: p["g"]))
-    return bands.select("id", F.lit(16).alias("h"), F.lit(16).alias("w"), flat.alias("grid"))
+    return bands.select("id", (F.size("parts") * 4).alias("h"), F.lit(16).alias("w"), flat.alias("grid"))
 
 
 # one row per cell: position i and coordinates r, c
@@ -186,10 +189,11 @@ CTES["px"] = """px AS (
            unnest(list_transform(embedding, lambda v: 255.0 * (v::DOUBLE + 1.0) / 2.0)) AS v FROM embeddings))"""
 CTES["rgb"] = """rgb AS (
   SELECT a.id, a.i, a.r, a.c, a.v AS red, b.v AS green, d.v AS blue
-  FROM px a JOIN px b ON b.id = a.id + 1 AND b.i = a.i JOIN px d ON d.id = a.id + 2 AND d.i = a.i)"""
+  FROM px a CROSS JOIN (SELECT max(vec_id) + 1 AS n FROM embeddings) z
+  JOIN px b ON b.id = (a.id + 1) % z.n AND b.i = a.i JOIN px d ON d.id = (a.id + 2) % z.n AND d.i = a.i)"""
 CTES["wide"] = """wide AS (
   SELECT id, i, i // 16 AS r, i % 16 AS c, v FROM (
-    SELECT id // 4 AS id, (id % 4) * 64 + i AS i, v, count(*) OVER (PARTITION BY id // 4) AS k FROM px) WHERE k = 256)"""
+    SELECT id // 4 AS id, (id % 4) * 64 + i AS i, v FROM px))"""
 
 
 # ---------------------------------------------------------------- telemetry

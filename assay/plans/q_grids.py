@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions.arrays import mean
-from assay.functions.kernels import RECOMPRESS, VARIANTS, dct_matrix, gaussian_weights, scaled_table
+from assay.functions.kernels import dct_matrix, gaussian_weights, scaled_table
 from assay.operators import grids as g
 from assay.plans.base import query, r, rounded
 from assay.plans.proxies import grids, rgb_grids, wide_grids, with_ctes
@@ -361,47 +361,6 @@ def q_stability(spark, sf):
     return rounded(g.quant_stability(rgb_grids(spark, sf), ["id"]))
 
 
-def _shrink_sql(src: str, out: str, n: int) -> str:
-    return f"""{out} AS (SELECT id, r, c, avg(v) OVER (PARTITION BY id, r * {n} // 8, c * {n} // 8) AS v FROM {src})"""
-
-
-def _variant_sql() -> str:
-    parts, final = [_DCT, noise_sql("px", "noisy", "0")], []
-    for name, kind, param in VARIANTS:
-        key = "v_" + name.replace(".", "_")
-        src = f"{key}_0"
-        if kind == "jpeg":
-            parts.append(requant_sql("px", key, param))
-        elif kind == "resize":
-            parts += [_shrink_sql("px", src, int(8 * param)), requant_sql(src, key, RECOMPRESS)]
-        elif kind == "web":
-            parts += [_shrink_sql("px", src, int(8 * param[0])), requant_sql(src, key, param[1])]
-        elif kind == "blur":
-            parts += [blur_sql("px", src, 8, param), requant_sql(src, key, RECOMPRESS)]
-        else:
-            noise = f"{src} AS (SELECT id, r, c, least(greatest(v + {param * 255!r} * n, 0.0), 255.0) AS v FROM noisy)"
-            parts += [noise, requant_sql(src, key, RECOMPRESS)]
-        final.append(f"SELECT id, r, c, v, '{name}' AS variant FROM {key}")
-    final.append("SELECT id, r, c, v, 'clean' FROM px")
-    return ",\n".join(parts) + ",\nall_v AS (" + " UNION ALL ".join(final) + ")"
-
-
-_VARIANTS = with_ctes("px", body="").rstrip() + ",\n" + _variant_sql()
-
-
-@query(
-    "degrade_variants",
-    _VARIANTS
-    + f"""
-SELECT a.id, variant, {r('avg(a.v)', 5)} AS mean_v, {r('avg(abs(a.v - px.v))', 5)} AS change
-FROM all_v a JOIN px ON px.id = a.id AND px.r = a.r AND px.c = a.c GROUP BY a.id, variant""",
-)
-def q_variants(spark, sf):
-    made = g.degrade_variants(grids(spark, sf).withColumn("clean", F.col("grid")), ["id", "clean"])
-    change = F.zip_with("grid", "clean", lambda a, b: F.abs(a - b))
-    return rounded(made.select("id", "variant", mean(F.col("grid")).alias("mean_v"), mean(change).alias("change")), 5)
-
-
 @query(
     "crop_grid",
     with_ctes(

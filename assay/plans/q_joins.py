@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from assay.functions.provenance import SOURCE_META
 from assay.operators import bootstrap, joins, reports
-from assay.operators.sampling import bounded_values
 from assay.plans.base import query, r, rounded
 from assay.plans.proxies import assets, case_sql, manifest, scores, table, with_ctes
 from assay.plans.q_metrics import boot_ctes, metric_ctes
@@ -51,9 +50,9 @@ def done_jobs(spark, sf):
 WHERE NOT EXISTS (SELECT 1 FROM done WHERE model = r_name AND prompt_id = p_partkey)""",
 )
 def q_job_matrix(spark, sf):
-    """Regions stand for models (a fixed dimension), parts for prompts."""
+    """Regions stand for models, parts for prompts."""
     prompts = table(spark, sf, "part").select(F.col("p_partkey").alias("prompt_id"), F.col("p_name").alias("prompt"))
-    models = bounded_values(table(spark, sf, "region"), "r_name", 100)
+    models = table(spark, sf, "region").select(F.col("r_name").alias("model"))
     return joins.job_matrix(prompts, models, done_jobs(spark, sf))
 
 

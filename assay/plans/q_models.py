@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from assay.operators import calibration as c
-from assay.operators import grids as g
 from assay.operators.common import bounded_rows
 from assay.operators.metrics import auroc_avg_rank, brier, ece10
+from assay.operators.reports import abstention_cells
 from assay.plans.base import query, r, rounded
 from assay.plans.proxies import grids, scores, table, u_sql, wide_grids, with_ctes
-from assay.plans.q_metrics import BIN
+from assay.plans.q_metrics import BIN, variant_scores
 from assay.plans.q_sampling import responses
 
 FOLD = f"floor({u_sql('0', chr(39) + 'fold' + chr(39), 'id')} * 5)::INT"
@@ -102,20 +102,35 @@ TRANSFORMS = ("jpeg60", "jpeg40", "resize0.5", "web", "noise0.05")
 
 
 def degraded_vectors(spark, sf):
-    """(id, variant, y, features): clean 16x16 grids and five degraded siblings with three evidence features."""
-    battery = [v for v in g.k.VARIANTS if v[0] in TRANSFORMS]
-    made = g.degrade_variants(wide_grids(spark, sf), ["id"], battery)
-    rows = g.feature_vector(made, list(g.DEGRADE_NAMES), ["id", "variant"], low=(1, 4), high=(4, 8))
-    return rows.withColumn("y", (F.col("variant") != "clean").cast("int"))
+    """(id, suite, class, variant, score, y, features): clean responses and five degraded siblings; y says degraded."""
+    rows = variant_scores(spark, sf).where(F.col("variant").isin("clean", *TRANSFORMS))
+    p = F.col("p")
+    vector = F.array(p, F.abs(p - 0.5), p * (1 - p))
+    return rows.select(
+        "id", "suite", F.col("y").alias("class"), "variant", p.alias("score"), (F.col("variant") != "clean").cast("int").alias("y"), vector.alias("features")
+    )
+
+
+def tuned(spark, sf):
+    """Out-of-fold evidence scores, and the row with the threshold chosen from them."""
+    oof = c.grouped_cv(degraded_vectors(spark, sf), "id")
+    return oof, bounded_rows(c.tuned_threshold(oof), 1)[0]
 
 
 @query("grouped_cv")
 def q_grouped(spark, sf):
-    oof = c.grouped_cv(degraded_vectors(spark, sf), "id")
-    pick = bounded_rows(c.tuned_threshold(oof), 1)[0]
+    oof, pick = tuned(spark, sf)
     return rounded(auroc_avg_rank(oof, ["fold"]).withColumns({k: F.lit(pick[k]).cast("double") for k in ("t", "recall", "fpr")}), 4)
 
 
+@query("abstention_study")
+def q_study(spark, sf):
+    """Response vectors, grouped cross-validation, tuned threshold, flags, and the cells that the gates judge."""
+    oof, pick = tuned(spark, sf)
+    flagged = oof.select("variant", F.col("score").alias("p"), F.col("class").alias("y"), (F.col("p") >= F.lit(pick["t"])).alias("flag"))
+    return rounded(abstention_cells(flagged, "variant"), 4)
+
+
 @query(
     "grouped_cv_folds",
     with_ctes("wide", body=f"SELECT fold, count(*) AS n_groups FROM (SELECT DISTINCT id, {FOLD} AS fold FROM wide) GROUP BY fold"),
@@ -127,7 +142,9 @@ def q_folds(spark, sf):
 
 @query("leave_one_family_out")
 def q_family(spark, sf):
-    return rounded(c.leave_one_family_out(degraded_vectors(spark, sf), "variant", list(TRANSFORMS), 0.9), 4)
+    """Recall of each family at the threshold tuned on the out-of-fold scores."""
+    t = tuned(spark, sf)[1]["t"]
+    return rounded(c.leave_one_family_out(degraded_vectors(spark, sf), "variant", list(TRANSFORMS), t), 4)
 
 
 @query("meta_classifier")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.operators import prompts
-from assay.operators.sampling import bounded_values
 from assay.plans.base import query
 from assay.plans.proxies import table, u_sql
 
@@ -13,14 +12,14 @@ N_PROMPTS = 300
 
 
 def templates(spark, sf):
-    """One template per nation with two slots: all part types and all market segments (bounded vocabularies)."""
-    words = [
-        bounded_values(table(spark, sf, "part"), "p_type"),
-        bounded_values(table(spark, sf, "customer"), "c_mktsegment"),
-    ]
-    slots = F.array(*[F.array(*[F.lit(w) for w in values]) for values in words])
+    """One template per nation with two slots: all part types and all market segments, joined from their tables."""
+    def words(name, column, slot):
+        return table(spark, sf, name).agg(F.array_sort(F.collect_set(column)).alias(slot)).withColumn("_one", F.lit(1))
+
     text = F.concat(F.lit("product photo of {0} in "), "n_name", F.lit(", {1} style"))
-    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("template_id"), text.alias("template"), slots.alias("slots"))
+    rows = table(spark, sf, "nation").select(F.col("n_nationkey").alias("template_id"), text.alias("template"), F.lit(1).alias("_one"))
+    rows = rows.join(words("part", "p_type", "a"), "_one").join(words("customer", "c_mktsegment", "b"), "_one")
+    return rows.select("template_id", "template", F.array("a", "b").alias("slots"))
 
 
 def _pick(values: str, slot: int) -> str:
@@ -32,21 +31,20 @@ EXPAND = f"""slots AS (SELECT (SELECT list_sort(list(DISTINCT p_type)) FROM part
   (SELECT list_sort(list(DISTINCT c_mktsegment)) FROM customer) AS b),
 drawn AS (SELECT n_nationkey AS template_id, t.draw::INT AS draw,
   replace(replace('product photo of {{0}} in ' || n_name || ', {{1}} style', '{{0}}', {_pick('a', 0)}), '{{1}}', {_pick('b', 1)}) AS prompt
-  FROM nation CROSS JOIN range(120) t(draw) CROSS JOIN slots),
-pool AS (SELECT * FROM drawn ORDER BY template_id, draw LIMIT {4 * N_PROMPTS})""".replace("{{", "{").replace("}}", "}")
+  FROM nation CROSS JOIN range(120) t(draw) CROSS JOIN slots)""".replace("{{", "{").replace("}}", "}")
 
 
 @query(
     "expand_templates",
     f"""WITH {EXPAND}
-SELECT template_id, draw, prompt FROM pool UNION ALL SELECT -1, item_id::INT, text FROM benchmark""",
+SELECT template_id, draw, prompt FROM drawn UNION ALL SELECT -1, item_id::INT, text FROM benchmark""",
 )
 def q_expand(spark, sf):
     """Benchmark passages stand for the standalone extras."""
     extras = table(spark, sf, "benchmark").select(
         F.lit(-1).alias("template_id"), F.col("item_id").cast("int").alias("draw"), F.col("text").alias("prompt")
     )
-    return prompts.expand_templates(templates(spark, sf), 120, 20260813, 4 * N_PROMPTS, extras)
+    return prompts.expand_templates(templates(spark, sf), 120, 20260813, extras=extras)
 
 
 @query(

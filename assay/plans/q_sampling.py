@@ -38,7 +38,7 @@ def q_dedup_exact(spark, sf):
     "dedup_prefix",
     with_ctes(
         "manifest",
-        body="""SELECT doc_id, path FROM (SELECT *, row_number() OVER (PARTITION BY substr(hex(encode(content)), 1, 512) ORDER BY path) AS k
+        body="""SELECT doc_id, path, CASE WHEN strlen(content) > 0 THEN 1 END AS n_merged FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY path) AS k
   FROM manifest) WHERE k = 1 OR strlen(content) = 0""",
     ),
 )

@@ -1,9 +1,11 @@
 """Grid kernels through Spark against loop or closed-form references; mixed sizes in one table."""
 
+import colorsys
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assay.functions import kernels as k
 from assay.operators import grids as g
@@ -131,12 +133,35 @@ def test_views_keep_size_and_scale(table):
     assert np.allclose(k.lowpass(np.full((1, 40, 40), 3.0))[0, 10:30, 10:30], 3.0) and len(low) == 6
 
 
-def test_variants_do_not_depend_on_batches(table):
-    a = g.degrade_variants(table.repartition(5), ["id"]).orderBy("id", "variant").collect()
-    b = g.degrade_variants(table.coalesce(1), ["id"]).orderBy("id", "variant").collect()
-    assert a == b and len(a) == 6 * 11
-    for r in a:
-        assert len(r["grid"]) == r["h"] * r["w"] and 0 <= min(r["grid"]) and max(r["grid"]) <= 255
+def test_any_side_and_unsound_planes(spark):
+    """Sides are cut to whole blocks; rows with a missing, short or holed plane are left out instead of ending the job."""
+    rng = np.random.default_rng(3)
+    made = [(i, h, w, rng.uniform(0, 255, h * w).tolist()) for i, (h, w) in enumerate([(12, 12), (8, 8), (17, 30), (7, 40)])]
+    made += [(90, 8, 8, None), (91, 8, 8, [1.0] * 63), (92, 8, 8, [None] + [1.0] * 63)]
+    df = spark.createDataFrame(made, "id int, h int, w int, grid array<double>")
+    got = features(df, ["ela_q90", "roundtrip_q55"])["ela_q90"]
+    assert len(got) == 4 and math.isnan(got[3])
+    cut = np.array(made[0][3]).reshape(12, 12)[:8, :8]
+    assert abs(got[0] - k.block_loss(cut[None], 90)[0]) < 1e-9
+    colour = df.withColumns({"red": F.col("grid"), "green": F.reverse("grid"), "blue": F.when(F.col("id") != 1, F.col("grid"))})
+    assert {r["id"] for r in g.color_stats(colour, ["id"]).collect()} == {0, 2, 3}
+
+
+def test_color_stats_by_loops():
+    """Hue, saturation and moments of single cells from the textbook definitions."""
+    rng = np.random.default_rng(5)
+    rgb = rng.integers(0, 256, (3, 2, 6, 7)).astype(float)
+    hue, sat = k.hue_saturation(rgb)
+    for n in range(2):
+        for y in range(6):
+            for x in range(7):
+                want = colorsys.rgb_to_hsv(*(rgb[:, n, y, x] / 255))
+                assert abs(hue[n, y, x] - want[0]) < 1e-6 and abs(sat[n, y, x] - want[1]) < 1e-6
+    stats = k.color_stats(rgb)
+    flat = rgb[1, 1].ravel()
+    assert abs(stats[1, 1] - flat.mean()) < 1e-9 and abs(stats[1, 4] - flat.std(ddof=1)) < 1e-9
+    assert np.allclose(stats[:, 9:17].sum(1), 1) and stats.shape == (2, 97)
+    assert np.isfinite(k.color_stats(np.full((3, 1, 1, 1), 9.0))).all()
 
 
 def test_hash_noise_is_standard_normal():

@@ -102,8 +102,10 @@ def test_dedup_keeps_sealed_first_and_rows_without_hash(spark):
 def test_dedup_prefix_looks_at_256_bytes(spark):
     data = [("p1", "x" * 256 + "a"), ("p2", "x" * 256 + "b"), ("p3", "x" * 255 + "y"), ("p4", "é" * 128 + "a"), ("p5", "é" * 128 + "b")]
     df = spark.createDataFrame(data, "path string, content string")
-    out = sampling.dedup_prefix(df, "content", [F.col("path")], ["path"])
-    assert {r["path"] for r in out.collect()} == {"p1", "p3", "p4"}
+    out = sampling.dedup_prefix(df, "content", [F.col("path")], ["path"], confirm=False)
+    assert {r["path"]: r["n_merged"] for r in out.collect()} == {"p1": 2, "p3": 1, "p4": 2}
+    out = sampling.dedup_prefix(df.unionAll(df.where("path = 'p2'")), "content", [F.col("path")], ["path"])
+    assert sorted((r["path"], r["n_merged"]) for r in out.collect()) == [(p, 1) for p, _ in data]
 
 
 def test_indexes_are_dense(spark):
@@ -111,6 +113,9 @@ def test_indexes_are_dense(spark):
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     got = {r["k"]: r["row_idx"] for r in ranks.row_index(df, "k").collect()}
     assert got == {k: i for i, k in enumerate(sorted(keys))}
+    sparse = [int(hashlib.sha256(str(i).encode()).hexdigest()[:16], 16) >> 2 for i in range(5000)]
+    table = ranks.row_index(spark.createDataFrame([(k,) for k in sparse], "k long"), "k")
+    assert {r["k"]: r["row_idx"] for r in table.collect()} == {k: i for i, k in enumerate(sorted(sparse))}
     hashed = sampling.hash_index(spark.range(500).withColumnRenamed("id", "k"), "k", 4).collect()
     want = sorted(range(500), key=lambda k: order(4, k))
     assert [r["k"] for r in sorted(hashed, key=lambda r: r["hash_idx"])] == want
