@@ -189,8 +189,8 @@ CTES["px"] = """px AS (
            unnest(list_transform(embedding, lambda v: 255.0 * (v::DOUBLE + 1.0) / 2.0)) AS v FROM embeddings))"""
 CTES["rgb"] = """rgb AS (
   SELECT a.id, a.i, a.r, a.c, a.v AS red, b.v AS green, d.v AS blue
-  FROM px a CROSS JOIN (SELECT max(vec_id) + 1 AS n FROM embeddings) z
-  JOIN px b ON b.id = (a.id + 1) % z.n AND b.i = a.i JOIN px d ON d.id = (a.id + 2) % z.n AND d.i = a.i)"""
+  FROM (SELECT px.*, (id + 1) % n AS id1, (id + 2) % n AS id2 FROM px, (SELECT max(vec_id) + 1 AS n FROM embeddings)) a
+  JOIN px b ON b.id = a.id1 AND b.i = a.i JOIN px d ON d.id = a.id2 AND d.i = a.i)"""
 CTES["wide"] = """wide AS (
   SELECT id, i, i // 16 AS r, i % 16 AS c, v FROM (
     SELECT id // 4 AS id, (id % 4) * 64 + i AS i, v FROM px))"""

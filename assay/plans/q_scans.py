@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.plans.base import query
@@ -59,17 +62,37 @@ def q_flex(spark, sf):
     return df.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), "label")
 
 
-@query("scan_asset_tree")
+def _passage_files(spark, sf):
+    """A folder with one text file per benchmark item."""
+    root = scratch_dir(spark)
+    table(spark, sf, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(root)
+    return root
+
+
+def _item():
+    return F.regexp_extract("path", r"item_id=(\d+)/", 1).cast("long").alias("item_id")
+
+
+@query(
+    "scan_asset_tree",
+    "SELECT item_id, strlen(text) + 1 AS length, sha256(text || chr(10)) AS sha256 FROM benchmark",
+)
 def q_asset_tree(spark, sf):
-    """The input folder itself as the asset tree; bytes are not selected and hence not read."""
-    return scans.scan_asset_tree(spark, sf, ("parquet",)).select("rel", "length")
+    """Lengths and content hashes of the files of a tree; each file is an item and its line end."""
+    tree = scans.scan_asset_tree(spark, _passage_files(spark, sf), ("txt",), ())
+    return tree.select(_item(), "length", F.sha2("content", 256).alias("sha256"))
 
 
-@query("scan_suite_glob")
+@query("scan_suite_glob", "SELECT item_id, CASE WHEN item_id < 10 THEN 'ai' ELSE 'real' END AS label FROM benchmark")
 def q_suite_glob(spark, sf):
-    suites = {"tables": ("*.parquet", "real")}
-    df = scans.scan_suite_glob(spark, sf, "tables", suites=suites)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("name"), "label")
+    """Items of one digit are one suite, the others two more."""
+    suites = {"one": ("item_id=?/*.txt", "ai"), "two": ("item_id=??/*.txt", "real"), "more": ("item_id=???*/*.txt", "real")}
+    root, parts = _passage_files(spark, sf), []
+    have = table(spark, sf, "benchmark").agg(F.max("item_id")).first()[0]
+    for name, least in (("one", 0), ("two", 10), ("more", 100)):
+        if have is not None and have >= least:
+            parts.append(scans.scan_suite_glob(spark, root, name, suites=suites).select(_item(), "label"))
+    return reduce(DataFrame.unionAll, parts)
 
 
 @query(

@@ -27,7 +27,7 @@ def stream_images(spark, sf):
         F.col("href").alias("src"),
         F.floor(unit_hash("w", *k) * 2000).cast("int").alias("width"),
         F.floor(unit_hash("h", *k) * 2000).cast("int").alias("height"),
-        F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("ts"),
+        F.timestamp_seconds(F.lit(1704067200)).alias("ts"),
     )
 
 
@@ -39,7 +39,7 @@ _LINKS = "(SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"
     f"SELECT DISTINCT concat('s', page_id % 5) AS session, href AS src FROM {_LINKS}",
 )
 def q_dedup(spark, sf):
-    """Pages stand one second apart, so a day of delay keeps every key for the whole run."""
+    """The event time is the start of the page session, so keys live as long as the session, whatever the page ids are."""
     out = ps.run_available(ps.stream_dedup_images(stream_images(spark, sf), "1 day"), scratch_dir(spark))
     return spark.read.parquet(out).select("session", "src")
 
@@ -133,3 +133,53 @@ FROM telemetry GROUP BY session""",
 )
 def q_ready(spark, sf):
     return ps.ready_state(telemetry(spark, sf), ["kind", "event_id"], ["ts", "event_id"], ["session"])
+
+
+@query(
+    "stream_ready_running",
+    with_ctes(
+        "telemetry",
+        body="""SELECT session, arg_max(kind, (ts, latency_ms)) AS kind, arg_max(latency_ms, (ts, latency_ms)) AS latency_ms
+FROM telemetry GROUP BY session""",
+    ),
+)
+def q_ready_running(spark, sf):
+    """The latest announcement per session, kept by the stream."""
+    rows = ps.ready_state(stream_telemetry(spark, sf), ["kind", "latency_ms"], ["ts", "latency_ms"], ["session"])
+    return ps.latest_per_key(spark.read.parquet(ps.run_available(rows, scratch_dir(spark), "update")), ["session"])
+
+
+@query(
+    "stream_latency_buckets",
+    with_ctes(
+        "telemetry",
+        body="""SELECT kind, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n, max(latency_ms) AS max
+FROM telemetry WHERE latency_ms IS NOT NULL GROUP BY ALL""",
+    ),
+)
+def q_latency_buckets(spark, sf):
+    """Event-time windows of a day from the stream; count and maximum are exact, the percentiles are not compared."""
+    out = ps.run_available(ps.latency_window(stream_telemetry(spark, sf), ["kind"], "1 day"), scratch_dir(spark), "update")
+    return ps.latest_per_key(spark.read.parquet(out), ["kind", "start"]).select("kind", "start", "n", "max")
+
+
+@query(
+    "stream_page_pipeline",
+    f"""SELECT session, src, CASE WHEN p >= 0.65 THEN 'ai' WHEN p < 0.35 THEN 'real' WHEN p IS NOT NULL THEN 'uncertain' END AS state
+FROM (SELECT DISTINCT session, src, CASE WHEN {_P} < 0.95 THEN {_P} END AS p, floor({u_sql("'w'", 'src')} * 2000)::INT AS w
+  FROM (SELECT href AS src, concat('s', page_id % 5) AS session FROM {_LINKS}))
+WHERE w >= 64 AND src <> '' AND NOT (starts_with(src, 'data:') AND length(src) < 800)""",
+)
+def q_page_pipeline(spark, sf):
+    """Dedup, eligibility, score, state and sink as one running stream; sizes depend on the image alone."""
+    images = stream_images(spark, sf)
+    side = F.floor(unit_hash("w", F.col("src")) * 2000).cast("int")
+    u = unit_hash("p", F.col("session"), F.col("src"))
+    path = scratch_dir(spark)
+
+    def save(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    rows = images.withColumns({"width": side, "height": side})
+    ps.start_scoring(rows, F.when(u < 0.95, u), save, f"{path}/checkpoint", "1 day", availableNow=True).awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("session", "src", "state")

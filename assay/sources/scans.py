@@ -90,6 +90,31 @@ def scan_parquet_flex(spark: SparkSession, groups: list[str | list[str]], varian
     return reduce(DataFrame.unionByName, parts)
 
 
+def skipped_files(spark: SparkSession, groups: list[str | list[str]]) -> DataFrame:
+    """(path, length) of the shards that ``scan_parquet_flex`` passes over: parquet files of which no row can be read,
+    corrupt and empty ones."""
+    def plain(path: Column) -> Column:
+        return F.regexp_replace(path, "^file:/+", "/")
+
+    out = spark.createDataFrame([], "path string, length bigint")
+    for paths in groups:
+        paths = [p for p in ([paths] if isinstance(paths, str) else paths) if path_exists(spark, p)]
+        if not paths:
+            continue
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(paths)
+        files = files.select(plain(F.col("path")).alias("path"), "length")
+        reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        try:
+            read = reader.parquet(*paths).select(plain(F.col("_metadata.file_path")).alias("path")).distinct()
+        except Exception as exc:  # noqa: BLE001
+            if not any(k in str(exc) for k in ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER")):
+                raise
+            out = out.unionByName(files)
+            continue
+        out = out.unionByName(files.join(read, "path", "left_anti"))
+    return out
+
+
 def _relative(path: Column, root: str) -> Column:
     """Path below ``root`` of a file URI."""
     base = root.rstrip("/") + "/"

@@ -35,10 +35,15 @@ def score_state(df: DataFrame, score: Column) -> DataFrame:
     return rows.withColumn("state", product_state(F.col("p"))).withColumn("badge", badge_text(F.col("p")))
 
 
-def start_scoring(df: DataFrame, score: Column, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Dedup, score and hand every micro-batch to ``sink``, which must be idempotent per batch id."""
-    scored = score_state(stream_dedup_images(df), score)
-    return scored.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).start()
+def start_scoring(
+    df: DataFrame, score: Column, sink: Callable[[DataFrame, int], None], checkpoint: str, delay: str = "10 minutes", **trigger
+) -> StreamingQuery:
+    """Dedup, score and hand every micro-batch to ``sink``, which must be idempotent per batch id.
+
+    ``trigger`` is passed on, such as ``processingTime="5 seconds"`` or ``availableNow=True``.
+    """
+    writer = score_state(stream_dedup_images(df, delay), score).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def counters(df: DataFrame, by: list[str]) -> DataFrame:

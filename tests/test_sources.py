@@ -95,6 +95,8 @@ def test_shards_wrapped_missing_corrupt_and_unlabelled(spark, tmp_path):
     got = scans.scan_parquet_flex(spark, paths, "extract").collect()
     assert [r["label"] for r in got] == ["ai"]
     assert scans.scan_parquet_flex(spark, [f"{tmp_path}/none"]).count() == 0
+    skipped = {r["path"].split("/")[-1]: r["length"] for r in scans.skipped_files(spark, paths).collect()}
+    assert skipped.pop("x.parquet") == 11 and len(skipped) == 1  # the first part of the good shard has no row
 
 
 def test_extract_variant_does_not_know_gen(spark, tmp_path):
