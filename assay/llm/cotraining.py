@@ -194,7 +194,7 @@ def train_quality(
     seen = rows.select("doc_id", "y", views("text", "lang", "source", "n_chars").alias("v")).toPandas()
     seen = seen.assign(key=seen["doc_id"].astype(str)).sort_values("key", kind="stable")
     known = seen["y"].notna().to_numpy() if len(seen) else np.zeros(0, bool)
-    stack = {v: np.array([r[v] for r in seen["v"]], dtype=float).reshape(len(seen), -1) for v in ("text", "meta")}
+    stack = {v: np.array([r[v] for r in seen["v"]], dtype=float) if len(seen) else np.zeros((0, 1)) for v in ("text", "meta")}
     y = seen["y"][known].to_numpy(dtype=float)
     held = np.array([xxhash.xxh64_intdigest(f"held:{k}") % 4 == 0 for k in seen["key"][known]], dtype=bool)
     return co_train({v: a[known] for v, a in stack.items()}, y, held, {v: a[~known] for v, a in stack.items()}, rounds, sure)
