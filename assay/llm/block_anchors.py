@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm.tables import columns_of, in_batches, named, peeked, shuffle_width, stored
-from assay.llm.wordhash import BitFilter, WordHashes, by_part, packed, part_bits, rest_of, rolled, segment_of, unpacked
+from assay.llm.wordhash import BitFilter, by_part, packed, part_bits, rest_of, rolled, segment_of, unpacked, word_hashes
 
 REST = 30  # bits of a run's hash that travel beside its part; what collides is only a needless candidate
 TWICE = 0xFFFFFFFF
@@ -31,10 +31,10 @@ TWICE = 0xFFFFFFFF
 class _Flush:
     """Documents taken together: the hashes of all their words and each word's place in its document."""
 
-    def __init__(self, docs: list[tuple], hashes: WordHashes):
+    def __init__(self, docs: list[tuple]):
         self.docs = docs
-        sizes = np.array([len(d[2]) for d in docs], np.int64)
-        self.hash = np.concatenate([hashes.of(d[2]) for d in docs]) if docs else np.zeros(0, np.uint64)
+        sizes = np.array([len(d[3]) for d in docs], np.int64)
+        self.hash = np.concatenate([d[3] for d in docs])
         self.start = np.cumsum(sizes) - sizes
         at = np.arange(len(self.hash))
         self.offset = at - np.repeat(self.start, sizes)
@@ -43,17 +43,18 @@ class _Flush:
 
 
 def _flushes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Flush]:
-    hashes, held, weight = WordHashes(), [], 0
+    held, weight = [], 0
     for batch in batches:
         for doc, text in zip(*columns_of(batch, "doc_id", "text")):
-            own = text.encode("utf-8", "replace").split()
-            held.append((doc, text, own))
-            weight += len(own) + 8
+            data = text.encode("utf-8", "replace")
+            words = word_hashes(data)
+            held.append((doc, text, data, words))
+            weight += len(words) + 8
             if weight >= most:
-                yield _Flush(held, hashes)
+                yield _Flush(held)
                 held, weight = [], 0
     if held:
-        yield _Flush(held, hashes)
+        yield _Flush(held)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,14 +135,14 @@ def _windows(rows: DataFrame, hit: BitFilter, window: int, block: int, most: int
                     asked = packed(keys[own], 7) + ref[own].tobytes()
                     yield name, part, asked, None, None, None, None, None, None, None
                 ends = np.searchsorted(places, np.append(flush.start, len(flush.hash)))
-                for i, (doc, text, own) in enumerate(flush.docs):
+                for i, (doc, text, data, words) in enumerate(flush.docs):
                     a, b = ends[i], ends[i + 1]
                     if a == b:
-                        kept = hashlib.sha256(b" ".join(own)).hexdigest()
-                        yield None, None, None, doc, None, len(own), None, None, None, kept
+                        kept = hashlib.sha256(b" ".join(data.split())).hexdigest()
+                        yield None, None, None, doc, None, len(words), None, None, None, kept
                     else:
                         at = (places[a:b] - flush.start[i]).astype("<u4").tobytes()
-                        yield name, None, None, doc, text, len(own), int(a), at, np.packbits(known[a:b]).tobytes(), None
+                        yield name, None, None, doc, text, len(words), int(a), at, np.packbits(known[a:b]).tobytes(), None
 
         yield from in_batches(found(), schema)
 
@@ -203,7 +204,7 @@ def _cut(docs: DataFrame, answers: DataFrame, window: int) -> DataFrame:
 
 
 def drop_repeats(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, flush_words: int = 1 << 20, filter_bits: int = 27
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, flush_words: int = 1 << 19, filter_bits: int = 27
 ) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, spans, kept_sha256``.
 

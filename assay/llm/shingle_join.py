@@ -21,22 +21,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.llm.components import components
-from assay.llm.tables import columns_of, in_batches, join_groups, named, stored
-from assay.llm.wordhash import WordHashes, mixed, rolled
+from assay.llm.tables import columns_of, in_batches, join_groups, named, only_ids, stored
+from assay.llm.wordhash import mixed, packed, rolled, unpacked, word_hashes
 
 WORDS = 5
 LONGS = 8  # of the bitmap: 512 bits
 BITMAP = [f"bits{i}" for i in range(LONGS)]
 
 
-def shingles(text: str, hashes: WordHashes) -> np.ndarray:
+def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of all runs of five words, or of all words if there are fewer."""
-    own = text.encode("utf-8", "replace").lower().split()
-    if not own:
+    h = word_hashes(text.encode("utf-8", "replace"), lower=True)
+    if not len(h):
         return np.zeros(0, np.int64)
-    h, width = hashes.of(own), min(WORDS, len(own))
+    width = min(WORDS, len(h))
     runs = rolled(h, width)[: len(h) - width + 1] if width == WORDS else mixed(rolled(h, width)[:1] + np.uint64(width))
-    return np.unique(runs.view(np.int64))
+    runs = np.sort(runs.view(np.int64))
+    return runs[np.concatenate([[True], runs[1:] != runs[:-1]])]
 
 
 def prefix_size(n: int) -> int:
@@ -44,19 +45,21 @@ def prefix_size(n: int) -> int:
 
 
 def _scan(rows: DataFrame, usual: int) -> DataFrame:
-    """Two kinds of rows: ``doc_id, n, set_key`` of every document; ``token, n`` of tokens that many of a batch have."""
-    kind = T.StructType([rows.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("token", T.LongType())])
+    """Two kinds of rows: ``doc_id, n, set_key`` and the bitmap of every document; ``token, n`` of tokens that many of a batch have."""
+    bits = [T.StructField(b, T.LongType()) for b in BITMAP]
+    kind = T.StructType([rows.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("token", T.LongType()), *bits])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            schema = pa.schema([batch.schema.field("doc_id"), ("n", pa.int64()), ("set_key", pa.binary()), ("token", pa.int64())])
+            schema = pa.schema([batch.schema.field("doc_id"), ("n", pa.int64()), ("set_key", pa.binary()), ("token", pa.int64()), *[(b, pa.int64()) for b in BITMAP]])
 
             def both(ids, texts):
                 held, docs, weight = [], 0, 0
                 for doc, text in zip(ids, texts):
-                    s = shingles(text, hashes)
-                    yield doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), None
+                    s = shingles(text)
+                    marks = np.zeros(LONGS * 64, np.uint8)
+                    marks[s & (LONGS * 64 - 1)] = 1
+                    yield doc, len(s), xxhash.xxh3_128_digest(s.tobytes()), None, *np.packbits(marks).view(np.int64).tolist()
                     held.append(s)
                     docs, weight = docs + 1, weight + len(s)
                     if weight > 3_000_000:
@@ -68,7 +71,7 @@ def _scan(rows: DataFrame, usual: int) -> DataFrame:
                 if held:
                     token, n = np.unique(np.concatenate(held), return_counts=True)
                     often = n >= max(3, docs // usual)
-                    yield from ((None, int(c), None, int(t)) for t, c in zip(token[often], n[often]))
+                    yield from ((None, int(c), None, int(t), *[None] * LONGS) for t, c in zip(token[often], n[often]))
 
             yield from in_batches(both(*columns_of(batch, "doc_id", "text")), schema)
 
@@ -76,56 +79,46 @@ def _scan(rows: DataFrame, usual: int) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """``doc_id, n, tokens``: the rarest tokens of each set. ``common`` lists frequent tokens, rarest first."""
+    """``doc_id, tokens``: the rarest tokens of each set. ``common`` lists frequent tokens, rarest first."""
     order = np.argsort(common, kind="stable")
     table = rows.sparkSession.sparkContext.broadcast((common[order], order))
-    kind = T.StructType([rows.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    kind = T.StructType([rows.schema["doc_id"], T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, (tokens, rank) = WordHashes(), table.value
+        tokens, rank = table.value
         for batch in batches:
-            schema = pa.schema([batch.schema.field("doc_id"), ("n", pa.int64()), ("tokens", pa.list_(pa.int64()))])
-
-            def cuts(ids, texts):
-                for doc, text in zip(ids, texts):
-                    s = shingles(text, hashes)
-                    keep = prefix_size(len(s))
-                    if not len(s):
-                        continue
-                    rare = s
-                    if len(tokens):
-                        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        often = tokens[at] == s
-                        rare = s[~often]
-                        if len(rare) < keep:
-                            rare = np.concatenate([rare, s[often][np.argsort(rank[at[often]])]])
-                    yield doc, len(s), rare[:keep].tolist()
-
-            yield from in_batches(cuts(*columns_of(batch, "doc_id", "text")), schema)
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for start in range(0, batch.num_rows, 1024):
+                cuts = [one_cut(t, tokens, rank) for t in texts.slice(start, 1024).to_pylist()]
+                ends = np.cumsum([0, *map(len, cuts)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(cuts)))
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")).slice(start, 1024), lists], ["doc_id", "tokens"])
+
+    def one_cut(text: str, tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        s = shingles(text)
+        keep = prefix_size(len(s)) if len(s) else 0
+        if len(tokens) and len(s):
+            at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+            often = tokens[at] == s
+            rare = s[~often]
+            s = np.concatenate([rare, s[often][np.argsort(rank[at[often]])]]) if len(rare) < keep else rare
+        return s[:keep]
 
     return rows.mapInArrow(cut, kind)
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """``doc_id, n, shingles`` and the bitmap of each set."""
-    bits = [T.StructField(b, T.LongType()) for b in BITMAP]
-    kind = T.StructType([rows.schema["doc_id"], T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType())), *bits])
+def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, shingles`` of the given documents, and perhaps of others; 48 bits of each hash, in order."""
+    kind = T.StructType([rows.schema["doc_id"], T.StructField("shingles", T.BinaryType())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            schema = pa.schema([batch.schema.field("doc_id"), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), *[(b, pa.int64()) for b in BITMAP]])
-
-            def sets(ids, texts):
-                for doc, text in zip(ids, texts):
-                    s = shingles(text, hashes)
-                    marks = np.zeros(LONGS * 64, np.uint8)
-                    marks[s & (LONGS * 64 - 1)] = 1
-                    yield doc, len(s), s.tolist(), *np.packbits(marks).view(np.int64).tolist()
-
-            yield from in_batches(sets(*columns_of(batch, "doc_id", "text")), schema, 512)
+            schema = pa.schema([batch.schema.field("doc_id"), ("shingles", pa.binary())])
+            docs = zip(*columns_of(batch, "doc_id", "text"))
+            sets = ((doc, packed(np.sort(shingles(text).view(np.uint64) >> np.uint64(16)), 6)) for doc, text in docs)
+            yield from in_batches(sets, schema)
 
-    return rows.mapInArrow(make, kind)
+    return only_ids(rows, ids).mapInArrow(make, kind)
 
 
 def _sizes_fit(n: Column, m: Column) -> Column:
@@ -141,31 +134,30 @@ def _bits_fit(a: str, b: str) -> Column:
     return _differ(a, b) * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link: first by bitmaps, then by exact intersection of the sorted arrays."""
-    light = sets.select("doc_id", F.struct("n", *BITMAP).alias("s"))
-    a, b = (light.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
-    likely = pairs.select("a", "b").join(a, "a").join(b, "b").filter(_sizes_fit(F.col("sa.n"), F.col("sb.n")) & _bits_fit("sa", "sb"))
-    a, b = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in ("a", "b"))
-    full = likely.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "sa", "sb")
+def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that link, by exact intersection of the sorted arrays."""
+    a, b = (
+        _sets(rows, pairs.select(F.col(c).alias("doc_id")).distinct()).select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
+        for c in ("a", "b")
+    )
+    full = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "sa", "sb")
     kind = T.StructType([full.schema["a"], full.schema["b"]])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("sa", "sb"))
-            for i in range(batch.num_rows):
-                one, two = x[i].values.to_numpy(), y[i].values.to_numpy()
+            for one, two in zip(*columns_of(batch, "sa", "sb")):
+                one, two = unpacked(one, 6), unpacked(two, 6)
                 at = np.minimum(np.searchsorted(one, two), len(one) - 1)
                 shared = int((one[at] == two).sum())
                 keep.append(100 * shared >= 80 * (len(one) + len(two) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.mapInArrow(decide, kind)
+    return stored(full.mapInArrow(decide, kind))
 
 
 def shingle_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", usual: int = 1000, most_common: int = 200_000, block: int = 1000, splits: int = 16
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", usual: int = 4000, most_common: int = 200_000, block: int = 1000, splits: int = 16
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
@@ -180,16 +172,17 @@ def shingle_join(
     """
     rows = named(df, id_col, text_col)
     scan = stored(_scan(rows, usual))
-    docs = scan.filter("token IS NULL").select("doc_id", "n", "set_key")
+    docs = scan.filter("token IS NULL").drop("token")
     common = scan.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c"))
     common = common.orderBy(F.desc("c"), "token").limit(most_common).toPandas()
     classes = docs.filter("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
     own = stored(join_groups(docs, classes.select("set_key", "n", "first"), ["set_key", "n"], splits))
-    own = own.select("doc_id", "n", F.coalesce("first", "doc_id").alias("class"))
+    own = own.withColumn("class", F.coalesce("first", "doc_id"))
+    light = own.filter("doc_id = class").select(F.col("doc_id").alias("id"), F.struct("n", *BITMAP).alias("s")).dropDuplicates(["id"])
 
     prefixes = _prefixes(rows, common["token"].to_numpy(np.int64)[::-1].copy())
     prefixes = prefixes.join(own.filter("doc_id <> class").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    tokens = prefixes.select(F.col("doc_id").alias("id"), "n", F.explode("tokens").alias("token"))
+    tokens = prefixes.select(F.col("doc_id").alias("id"), F.explode("tokens").alias("token"))
     hot = common[common["c"] > block]
     if len(hot):
         schema = "token bigint, parts int"
@@ -199,25 +192,24 @@ def shingle_join(
         tokens = tokens.withColumn("parts", F.lit(None).cast("int"))
     tokens = tokens.withColumn("part", F.coalesce(F.pmod(F.hash("id"), F.col("parts")), F.lit(0)))
     group = Window.partitionBy("token", "part")
-    met = tokens.withColumn("lead", F.min(F.struct("id", "n")).over(group)).withColumn("c", F.count("*").over(group))
-    met = stored(met.filter("c > 1 OR parts IS NOT NULL").select("token", "id", "n", "lead"))
-
-    wanted = met.select(F.col("id").alias("doc_id")).distinct()
-    sets = stored(_sets(rows.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-    likely = met.filter((F.col("id") != F.col("lead.id")) & _sizes_fit(F.col("n"), F.col("lead.n")))
-    likely = likely.groupBy("id", F.col("lead.id").alias("a")).agg(F.count("*").alias("c"))
-    likely = likely.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    links = stored(_linked(likely, sets))
+    met = tokens.select("token", "id", "part", F.col("parts").isNotNull().alias("hot"))
+    met = met.withColumn("lead", F.min("id").over(group)).withColumn("c", F.count("*").over(group))
+    met = stored(met.filter("c > 1 OR hot").select("token", "id", "lead"))
+
+    likely = met.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    likely = _with_bitmaps(likely, light).filter(_sizes_fit(F.col("sa.n"), F.col("sb.n")) & _bits_fit("sa", "sb"))
+    likely = likely.groupBy("b").agg(F.min_by("a", F.struct(_differ("sa", "sb") / (F.col("sa.n") + F.col("sb.n")), "a")).alias("a"))
+    links = _linked(stored(likely), rows)
     roots = components(links)
 
-    pairs = stored(_cross_pairs(met, sets, roots, block))
-    best = _open(pairs, roots).groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), -F.col("differ") / F.col("sizes")).alias("p"))
-    links = stored(links.unionAll(_linked(best.select("p.a", "p.b"), sets)))
-    roots = components(links)
-    left = stored(_open(pairs, roots).select("a", "b"))
-    if not left.isEmpty():
-        links = links.unionAll(_linked(left, sets))
+    pairs = stored(_cross_pairs(met.select("token", "id"), light, roots, block))
+    if not pairs.isEmpty():
+        best = _open(pairs, roots).groupBy("ra", "rb").agg(F.min_by(F.struct("a", "b"), F.col("differ") / F.col("sizes")).alias("p"))
+        links = links.unionAll(_linked(stored(best.select("p.a", "p.b")), rows))
         roots = components(links)
+        left = stored(_open(pairs, roots).select("a", "b"))
+        if not left.isEmpty():
+            roots = components(links.unionAll(_linked(left, rows)))
     out = own
     if roots is not None:
         grown = roots.select(F.col("id").alias("class"), "root")
@@ -242,16 +234,29 @@ def _open(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return _rooted(pairs, roots, ["a", "b"]).filter("ra <> rb")
 
 
-def _cross_pairs(met: DataFrame, sets: DataFrame, roots: DataFrame | None, block: int) -> DataFrame:
+def _with_bitmaps(pairs: DataFrame, light: DataFrame) -> DataFrame:
+    a, b = (light.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b")
+
+
+def _cross_pairs(met: DataFrame, light: DataFrame, roots: DataFrame | None, block: int) -> DataFrame:
     """``a, b, differ, sizes``: pairs of sets in different components that share a token, fit in size, and pass the bitmaps."""
-    rooted = _rooted(met.select("token", "id"), roots, ["id"])
+    rooted = _rooted(met, roots, ["id"])
     spread = rooted.groupBy("token").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("c"))
     spread = spread.filter("low <> high").select("token", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    band = F.floor(F.log(F.col("n")) / math.log(1.25)).cast("int")
-    members = rooted.join(spread, "token").join(sets.select(F.col("doc_id").alias("id"), F.struct("n", *BITMAP).alias("s"), band.alias("band")), "id")
-    one = members.select("token", F.col("id").alias("a"), F.col("rid").alias("ra"), F.col("s").alias("sa"), F.col("band").alias("tile"), F.pmod(F.hash("id"), F.col("blocks")).alias("part"))
-    two = members.select("token", F.col("id").alias("b"), F.col("rid").alias("rb"), F.col("s").alias("sb"), F.explode(F.array("band", F.col("band") - 1)).alias("tile"), "blocks")
+    members = rooted.join(spread, "token").join(light.select("id", F.col("s.n").alias("n")), "id")
+    members = members.withColumn("band", F.floor(F.log("n") / math.log(1.25)).cast("int"))
+    one = members.select(
+        "token", F.col("id").alias("a"), F.col("rid").alias("ra"), F.col("n").alias("na"), F.col("band").alias("tile"),
+        F.pmod(F.hash("id"), F.col("blocks")).alias("part"),
+    )
+    two = members.select(
+        "token", F.col("id").alias("b"), F.col("rid").alias("rb"), F.col("n").alias("nb"), "blocks",
+        F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"),
+    )
     two = two.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    smaller = (F.col("sa.n") < F.col("sb.n")) | ((F.col("sa.n") == F.col("sb.n")) & (F.col("a") < F.col("b")))
-    near = one.join(two, ["token", "tile", "part"]).filter(smaller & (F.col("ra") != F.col("rb")) & _sizes_fit(F.col("sa.n"), F.col("sb.n")) & _bits_fit("sa", "sb"))
-    return near.select("a", "b", _differ("sa", "sb").alias("differ"), (F.col("sa.n") + F.col("sb.n")).alias("sizes")).distinct()
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    apart = smaller & (F.col("ra") != F.col("rb")) & _sizes_fit(F.col("na"), F.col("nb"))
+    near = one.join(two, ["token", "tile", "part"]).filter(apart).select("a", "b").distinct()
+    near = _with_bitmaps(near, light).filter(_bits_fit("sa", "sb"))
+    return near.select("a", "b", _differ("sa", "sb").alias("differ"), (F.col("sa.n") + F.col("sb.n")).alias("sizes"))

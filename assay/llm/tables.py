@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assay.operators.common import materialize
+from assay.llm.wordhash import BitFilter, segment_of
+from assay.session import scratch_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -20,7 +23,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared scratch folder: evaluated once, cut from their lineage, safe from lost executors."""
-    return materialize(df)
+    path = scratch_dir(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,6 +59,41 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], splits: int
     return dealt.join(renamed, on, "left").drop("part", "g_part", *[f"g_{k}" for k in keys])
 
 
+def id_filter(ids: DataFrame, bits: int = 26, part_bits: int = 8) -> BitFilter:
+    """A filter of fixed size that every ``doc_id`` of the table passes by its ``xxhash64``; few others do while it is not full."""
+    key = F.xxhash64("doc_id")
+    slots = ids.select(F.shiftrightunsigned(key, 64 - part_bits).cast("int").alias("part"), F.shiftrightunsigned(key, 64 - bits).alias("slot")).distinct()
+
+    def mark(table: pa.Table) -> pa.Table:
+        rest = table.column("slot").to_numpy().astype(np.uint64) & np.uint64((1 << (bits - part_bits)) - 1)
+        segment = segment_of(rest, bits - part_bits, bits - part_bits)
+        return pa.table({"part": table.column("part")[:1], "segment": pa.array([segment], pa.binary())})
+
+    found = BitFilter(bits)
+    for row in slots.groupBy("part").applyInArrow(mark, "part int, segment binary").toLocalIterator():
+        found.put_part(row["part"], part_bits, row["segment"])
+    return found
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, few: int = 200_000) -> DataFrame:
+    """The rows of the given ``doc_id``s, and perhaps others, without shuffling the rows.
+
+    Up to ``few`` ids are broadcast, counted before. Beyond, a filter of fixed size goes with the scan, which lets the
+    rows of other ids pass too where it is crowded; callers join by id anyway.
+    """
+    if ids.count() <= few:
+        return rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    wanted = rows.sparkSession.sparkContext.broadcast(id_filter(ids))
+    kept = T.StructType([*rows.schema.fields, T.StructField("slot", T.LongType())])
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(batch.schema.get_field_index("slot")).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(wanted.value.passes(slot.view(np.uint64))))
+
+    return rows.withColumn("slot", F.xxhash64("doc_id")).mapInArrow(pick, kept).drop("slot")
+
+
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 

@@ -2,34 +2,68 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import xxhash
 
 # An odd multiplier for rolling sums and the two of a 64-bit finalizer. Fixed values.
 ROLL, MIX, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX2)
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(base: int, n: int, known: dict[int, np.ndarray]) -> np.ndarray:
+    """base**0 to base**n modulo 2**64, remembered by doubling."""
+    if len(known.get(base, ())) <= n:
+        steps = np.full(max(2 * n, 1 << 16), base, np.uint64)
+        steps[0] = 1
+        known[base] = np.cumprod(steps, dtype=np.uint64)
+    return known[base]
+
+
+_POWERS: dict[int, np.ndarray] = {}
+_BACK = pow(ROLL, -1, 1 << 64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(ROLL))
+_LOWER_VALUE = _VALUE.copy()
+_LOWER_VALUE[65:91] = _VALUE[97:123]
+_VALUE[_SPACE] = _LOWER_VALUE[_SPACE] = 0
+_BREAK = re.compile(rb"[ \t-\r]")
+CHUNK = 1 << 22
+
+
+def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
+    """64-bit hashes of the words of a text in UTF-8: runs of bytes other than ASCII white space, as ``bytes.split`` cuts them.
+
+    A word is the polynomial of its bytes' random values, taken from running sums over the whole text. ``lower`` counts
+    A to Z as a to z. Long texts are taken in chunks that end at white space.
+    """
+    if len(data) > CHUNK and (end := _BREAK.search(data, CHUNK)):
+        parts, at = [], 0
+        while end:
+            parts.append(word_hashes(data[at : end.start()], lower))
+            at = end.end()
+            end = _BREAK.search(data, at + CHUNK) if at + CHUNK < len(data) else None
+        return np.concatenate([*parts, word_hashes(data[at:], lower)])
+    raw = np.frombuffer(data, np.uint8)
+    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    n = len(raw)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum((_LOWER_VALUE if lower else _VALUE)[raw] * _powers(ROLL, n, _POWERS)[:n], out=sums[1:])
+    value = (sums[ends] - sums[starts]) * _powers(_BACK, n, _POWERS)[starts]
+    return mixed(value + (ends - starts).astype(np.uint64))
+
+
 def rolled(h: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all runs of ``width`` words; as long as ``h``, with zeros where no run starts."""
     out = np.zeros(len(h), np.uint64)
@@ -78,9 +112,6 @@ class BitFilter:
         size = 1 << (self.bits - part_bits - 3)
         self.map[part * size : (part + 1) * size] |= np.frombuffer(segment, np.uint8)
 
-    def __contains__(self, keys) -> bool:
-        raise TypeError("use passes")
-
     def passes(self, keys: np.ndarray) -> np.ndarray:
         slot = keys >> np.uint64(64 - self.bits)
         return (self.map[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
