@@ -78,6 +78,21 @@ def _scan(rows: DataFrame, usual: int) -> DataFrame:
     return rows.mapInArrow(scan, kind)
 
 
+def _ranked(common: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` tokens and their counts, rarest first. Counts fall into eighths of an octave; whole ones are taken."""
+    size = F.floor(F.log2("c") * 8).cast("int").alias("size")
+    cut, total = 1 << 30, 0
+    for row in common.groupBy(size).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():  # some hundred sizes
+        total += row["n"]
+        if total > most:
+            break
+        cut = row["size"]
+    kept = common.filter(size >= cut).toArrow()
+    token, c = (kept.column(x).to_numpy().astype(np.int64) for x in ("token", "c"))
+    order = np.lexsort((token, c))
+    return token[order], c[order]
+
+
 def _prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
     """``doc_id, tokens``: the rarest tokens of each set. ``common`` lists frequent tokens, rarest first."""
     order = np.argsort(common, kind="stable")
@@ -157,7 +172,7 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def shingle_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", usual: int = 4000, most_common: int = 200_000, block: int = 1000, splits: int = 16
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", usual: int = 4000, most_common: int = 1_000_000, block: int = 1000, splits: int = 16
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
@@ -174,19 +189,19 @@ def shingle_join(
     scan = stored(_scan(rows, usual))
     docs = scan.filter("token IS NULL").drop("token")
     common = scan.filter("token IS NOT NULL").groupBy("token").agg(F.sum("n").alias("c"))
-    common = common.orderBy(F.desc("c"), "token").limit(most_common).toPandas()
+    common = _ranked(common, most_common)
     classes = docs.filter("n > 0").groupBy("set_key", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1")
     own = stored(join_groups(docs, classes.select("set_key", "n", "first"), ["set_key", "n"], splits))
     own = own.withColumn("class", F.coalesce("first", "doc_id"))
     light = own.filter("doc_id = class").select(F.col("doc_id").alias("id"), F.struct("n", *BITMAP).alias("s")).dropDuplicates(["id"])
 
-    prefixes = _prefixes(rows, common["token"].to_numpy(np.int64)[::-1].copy())
+    prefixes = _prefixes(rows, common[0])
     prefixes = prefixes.join(own.filter("doc_id <> class").select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
     tokens = prefixes.select(F.col("doc_id").alias("id"), F.explode("tokens").alias("token"))
-    hot = common[common["c"] > block]
-    if len(hot):
+    hot = [(int(t), math.ceil(c / block)) for t, c in zip(*common) if c > block]
+    if hot:
         schema = "token bigint, parts int"
-        known = df.sparkSession.createDataFrame([(int(t), math.ceil(c / block)) for t, c in zip(hot["token"], hot["c"])], schema)
+        known = df.sparkSession.createDataFrame(hot, schema)
         tokens = tokens.join(F.broadcast(known), "token", "left")  # at most ``most_common`` rows
     else:
         tokens = tokens.withColumn("parts", F.lit(None).cast("int"))
