@@ -1,28 +1,38 @@
 """Quality classifier by co-training on two views of a document: its text and its page metadata.
 
-Each view has a logistic classifier. In every round each classifier labels the unlabelled pool, and the labels it is
-sure of, by its calibrated probability, go to the training set of the other one. At the end both views are
+Each view has a logistic classifier. In every round each classifier labels all unlabelled documents, and the labels it
+is sure of, by its calibrated probability, go to the training set of the other one. At the end both views are
 calibrated on held-out labels, a logistic model combines them, and all documents are scored in one scan.
+
+Nothing is drawn: features of all documents are stored once, and every Newton step is a pass over them that adds up
+gradients and Hessians on the executors. The driver sees sums alone, whose size does not depend on the input.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from assay.llm.tables import columns_of, stored
+
 SIGNS = re.compile(r"[^\w\s.,;:!?'\"()-]")
 LANGS, SOURCES = 16, 64
 #: The struct that scoring adds to the columns of a table.
 VERDICT = "quality_verdict__"
+VIEWS = {"text": "meta", "meta": "text"}  # each view and the one that it labels documents for
+MOST_SUMS = 64  # rows of sums that go to the driver in one pass
 
 
 def text_view(text: str | None) -> list[float]:
@@ -61,17 +71,22 @@ def _slot(value, slots: int) -> int:
     return -1 if value is None or value != value else xxhash.xxh64_intdigest(str(value)) % slots
 
 
-def meta_view(lang, source, n_chars) -> list[float]:
-    """Features of the metadata alone: language, source and size; nulls have features of their own."""
-    out = np.zeros(LANGS + SOURCES + 3)
-    if (at := _slot(lang, LANGS)) >= 0:
-        out[at] = 1
-    if (at := _slot(source, SOURCES)) >= 0:
-        out[LANGS + at] = 1
-    known = n_chars is not None and n_chars == n_chars
-    size = np.log1p(max(0.0, float(n_chars))) if known else 0.0
-    out[-3:] = size, size * size / 10, float(not known)
-    return out.tolist()
+def coded(text, lang, source, n_chars) -> list[float]:
+    """A document as numbers: its text view, the slots of language and source, and its size; -1 and nan stand for null."""
+    size = np.log1p(max(0.0, float(n_chars))) if n_chars is not None and n_chars == n_chars else np.nan
+    return [*text_view(text), _slot(lang, LANGS), _slot(source, SOURCES), size]
+
+
+def views_of(codes: np.ndarray) -> dict[str, np.ndarray]:
+    """Both views of coded documents. That of the metadata has language, source and size; nulls have features of their own."""
+    lang, source, size = codes[:, -3:].T
+    meta = np.zeros((len(codes), LANGS + SOURCES + 3))
+    for slot, start in ((lang, 0), (source, LANGS)):
+        at = np.flatnonzero(slot >= 0)
+        meta[at, start + slot[at].astype(int)] = 1
+    known = np.nan_to_num(size)
+    meta[:, -3:] = np.column_stack([known, known * known / 10, np.isnan(size)])
+    return {"text": codes[:, :-3], "meta": meta}
 
 
 @dataclass
@@ -84,43 +99,92 @@ class Linear:
     slope: float = 1.0
     offset: float = 0.0
 
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
+
+    def of_standard(self, z: np.ndarray) -> np.ndarray:
         return self.slope * (z @ self.weights[1:] + self.weights[0]) + self.offset
 
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return self.of_standard(self.standard(x))
+
 
 def _sigmoid(m: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
 
 
-def _newton(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 25) -> np.ndarray:
-    """Ridge logistic regression; the first column is the constant and is not shrunk."""
-    x = np.column_stack([np.ones(len(x)), x])
-    shrink = np.full(x.shape[1], ridge)
-    shrink[0] = 1e-6
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = _sigmoid(x @ w)
-        v = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((x * v[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
-        w = w + np.clip(step, -4, 4)
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
+def _constant(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(x)), x])
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Linear:
-    mean, scale = x.mean(0), x.std(0)
-    scale = np.where(scale < 1e-9, 1.0, scale)
-    return Linear(mean, scale, _newton(np.clip((x - mean) / scale, -8, 8), y, ridge))
+def total(rows: DataFrame, sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """``sums`` of codes and labels (nan where there is none), added up over all rows of ``y, codes``; no rows give None.
 
+    Each task adds up its rows; where there are many tasks, their sums are added up on the executors once more.
+    """
 
-def calibrate(model: Linear, x: np.ndarray, y: np.ndarray) -> Linear:
-    """Platt scaling on held-out rows, with smoothed targets."""
-    ones = y.sum()
-    target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
-    offset, slope = _newton(model.margin(x)[:, None], target, 1e-3)
-    return Linear(model.mean, model.scale, model.weights, float(slope), float(offset))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for batch in batches:
+            (codes,), y = columns_of(batch, "codes"), batch.column(batch.schema.get_field_index("y"))
+            if codes:
+                own = sums(np.frombuffer(b"".join(codes)).reshape(len(codes), -1), y.to_numpy(zero_copy_only=False).astype(float))
+                out = own if out is None else out + own
+        if out is not None:
+            slot = TaskContext.get().partitionId() % MOST_SUMS
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["slot", "sums"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        out = sum(np.frombuffer(b.as_py()) for b in table.column("sums"))
+        return pa.table({"slot": table.column("slot")[:1], "sums": pa.array([out.tobytes()], pa.binary())})
+
+    parts = rows.select("y", "codes").mapInArrow(add, "slot int, sums binary")
+    if rows.rdd.getNumPartitions() > MOST_SUMS:
+        parts = parts.groupBy("slot").applyInArrow(merge, "slot int, sums binary")
+    found = sorted(parts.collect(), key=lambda r: r["slot"])  # at most MOST_SUMS rows
+    return sum(np.frombuffer(r["sums"]) for r in found) if found else None
+
+
+def solve(rows: DataFrame, design: Callable, start: dict[str, np.ndarray], ridge: float, steps: int = 60) -> dict[str, np.ndarray]:
+    """Ridge logistic regressions by Newton steps, several in one pass; the first column is constant and is not shrunk.
+
+    ``design`` makes of codes and labels the features and targets of each regression, ``start`` has first weights.
+    A step that raises the loss is halved.
+    """
+    weights, todo = dict(start), list(start)
+    best: dict[str, tuple] = {}  # weights, loss and the step that was tried from there
+    for _ in range(steps):
+        at = {name: weights[name] for name in todo}
+
+        def sums(codes: np.ndarray, y: np.ndarray) -> np.ndarray:
+            made, out = design(codes, y), []
+            for name, w in at.items():
+                x, target = made[name]
+                m = x @ w
+                p = _sigmoid(m)
+                v = np.maximum(p * (1 - p), 1e-9)
+                out += [[(np.logaddexp(0, m) - target * m).sum()], x.T @ (target - p), ((x * v[:, None]).T @ x).ravel()]
+            return np.concatenate(out)
+
+        got = total(rows, sums)
+        for name, w in at.items():
+            n = len(w)
+            loss, slope, curve, got = got[0], got[1 : n + 1], got[n + 1 : n + 1 + n * n].reshape(n, n), got[n + 1 + n * n :]
+            shrink = np.full(n, ridge)
+            shrink[0] = 1e-6
+            loss = loss + (shrink * w * w).sum() / 2
+            if name in best and not loss <= best[name][1] * (1 + 1e-9) + 1e-9:
+                w, loss, step = best[name]
+                step = step / 2
+            else:
+                step = np.linalg.solve(curve + np.diag(shrink), slope - shrink * w)
+                step *= min(1.0, 4 / max(np.abs(step).max(), 1e-12))
+            best[name], weights[name] = (w, loss, step), w + step
+            if np.abs(step).max() < 1e-4:  # the error left is of the order of its square
+                todo.remove(name)
+        if not todo:
+            break
+    return weights
 
 
 @dataclass
@@ -138,66 +202,94 @@ class CoTrained:
         return _sigmoid(a), _sigmoid(b), _sigmoid(both)
 
 
-def co_train(x: dict, y: np.ndarray, held: np.ndarray, pool: dict, rounds: int = 5, sure: float = 0.95, each: int = 500) -> CoTrained:
-    """``x`` and ``pool`` hold the views ``text`` and ``meta`` of labelled and unlabelled rows; ``held`` marks the
-    labelled rows kept for calibration. In a round a view passes on its ``each`` surest new labels of either class."""
-    train = ~held
-    if min(len(set(y[train])), len(set(y[held]))) < 2:
+def exchanged_labels(z: dict[str, np.ndarray], history: list[dict[str, Linear]], sure: float) -> dict[str, np.ndarray]:
+    """What each view was told of documents by the other one in the rounds so far: 0, 1, or -1 for nothing.
+
+    The first label that is sure counts. It follows from the models of the rounds, so no state of rows is kept.
+    """
+    told = {v: np.full(len(z[v]), -1.0) for v in VIEWS}
+    for models in history:
+        for view, other in VIEWS.items():
+            p = _sigmoid(models[view].of_standard(z[view]))
+            fresh = told[other] < 0
+            told[other][fresh & (p >= sure)] = 1
+            told[other][fresh & (1 - p >= sure)] = 0
+    return told
+
+
+def co_train(known: DataFrame, held: DataFrame, counts: dict, rounds: int = 5, sure: float = 0.95) -> CoTrained:
+    """``known`` and ``held`` have ``y, codes``: all documents but those kept for calibration, and these.
+
+    ``counts`` has the number of rows by (held, label). In a round a view passes on every label that it is sure of.
+    """
+    if not all(counts.get((h, y)) for h in (False, True) for y in (0, 1)):
         return CoTrained(None, None, None)
-    given = {v: np.full(len(pool[v]), -1.0) for v in ("text", "meta")}
-    models: dict[str, Linear] = {}
+    n = sum(c for (h, _), c in counts.items() if not h)
+    flat = lambda f: lambda codes, y: np.concatenate([f(v, x).sum(0) for v, x in views_of(codes).items()])
+    split = lambda a: dict(zip(VIEWS, np.split(a, [len(a) - LANGS - SOURCES - 3])))
+    mean = split(total(known, flat(lambda v, x: x)) / n)
+    scale = split(np.sqrt(total(known, flat(lambda v, x: (x - mean[v]) ** 2)) / n))
+    models = {v: Linear(mean[v], np.where(scale[v] < 1e-9, 1.0, scale[v]), np.zeros(len(mean[v]) + 1)) for v in VIEWS}
+    ones, zeros = counts[True, 1], counts[True, 0]
+    platt = {v: np.array([0.0, 1.0]) for v in VIEWS}
+    history: list[dict[str, Linear]] = []
+    pool = counts.get((False, None), 0)
+
+    def standard(codes: np.ndarray) -> dict[str, np.ndarray]:
+        return {v: models[v].standard(x) for v, x in views_of(codes).items()}
+
+    def told(codes: np.ndarray, y: np.ndarray) -> dict:
+        z = standard(codes)
+        labels, out = exchanged_labels(z, history, sure), {}
+        for v in VIEWS:
+            target = np.where(np.isnan(y), labels[v], y)
+            at = np.flatnonzero(target >= 0)
+            out[v] = _constant(z[v][at]), target[at]
+        return out
+
+    def margins(codes: np.ndarray, y: np.ndarray) -> dict:
+        target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+        return {v: (_constant((z @ models[v].weights[1:] + models[v].weights[0])[:, None]), target) for v, z in standard(codes).items()}
+
+    def both(codes: np.ndarray, y: np.ndarray) -> dict:
+        z = standard(codes)
+        return {"mix": (_constant(np.column_stack([np.clip(models[v].of_standard(z[v]), -12, 12) for v in VIEWS])), y)}
+
     for turn in range(rounds + 1):
-        for view in ("text", "meta"):
-            got = given[view] >= 0
-            rows = np.vstack([x[view][train], pool[view][got]])
-            model = fit_linear(rows, np.concatenate([y[train], given[view][got]]))
-            models[view] = calibrate(model, x[view][held], y[held])
-        if turn == rounds or not len(pool["text"]):
+        weights = solve(known, told, {v: m.weights for v, m in models.items()}, 1.0)
+        models = {v: Linear(m.mean, m.scale, weights[v]) for v, m in models.items()}
+        platt = solve(held, margins, platt, 1e-3)
+        models = {v: Linear(m.mean, m.scale, m.weights, platt[v][1].item(), platt[v][0].item()) for v, m in models.items()}
+        if turn == rounds or not pool:
             break
-        for view, other in (("text", "meta"), ("meta", "text")):
-            p = _sigmoid(models[view].margin(pool[view]))
-            for label, confidence in ((1.0, p), (0.0, 1 - p)):
-                fresh = np.flatnonzero((confidence >= sure) & (given[other] < 0))
-                given[other][fresh[np.argsort(-confidence[fresh], kind="stable")[:each]]] = label
-    margins = np.column_stack([np.clip(models[v].margin(x[v][held]), -12, 12) for v in ("text", "meta")])
-    mix = _newton(margins, y[held], 1e-2)
-    return CoTrained(models["text"], models["meta"], mix, tuple(int((given[v] >= 0).sum()) for v in ("text", "meta")))
+        history = [*history, models]
+    mix = solve(held, both, {"mix": np.zeros(3)}, 1e-2)["mix"]
+    passed = (0, 0)
+    if history:
+        given = lambda codes, y: np.array([(a[np.isnan(y)] >= 0).sum() for a in exchanged_labels(standard(codes), history, sure).values()], float)
+        passed = tuple(int(c) for c in total(known, given))
+    return CoTrained(models["text"], models["meta"], mix, passed)
 
 
-def _views(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([text_view(t) for t in text]), np.array([meta_view(*m) for m in zip(lang, source, n_chars)])
+def train_quality(df: DataFrame, labels: DataFrame, rounds: int = 5, sure: float = 0.95) -> CoTrained:
+    """Co-train on all documents, labelled or not; a quarter of the labelled ids, by hash, is held out for calibration.
 
+    Labels are 0 or 1; others and labels of unknown documents are ignored; of several labels of one document the
+    smallest counts. Documents without an id have no label.
+    """
+    kind = T.StructType([df.schema["doc_id"], T.StructField("codes", T.BinaryType())])
 
-def train_quality(
-    df: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_pool: int = 10_000, rounds: int = 5, sure: float = 0.95
-) -> CoTrained:
-    """Co-train on about ``most_labels`` labelled and ``most_pool`` unlabelled documents, drawn by a hash of the id.
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [np.array(coded(*row)).tobytes() for row in zip(*columns_of(batch, "text", "lang", "source", "n_chars"))]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(codes, pa.binary())], ["doc_id", "codes"])
 
-    These are the bounds of what the driver sees: feature vectors of the drawn rows. Labels are 0 or 1; others and
-    labels of unknown documents are ignored; of several labels of one document the smallest counts.
-    """
-    labels = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("y"))
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    counted, total = labels.count(), df.count()
-    share = min(1.0, most_labels / max(1, counted))
-    pool_share = min(1.0, most_pool / max(1, total - counted))
-    cut, pool_cut = int(share * (1 << 20)), int(pool_share * (1 << 20))
-    drawn = labels.filter(turn < max(cut, pool_cut))
-    rows = df.filter(turn < max(cut, pool_cut)).join(F.broadcast(drawn), "doc_id", "left")  # bounded by the draw
-    rows = rows.filter(F.when(F.col("y").isNotNull(), turn < cut).otherwise(turn < pool_cut))
-
-    @pandas_udf("struct<text: array<double>, meta: array<double>>")
-    def views(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
-        texts, metas = _views(text, lang, source, n_chars)
-        return pd.DataFrame({"text": list(texts), "meta": list(metas)})
-
-    seen = rows.select("doc_id", "y", views("text", "lang", "source", "n_chars").alias("v")).toPandas()
-    seen = seen.assign(key=seen["doc_id"].astype(str)).sort_values("key", kind="stable")
-    known = seen["y"].notna().to_numpy() if len(seen) else np.zeros(0, bool)
-    stack = {v: np.array([r[v] for r in seen["v"]], dtype=float) if len(seen) else np.zeros((0, 1)) for v in ("text", "meta")}
-    y = seen["y"][known].to_numpy(dtype=float)
-    held = np.array([xxhash.xxh64_intdigest(f"held:{k}") % 4 == 0 for k in seen["key"][known]], dtype=bool)
-    return co_train({v: a[known] for v, a in stack.items()}, y, held, {v: a[~known] for v, a in stack.items()}, rounds, sure)
+    labels = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
+    rows = df.mapInArrow(code, kind).join(labels, "doc_id", "left")
+    chosen = F.pmod(F.xxhash64(F.concat(F.lit("held:"), F.col("doc_id").cast("string"))), F.lit(4)) == 0
+    rows = stored(rows.select("y", (F.col("y").isNotNull() & chosen).alias("held"), "codes"))
+    counts = {(r["held"], None if r["y"] is None else int(r["y"])): r["count"] for r in rows.groupBy("held", "y").count().collect()}
+    return co_train(rows.filter("NOT held"), stored(rows.filter("held")), counts, rounds, sure)
 
 
 def quality_score(model: CoTrained) -> Column:
@@ -209,7 +301,8 @@ def quality_score(model: CoTrained) -> Column:
             if model.text is None or not len(text):
                 yield pd.DataFrame({c: [None] * len(text) for c in ("p_text", "p_meta", "score")}, dtype=float)
             else:
-                yield pd.DataFrame(dict(zip(("p_text", "p_meta", "score"), model.scores(*_views(text, lang, source, n_chars)))))
+                views = views_of(np.array([coded(*row) for row in zip(text, lang, source, n_chars)]))
+                yield pd.DataFrame(dict(zip(("p_text", "p_meta", "score"), model.scores(*views.values()))))
 
     return score("text", "lang", "source", "n_chars")
 

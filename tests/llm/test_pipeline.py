@@ -1,7 +1,7 @@
 """The classifier on held-out labels, and the pipeline against its stages done by hand."""
 
 import corpus_pipeline
-from assay.llm.cotraining import VERDICT, score_quality
+from assay.llm.cotraining import VERDICT, score_quality, train_quality
 from tests.llm.fixtures import SCHEMA, frame
 from tests.llm.test_shingles_and_repeats import components_by_force, hits_by_force
 
@@ -49,3 +49,15 @@ def test_pipeline_against_plain_code(spark):
     got = corpus_pipeline.run(spark, SMALL).collect()
     assert {r.doc_id for r in got} == want and all(r.n_tokens == len(r.ids) for r in got)
     assert 0 < len(want) < docs.count()
+
+
+def two_kinds(spark, n):
+    """Documents of two kinds, each with its own sources, and their labels."""
+    text = "CASE WHEN id % 2 = 0 THEN concat('A calm line of words, number ', id, ', and one more.') ELSE concat('$$$ BUY||', id, ' !!! NOW NOW') END"
+    return spark.range(n).selectExpr("id AS doc_id", f"{text} AS text", "'en' AS lang", "concat('s', id % 8) AS source", "40L AS n_chars", "int(id % 2 = 0) AS quality")
+
+
+def test_every_sure_document_of_a_large_pool_is_exchanged(spark):
+    docs = two_kinds(spark, 12_000)
+    model = train_quality(docs.drop("quality"), docs.filter("doc_id < 400").select("doc_id", "quality"))
+    assert model.exchanged == (11_600, 11_600)
