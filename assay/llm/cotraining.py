@@ -285,9 +285,11 @@ def train_quality(df: DataFrame, labels: DataFrame, rounds: int = 5, sure: float
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(codes, pa.binary())], ["doc_id", "codes"])
 
     labels = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
-    rows = df.mapInArrow(code, kind).join(labels, "doc_id", "left")
+    rows = stored(df.mapInArrow(code, kind))
+    unnamed = rows.filter("doc_id IS NULL").withColumn("y", F.lit(None).cast("double"))  # no join, where they would meet in one task
+    rows = rows.filter("doc_id IS NOT NULL").join(labels, "doc_id", "left").unionByName(unnamed)
     chosen = F.pmod(F.xxhash64(F.concat(F.lit("held:"), F.col("doc_id").cast("string"))), F.lit(4)) == 0
-    rows = stored(rows.select("y", (F.col("y").isNotNull() & chosen).alias("held"), "codes"))
+    rows = stored(rows.select("y", F.coalesce(F.col("y").isNotNull() & chosen, F.lit(False)).alias("held"), "codes"))
     counts = {(r["held"], None if r["y"] is None else int(r["y"])): r["count"] for r in rows.groupBy("held", "y").count().collect()}
     return co_train(rows.filter("NOT held"), stored(rows.filter("held")), counts, rounds, sure)
 

@@ -1,5 +1,8 @@
 """The classifier on held-out labels, and the pipeline against its stages done by hand."""
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from assay.llm.cotraining import VERDICT, score_quality, train_quality
 from tests.llm.fixtures import SCHEMA, frame
@@ -61,3 +64,17 @@ def test_every_sure_document_of_a_large_pool_is_exchanged(spark):
     docs = two_kinds(spark, 12_000)
     model = train_quality(docs.drop("quality"), docs.filter("doc_id < 400").select("doc_id", "quality"))
     assert model.exchanged == (11_600, 11_600)
+
+
+def test_fit_collects_and_broadcasts_no_rows(spark, monkeypatch):
+    """As many labels as documents, half of them for other ids, and a third of the documents without an id."""
+    def refuse(*_):
+        raise AssertionError("rows go to the driver")
+
+    monkeypatch.setattr(DataFrame, "toPandas", refuse)
+    monkeypatch.setattr("pyspark.sql.functions.broadcast", refuse)
+    made = two_kinds(spark, 900)
+    docs = made.withColumn("doc_id", F.expr("CASE WHEN doc_id % 3 > 0 OR doc_id < 6 THEN doc_id END"))
+    labels = made.filter("doc_id < 450").select("doc_id", "quality").unionByName(made.filter("doc_id < 450").selectExpr("doc_id + 5000 AS doc_id", "quality"))
+    labelled = docs.join(labels, "doc_id").count()
+    assert min(train_quality(docs.drop("quality"), labels).exchanged) >= 0.99 * (900 - labelled)
