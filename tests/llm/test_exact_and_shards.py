@@ -1,11 +1,14 @@
 """Exact dedup and ring shards on awkward tables."""
 
+import textwrap
+from pathlib import Path
 import hashlib
 import zlib
 from collections import defaultdict
 
 from assay.llm.exact_dedup import exact_dedup
-from assay.llm.licences import KNOWN, scan_licences
+from assay.llm import licences
+from assay.llm.licences import _SHORT, KNOWN, scan_licences
 from assay.llm.ring_shards import ring_shards
 from tests.llm.fixtures import SCHEMA, frame, rows
 
@@ -65,3 +68,21 @@ def test_licences_by_canonical_text(spark):
     assert [got[i][0] for i in range(8)] == ["MIT", "MIT", "MIT", None, None, None, None, "all-rights-reserved"]
     assert got[6] == (None, "Apache-2.0,MIT", 2) and got[4] == got[5] == (None, "", 0)
     assert scan_licences(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_published_licence_texts(spark):
+    """Wrapped texts with their titles, owners and rights, as files have them."""
+    wrap = lambda t, w=74: "\n".join(textwrap.wrap(t, w))
+    body = {name: text for name, text in _SHORT}
+    mine = "Copyright (c) 2019, Jane Doe\n"
+    texts = [("ISC", f"ISC License\n\n{mine}\n" + wrap(body["ISC"], w)) for w in range(60, 90, 3)]
+    texts += [("MIT", f"{title}{mine}\n{wrap(body['MIT'])}\n") for title in ("", "The MIT License (MIT)\n\n", "MIT License\n")]
+    texts += [("BSD-3-Clause", f"{mine}All rights reserved.\n\n{wrap(body['BSD-3-Clause'], w)}") for w in (70, 76, 79)]
+    texts += [("BSD-2-Clause", f"BSD 2-Clause License\n\nCopyright Jane Doe\nAll rights reserved.\n\n{wrap(body['BSD-2-Clause'])}")]
+    texts += [("WTFPL", f"        DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\n                Version 2, December 2004\n\nCopyright (C) 2004 Sam Hocevar <sam@hocevar.net>\n\n{wrap(body['WTFPL'], 70)}\n")]
+    texts += [("Unlicense", wrap(body["Unlicense"])), ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\n" + wrap(body["BSL-1.0"]))]
+    here = Path(licences.__file__).parent / "licence_texts"
+    texts += [(name, (here / f"{file}.txt").read_text()) for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"))]
+    made = [(i, t, None, None, 0, 1, "k", "n", "p", 2) for i, (_, t) in enumerate(texts)]
+    got = {r.doc_id: r.licence for r in scan_licences(frame(spark, made)).collect()}
+    assert [(i, got[i]) for i in range(len(texts))] == [(i, name) for i, (name, _) in enumerate(texts)]
