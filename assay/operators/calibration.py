@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay.functions.hashing import pick_index
 from assay.functions.scalars import apply_temperature, clipped_logit, score_linear
-from assay.operators.common import bounded_rows
-from assay.operators.metrics import auroc_avg_rank, brier, ece10, rates
+from assay.operators.common import bounded_rows, materialize
+from assay.operators.isotonic import Isotonic, interpolate, knots_of, pool, training_cells
+from assay.operators.metrics import auroc_avg_rank, ece_bin, rates
 from assay.operators.reports import abstention_report
 from assay.operators.sampling import sweep_pick, threshold_sweep
 
@@ -114,32 +114,56 @@ def batch_score(
     return df.withColumn("p", udf(*[F.col(f) for f in features]))
 
 
-def fit_temperature(df: DataFrame, y: str = "y", p: str = "p") -> float:
-    """Temperature minimizing the log loss of sigmoid(logit / T): one weight without intercept, inverted.
+def fit_temperatures(cells: DataFrame, most: int = 100) -> dict[int, float]:
+    """Temperature of each fit over cells ``fit, p, n, s``: minimizes the log loss of sigmoid(logit / T).
 
-    Equal (score, label) pairs are merged with their count first.
+    Newton steps on 1/T for all fits at once; a step that does not lower the loss is halved. The loss is convex, so a
+    weight at or below zero means that no temperature beats a constant: the result is infinite. The least one is 1e-6.
     """
-    cells = df.groupBy(F.col(p).alias("p"), F.col(y).cast("double").alias("_y")).agg(
-        F.count(F.lit(1)).cast("double").alias("_w")
-    )
-    data = cells.select(array_to_vector(F.array(clipped_logit(F.col("p")))).alias("_x"), "_y", "_w")
-    weight = float(_logistic(data, 0.0, intercept=False).coefficients[0])
-    return max(1.0 / weight, 1e-6) if weight else float("inf")
-
+    logits = cells.select("fit", clipped_logit(F.col("p")).alias("z"), F.col("n").cast("double").alias("n"), F.col("s").cast("double").alias("s")).persist()
+    try:
+        known = [r["fit"] for r in bounded_rows(logits.select("fit").distinct(), 10_000)]
+        weight = dict.fromkeys(known, 1.0)
+        step, loss, moving = dict.fromkeys(known, 0.0), dict.fromkeys(known, math.inf), set(known)
+        for _ in range(most):
+            if not moving:
+                break
+            pairs = [F.lit(v) for k in sorted(moving) for v in (k, weight[k])]
+            b = F.try_element_at(F.create_map(*pairs), F.col("fit"))
+            t = b * F.col("z")
+            q = 1 / (1 + F.exp(-t))
+            soft = F.greatest(t, F.lit(0.0)) + F.log1p(F.exp(-F.abs(t)))
+            sums = logits.where(F.col("fit").isin(*moving)).groupBy("fit").agg(
+                F.sum(F.col("n") * soft - F.col("s") * t).alias("loss"),
+                F.sum((F.col("n") * q - F.col("s")) * F.col("z")).alias("slope"),
+                F.sum(F.col("n") * q * (1 - q) * F.col("z") * F.col("z")).alias("bend"),
+            )
+            for r in bounded_rows(sums, 10_000):
+                k = r["fit"]
+                if r["loss"] > loss[k] * (1 + 1e-12) and abs(step[k]) > 1e-12:
+                    step[k] /= 2
+                    weight[k] -= step[k]
+                    continue
+                loss[k] = r["loss"]
+                step[k] = -r["slope"] / r["bend"] if r["bend"] > 0 else 0.0
+                weight[k] = min(weight[k] + step[k], 1e6)
+                if abs(step[k]) <= 1e-12 * (1 + abs(weight[k])) or weight[k] == 1e6:
+                    moving.discard(k)
+    finally:
+        logits.unpersist()
+    return {k: max(1.0 / w, 1e-6) if w > 0 else math.inf for k, w in weight.items()}
 
-def fit_isotonic(df: DataFrame, y: str = "y", p: str = "p"):
-    """Isotonic fit on score cells: equal scores are merged with their weight first."""
-    cells = df.groupBy(F.col(p).alias("p")).agg(
-        F.avg(F.col(y).cast("double")).alias("_t"), F.count(F.lit(1)).cast("double").alias("_w")
-    )
-    return IsotonicRegression(featuresCol="p", labelCol="_t", weightCol="_w", predictionCol="p_cal").fit(cells)
 
+def fit_temperature(df: DataFrame, y: str = "y", p: str = "p") -> float:
+    """The temperature of one table; equal scores are merged with their counts first. 1.0 without scored rows."""
+    _, cells = training_cells(df, 1, F.lit(0), y, p)
+    return fit_temperatures(cells.where("fit = 1")).get(1, 1.0)
 
-def isotonic_knots(model) -> DataFrame:
-    from pyspark.sql import SparkSession
 
-    rows = [(float(b), float(v)) for b, v in zip(model.boundaries, model.predictions)]
-    return SparkSession.active().createDataFrame(rows, "boundary double, prediction double")
+def fit_isotonic(df: DataFrame, y: str = "y", p: str = "p") -> Isotonic:
+    """Isotonic fit on score cells; the knots stay a table."""
+    _, cells = training_cells(df, 1, F.lit(0), y, p)
+    return Isotonic(materialize(knots_of(pool(cells.where("fit = 1"))).drop("fit")))
 
 
 def _by_case(column: str, values: dict) -> Column:
@@ -150,33 +174,41 @@ def _by_case(column: str, values: dict) -> Column:
     return out
 
 
-def calibration_scores(df: DataFrame, folds: int = 5, seed=0, key: str = "id") -> DataFrame:
-    """(id, fold, y, policy, p) held-out scores of identity, temperature and isotonic."""
-    data = df.select(key, F.col("y").cast("int").alias("y"), "p", fold_of(F.col(key), folds, seed).alias("fold"))
-    kept = data.persist()
-    temperatures, isotonic = {}, []
-    cols = [key, "fold", "y"]
-    try:
-        for k in range(folds):
-            train = kept.where(F.col("fold") != k)
-            temperatures[k] = F.lit(fit_temperature(train))
-            held = fit_isotonic(train).transform(data.where(F.col("fold") == k))
-            isotonic.append(held.select(*cols, F.lit("isotonic").alias("policy"), F.col("p_cal").alias("p")))
-    finally:
-        kept.unpersist()
-    cooled = apply_temperature(F.col("p"), _by_case("fold", temperatures))
+def _policies(held: DataFrame, temperatures: dict[int, float], knots: DataFrame) -> DataFrame:
+    """(policy, fit, p, n, s) with the scores of the three policies in place of p."""
+    cooled = apply_temperature(F.col("p"), _by_case("fit", {k: F.lit(t) for k, t in temperatures.items()}))
     both = F.array(
         F.struct(F.lit("identity").alias("policy"), F.col("p").alias("p")),
         F.struct(F.lit("temperature").alias("policy"), cooled.alias("p")),
     )
-    return reduce(DataFrame.unionByName, isotonic, data.select(*cols, F.inline(both)))
+    flat = held.select("fit", "n", "s", F.inline(both))
+    # both sides come from the same cells, so their scores are equal as text
+    text = F.col("p").cast("string").alias("_k")
+    mapped = interpolate(held.select("fit", "p"), knots).select("fit", text, "p_cal")
+    risen = held.select("fit", text, "n", "s").join(mapped, ["fit", "_k"])
+    return flat.unionByName(risen.select("fit", "n", "s", F.lit("isotonic").alias("policy"), F.col("p_cal").alias("p")))
+
+
+def _judged(cells: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n, n_pos, brier, ece10) of cells p, n, s."""
+    p, n, s = F.col("p"), F.col("n"), F.col("s")
+    bins = cells.groupBy(*by, ece_bin(p).alias("bin")).agg(
+        F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum(n * p).alias("mass"), F.sum(s * F.pow(p - 1, 2) + (n - s) * F.pow(p, 2)).alias("err")
+    )
+    total = F.sum("n")
+    gap = F.sum(F.abs(F.col("mass") - F.col("s"))) / total
+    return bins.groupBy(*by).agg(total.alias("n"), F.sum("s").alias("n_pos"), (F.sum("err") / total).alias("brier"), gap.alias("ece10"))
 
 
 def calibration_cv(df: DataFrame, folds: int = 5, seed=0, key: str = "id") -> DataFrame:
-    """(policy, fold, n, brier, ece10) of the held-out scores, all fits scored by one aggregate."""
-    scores = calibration_scores(df, folds, seed, key)
-    by = ["policy", "fold"]
-    return brier(scores, by).join(ece10(scores, by, guard=0).drop("n"), by)
+    """(policy, fold, n, brier, ece10) of the held-out scores of identity, temperature and isotonic.
+
+    One aggregate of the rows gives the cells of every fold; all fits and figures work on cells.
+    """
+    held, train = training_cells(df, folds, fold_of(F.col(key), folds, seed))
+    train = train.where(F.col("fit") < folds)
+    cells = _policies(held, fit_temperatures(train), knots_of(pool(train)))
+    return _judged(cells.withColumnRenamed("fit", "fold"), ["policy", "fold"]).drop("n_pos")
 
 
 def two_threshold_cv(df: DataFrame, folds: int = 5, seed=0, key: str = "id") -> DataFrame:
@@ -186,21 +218,13 @@ def two_threshold_cv(df: DataFrame, folds: int = 5, seed=0, key: str = "id") ->
 
 def calibration_final(df: DataFrame) -> DataFrame:
     """(policy, temperature, n, brier, ece10, small_sample) with the fits on all rows."""
-    t = fit_temperature(df)
-    iso = fit_isotonic(df)
-    base = df.select("y", "p")
-    scored = base.select("y", "p", F.lit("identity").alias("policy"))
-    scored = scored.unionByName(
-        base.select("y", apply_temperature(F.col("p"), t).alias("p"), F.lit("temperature").alias("policy"))
-    )
-    iso_rows = iso.transform(base).select("y", F.col("p_cal").alias("p"), F.lit("isotonic").alias("policy"))
-    scored = scored.unionByName(iso_rows)
-    by = ["policy"]
-    small = scored.groupBy(*by).agg(
-        ((F.count_if(F.col("y") == 1) < MIN_CLASS) | (F.count_if(F.col("y") == 0) < MIN_CLASS)).alias("small_sample")
-    )
-    out = brier(scored, by).join(ece10(scored, by, guard=0).drop("n"), by).join(small, by)
-    return out.withColumn("temperature", F.when(F.col("policy") == "temperature", F.lit(t)))
+    _, cells = training_cells(df, 1, F.lit(0))
+    cells = cells.where("fit = 1")
+    temperatures = fit_temperatures(cells)
+    out = _judged(_policies(cells, temperatures, knots_of(pool(cells))), ["policy"])
+    small = (F.col("n_pos") < MIN_CLASS) | (F.col("n") - F.col("n_pos") < MIN_CLASS)
+    t = F.when(F.col("policy") == "temperature", F.lit(temperatures.get(1)))
+    return out.select("policy", "n", "brier", "ece10", small.alias("small_sample"), t.cast("double").alias("temperature"))
 
 
 def grouped_cv(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.scalars import THRESHOLD
 from assay.operators.common import ratio
-from assay.operators.ranks import accumulate, cumulative_cells, ordinal_ranks
+from assay.operators.ranks import accumulate, cumulative_cells, ordinal_ranks, scored
 
 # Bin edges as numpy's linspace(0, 1, 11) gives them; 0.3 lies below the fourth edge.
 ECE_EDGES = (
@@ -21,11 +21,6 @@ FPR_TARGETS = (0.005, 0.01, 0.02)
 MIN_PER_SOURCE = 10
 
 
-def scored(df: DataFrame) -> DataFrame:
-    """The rows that count."""
-    return df.where(F.col("p").isNotNull() & F.col("y").isNotNull())
-
-
 def unscored(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, n_rows, n_unscored): how many rows every metric leaves out; groups with none have 0."""
     missing = F.count_if(F.col("p").isNull() | F.col("y").isNull())

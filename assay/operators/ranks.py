@@ -38,10 +38,14 @@ def value_bucket(v: Column) -> Column:
     return F.when(v < 0, -_log_bucket(-v) - 1).otherwise(_log_bucket(v))
 
 
+def scored(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """The rows that count: those with a score and a class."""
+    return df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
+
+
 def score_cells(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
-    """(by, p, n, n_pos): everything the rank metrics need, in one combined shuffle. Unscored rows are left out."""
-    rows = df.where(F.col(p).isNotNull())
-    return rows.groupBy(*by, F.col(p).cast("double").alias("p")).agg(
+    """(by, p, n, n_pos): everything the rank metrics need, in one combined shuffle. Rows without a score or a class are left out."""
+    return scored(df, y, p).groupBy(*by, F.col(p).cast("double").alias("p")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(y).cast("long")).alias("n_pos")
     )
 
@@ -97,7 +101,7 @@ def ordinal_ranks(df: DataFrame, by: list[str], y: str = "y", p: str = "p", key:
     ranked by many tasks; the row-level window never holds more than one such slice. The rows are
     shuffled once, for the ranks inside the slices; the join with the slice counts keeps that partitioning.
     """
-    rows = df.where(F.col(p).isNotNull()).select(
+    rows = scored(df, y, p).select(
         *by,
         F.col(key).alias("id"),
         F.col(y).cast("long").alias("y"),

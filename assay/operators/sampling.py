@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from assay.functions.hashing import hash_hex
 from assay.functions.scalars import THRESHOLD
 from assay.operators.common import group_key, join_keys, materialize
-from assay.operators.ranks import cumulative_cells
+from assay.operators.ranks import cumulative_cells, scored
 
 SLICE_DIGITS = 3
 
@@ -270,7 +270,7 @@ def threshold_sweep(df: DataFrame, by: list[str], steps: int = 201) -> DataFrame
     up = F.when(F.try_element_at(grid, guess + 2) <= F.col("p"), guess + 1).otherwise(guess)
     slot = F.when(F.try_element_at(grid, F.greatest(F.lit(1), up + 1)) > F.col("p"), up - 1).otherwise(up)
     slot = F.least(F.greatest(slot, F.lit(-1)), F.lit(steps - 1))
-    hist = df.groupBy(*by, slot.alias("i")).agg(
+    hist = scored(df).groupBy(*by, slot.alias("i")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("pos")
     )
     # at most steps + 1 entries per group

@@ -251,18 +251,25 @@ whole AS (SELECT * FROM holes WHERE p IS NOT NULL AND y IS NOT NULL),"""
     "unscored_rows",
     metric_sql(
         "source",
-        f"""SELECT u.source, n_rows, n_unscored, rate.n, {', '.join(f'{r(c)} AS {c}' for c in ('ai_recall', 'real_recall', 'brier', 'ece10'))}
+        f"""SELECT u.source, n_rows, n_unscored, rate.n, {', '.join(f'{r(c)} AS {c}' for c in ('ai_recall', 'real_recall', 'brier', 'ece10', 'auroc', 'auprc', 'even'))},
+  {r('recall.a')} AS ai_recall_at_fpr_0_005
 FROM (SELECT source, count(*) AS n_rows, count(*) FILTER (p IS NULL OR y IS NULL) AS n_unscored FROM holes GROUP BY source) u
-JOIN rate USING (source) JOIN means USING (source) JOIN ece USING (source)""",
+JOIN rate USING (source) JOIN means USING (source) JOIN ece USING (source) JOIN curve USING (source) LEFT JOIN recall USING (source)
+JOIN (SELECT source, CASE WHEN sum(y) > 0 AND sum(1 - y) > 0 THEN (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) END AS even
+  FROM (SELECT source, y, rank() OVER (PARTITION BY source ORDER BY p) + (count(*) OVER (PARTITION BY source, p) - 1) / 2 AS rk FROM whole)
+  GROUP BY source) USING (source)""",
         "whole",
         HOLES,
     ),
 )
 def q_unscored(spark, sf):
-    """A fifth of the scores and a seventh of the classes are missing."""
+    """A fifth of the scores and a seventh of the classes are missing; ranks over rows and over cells leave them out."""
     df = scores(spark, sf).withColumn("p", F.when(F.col("id") % 5 != 2, F.col("p"))).withColumn("y", F.when(F.col("id") % 7 != 3, F.col("y")))
-    record = metrics.point_metrics(df, ["source"]).select("source", "n", "ai_recall", "real_recall", "brier", "ece10")
-    return rounded(metrics.unscored(df, ["source"]).join(record, "source"))
+    record = metrics.metrics_full(df, ["source"]).select(
+        "source", "n", "ai_recall", "real_recall", "brier", "ece10", "auroc", "auprc", "ai_recall_at_fpr_0_005"
+    )
+    even = metrics.cell_metrics(df, ["source"]).select("source", F.col("auroc_avg_rank").alias("even"))
+    return rounded(metrics.unscored(df, ["source"]).join(record, "source").join(even, "source"))
 
 
 @query(

@@ -19,6 +19,45 @@ from assay.plans.q_sampling import responses
 FOLD = f"floor({u_sql('0', chr(39) + 'fold' + chr(39), 'id')} * 5)::INT"
 
 
+
+def fits_sql(train: str) -> str:
+    """CTEs after ``train`` (fit, p, n, s): ``cool`` (fit, t) by Newton steps, ``iso`` (fit, p, v) by the max-min formula over all spans."""
+    return f"""{train},
+logits AS (SELECT fit, n, s, ln(greatest(1e-9, least(1 - 1e-9, p)) / (1 - greatest(1e-9, least(1 - 1e-9, p)))) AS z FROM train),
+newton AS (
+  SELECT DISTINCT fit, 0 AS it, 1.0::DOUBLE AS b FROM train
+  UNION ALL
+  SELECT fit, it + 1, b - sum((n * q - s) * z) / sum(n * q * (1 - q) * z * z)
+  FROM (SELECT l.*, it, b, 1 / (1 + exp(-b * z)) AS q FROM newton JOIN logits l USING (fit) WHERE it < 30) GROUP BY fit, it, b),
+cool AS (SELECT fit, 1 / b AS t FROM newton WHERE it = 30),
+run AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(s) OVER w AS cs FROM train WINDOW w AS (PARTITION BY fit ORDER BY p)),
+spans AS (SELECT a.fit, a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM run a JOIN run b ON b.fit = a.fit AND b.i >= a.i),
+tails AS (SELECT fit, j, k AS i, min(m) OVER (PARTITION BY fit, j ORDER BY k DESC) AS low FROM spans),
+iso AS (SELECT run.fit, p, v FROM run JOIN (SELECT fit, i, max(low) AS v FROM tails GROUP BY fit, i) m ON m.fit = run.fit AND m.i = run.i)"""
+
+
+def judged_sql(held: str) -> str:
+    """CTEs after ``held`` (fit, p, n, s): ``judged`` (policy, fit, n, n_pos, brier, ece10) of the three policies."""
+    return f""", {held},
+warm AS (SELECT h.*, a.p AS ap, a.v AS av FROM held h ASOF LEFT JOIN iso a ON a.fit = h.fit AND h.p >= a.p),
+mapped AS (SELECT w.*, c.p AS cp, c.v AS cv FROM warm w ASOF LEFT JOIN iso c ON c.fit = w.fit AND w.p <= c.p),
+judged_rows AS (
+  SELECT 'identity' AS policy, fit, p, n, s FROM held
+  UNION ALL SELECT 'temperature', fit, 1 / (1 + exp(-ln(greatest(1e-9, least(1 - 1e-9, p)) / (1 - greatest(1e-9, least(1 - 1e-9, p)))) / t)), n, s FROM held JOIN cool USING (fit)
+  UNION ALL SELECT 'isotonic', fit, CASE WHEN cp > ap THEN av + (cv - av) * (p - ap) / (cp - ap) ELSE coalesce(av, cv) END, n, s FROM mapped),
+judged_bins AS (SELECT policy, fit, {BIN} AS bin, sum(n) AS n, sum(s) AS s, sum(n * p) AS mass, sum(s * (p - 1) ** 2 + (n - s) * p ** 2) AS err FROM judged_rows GROUP BY ALL),
+judged AS (SELECT policy, fit, sum(n)::BIGINT AS n, sum(s) AS n_pos, sum(err) / sum(n) AS brier, sum(abs(mass - s)) / sum(n) AS ece10 FROM judged_bins GROUP BY ALL)"""
+
+
+def recursive(*names: str, body: str) -> str:
+    return with_ctes(*names, body=body).replace("WITH ", "WITH RECURSIVE ", 1).replace("\n, ", ",\n", 1)
+
+
+ALL_CELLS = ", train AS (SELECT 0 AS fit, p, count(*) AS n, sum(y) AS s FROM scores WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY p)"
+FOLD_CELLS = f""", folded AS (SELECT p, y, {FOLD} AS fold FROM scores WHERE p IS NOT NULL AND y IS NOT NULL),
+train AS (SELECT t.k::INT AS fit, p, count(*) AS n, sum(y) AS s FROM folded, range(5) t(k) WHERE fold <> t.k GROUP BY ALL)"""
+
+
 def embedding_rows(spark, sf):
     """(id, features, y): the upper half of the embedding labels is the positive class."""
     return table(spark, sf, "embeddings").select(
@@ -34,7 +73,7 @@ def q_baseline(spark, sf):
     return rounded(c.fit_logistic_baseline(embedding_rows(spark, sf), names), 5)
 
 
-@query("fit_temperature")
+@query("fit_temperature", recursive("scores", body=f"{fits_sql(ALL_CELLS)} SELECT (SELECT count(*) FROM scores) AS n, {r('t', 4)} AS temperature FROM cool"))
 def q_fit_temperature(spark, sf):
     t = c.fit_temperature(scores(spark, sf))
     return scores(spark, sf).agg(F.count(F.lit(1)).alias("n")).withColumn("temperature", F.round(F.lit(t), 4))
@@ -58,7 +97,15 @@ def q_isotonic(spark, sf):
     return rounded(c.fit_isotonic(df).transform(df.select("id", "p")).select("id", "p_cal"))
 
 
-@query("calibration_cv")
+@query(
+    "calibration_cv",
+    recursive(
+        "scores",
+        body=f"""{fits_sql(FOLD_CELLS)}
+{judged_sql("held AS (SELECT fold AS fit, p, count(*) AS n, sum(y) AS s FROM folded GROUP BY ALL)")}
+SELECT policy, fit AS fold, n, {r('brier')} AS brier, {r('ece10')} AS ece10 FROM judged""",
+    ),
+)
 def q_calibration(spark, sf):
     return rounded(c.calibration_cv(scores(spark, sf)))
 
@@ -92,7 +139,16 @@ def q_two_threshold(spark, sf):
     return rounded(c.two_threshold_cv(scores(spark, sf)))
 
 
-@query("calibration_final")
+@query(
+    "calibration_final",
+    recursive(
+        "scores",
+        body=f"""{fits_sql(ALL_CELLS)}
+{judged_sql("held AS (SELECT * FROM train)")}
+SELECT policy, n, {r('brier')} AS brier, {r('ece10')} AS ece10, n_pos < 100 OR n - n_pos < 100 AS small_sample,
+  CASE WHEN policy = 'temperature' THEN {r('t')} END AS temperature FROM judged JOIN cool USING (fit)""",
+    ),
+)
 def q_calibration_final(spark, sf):
     return rounded(c.calibration_final(scores(spark, sf)))
 
