@@ -77,7 +77,7 @@ def page_images(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     )
 
 
-def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, href) of all anchors; one row per occurrence."""
+def page_links(pages: DataFrame, key: str = "page_id", html: str = "html", keep: list[str] = ()) -> DataFrame:
+    """(key, href) of all anchors and the columns to ``keep``; one row per occurrence."""
     found = F.regexp_extract_all(F.col(html), F.lit(r'<a href="([^"]*)"'), F.lit(1))
-    return pages.select(key, F.explode(found).alias("href"))
+    return pages.select(key, *keep, F.explode(found).alias("href"))

@@ -7,39 +7,47 @@ from pyspark.sql import functions as F
 from assay.functions.hashing import unit_hash
 from assay.operators.prompts import page_links
 from assay.plans.base import query
-from assay.plans.proxies import telemetry, u_sql, with_ctes
+from assay.plans.proxies import table, telemetry, u_sql, with_ctes
 from assay.session import scratch_dir
 from assay.streaming import page_stream as ps
+from assay.streaming import sessions
 
-
-def stream_table(spark, sf: str, name: str):
-    """A table as a file stream; the glob lets the source accept a single file as well as a folder."""
-    path = f"{sf}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+PARTS = 3
+GAP_HOURS, DELAY = 12, "1 HOUR"
+GAP_MS = GAP_HOURS * 3600 * 1000
 
 
 def stream_images(spark, sf):
-    """(session, src, width, height, ts): page links as an image stream; the session is the site's language part."""
-    links = page_links(stream_table(spark, sf, "pages"))
+    """(session, src, width, height, ts): page links as an image stream of several micro-batches.
+
+    A page's event time is that of the event with its number; a session is a language part of the site on one day, so
+    its keys live as long as the day does.
+    """
+    times = table(spark, sf, "events").select(F.col("event_id").alias("page_id"), "ts")
+    pages = table(spark, sf, "pages").select("page_id", "html").join(times, "page_id", "left")
+    pages = pages.withColumn("ts", F.coalesce("ts", F.timestamp_seconds(F.lit(1704067200)).cast(times.schema["ts"].dataType)))
+    feed = ps.ordered_feed(spark, pages.withColumn("ts", F.col("ts").cast("timestamp")), "ts", PARTS, scratch_dir(spark))
+    links = page_links(feed, keep=["ts"])
     k = (F.col("page_id"), F.col("href"))
     return links.select(
-        F.concat(F.lit("s"), (F.col("page_id") % 5).cast("string")).alias("session"),
+        F.concat(F.lit("s"), F.pmod("page_id", F.lit(5)).cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("session"),
         F.col("href").alias("src"),
         F.floor(unit_hash("w", *k) * 2000).cast("int").alias("width"),
         F.floor(unit_hash("h", *k) * 2000).cast("int").alias("height"),
-        F.timestamp_seconds(F.lit(1704067200)).alias("ts"),
+        "ts",
     )
 
 
-_LINKS = "(SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages)"
+_LINKS = """(SELECT page_id, concat('s', page_id % 5, '-', strftime(ts, '%Y-%m-%d')) AS session, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href
+  FROM (SELECT page_id, html, coalesce(ts, TIMESTAMP '2024-01-01') AS ts FROM pages LEFT JOIN events ON event_id = page_id))"""
 
 
 @query(
     "stream_dedup_images",
-    f"SELECT DISTINCT concat('s', page_id % 5) AS session, href AS src FROM {_LINKS}",
+    f"SELECT DISTINCT session, href AS src FROM {_LINKS}",
 )
 def q_dedup(spark, sf):
-    """The event time is the start of the page session, so keys live as long as the session, whatever the page ids are."""
+    """Keys are dropped as the watermark moves on, a day after they came."""
     out = ps.run_available(ps.stream_dedup_images(stream_images(spark, sf), "1 day"), scratch_dir(spark))
     return spark.read.parquet(out).select("session", "src")
 
@@ -52,7 +60,7 @@ _P = u_sql("'p'", "session", "src")
     f"""SELECT session, src, CASE WHEN p >= 0.65 THEN 'ai' WHEN p < 0.35 THEN 'real' WHEN p IS NOT NULL THEN 'uncertain' END AS state,
   CASE WHEN p IS NOT NULL THEN concat(CASE WHEN p >= 0.65 THEN 'AI' WHEN p < 0.35 THEN 'real' ELSE '?' END, ' ', floor(p * 100 + 0.5)::INT, '%') END AS badge
 FROM (SELECT session, src, CASE WHEN {_P} < 0.95 THEN {_P} END AS p, w, h FROM (
-  SELECT page_id, href AS src, concat('s', page_id % 5) AS session, floor({u_sql("'w'", 'page_id', 'href')} * 2000)::INT AS w,
+  SELECT page_id, href AS src, session, floor({u_sql("'w'", 'page_id', 'href')} * 2000)::INT AS w,
          floor({u_sql("'h'", 'page_id', 'href')} * 2000)::INT AS h FROM {_LINKS}))
 WHERE least(w, h) >= 64 AND src <> '' AND NOT (starts_with(src, 'data:') AND length(src) < 800)""",
 )
@@ -64,15 +72,39 @@ def q_score_state(spark, sf):
 
 
 def stream_telemetry(spark, sf):
-    e = stream_table(spark, sf, "events")
-    failed = F.col("event_type") == "error"
-    return e.select(
-        F.col("user_id").cast("string").alias("session"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(failed, "error").otherwise("response").alias("kind"),
-        F.when(failed, F.col("props")).alias("error"),
-        F.col("value").alias("latency_ms"),
-    )
+    """Telemetry as a stream of several micro-batches in the order of event time, so that the watermark moves."""
+    rows = telemetry(spark, sf).select("session", "ts", "kind", "error", "latency_ms")
+    return ps.ordered_feed(spark, rows, "ts", PARTS, scratch_dir(spark))
+
+
+def run_expiring(spark, rows, processor):
+    """The update rows of a processor of session state."""
+    with sessions.expiring_state(spark):
+        out = ps.run_available(sessions.with_state(rows, processor, DELAY), scratch_dir(spark), "update")
+    return spark.read.parquet(out)
+
+
+# visits by gaps of event time; what ended more than the gap before the last watermark has been closed
+VISITS = f"""mark AS (SELECT max(ts) - INTERVAL {DELAY} AS mark FROM telemetry),
+gaps AS (SELECT *, ts > lag(ts) OVER (PARTITION BY session ORDER BY ts) + INTERVAL {GAP_HOURS} HOURS AS far FROM telemetry),
+visited AS (SELECT *, count(*) FILTER (far) OVER (PARTITION BY session ORDER BY ts) AS visit FROM gaps)"""
+
+
+@query(
+    "stream_session_visits",
+    with_ctes(
+        "telemetry",
+        body=f""", {VISITS}
+SELECT session, min(ts) AS started, max(ts) AS ended, count(*) AS infer_calls, count(*) FILTER (kind <> 'error') AS infer_responses,
+  count(*) FILTER (kind = 'error') AS infer_errors, arg_max(error, (ts, error)) FILTER (kind = 'error') AS last_error,
+  max(ts) + INTERVAL {GAP_HOURS} HOURS <= any_value(mark) AS closed
+FROM visited, mark GROUP BY session, visit""",
+    ).replace("\n, ", ",\n", 1),
+)
+def q_visits(spark, sf):
+    """Counters of visits; the state of a visit is gone when the watermark has passed its end by the gap."""
+    visits = run_expiring(spark, stream_telemetry(spark, sf), sessions.Visits(GAP_MS))
+    return ps.latest_per_key(visits, ["session", "started"]).drop("error_at")
 
 
 @query(
@@ -85,8 +117,9 @@ FROM telemetry GROUP BY session""",
     ),
 )
 def q_counters(spark, sf):
-    out = ps.run_available(ps.counters(stream_telemetry(spark, sf), ["session"]), scratch_dir(spark), "update")
-    return ps.latest_per_key(spark.read.parquet(out), ["session"])
+    """Totals of a session over its closed and open visits, so that the stream need not keep them for ever."""
+    visits = run_expiring(spark, stream_telemetry(spark, sf), sessions.Visits(GAP_MS))
+    return sessions.total_counters(ps.latest_per_key(visits, ["session", "started"]))
 
 
 @query(
@@ -109,18 +142,18 @@ def q_latency_window(spark, sf):
     "stream_latency_ring",
     with_ctes(
         "telemetry",
-        body="""SELECT session, count(*)::INT AS n, max(v) FILTER (k = c // 2) AS p50,
+        body=f""", {VISITS.replace("FROM telemetry),\nvisited", "FROM telemetry WHERE latency_ms IS NOT NULL),\nvisited")}
+SELECT session, count(*)::INT AS n, max(v) FILTER (k = c // 2) AS p50,
   max(v) FILTER (k = least(c - 1, floor(c * 0.95::DOUBLE))) AS p95, max(v) AS max
 FROM (SELECT session, v, row_number() OVER (PARTITION BY session ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY session) AS c
-  FROM (SELECT session, latency_ms AS v, row_number() OVER (PARTITION BY session ORDER BY ts DESC) AS j FROM telemetry
-        WHERE latency_ms IS NOT NULL) WHERE j <= 30) GROUP BY session""",
-    ),
+  FROM (SELECT session, latency_ms AS v, row_number() OVER (PARTITION BY session ORDER BY ts DESC) AS j FROM visited
+        QUALIFY visit = max(visit) OVER (PARTITION BY session)) WHERE j <= 30) GROUP BY session""",
+    ).replace("\n, ", ",\n", 1),
 )
 def q_latency_ring(spark, sf):
-    """The same figures from the stateful stream."""
-    rows = stream_telemetry(spark, sf).select("session", "ts", "latency_ms")
-    out = ps.run_available(ps.stream_last_samples(rows), scratch_dir(spark), "update")
-    return ps.latest_per_key(spark.read.parquet(out), ["session"])
+    """The last samples of a session's latest visit, from the stateful stream."""
+    rows = run_expiring(spark, stream_telemetry(spark, sf), sessions.Ring(GAP_MS))
+    return ps.latest_per_key(rows, ["session"])
 
 
 @query(
@@ -139,14 +172,15 @@ def q_ready(spark, sf):
     "stream_ready_running",
     with_ctes(
         "telemetry",
-        body="""SELECT session, arg_max(kind, (ts, latency_ms)) AS kind, arg_max(latency_ms, (ts, latency_ms)) AS latency_ms
+        body=f"""SELECT session, arg_max(kind, (ts, latency_ms)) AS kind, arg_max(latency_ms, (ts, latency_ms)) AS latency_ms,
+  max(ts) + INTERVAL {GAP_HOURS} HOURS > (SELECT max(ts) - INTERVAL {DELAY} FROM telemetry) AS live
 FROM telemetry GROUP BY session""",
     ),
 )
 def q_ready_running(spark, sf):
-    """The latest announcement per session, kept by the stream."""
-    rows = ps.ready_state(stream_telemetry(spark, sf), ["kind", "latency_ms"], ["ts", "latency_ms"], ["session"])
-    return ps.latest_per_key(spark.read.parquet(ps.run_available(rows, scratch_dir(spark), "update")), ["session"])
+    """The latest announcement per session, kept by the stream until none has come for the gap."""
+    rows = run_expiring(spark, stream_telemetry(spark, sf), sessions.Ready(GAP_MS))
+    return ps.latest_per_key(rows, ["session"]).drop("ts")
 
 
 @query(
@@ -163,11 +197,42 @@ def q_latency_buckets(spark, sf):
     return ps.latest_per_key(spark.read.parquet(out), ["kind", "start"]).select("kind", "start", "n", "max")
 
 
+PANES = 4
+
+
+@query(
+    "stream_latency_sliding",
+    with_ctes(
+        "telemetry",
+        body=f"""SELECT kind, time_bucket(INTERVAL 1 DAY, ts) - j.k * INTERVAL 1 DAY AS start, count(*) AS n, max(latency_ms) AS max,
+  true AS p50_within, true AS p95_within
+FROM telemetry, range({PANES}) j(k) WHERE latency_ms IS NOT NULL GROUP BY ALL""",
+    ),
+)
+def q_latency_sliding(spark, sf):
+    """Windows of four days that slide by one: sketches of days are merged, and their ranks compared with exact ones."""
+    day = 86400
+    out = ps.run_available(ps.latency_panes(stream_telemetry(spark, sf), ["kind"], "1 day"), scratch_dir(spark), "update")
+    panes = ps.latest_per_key(spark.read.parquet(out), ["kind", "start"])
+    windows = ps.sliding_latency(panes, ["kind"], day, PANES)
+    steps = F.explode(F.sequence(F.lit(0), F.lit(PANES - 1)))
+    rows = telemetry(spark, sf).where("latency_ms IS NOT NULL").select("kind", "latency_ms", F.date_trunc("day", "ts").alias("day"), steps.alias("k"))
+    rows = rows.select("kind", "latency_ms", F.timestamp_seconds(F.unix_seconds("day") - F.col("k") * day).alias("start"))
+
+    def within(q: float, name: str):
+        """The wanted rank lies between the shares of rows below the estimate and up to it, but for the sketch's error."""
+        below, upto = F.count_if(F.col("latency_ms") < F.col(name)), F.count_if(F.col("latency_ms") <= F.col(name))
+        n = F.count(F.lit(1))
+        return ((below / n <= q + ps.RANK_ERROR) & (upto / n >= q - ps.RANK_ERROR)).alias(f"{name}_within")
+
+    return windows.join(rows, ["kind", "start"]).groupBy("kind", "start", "n", "max").agg(within(0.5, "p50"), within(0.95, "p95"))
+
+
 @query(
     "stream_page_pipeline",
     f"""SELECT session, src, CASE WHEN p >= 0.65 THEN 'ai' WHEN p < 0.35 THEN 'real' WHEN p IS NOT NULL THEN 'uncertain' END AS state
 FROM (SELECT DISTINCT session, src, CASE WHEN {_P} < 0.95 THEN {_P} END AS p, floor({u_sql("'w'", 'src')} * 2000)::INT AS w
-  FROM (SELECT href AS src, concat('s', page_id % 5) AS session FROM {_LINKS}))
+  FROM (SELECT href AS src, session FROM {_LINKS}))
 WHERE w >= 64 AND src <> '' AND NOT (starts_with(src, 'data:') AND length(src) < 800)""",
 )
 def q_page_pipeline(spark, sf):

@@ -130,6 +130,44 @@ def stream_last_samples(df: DataFrame, keep: int = KEEP_SAMPLES, serve: int = SE
     )
 
 
+KLL_K = 200
+#: Normalized rank error of a sketch of this size, at 99 % confidence.
+RANK_ERROR = 0.0165
+
+
+def latency_panes(df: DataFrame, by: list[str], pane: str, delay: str = "10 minutes") -> DataFrame:
+    """Per event-time pane: count, maximum and a mergeable quantile sketch of the latencies; late rows are dropped.
+
+    The state of a pane is one sketch of bounded size, whatever the number of rows, combined before the shuffle.
+    """
+    rows = df.withWatermark("ts", delay).where(F.col("latency_ms").isNotNull())
+    return rows.groupBy(F.window("ts", pane).alias("w"), *by).agg(
+        F.count(F.lit(1)).alias("n"), F.max("latency_ms").alias("max"), F.kll_sketch_agg_double("latency_ms", KLL_K).alias("sketch")
+    ).select(*by, F.col("w.start").alias("start"), "n", "max", "sketch")
+
+
+def sliding_latency(panes: DataFrame, by: list[str], pane_seconds: int, per_window: int) -> DataFrame:
+    """Windows of ``per_window`` panes that slide by one: n, max, and p50 and p95 from the merged sketches.
+
+    Rows are not multiplied by the windows, only panes are. A window starts with every pane that it may hold.
+    """
+    steps = F.explode(F.sequence(F.lit(0), F.lit(per_window - 1)))
+    begun = panes.withColumn("_k", steps).withColumn("start", F.timestamp_seconds(F.unix_seconds("start") - F.col("_k") * pane_seconds))
+    merged = begun.groupBy(*by, "start").agg(F.sum("n").alias("n"), F.max("max").alias("max"), F.kll_merge_agg_double("sketch", KLL_K).alias("sketch"))
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{int(q * 100)}")
+    return merged.select(*by, "start", "n", "max", at(0.5), at(0.95))
+
+
+def ordered_feed(spark, df: DataFrame, time: str, parts: int, path: str) -> DataFrame:
+    """A table as a file stream in the order of its event time, one micro-batch a part. Rows without a time are left out."""
+    micros = F.unix_micros(time)
+    ends = df.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()
+    first, span = ends["a"] or 0, (ends["b"] or 0) - (ends["a"] or 0) + 1
+    for k in range(parts):
+        df.where(F.floor((micros - first) * parts / span) == k).coalesce(1).write.parquet(f"{path}/{k:04d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+
+
 def run_available(df: DataFrame, path: str, mode: str = "append") -> str:
     """Process everything available, one folder per micro-batch, and return the output folder.
 
