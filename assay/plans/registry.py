@@ -2,6 +2,7 @@
 
 from assay.plans import (  # noqa: F401
     q_grids,
+    q_groups,
     q_joins,
     q_metrics,
     q_models,
