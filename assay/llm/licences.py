@@ -5,6 +5,7 @@ All on DataFrame functions, and the same steps as SQL text for other engines.
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -228,6 +229,18 @@ def _digested(rows: DataFrame, other: str, text: str) -> DataFrame:
     return rows.select(other, _plain(F.col(text)).alias("plain")).select(other, F.sha2(_canonical(F.col("plain")), 256).alias("digest"))
 
 
+def _may_match(known: list[tuple[str, str]]) -> str:
+    """A pattern that every line with the canonical text of a known one has: its first word, in any spelling.
+
+    Signs in front do not count. A word may also be the beginning of a spelling that the rules change.
+    """
+    first = lambda t: re.search(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|$", t.translate(str.maketrans(UPPER + _QUOTES, LOWER + _PLAIN)))[0]
+    words = {first(text) for _, text in known} | {first(a) for a in SPELLINGS} | {first(b) for b in SPELLINGS.values()} | {"copyright"}
+    if "" in words or not all(w.isascii() for w in words):
+        return ""
+    return rf"^[^A-Za-z0-9]*(?i:{'|'.join(sorted(words))})(?![A-Za-z0-9])"
+
+
 def canonical_sql(text: str) -> str:
     """The same as an expression of DuckDB."""
     plain = f"translate({text}, '{UPPER}{_QUOTES}', '{LOWER}{_PLAIN}')".replace("\"\"''--", "\"\"''''--")
@@ -261,6 +274,8 @@ def scan_licences(df: DataFrame, known: DataFrame | None = None, id_col: str = "
     whole = _digested(rows, "doc_id", "text").join(known, "digest", "left")
     whole = whole.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.min("licence").alias("licence"))
     lines = rows.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    if fixed:
+        lines = lines.filter(F.col("line").rlike(_may_match(KNOWN)))
     lines = _digested(lines, "doc_id", "line").join(known, "digest")
     lines = lines.groupBy("doc_id").agg(
         F.concat_ws(",", F.array_sort(F.collect_set("licence"))).alias("notices"), F.count("*").alias("n_notices")
