@@ -2,7 +2,7 @@
 
 A text is walked with the longest pieces that an Aho-Corasick automaton finds at each position. A piece may follow
 another one only if merging their characters anew gives these two pieces again; otherwise the next shorter prefix
-is tried, and positions from which no way leads to the end are marked in a bitfield so that they are tried once.
+is tried, and positions from which no way leads to the end are marked in a field so that they are tried once.
 """
 
 from __future__ import annotations
@@ -69,6 +69,23 @@ class _Parts(dict):
         return got
 
 
+class _Words(dict):
+    """The same for words of letters behind a single space: such a word is one part, and no pattern is needed to see it."""
+
+    def __init__(self, parts: _Parts):
+        super().__init__()
+        self.parts = parts
+
+    def __missing__(self, word: str) -> tuple[tuple[int, ...], str]:
+        ids = tuple(self.parts.pieces.encode_part(SPACE + word))
+        got = ids, self.parts.pieces._join(ids)
+        if len(word) <= self.parts.longest:
+            if len(self) >= self.parts.remember:
+                self.clear()
+            self[word] = got
+        return got
+
+
 class PieceCodec:
     """Encoder and decoder of one model file. What it remembers is bounded."""
 
@@ -112,6 +129,8 @@ class PieceCodec:
         self.shown = [p.replace(SPACE, " ") if isinstance(p, str) else "" for p in self.piece]
         self.bytes = frozenset(self.byte_id.values())
         self._parts = _Parts(self, remember, longest)
+        self._words = _Words(self._parts)
+        self.plain = self.part.pattern != ".+" and set(map(chr, range(65, 91))) | set(map(chr, range(97, 123))) <= self.letters
         self._pairs: dict[tuple[str, str], bool] = {}
         self._shorter: dict[str, str] = {}
         self.remember = remember
@@ -160,11 +179,11 @@ class PieceCodec:
         for end, n in self.pieces.iter(text):
             if n > longest[end - n + 1]:
                 longest[end - n + 1] = n
-        compatible, open_ends, at, way, last = self.compatible, (1 << (size + 1)) - 1, 0, [], ""
+        compatible, closed, at, way, last = self.compatible, bytearray(size + 1), 0, [], ""
         piece = text[: longest[0]]
         while True:
             end = at + len(piece)
-            if open_ends >> end & 1 and compatible(last, piece):
+            if not closed[end] and compatible(last, piece):
                 way.append(piece)
                 if end == size:
                     return way
@@ -173,7 +192,7 @@ class PieceCodec:
                 continue
             piece = self.shorter(piece)
             while not piece:  # nothing fits from here: close the position and take back the piece before it
-                open_ends &= ~(1 << at)
+                closed[at] = 1
                 if not way:
                     return self.remerge(text)
                 last = way.pop()
@@ -234,8 +253,17 @@ class PieceCodec:
         """Ids of a text, part by part, and the text that they decode to."""
         if not text:
             return [], ""
-        known = self._parts
-        parts = [known[p] for p in self.part.findall(SPACE + text.replace(" ", SPACE))]
+        known, cut = self._parts, self.part.findall
+        words = text.split(" ")
+        if not self.plain or "" in words or SPACE in text:  # runs of marks belong to one part
+            parts = [known[p] for p in cut(SPACE + text.replace(" ", SPACE))]
+        else:
+            letters, parts = self._words, []
+            for word in words:
+                if word.isalpha():
+                    parts.append(letters[word])
+                else:
+                    parts += [known[p] for p in cut(SPACE + word)]
         return [p[0] for p in parts], "".join([p[1] for p in parts])[1:]
 
     def encode(self, text: str) -> list[int]:

@@ -78,3 +78,33 @@ def test_query_digests(spark):
         ids = sp.encode(texts[r.doc_id], num_threads=1)
         want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want
+
+
+def test_long_unbroken_texts_take_time_in_proportion():
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    from assay.llm.piece_codec import PieceCodec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, library = PieceCodec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    text = "ab" * 20_000
+    assert pieces.encode(text) == library.encode(text)
+    begin = time.perf_counter()
+    assert pieces.decode(pieces.encode("ab" * 500_000)) == "ab" * 500_000
+    assert time.perf_counter() - begin < 60
+
+
+def test_words_between_single_spaces_are_encoded_as_whole_texts_are():
+    import public_tokenizers
+    import sentencepiece
+
+    from assay.llm.piece_codec import PieceCodec
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, library = PieceCodec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in ("a b, c\nd (e) 12.5%", " a b", "a b ", "a  b", "a▁ b", "▁a b", "x▁", "é ü 中文 😀", ",a ,b", "a\n\n b", "\t"):
+        assert pieces.encode(text) == library.encode(text), text
+        assert pieces.encode_and_decode(text)[1] == library.decode(library.encode(text)), text
