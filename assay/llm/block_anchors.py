@@ -3,7 +3,7 @@
 Every document is cut into non-overlapping blocks of half a window. Any window of 2b - 1 words holds one whole block
 of b words, so a window that occurs twice has a block that some rolling run of b words elsewhere equals. Blocks are
 indexed and probed with every rolling run; the windows round the blocks that were hit are then matched by a
-hash of all their words, which extends the hits to the maximal exact repeats.
+pair of hashes of all their words, which extends the hits to the maximal exact repeats.
 
 Runs of words travel as packed hashes. Blocks of documents ("flushes") ask the index about their distinct hashes and
 get the repeated ones back, so that a passage shared by a third of all documents is one entry per flush.
@@ -26,6 +26,7 @@ from assay.llm.wordhash import BitFilter, by_part, packed, part_bits, rest_of, r
 
 REST = 30  # bits of a run's hash that travel beside its part; what collides is only a needless candidate
 TWICE = 0xFFFFFFFF
+SECOND, EXTRA = 0x5851F42D4C957F2D, 2  # seed of the second hash of a window, and the bytes of it that travel
 
 
 class _Flush:
@@ -57,11 +58,14 @@ def _flushes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Flush]:
         yield _Flush(held)
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that sorts keys, where each distinct one begins, and how often it occurs."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, np.int64)
+def _distinct(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts keys, or pairs of keys, where each distinct one begins, and how often it occurs."""
+    order = np.argsort(keys, kind="stable") if more is None else np.lexsort((more, keys))
+    other = np.ones(len(keys), bool)
+    other[1:] = np.diff(keys[order]) != 0
+    if more is not None:
+        other[1:] |= np.diff(more[order]) != 0
+    first = np.flatnonzero(other)
     return order, first, np.diff(np.append(first, len(keys)))
 
 
@@ -125,14 +129,15 @@ def _windows(rows: DataFrame, hit: BitFilter, window: int, block: int, most: int
                 marked[anchored] = blocks.passes(rolled(flush.hash, block)[anchored])
                 places = np.flatnonzero(flush.left >= window)
                 places = places[marked[places + -flush.offset[places] % block]]
-                keys = rolled(flush.hash, window)[places]
-                order, first, count = _distinct(keys)
+                keys, more = (rolled(flush.hash, window, seed)[places] for seed in (0, SECOND))
+                more &= np.uint64((1 << 8 * EXTRA) - 1)
+                order, first, count = _distinct(keys, more)
                 known = np.zeros(len(places), bool)
                 known[order] = np.repeat(count > 1, count)
                 ref = np.where(count > 1, TWICE, order[first]).astype("<u4")
-                keys = keys[order[first]]
+                keys, more = keys[order[first]], more[order[first]]
                 for part, own in by_part(keys, bits):
-                    asked = packed(keys[own], 7) + ref[own].tobytes()
+                    asked = packed(keys[own], 7) + packed(more[own], EXTRA) + ref[own].tobytes()
                     yield name, part, asked, None, None, None, None, None, None, None
                 ends = np.searchsorted(places, np.append(flush.start, len(flush.hash)))
                 for i, (doc, text, data, words) in enumerate(flush.docs):
@@ -154,10 +159,11 @@ def _answers(asked: DataFrame) -> DataFrame:
 
     def match(table: pa.Table) -> pa.Table:
         blobs = [b.as_py() for b in table.column("asked")]
-        sizes = np.array([len(b) // 11 for b in blobs])
+        sizes = np.array([len(b) // (11 + EXTRA) for b in blobs])
         keys = np.concatenate([unpacked(b[: 7 * n], 7) for b, n in zip(blobs, sizes)])
-        refs = np.concatenate([np.frombuffer(b[7 * n :], "<u4") for b, n in zip(blobs, sizes)])
-        order, first, count = _distinct(keys)
+        more = np.concatenate([unpacked(b[7 * n : (7 + EXTRA) * n], EXTRA) for b, n in zip(blobs, sizes)])
+        refs = np.concatenate([np.frombuffer(b[(7 + EXTRA) * n :], "<u4") for b, n in zip(blobs, sizes)])
+        order, first, count = _distinct(keys, more)
         often = count + np.maximum.reduceat((refs[order] == TWICE).astype(np.int64), first) > 1
         repeated = np.zeros(len(keys), bool)
         repeated[order] = np.repeat(often, count)
@@ -214,7 +220,7 @@ def drop_repeats(
     texts have no words; documents shorter than a window lose none. Rows without an id are left out; a row that repeats
     another one is a repeat like any other, so that both lose all their windows.
 
-    Two windows are equal if the 64-bit hashes of their words are. ``flush_words`` bounds what a task holds, or one
+    Two windows are equal if two independent hashes of their words are, 64 and 16 bits. ``flush_words`` bounds what a task holds, or one
     document if that is longer. The filter of repeated blocks has 2**``filter_bits`` bits at any input size: if it fills
     up, more windows are looked up, with the same result.
     """

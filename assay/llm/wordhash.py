@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 # An odd multiplier for rolling sums and the two of a 64-bit finalizer. Fixed values.
 ROLL, MIX, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -17,23 +18,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: int, n: int, known: dict[int, np.ndarray]) -> np.ndarray:
-    """base**0 to base**n modulo 2**64, remembered by doubling."""
-    if len(known.get(base, ())) <= n:
-        steps = np.full(max(2 * n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        known[base] = np.cumprod(steps, dtype=np.uint64)
-    return known[base]
-
-
-_POWERS: dict[int, np.ndarray] = {}
-_BACK = pow(ROLL, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(ROLL))
-_LOWER_VALUE = _VALUE.copy()
-_LOWER_VALUE[65:91] = _VALUE[97:123]
-_VALUE[_SPACE] = _LOWER_VALUE[_SPACE] = 0
 _BREAK = re.compile(rb"[ \t-\r]")
 CHUNK = 1 << 22
 
@@ -41,8 +25,7 @@ CHUNK = 1 << 22
 def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
     """64-bit hashes of the words of a text in UTF-8: runs of bytes other than ASCII white space, as ``bytes.split`` cuts them.
 
-    A word is the polynomial of its bytes' random values, taken from running sums over the whole text. ``lower`` counts
-    A to Z as a to z. Long texts are taken in chunks that end at white space.
+    XXH3 of each word's bytes; ``lower`` counts A to Z as a to z. Long texts are taken in chunks that end at white space.
     """
     if len(data) > CHUNK and (end := _BREAK.search(data, CHUNK)):
         parts, at = [], 0
@@ -51,29 +34,31 @@ def word_hashes(data: bytes, lower: bool = False) -> np.ndarray:
             at = end.end()
             end = _BREAK.search(data, at + CHUNK) if at + CHUNK < len(data) else None
         return np.concatenate([*parts, word_hashes(data[at:], lower)])
-    raw = np.frombuffer(data, np.uint8)
-    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    n = len(raw)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER_VALUE if lower else _VALUE)[raw] * _powers(ROLL, n, _POWERS)[:n], out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _powers(_BACK, n, _POWERS)[starts]
-    return mixed(value + (ends - starts).astype(np.uint64))
-
-
-def rolled(h: np.ndarray, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` words; as long as ``h``, with zeros where no run starts."""
+    words = (data.lower() if lower else data).split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def rolled(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all runs of ``width`` words; as long as ``h``, with zeros where no run starts.
+
+    Runs of 1, 2, 4, ... words are joined to the width. Every joint is mixed, so that no sum over a run can cancel out;
+    different seeds give independent hashes of the same run.
+    """
     out = np.zeros(len(h), np.uint64)
     size = len(h) - width + 1
-    if size > 0:
-        total = np.zeros(size, np.uint64)
-        for i in range(width):
-            total = total * np.uint64(ROLL) + h[i : i + size]
-        out[:size] = mixed(total)
-    return out
+    if size <= 0:
+        return out
+    power, step, done, run = mixed(h ^ np.uint64(seed)), 1, 0, None
+    while True:
+        if width & step:
+            part = power[done : done + size]
+            run = part if run is None else mixed(run * np.uint64(ROLL) + part)
+            done += step
+            if done == width:
+                out[:size] = run
+                return out
+        power = mixed(power[:-step] * np.uint64(ROLL) + power[step:])
+        step *= 2
 
 
 def by_part(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
