@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from assay.llm.components import components
 from assay.llm.tables import columns_of, in_batches, join_groups, named, only_ids, stored
-from assay.llm.wordhash import mixed, packed, rolled, unpacked, word_hashes
+from assay.llm.wordhash import mixed, rolled, word_hashes
 
 WORDS = 5
 LONGS = 8  # of the bitmap: 512 bits
@@ -123,14 +123,14 @@ def _prefixes(rows: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id, shingles`` of the given documents, and perhaps of others; 48 bits of each hash, in order."""
+    """``doc_id, shingles`` of the given documents, and perhaps of others; the whole hashes, in order."""
     kind = T.StructType([rows.schema["doc_id"], T.StructField("shingles", T.BinaryType())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             schema = pa.schema([batch.schema.field("doc_id"), ("shingles", pa.binary())])
             docs = zip(*columns_of(batch, "doc_id", "text"))
-            sets = ((doc, packed(np.sort(shingles(text).view(np.uint64) >> np.uint64(16)), 6)) for doc, text in docs)
+            sets = ((doc, shingles(text).tobytes()) for doc, text in docs)
             yield from in_batches(sets, schema)
 
     return only_ids(rows, ids).mapInArrow(make, kind)
@@ -162,7 +162,7 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         for batch in batches:
             keep = []
             for one, two in zip(*columns_of(batch, "sa", "sb")):
-                one, two = unpacked(one, 6), unpacked(two, 6)
+                one, two = np.frombuffer(one, np.int64), np.frombuffer(two, np.int64)
                 at = np.minimum(np.searchsorted(one, two), len(one) - 1)
                 shared = int((one[at] == two).sum())
                 keep.append(100 * shared >= 80 * (len(one) + len(two) - shared))
@@ -172,7 +172,7 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def shingle_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", usual: int = 4000, most_common: int = 1_000_000, block: int = 1000, splits: int = 16
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", usual: int = 4000, most_common: int = 1_000_000, block: int = 1000, splits: int = 16, tile: int = 8000
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
@@ -183,7 +183,8 @@ def shingle_join(
 
     Tokens that one in ``usual`` documents of some batch has are ranked by their count over all batches, and the
     ``most_common`` of them at most go last in every prefix; this only sets the order in which sets are compared, and
-    any order gives the same links. Sets of one token beyond ``block`` are dealt to tiles of that size.
+    any order gives the same links. Sets of one token beyond ``block`` are dealt to parts of that size to find leads, and
+    beyond ``tile`` to tiles where they are compared; a set goes to each tile of its token.
     """
     rows = named(df, id_col, text_col)
     scan = stored(_scan(rows, usual))
@@ -211,13 +212,14 @@ def shingle_join(
     met = met.withColumn("lead", F.min("id").over(group)).withColumn("c", F.count("*").over(group))
     met = stored(met.filter("c > 1 OR hot").select("token", "id", "lead"))
 
-    likely = met.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    # of the leads that a set met, the one with which it shares most tokens
+    likely = met.filter("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"))
+    likely = likely.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     likely = _with_bitmaps(likely, light).filter(_sizes_fit(F.col("sa.n"), F.col("sb.n")) & _bits_fit("sa", "sb"))
-    likely = likely.groupBy("b").agg(F.min_by("a", F.struct(_differ("sa", "sb") / (F.col("sa.n") + F.col("sb.n")), "a")).alias("a"))
-    links = _linked(stored(likely), rows)
+    links = _linked(stored(likely.select("a", "b")), rows)
     roots = components(links)
 
-    pairs = stored(_cross_pairs(met.select("token", "id"), light, roots, block))
+    pairs = stored(_cross_pairs(met.select("token", "id"), light, roots, tile))
     if not pairs.isEmpty():
         best = _open(pairs, roots).groupBy("ra", "rb").agg(F.min_by(F.struct("a", "b"), F.col("differ") / F.col("sizes")).alias("p"))
         links = links.unionAll(_linked(stored(best.select("p.a", "p.b")), rows))
@@ -254,24 +256,25 @@ def _with_bitmaps(pairs: DataFrame, light: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b")
 
 
-def _cross_pairs(met: DataFrame, light: DataFrame, roots: DataFrame | None, block: int) -> DataFrame:
+def _cross_pairs(met: DataFrame, light: DataFrame, roots: DataFrame | None, tile: int) -> DataFrame:
     """``a, b, differ, sizes``: pairs of sets in different components that share a token, fit in size, and pass the bitmaps."""
     rooted = _rooted(met, roots, ["id"])
     spread = rooted.groupBy("token").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("c"))
-    spread = spread.filter("low <> high").select("token", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    members = rooted.join(spread, "token").join(light.select("id", F.col("s.n").alias("n")), "id")
-    members = members.withColumn("band", F.floor(F.log("n") / math.log(1.25)).cast("int"))
+    spread = spread.filter("low <> high").select("token", F.ceil(F.col("c") / tile).cast("int").alias("blocks"))
+    members = rooted.join(spread, "token").join(light, "id")
+    members = members.withColumn("band", F.floor(F.log("s.n") / math.log(1.25)).cast("int"))
     one = members.select(
-        "token", F.col("id").alias("a"), F.col("rid").alias("ra"), F.col("n").alias("na"), F.col("band").alias("tile"),
+        "token", F.col("id").alias("a"), F.col("rid").alias("ra"), F.col("s").alias("sa"), F.col("band").alias("tile"),
         F.pmod(F.hash("id"), F.col("blocks")).alias("part"),
     )
     two = members.select(
-        "token", F.col("id").alias("b"), F.col("rid").alias("rb"), F.col("n").alias("nb"), "blocks",
+        "token", F.col("id").alias("b"), F.col("rid").alias("rb"), F.col("s").alias("sb"), "blocks",
         F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"),
     )
     two = two.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    apart = smaller & (F.col("ra") != F.col("rb")) & _sizes_fit(F.col("na"), F.col("nb"))
-    near = one.join(two, ["token", "tile", "part"]).filter(apart).select("a", "b").distinct()
-    near = _with_bitmaps(near, light).filter(_bits_fit("sa", "sb"))
-    return near.select("a", "b", _differ("sa", "sb").alias("differ"), (F.col("sa.n") + F.col("sb.n")).alias("sizes"))
+    na, nb = F.col("sa.n"), F.col("sb.n")
+    smaller = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
+    # sizes and bitmaps are judged inside the join, so that only pairs that may link come out of a tile
+    apart = smaller & (F.col("ra") != F.col("rb")) & _sizes_fit(na, nb) & _bits_fit("sa", "sb")
+    near = one.join(two, ["token", "tile", "part"]).filter(apart)
+    return near.select("a", "b", _differ("sa", "sb").alias("differ"), (na + nb).alias("sizes")).distinct()

@@ -37,7 +37,7 @@ def components_by_force(made):
 @pytest.mark.parametrize("block", [4, 1000])
 def test_shingle_join(spark, block):
     made = rows(n=40)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join(frame(spark, made), block=block, usual=3).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join(frame(spark, made), block=block, usual=3, tile=block).collect()}
     assert got == components_by_force(made)
 
 
@@ -119,3 +119,36 @@ def test_proximity(spark):
     queries = spark.createDataFrame([("q", ["alpha", "beta", "gamma"]), ("r", ["gamma", "beta"]), ("s", [])], "query string, terms array<string>")
     got = {(r.query, r.doc_id): (r.at, r.width) for r in proximity(index, queries, 6).collect()}
     assert got == {("q", 0): (0, 6), ("q", 1): (0, 3), ("r", 0): (3, 3), ("r", 1): (1, 2), ("r", 2): (10, 2), ("r", 3): (0, 2)}
+
+
+def test_long_words_of_two_letters_are_told_apart(spark):
+    """Words that polynomial hashes modulo 2**64 take for equal link nothing and remove nothing."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    words = [f"w{i}" for i in range(34)]
+    texts = [one, two, " ".join([*words[:17], one, *words[17:]]), " ".join([*words[:17], two, *words[17:]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingle_join(df).collect()} == components_by_force_ids(texts)
+    assert [r.n_removed for r in drop_repeats(df).collect()] == [0, 0, 0, 0]
+
+
+def components_by_force_ids(texts):
+    return {i: c for i, (_, c) in components_by_force(list(enumerate(texts))).items()}
+
+
+def test_many_documents_made_of_a_few_shared_passages(spark):
+    """Every shingle is common: sets share many tokens without being near, and near ones are still all found."""
+    import random
+
+    rng = random.Random(11)
+    passages = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(12)]
+    made = []
+    for i in range(300):
+        parts = rng.sample(passages, rng.randint(2, 5))
+        made.append((i, " ".join(parts)))
+        if i % 3 == 0:
+            made.append((1000 + i, " ".join(parts) + " tail" * (i % 2)))
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
+    for block in (5, 1000):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join(df, block=block, usual=3, tile=block).collect()}
+        assert got == components_by_force(made)
