@@ -4,8 +4,8 @@ Documents with equal shingle sets are one class, and only class representatives
 one of the rarest shingles of each (prefix filter); within a shingle, sets meet in tiles of neighbouring size bands,
 hashed bitmap signatures bound the overlap from above by their bit counts, and what passes is decided by the
 intersection of the sorted arrays. Since the result is components, links inside a component are not all made: every
-set is first compared with the likeliest leader it shares shingles with, and from then on only pairs of sets in
-different components are candidates.
+set is first compared with the likeliest leader it shares shingles with, then components with random leaders, round by
+round, and from then on only pairs of sets in different components are candidates.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from assay.llm.wordhash import mixed, rolled, word_hashes
 
 WORDS = 5
 LONGS = 8  # of the bitmap: 512 bits
+FIRSTS = 16  # lowest tokens of a set that tell whether a pair was made elsewhere
 BITMAP = [f"bits{i}" for i in range(LONGS)]
 
 
@@ -172,7 +173,8 @@ def _linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def shingle_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", usual: int = 4000, most_common: int = 1_000_000, block: int = 1000, splits: int = 16, tile: int = 8000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", usual: int = 4000, most_common: int = 1_000_000, block: int = 1000, splits: int = 16,
+    tile: int = 8000, turns: int = 2,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
@@ -184,7 +186,8 @@ def shingle_join(
     Tokens that one in ``usual`` documents of some batch has are ranked by their count over all batches, and the
     ``most_common`` of them at most go last in every prefix; this only sets the order in which sets are compared, and
     any order gives the same links. Sets of one token beyond ``block`` are dealt to parts of that size to find leads, and
-    beyond ``tile`` to tiles where they are compared; a set goes to each tile of its token.
+    beyond ``tile`` to tiles where they are compared; a set goes to each tile of its token. Before that, at most ``turns``
+    rounds compare components with random leads, which costs one row a set and token; they only save comparisons.
     """
     rows = named(df, id_col, text_col)
     scan = stored(_scan(rows, usual))
@@ -216,17 +219,24 @@ def shingle_join(
     likely = met.filter("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("c"))
     likely = likely.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     likely = _with_bitmaps(likely, light).filter(_sizes_fit(F.col("sa.n"), F.col("sb.n")) & _bits_fit("sa", "sb"))
-    links = _linked(stored(likely.select("a", "b")), rows)
-    roots = components(links)
+    roots = components(_linked(stored(likely.select("a", "b")), rows))
 
+    # components still apart inside a token are compared by random leads until nothing new links, and only then set by set
+    for turn in range(turns):
+        tried = stored(_drawn_pairs(met.select("token", "id"), light, roots, block, turn))
+        if tried.isEmpty():
+            break
+        found = _linked(tried, rows)
+        if found.isEmpty():
+            break
+        roots = _grown(roots, found)
     pairs = stored(_cross_pairs(met.select("token", "id"), light, roots, tile))
     if not pairs.isEmpty():
         best = _open(pairs, roots).groupBy("ra", "rb").agg(F.min_by(F.struct("a", "b"), F.col("differ") / F.col("sizes")).alias("p"))
-        links = links.unionAll(_linked(stored(best.select("p.a", "p.b")), rows))
-        roots = components(links)
+        roots = _grown(roots, _linked(stored(best.select("p.a", "p.b")), rows))
         left = stored(_open(pairs, roots).select("a", "b"))
         if not left.isEmpty():
-            roots = components(links.unionAll(_linked(left, rows)))
+            roots = _grown(roots, _linked(left, rows))
     out = own
     if roots is not None:
         grown = roots.select(F.col("id").alias("class"), "root")
@@ -247,6 +257,16 @@ def _rooted(table: DataFrame, roots: DataFrame | None, ids: list[str]) -> DataFr
     return table
 
 
+def _grown(roots: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The roots after more links: only the roots of the linked ids are joined anew."""
+    more = components(_rooted(links, roots, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    if roots is None or more is None:
+        return roots if more is None else more
+    higher = more.select(F.col("id").alias("root"), F.col("root").alias("next"))
+    moved = roots.join(higher, "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+    return stored(moved.unionAll(more.join(roots.select("id"), "id", "left_anti").select("id", "root")))
+
+
 def _open(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return _rooted(pairs, roots, ["a", "b"]).filter("ra <> rb")
 
@@ -256,19 +276,46 @@ def _with_bitmaps(pairs: DataFrame, light: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b")
 
 
-def _cross_pairs(met: DataFrame, light: DataFrame, roots: DataFrame | None, tile: int) -> DataFrame:
-    """``a, b, differ, sizes``: pairs of sets in different components that share a token, fit in size, and pass the bitmaps."""
+def _apart(met: DataFrame, light: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Sets with their roots and bitmaps, and the number of sets of the token, of tokens that more than one component has."""
     rooted = _rooted(met, roots, ["id"])
     spread = rooted.groupBy("token").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.count("*").alias("c"))
-    spread = spread.filter("low <> high").select("token", F.ceil(F.col("c") / tile).cast("int").alias("blocks"))
-    members = rooted.join(spread, "token").join(light, "id")
-    members = members.withColumn("band", F.floor(F.log("s.n") / math.log(1.25)).cast("int"))
+    spread = spread.filter("low <> high").select("token", "c")
+    return rooted.join(spread, "token").join(light, "id")
+
+
+def _drawn_pairs(met: DataFrame, light: DataFrame, roots: DataFrame | None, block: int, turn: int) -> DataFrame:
+    """``a, b``: for every component the likeliest link to another one, among one random lead a token and part.
+
+    Each set meets as many leads as it has tokens, other ones in every turn. A lead is a combined minimum and its group
+    a part of about ``block`` sets, so that rows grow with the sets and not with their pairs.
+    """
+    members = _apart(met, light, roots)
+    parts = F.ceil(F.col("c") / block).cast("int")
+    members = members.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), parts))
+    lead = F.min(F.struct(F.xxhash64("id", "token", F.lit(turn)).alias("draw"), F.col("id").alias("a"), F.col("rid").alias("ra"), F.col("s").alias("sa")))
+    met = members.withColumn("lead", lead.over(Window.partitionBy("token", "part")))
+    met = met.filter("rid <> lead.ra").select(F.col("lead.a").alias("a"), "lead.ra", "lead.sa", F.col("id").alias("b"), F.col("rid").alias("rb"), F.col("s").alias("sb"))
+    sizes = F.col("sa.n") + F.col("sb.n")
+    near = met.filter(_sizes_fit(F.col("sa.n"), F.col("sb.n")) & _bits_fit("sa", "sb"))
+    near = near.select("a", "b", F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb"), (_differ("sa", "sb") / sizes).alias("far"))
+    best = near.groupBy("ra", "rb").agg(F.min(F.struct("far", "a", "b")).alias("p"))
+    each = best.select(F.explode(F.array("ra", "rb")).alias("root"), "p").groupBy("root").agg(F.min("p").alias("p"))
+    return each.select("p.a", "p.b").distinct()
+
+
+def _cross_pairs(met: DataFrame, light: DataFrame, roots: DataFrame | None, tile: int) -> DataFrame:
+    """``a, b, differ, sizes``: pairs of sets in different components that share a token, fit in size, and pass the bitmaps."""
+    members = _apart(met, light, roots)
+    members = members.withColumn("blocks", F.ceil(F.col("c") / tile).cast("int"))
+    firsts = members.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("token")), 1, FIRSTS).alias("firsts"))
+    members = members.join(firsts, "id").withColumn("band", F.floor(F.log("s.n") / math.log(1.25)).cast("int"))
     one = members.select(
-        "token", F.col("id").alias("a"), F.col("rid").alias("ra"), F.col("s").alias("sa"), F.col("band").alias("tile"),
+        "token", F.col("id").alias("a"), F.col("rid").alias("ra"), F.col("s").alias("sa"), F.col("firsts").alias("fa"), F.col("band").alias("tile"),
         F.pmod(F.hash("id"), F.col("blocks")).alias("part"),
     )
     two = members.select(
-        "token", F.col("id").alias("b"), F.col("rid").alias("rb"), F.col("s").alias("sb"), "blocks",
+        "token", F.col("id").alias("b"), F.col("rid").alias("rb"), F.col("s").alias("sb"), F.col("firsts").alias("fb"), "blocks",
         F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("tile"),
     )
     two = two.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
@@ -276,5 +323,6 @@ def _cross_pairs(met: DataFrame, light: DataFrame, roots: DataFrame | None, tile
     smaller = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
     # sizes and bitmaps are judged inside the join, so that only pairs that may link come out of a tile
     apart = smaller & (F.col("ra") != F.col("rb")) & _sizes_fit(na, nb) & _bits_fit("sa", "sb")
-    near = one.join(two, ["token", "tile", "part"]).filter(apart)
+    # of the tokens that two sets share only the lowest makes the pair, as far as the lowest tokens of both tell
+    near = one.join(two, ["token", "tile", "part"]).filter(apart & ~F.coalesce(F.array_min(F.array_intersect("fa", "fb")) < F.col("token"), F.lit(False)))
     return near.select("a", "b", _differ("sa", "sb").alias("differ"), (na + nb).alias("sizes")).distinct()
