@@ -143,8 +143,3 @@ def badge_text(p: Column) -> Column:
     state = product_state(p)
     word = F.when(state == "ai", "AI").when(state == "real", "real").otherwise("?")
     return F.concat(word, F.lit(" "), round_half_up(p * 100).cast("int").cast("string"), F.lit("%"))
-
-
-def has_exif_marker(content: Column) -> Column:
-    """1.0 when the bytes carry an Exif header."""
-    return (F.instr(F.decode(content, "ISO-8859-1"), "Exif") > 0).cast("double")

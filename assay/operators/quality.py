@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions.containers import inspect
 from assay.functions.provenance import FAMILIES
 
 REQUIRED = ("path", "label", "family", "source", "license")
@@ -44,6 +45,19 @@ def corrupt_or_tiny(listing: DataFrame, decodable: DataFrame, min_bytes: int = M
     return bad.unionByName(tiny.select("path", F.lit("tiny").alias("kind")))
 
 
+def container_audit(files: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """(key, length, container, state, exif) of every file from one walk over its bytes; null content is empty."""
+    found = files.select(key, F.coalesce(F.octet_length(content), F.lit(0)).cast("long").alias("length"), inspect(F.col(content)).alias("_f"))
+    return found.select(key, "length", "_f.*")
+
+
+def damaged_or_tiny(files: DataFrame, key: str = "path", content: str = "content", min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(key, kind) by the bytes themselves: files that are not whole are corrupt, whole small ones tiny. No join, one scan."""
+    audit = container_audit(files, key, content)
+    kind = F.when(F.col("state") != "ok", "corrupt").when(F.col("length") < min_bytes, "tiny")
+    return audit.select(key, kind.alias("kind")).where("kind IS NOT NULL")
+
+
 def duplicate_hash(df: DataFrame, sha: str = "sha256") -> DataFrame:
     """(sha, n) of hashes seen more than once."""
     seen = df.where(F.coalesce(F.col(sha) != "", F.lit(False)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.hashing import hash_hex
-from assay.operators.common import group_key
+from assay.operators.common import group_key, materialize
 
 DEPTH = 60
 SPLITS = 4096
@@ -158,8 +158,8 @@ def order_statistics(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return accumulate(cells, by, ["v"], ["n"], value_bucket(F.col("v")))
 
 
-def row_index(df: DataFrame, key: str, width: int = 65536) -> DataFrame:
-    """Zero-based ``row_idx`` in ascending order of an integer key, and the row count ``n_rows``.
+def _key_ranges(df: DataFrame, key: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with their range ``_a, _b`` of an integer key, and per range its rows ``_n`` and those before it.
 
     Two levels: value buckets, of which there are a bounded number however sparse the keys, and in each of them runs
     of ``width`` consecutive values, which bound a window however dense the keys.
@@ -172,7 +172,37 @@ def row_index(df: DataFrame, key: str, width: int = 65536) -> DataFrame:
         "_a", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("n_rows")
     )
     lower = Window.partitionBy("_a").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = fine.select("_a", "_b", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower")).join(coarse, "_a")
+    lower = F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_lower")
+    offsets = fine.select("_a", "_b", "_n", lower).join(coarse, "_a")
+    return rows, offsets.select("_a", "_b", "_n", (F.col("_before") + F.col("_lower")).alias("_start"), "n_rows")
+
+
+def _ranked_in_ranges(rows: DataFrame, offsets: DataFrame, key: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("_a", "_b").orderBy(key)) - 1
-    out = rows.withColumn("_place", place).join(offsets, ["_a", "_b"])
-    return out.withColumn("row_idx", F.col("_before") + F.col("_lower") + F.col("_place")).drop("_a", "_b", "_place", "_before", "_lower")
+    out = rows.withColumn("_place", place).join(offsets.drop("_n"), ["_a", "_b"])
+    return out.withColumn("row_idx", F.col("_start") + F.col("_place")).drop("_a", "_b", "_place", "_start")
+
+
+def row_index(df: DataFrame, key: str, width: int = 65536) -> DataFrame:
+    """Zero-based ``row_idx`` in ascending order of an integer key, and the row count ``n_rows``."""
+    return _ranked_in_ranges(*_key_ranges(df, key, width), key)
+
+
+def rows_at(df: DataFrame, key: str, k: int, offset: int = 0, width: int = 1024) -> DataFrame:
+    """The rows at positions (offset + i * (n // k)) mod n, i < k, in ascending order of an integer key.
+
+    The rows of each key range are counted first; only ranges that hold a wanted position, at most ``k`` of them, are
+    read again and ranked. With fewer than k rows every row is taken. Rows without a key take no part; rows that share a
+    key stand in no particular order.
+    """
+    rows, offsets = _key_ranges(df.where(F.col(key).isNotNull()), key, width)
+    n, size = F.col("n_rows"), F.col("_n")
+    step = F.greatest(F.lit(1), F.floor(n / k))
+    back = F.pmod(F.col("_start") - F.lit(offset), n)
+    turn = F.ceil(back / step)
+    # wanted rows lie at whole steps behind the offset; a range that passes the offset holds the first of them
+    holds = ((turn < k) & (turn * step - back < size)) | (back + size > n)
+    wanted = materialize(offsets.where(holds))
+    found = _ranked_in_ranges(rows.join(wanted.select("_a", "_b"), ["_a", "_b"], "left_semi"), wanted, key)
+    back = F.pmod(F.col("row_idx") - F.lit(offset), n)
+    return found.where((back % step == 0) & (back / step < k)).drop("row_idx", "n_rows")

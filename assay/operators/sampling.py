@@ -7,6 +7,7 @@ holds the cut is ranked. A group with a third of all rows therefore never meets
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from assay.operators.common import group_key, join_keys, materialize
 from assay.operators.ranks import cumulative_cells, scored
 
 SLICE_DIGITS = 3
+SPARE = 6.0  # standard deviations of rows above the wanted number
 
 
 def hash_bands(
@@ -151,17 +153,31 @@ def sample_case(df: DataFrame, by: list[str], label: str = "label") -> DataFrame
 def sample_balanced_epoch(
     df: DataFrame, epochs: int, cap: int = 4000, label: str = "label", key: str = "path", seed=0
 ) -> DataFrame:
-    """k = min(reals, ais, cap) rows of each class per epoch; every epoch has its own hash order."""
-    rows = df.where(F.col(label).isin("ai", "real"))
-    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    rows = rows.withColumn("_ek", F.concat_ws("/", "epoch", key))
+    """k = min(reals, ais, cap) rows of each class per epoch; every epoch has its own hash order.
 
-    def smaller(groups: DataFrame) -> DataFrame:
-        both = Window.partitionBy("epoch")
-        size = F.when(F.count(F.lit(1)).over(both) == 2, F.min("n_group").over(both)).otherwise(0)
-        return groups.withColumn("q0", F.least(size, F.lit(cap)))
-
-    out = hash_bands(rows, ["epoch", label], "_ek", seed, smaller)
+    Class sizes give a threshold on the hash that somewhat more than k rows of an epoch pass. A row goes through one
+    projection that keeps the epochs it may be in, so about epochs * k rows are written, whatever the size of the
+    table, and the exact cut is made among them. Thresholds rise until every epoch has k rows.
+    """
+    rows = df.where(F.col(label).isin("ai", "real") & F.col(key).isNotNull())
+    sizes = dict(rows.groupBy(label).count().collect())  # two classes
+    k = min(sizes["ai"], sizes["real"], cap) if len(sizes) == 2 else 0
+    epoch = F.sequence(F.lit(0), F.lit(epochs - 1))
+    if k == 0:
+        return rows.withColumn("epoch", F.explode(epoch)).where(F.lit(False))
+    enough, tries = False, 0
+    while not enough:
+        spare = SPARE + 10 * tries
+        shares = {c: max(0.0, k + spare * math.sqrt(k) + 4 * spare) * 2**tries / n for c, n in sizes.items()}
+        # "g" comes after every hex digit
+        cuts = {c: f"{int(share * 16**12):012x}" if share < 1 else "g" for c, share in shares.items()}
+        cut = F.when(F.col(label) == "ai", cuts["ai"]).otherwise(cuts["real"])
+        near = F.filter(epoch, lambda e: hash_hex(seed, F.concat_ws("/", e.cast("string"), F.col(key))) < cut)
+        picked = materialize(rows.withColumn("epoch", F.explode(near)))
+        short = picked.groupBy("epoch", label).count().where(F.col("count") >= k).count() < 2 * epochs
+        enough, tries = not short, tries + 1
+    picked = picked.withColumn("_ek", F.concat_ws("/", "epoch", key))
+    out = hash_bands(picked, ["epoch", label], "_ek", seed, [F.lit(k)])
     return out.where("band = 0").drop("band", "n_group", "_ek")
 
 

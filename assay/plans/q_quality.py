@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from assay.functions.hashing import unit_hash
 from assay.functions.provenance import FAMILIES
-from assay.functions.arrays import mean
+from assay.functions.arrays import let, mean
 from assay.operators import joins, quality, sampling
 from assay.plans.base import query
-from assay.plans.proxies import assets, grids, manifest, table, u_sql, with_ctes
+from assay.plans.proxies import assets, big_endian, grids, jpeg_file, manifest, png_file, table, u_sql, with_ctes
 from assay.sources import scans, sinks
 
 U = unit_hash
@@ -81,19 +81,56 @@ def q_missing_file(spark, sf):
     return quality.missing_file(dirty(spark, sf), assets(spark, sf))
 
 
+_FILES = f"""files AS (
+  SELECT doc_id, path, CASE WHEN doc_id % 2 = 0 THEN 'png' ELSE 'jpeg' END AS container,
+    coalesce(strlen(content), 0) + CASE WHEN doc_id % 2 = 0 THEN 69 ELSE 37 END + CASE WHEN doc_id % 3 > 0 THEN 0 WHEN doc_id % 2 = 0 THEN 20 ELSE 18 END AS whole,
+    CASE WHEN {_u('bad')} < 0.02 THEN 'cut' WHEN {_u('bad')} < 0.04 THEN CASE WHEN doc_id % 2 = 0 THEN 'crc' ELSE 'broken' END
+         WHEN {_u('bad')} < 0.05 THEN 'unknown' ELSE 'ok' END AS state
+  FROM assets)"""
+
+
+def files_sql(body: str) -> str:
+    return with_ctes("assets", body="").rstrip() + f", {_FILES} {body}"
+
+
+def files(spark, sf):
+    """(doc_id, path, content): each document as a PNG or JPEG file, one in twenty cut, flipped or with another signature."""
+    text = F.encode(F.coalesce("content", F.lit("")), "UTF-8")
+    k, png = F.col("doc_id"), F.col("doc_id") % 2 == 0
+    whole = F.when(png, png_file(text, k % 3 == 0)).otherwise(jpeg_file(text, k % 3 == 0))
+
+    def damaged(c):
+        n = F.octet_length(c)
+        # a checksum of PNG image data, the first marker after the head of a JPEG
+        at = F.when(png, n - 12).otherwise(F.lit(3))
+        byte = F.conv(F.hex(F.substring(c, at, F.lit(1))), 16, 10).cast("long")
+        flipped = F.concat(F.substring(c, F.lit(1), at - 1), big_endian(byte.bitwiseXOR(F.lit(1)), 1), F.substring(c, at + 1, n))
+        return (
+            F.when(U("bad", k) < 0.02, F.substring(c, F.lit(1), F.floor(n / 2).cast("int")))
+            .when(U("bad", k) < 0.04, flipped)
+            .when(U("bad", k) < 0.05, F.concat(F.lit(b"XX"), F.substring(c, F.lit(3), n)))
+            .otherwise(c)
+        )
+
+    return assets(spark, sf).select("doc_id", "path", let(whole, damaged).alias("content"))
+
+
 @query(
     "dq_tiny_or_corrupt",
-    with_ctes(
-        "assets",
-        body=f"""SELECT path, CASE WHEN {_u('bad')} < 0.05 THEN 'corrupt' ELSE 'tiny' END AS kind FROM assets
-WHERE {_u('bad')} < 0.05 OR size_bytes < 1024""",
-    ),
+    files_sql("""SELECT path, CASE WHEN state <> 'ok' THEN 'corrupt' ELSE 'tiny' END AS kind FROM files
+WHERE state <> 'ok' OR whole < 1024"""),
 )
 def q_tiny(spark, sf):
-    """Document bytes stand for files; one in twenty counts as undecodable."""
-    listing = assets(spark, sf).select("path", F.col("size_bytes").alias("length"), "doc_id")
-    readable = listing.where(U("bad", F.col("doc_id")) >= 0.05)
-    return quality.corrupt_or_tiny(listing, readable)
+    return quality.damaged_or_tiny(files(spark, sf))
+
+
+@query(
+    "container_audit",
+    files_sql("""SELECT doc_id, CASE WHEN state = 'unknown' THEN 'none' ELSE container END AS container, state,
+  CASE WHEN state = 'cut' THEN whole // 2 ELSE whole END AS length FROM files"""),
+)
+def q_containers(spark, sf):
+    return quality.container_audit(files(spark, sf), "doc_id").drop("exif")
 
 
 @query(

@@ -153,8 +153,7 @@ def q_cap(spark, sf):
 WHERE i IN (SELECT (7 + j * (n // 100)) % n FROM range(100) t(j))""",
 )
 def q_systematic(spark, sf):
-    df = ranks.row_index(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey")
-    return sampling.sample_systematic(df, "row_idx", "n_rows", 100, 7).select("p_partkey", "p_name")
+    return ranks.rows_at(table(spark, sf, "part").select("p_partkey", "p_name"), "p_partkey", 100, 7)
 
 
 def scored_manifest(spark, sf):

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assay.functions import scalars as s
+from assay.functions.containers import has_exif_marker
 from assay.functions.hashing import unit_hash
 from assay.functions.provenance import classify_provenance
 from assay.operators import joins, prompts
 from assay.plans.base import query, r, rounded
-from assay.plans.proxies import ROOT, assets, grids, manifest, scores, table, u_sql, with_ctes
+from assay.plans.proxies import ROOT, assets, grids, jpeg_file, manifest, png_file, scores, table, u_sql, with_ctes
 from assay.sources import sinks
 
 STATE = "CASE WHEN p >= 0.65 THEN 'ai' WHEN p < 0.35 THEN 'real' ELSE 'uncertain' END"
@@ -240,15 +241,14 @@ def q_badge(spark, sf):
     return scores(spark, sf).select("id", s.badge_text(F.col("p")).alias("badge"))
 
 
-@query(
-    "has_exif_marker",
-    "SELECT page_id, contains(html || CASE WHEN page_id % 3 = 0 THEN 'Exif' ELSE '' END, 'Exif')::INT::DOUBLE AS exif_present FROM pages",
-)
+@query("has_exif_marker", "SELECT page_id, (page_id % 3 = 0)::INT::DOUBLE AS exif_present FROM pages")
 def q_exif(spark, sf):
-    """Page bytes stand for image files; every third one gets a marker."""
-    tail = F.when(F.col("page_id") % 3 == 0, "Exif").otherwise("")
-    df = table(spark, sf, "pages").select("page_id", F.encode(F.concat("html", tail), "UTF-8").alias("content"))
-    return df.select("page_id", s.has_exif_marker(F.col("content")).alias("exif_present"))
+    """Pages as the image data of PNG and JPEG files: every third has an EXIF block, every other third the letters alone."""
+    k = F.col("page_id")
+    letters = F.when(k % 3 == 1, F.lit("Exif")).otherwise(F.lit(""))
+    data = F.encode(F.concat(F.coalesce("html", F.lit("")), letters), "UTF-8")
+    content = F.when(k % 2 == 0, png_file(data, k % 3 == 0)).otherwise(jpeg_file(data, k % 3 == 0))
+    return table(spark, sf, "pages").select("page_id", has_exif_marker(content).alias("exif_present"))
 
 
 @query(

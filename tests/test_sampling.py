@@ -84,6 +84,38 @@ def test_balanced_epochs(spark):
     assert sampling.sample_balanced_epoch(df.where("label = 'ai'"), 2).count() == 0
 
 
+def test_epochs_equal_brute_force_and_write_no_multiples(spark, monkeypatch):
+    classes = {"ai": 7000, "real": 3000}
+    data = [(c, f"{c}{i}") for c, n in classes.items() for i in range(n)] + [("ai", None), (None, "x"), ("other", "y")]
+    df = spark.createDataFrame(data, "label string, path string").repartition(6)
+    written = []
+
+    def count(table):
+        table = kept(table)
+        written.append(table.count())
+        return table
+
+    kept = sampling.materialize
+    monkeypatch.setattr(sampling, "materialize", count)
+    got = defaultdict(set)
+    for r in sampling.sample_balanced_epoch(df, 20, cap=100, seed=3).collect():
+        got[r["epoch"], r["label"]].add(r["path"])
+    want = {}
+    for e in range(20):
+        for c, n in classes.items():
+            paths = (f"{c}{i}" for i in range(n))
+            want[e, c] = set(sorted(paths, key=lambda p: order(3, f"{e}/{p}"))[:100])
+    assert got == want
+    assert written[0] < 20 * 2 * 100 * 2  # of 200,000 pairs of a row and an epoch
+
+
+def test_epochs_rise_until_whole(spark, monkeypatch):
+    df = spark.createDataFrame([(c, f"{c}{i}") for c in ("ai", "real") for i in range(2000)], "label string, path string")
+    want = {tuple(r) for r in sampling.sample_balanced_epoch(df, 5, cap=40).collect()}
+    monkeypatch.setattr(sampling, "SPARE", -5.0)
+    assert {tuple(r) for r in sampling.sample_balanced_epoch(df, 5, cap=40).collect()} == want and len(want) == 400
+
+
 def test_sample_cases(spark):
     data = [("a", "ai"), ("a", "real"), ("b", "ai"), ("c", "real"), ("d", None)]
     df = spark.createDataFrame(data, "s string, label string")
@@ -185,3 +217,26 @@ def test_page_images(spark):
     assert got == {"a.jpg": True, "b.png": False, "data:xxx": True, "": False, "c.webp": True}
     short = prompts.page_images(df).where("src = 'data:abc'").first()
     assert short["eligible"] is False
+
+
+@pytest.mark.parametrize("n,k,offset", [(300, 24, 0), (300, 24, 290), (10, 3, 2), (4, 9, 1), (9000, 7, 8999), (9000, 100, -3), (1, 1, 5)])
+def test_rows_at_positions_rank_only_their_ranges(spark, monkeypatch, n, k, offset):
+    keys = sorted({i * i * (-1) ** i for i in range(n)})  # dense about zero, sparse far out
+    wanted = []
+
+    def keep(table):
+        table = kept(table)
+        wanted.append(table.count())
+        return table
+
+    kept = ranks.materialize
+    monkeypatch.setattr(ranks, "materialize", keep)
+    df = spark.createDataFrame([(x,) for x in [*keys, None]], "key long").repartition(5)
+    step = max(1, n // k)
+    positions = {(offset + i * step) % n for i in range(min(k, n))}
+    assert sorted(r["key"] for r in ranks.rows_at(df, "key", k, offset).collect()) == sorted(keys[p] for p in positions)
+    assert wanted[0] <= k
+
+
+def test_rows_at_of_an_empty_table(spark):
+    assert ranks.rows_at(spark.range(0).withColumnRenamed("id", "key"), "key", 5).count() == 0
