@@ -25,12 +25,13 @@ from assay.functions.kernels import mix32
 from assay.functions.scalars import THRESHOLD
 from assay.operators.common import group_key
 from assay.operators.metrics import add_rates, scored
-from assay.operators.ranks import score_cells
+from assay.operators.ranks import score_bucket, score_cells
 
 REPLICAS = 2000
 SEED = 0
 FIELDS = ("balanced_accuracy", "ai_recall", "real_recall", "false_ai_rate", "auroc", "brier")
-BUCKETS = 64
+RANGE_CELLS = 65_536
+SMALL_RANGES, SMALL_CELLS = 64, 256  # small groups are spread too
 SUMS = ("pos", "neg", "tp", "fp", "wins", "squares")
 # Steps between the replicas and between the four streams of a cell. Fixed values.
 REPLICA_STEP, STREAM_STEP = 0x9E3779B9, 0x85EBCA6B
@@ -70,11 +71,24 @@ def replica_sums(cells: dict[str, np.ndarray], thr: float, replicas: int, rows:
     return out
 
 
+def score_ranges(cells: DataFrame) -> DataFrame:
+    """The cells with ``_b``: ranges of the score that hold about equally many cells of the group ``_g``, wherever its scores lie.
+
+    Cells are counted in fine value buckets first. A range has at most ``RANGE_CELLS`` cells and those of one bucket more.
+    """
+    fine = cells.withColumn("_f", score_bucket(F.col("p")))
+    counts = fine.groupBy("_g", "_f").agg(F.count(F.lit(1)).alias("_k"))
+    whole = Window.partitionBy("_g")  # value buckets are bounded in number
+    n, before = F.sum("_k").over(whole), F.sum("_k").over(whole.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = F.greatest(F.ceil(n / RANGE_CELLS), F.least(F.lit(SMALL_RANGES), F.ceil(n / SMALL_CELLS)))
+    place = F.floor(F.coalesce(before, F.lit(0)) * ranges / n).cast("int")
+    return fine.join(counts.select("_g", "_f", place.alias("_b")), ["_g", "_f"]).drop("_f")
+
+
 def replica_metrics(df: DataFrame, by: list[str], thr: float, replicas: int, seed: int) -> DataFrame:
-    """(by, rep) and the six fields: score cells in fixed value buckets, of which only six sums per replica move on."""
+    """(by, rep) and the six fields: score cells in ranges of equal depth, of which only six sums per replica move on."""
     cells = score_cells(scored(df), by).withColumn("base", cell_base(seed, by)).withColumn("n_neg", F.col("n") - F.col("n_pos"))
-    bucket = F.floor(F.least(F.greatest("p", F.lit(0.0)), F.lit(1.0)) * BUCKETS).cast("int")
-    cells = cells.select(group_key(by), bucket.alias("_b"), "p", "n_pos", "n_neg", "base")
+    cells = score_ranges(cells.select(group_key(by), "p", "n_pos", "n_neg", "base"))
     kind = T.StructType([cells.schema["_g"], cells.schema["_b"], T.StructField("rep", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in SUMS]])
 
     def draw(table: pa.Table) -> pa.Table:
@@ -84,7 +98,7 @@ def replica_metrics(df: DataFrame, by: list[str], thr: float, replicas: int, see
         return pa.table(keys | {"rep": pa.array(np.arange(replicas, dtype=np.int32))} | dict(zip(SUMS, map(pa.array, sums))))
 
     sums = cells.groupBy("_g", "_b").applyInArrow(draw, kind)
-    lower = Window.partitionBy("_g", "rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # at most BUCKETS + 1 rows
+    lower = Window.partitionBy("_g", "rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     sums = sums.withColumn("wins", F.col("wins") + F.col("pos") * F.coalesce(F.sum("neg").over(lower), F.lit(0.0)))
     pos, neg = F.sum("pos"), F.sum("neg")
     out = sums.groupBy("_g", "rep").agg(

@@ -41,24 +41,24 @@ def q_sink_manifests(spark, sf):
     "scan_parquet_flex",
     with_ctes(
         "assets",
-        body="""SELECT sha256, size_bytes, CASE WHEN lang = 'es' THEN NULL WHEN quality = 1 THEN 'ai' ELSE 'real' END AS label
-FROM assets""",
+        body="""SELECT sha256, size_bytes, CASE WHEN doc_id % 4 = 3 THEN NULL WHEN quality = 1 THEN 'ai' ELSE 'real' END AS label
+FROM assets WHERE content IS NOT NULL""",
     ),
 )
 def q_flex(spark, sf):
-    """One shard layout per language; a missing shard is skipped."""
+    """Shards of four layouts in one folder; a missing folder is skipped."""
     root = scratch_dir(spark)
     a = assets(spark, sf).withColumn("raw", F.encode("content", "UTF-8"))
     word = F.when(F.col("quality") == 1, "Synthetic").otherwise("photo")
-    layouts = {
-        "en": [F.struct(F.col("raw").alias("bytes"), "path").alias("image_data"), word.alias("label")],
-        "fr": [F.col("raw").alias("bytes"), F.col("quality").alias("is_fake")],
-        "de": [F.col("raw").alias("image"), (F.col("quality") == 1).alias("target")],
-        "es": [F.col("raw").alias("blob")],
-    }
-    for lang, cols in layouts.items():
-        a.where(F.col("lang") == lang).select(*cols).write.parquet(f"{root}/{lang}")
-    df = scans.scan_parquet_flex(spark, [f"{root}/{lang}" for lang in layouts] + [f"{root}/missing"])
+    layouts = [
+        [F.struct(F.col("raw").alias("bytes"), "path").alias("image_data"), word.alias("label")],
+        [F.col("raw").alias("bytes"), F.col("quality").alias("is_fake")],
+        [F.col("path"), F.col("raw").alias("image"), (F.col("quality") == 1).alias("target")],
+        [F.col("raw").alias("blob")],
+    ]
+    for i, cols in enumerate(layouts):
+        a.where(F.col("doc_id") % 4 == i).select(*cols).write.mode("append").parquet(root)
+    df = scans.scan_parquet_flex(spark, [root, f"{root}/missing"])
     return df.select(F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size_bytes"), "label")
 
 
@@ -141,4 +141,4 @@ def q_append_resumable(spark, sf):
     rows = table(spark, sf, "labels").select("doc_id", "quality")
     for part in (rows.where("quality = 1"), rows, rows):
         sinks.append_resumable(part, path, ["doc_id"])
-    return spark.read.schema(rows.schema).parquet(path)
+    return sinks.read_appended(spark, path, rows.schema)

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from assay.functions.scalars import normalize_label
 from assay.sources import schemas
@@ -69,50 +76,91 @@ def resolve_shard(df: DataFrame, variant: str = "bench") -> DataFrame:
     return df.select(_content(df).alias("content"), _label(df, variant).alias("label")).where("content is not null")
 
 
+def _layout(path: str, variant: str) -> tuple[str | None, str | None]:
+    """(layout, reason) of a shard: the JSON schema of its content and label columns, or why it cannot be used."""
+    try:
+        if path.startswith("file:") or "://" not in path:
+            files, name = fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+        else:
+            files, name = fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", path))
+        with files.open_input_file(name) as shard:
+            found = pq.ParquetFile(shard).schema_arrow
+    except (OSError, pa.ArrowException) as exc:
+        return None, f"unreadable: {str(exc)[:80]}"
+
+    def kind(name: str) -> pa.DataType:
+        t = found.field(name).type
+        return t.value_type if pa.types.is_dictionary(t) else t
+
+    if not found.names:
+        return None, "no bytes"
+    content = next((c for c in IMAGE_COLUMNS if c in found.names), found.names[0])
+    of = kind(content)
+    if pa.types.is_struct(of) and of.get_field_index("bytes") >= 0 and _is_bytes(of.field("bytes").type):
+        fields = [T.StructField(content, T.StructType([T.StructField("bytes", T.BinaryType())]))]
+    elif _is_bytes(of):
+        fields = [T.StructField(content, T.BinaryType())]
+    else:
+        return None, "no bytes"
+    label = next((c for c in LABEL_COLUMNS[variant] if c in found.names and c != content), None)
+    if label is not None:
+        try:
+            single = not pa.types.is_nested(kind(label)) and from_arrow_type(kind(label))
+        except PySparkException:
+            single = None
+        if not single:
+            return None, f"label of type {kind(label)}"
+        fields.append(T.StructField(label, single))
+    return T.StructType(fields).json(), None
+
+
+def _is_bytes(t: pa.DataType) -> bool:
+    return pa.types.is_binary(t) or pa.types.is_large_binary(t)
+
+
+def shard_layouts(spark: SparkSession, groups: list[str | list[str]], variant: str = "bench") -> DataFrame:
+    """(path, length, layout, reason) of every parquet file below the paths, each by its own footer, read in tasks."""
+    paths = [p for group in groups for p in ([group] if isinstance(group, str) else group)]
+    paths = [p for p in dict.fromkeys(paths) if path_exists(spark, p)]
+    kind = T.StructType([T.StructField("layout", T.StringType()), T.StructField("reason", T.StringType())])
+    if not paths:
+        return spark.createDataFrame([], "path string, length bigint, layout string, reason string")
+
+    @F.pandas_udf(kind)
+    def layouts(shards: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_layout(p, variant) for p in shards], columns=kind.names)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(paths)
+    files = files.select("path", "length").distinct()
+    return files.withColumn("_l", layouts("path")).select("path", "length", "_l.*")
+
+
 def scan_parquet_flex(spark: SparkSession, groups: list[str | list[str]], variant: str = "bench") -> DataFrame:
-    """Union of shard groups; the shards of one group share a schema, corrupt and missing ones are skipped."""
+    """(content, label) of shards of any layout, mixed within a folder as they come; what cannot be read is skipped.
+
+    Every shard is resolved by its own footer. Shards of one layout are one scan of the two columns that it needs, so
+    the plan has as many scans as there are layouts. Only the names of the shards come to the driver, which has to list
+    the files of a scan anyhow. ``skipped_files`` names the shards left out.
+    """
+    shards: dict[str, list[str]] = {}
+    for row in shard_layouts(spark, groups, variant).where("layout IS NOT NULL").select("path", "layout").toLocalIterator():
+        shards.setdefault(row["layout"], []).append(re.sub(r"([*?{}\[\]\\])", r"\\\1", row["path"]))  # names are no globs
     parts = []
-    for paths in groups:
-        paths = [p for p in ([paths] if isinstance(paths, str) else paths) if path_exists(spark, p)]
-        if not paths:
-            continue
+    for layout in sorted(shards):
         reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        try:
-            df = reader.parquet(*paths)
-        except Exception as exc:  # noqa: BLE001
-            # a group in which no file can be read has no schema to resolve
-            if not any(k in str(exc) for k in ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER")):
-                raise
-            continue
+        df = reader.schema(T.StructType.fromJson(json.loads(layout))).parquet(*shards[layout])
         parts.append(resolve_shard(df, variant))
     if not parts:
         return spark.createDataFrame([], "content binary, label string")
     return reduce(DataFrame.unionByName, parts)
 
 
-def skipped_files(spark: SparkSession, groups: list[str | list[str]]) -> DataFrame:
-    """(path, length) of the shards that ``scan_parquet_flex`` passes over: parquet files of which no row can be read,
-    corrupt and empty ones."""
-    def plain(path: Column) -> Column:
-        return F.regexp_replace(path, "^file:/+", "/")
-
-    out = spark.createDataFrame([], "path string, length bigint")
-    for paths in groups:
-        paths = [p for p in ([paths] if isinstance(paths, str) else paths) if path_exists(spark, p)]
-        if not paths:
-            continue
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(paths)
-        files = files.select(plain(F.col("path")).alias("path"), "length")
-        reader = spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        try:
-            read = reader.parquet(*paths).select(plain(F.col("_metadata.file_path")).alias("path")).distinct()
-        except Exception as exc:  # noqa: BLE001
-            if not any(k in str(exc) for k in ("UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER")):
-                raise
-            out = out.unionByName(files)
-            continue
-        out = out.unionByName(files.join(read, "path", "left_anti"))
-    return out
+def skipped_files(spark: SparkSession, groups: list[str | list[str]], variant: str = "bench") -> DataFrame:
+    """(path, length, reason) of the shards that ``scan_parquet_flex`` passes over: no parquet footer, no column of bytes, or
+    a label that is no single value. Readable shards without rows are not among them, nor files of zero bytes, which Spark
+    does not list."""
+    skipped = shard_layouts(spark, groups, variant).where("layout IS NULL")
+    return skipped.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "reason")
 
 
 def _relative(path: Column, root: str) -> Column:

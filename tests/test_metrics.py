@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.operators import bootstrap, metrics, ranks, reports, sampling
+from assay.operators.common import group_key
 
 EDGE = [0.0, 0.3, 0.35, 0.65, 1.0]
 
@@ -187,6 +188,28 @@ def test_bootstrap_weights_follow_poisson_at_every_size():
     assert not bootstrap.poisson_weights(np.zeros(3), base[:3], np.arange(9), 1).any()
 
 
+def test_bootstrap_ranges_have_equal_depth_and_do_not_change_the_figures(spark, monkeypatch):
+    """One suite has most rows, all of their scores distinct and within a hair of 0.98."""
+    n = 30_000
+    hot = spark.range(n).select(F.lit("hot").alias("g"), (F.col("id") % 3 == 0).cast("int").alias("y"), (0.98 + F.col("id") / 1e7).alias("p"))
+    few = spark.range(40).select(F.lit("few").alias("g"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") / 40).alias("p"))
+    df = hot.unionAll(few).withColumn("id", F.monotonically_increasing_id())
+    cells = ranks.score_cells(df, ["g"]).select(group_key(["g"]), "p")
+    monkeypatch.setattr(bootstrap, "RANGE_CELLS", 1000)
+    sizes = {(r["_g"]["g"], r["_b"]): r for r in bootstrap.score_ranges(cells).groupBy("_g", "_b").agg(F.count("*").alias("k"), F.min("p").alias("lo"), F.max("p").alias("hi")).collect()}
+    assert sizes["few", 0]["k"] == 40
+    of_hot = sorted((b, r) for (g, b), r in sizes.items() if g == "hot")
+    assert sum(r["k"] for _, r in of_hot) == n and len(of_hot) > 20 and max(r["k"] for _, r in of_hot) < 2000
+    assert all(a["hi"] < b["lo"] for (_, a), (_, b) in zip(of_hot, of_hot[1:]))
+    many = {(r["g"], r["metric"]): tuple(r)[2:] for r in bootstrap.bootstrap_ci(df, ["g"], replicas=20).collect()}
+    monkeypatch.setattr(bootstrap, "RANGE_CELLS", 10**9)
+    monkeypatch.setattr(bootstrap, "SMALL_RANGES", 1)
+    one = {(r["g"], r["metric"]): tuple(r)[2:] for r in bootstrap.bootstrap_ci(df, ["g"], replicas=20).collect()}
+    assert many.keys() == one.keys()
+    for k in one:
+        assert many[k] == pytest.approx(one[k], abs=1e-9), k
+
+
 def test_bootstrap_sums_do_not_depend_on_blocks():
     rng = np.random.default_rng(1)
     cells = {"p": rng.random(300), "n_pos": rng.integers(0, 3, 300), "n_neg": rng.integers(0, 3, 300), "base": rng.integers(0, 2**32, 300)}

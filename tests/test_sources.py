@@ -4,7 +4,11 @@ import hashlib
 import json
 import struct
 import zlib
+from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,8 +99,32 @@ def test_shards_wrapped_missing_corrupt_and_unlabelled(spark, tmp_path):
     got = scans.scan_parquet_flex(spark, paths, "extract").collect()
     assert [r["label"] for r in got] == ["ai"]
     assert scans.scan_parquet_flex(spark, [f"{tmp_path}/none"]).count() == 0
-    skipped = {r["path"].split("/")[-1]: r["length"] for r in scans.skipped_files(spark, paths).collect()}
-    assert skipped.pop("x.parquet") == 11 and len(skipped) == 1  # the first part of the good shard has no row
+    (row,) = scans.skipped_files(spark, paths).collect()
+    assert row["path"] == f"{tmp_path}/bad/x.parquet" and row["length"] == 11 and row["reason"].startswith("unreadable")
+
+
+def test_shards_of_mixed_layouts_in_one_folder(spark, tmp_path):
+    root, want = tmp_path / "all [of] {them}", Counter()
+    root.mkdir()
+    for i, (name, (_, values)) in enumerate(LABELS.items()):
+        kinds = {"boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+        label = pa.array(values, kinds[LABELS[name][0]])
+        content = pa.array([b"%d" % i] * len(values), pa.large_binary() if i % 2 else pa.binary())
+        # more columns, other orders, and a nested content
+        columns = {"note": pa.array([[1]] * len(values)), name: label, "image": content}
+        if i == 2:
+            columns["image"] = pa.array([{"path": "p", "bytes": b"2"}] * len(values))
+        pq.write_table(pa.table(columns), root / f"{name}.parquet")
+        want.update((b"%d" % i, v) for v in WANT[name])
+    whole = (root / "label.parquet").read_bytes()
+    (root / "cut.parquet").write_bytes(whole[:-9])
+    pq.write_table(pa.table({"image": ["a"], "label": ["ai"]}), root / "text.parquet")
+    pq.write_table(pa.table({"image": pa.array([], pa.binary())}), root / "norows.parquet")
+    folder = str(tmp_path / "all*")
+    got = Counter((bytes(r["content"]), r["label"]) for r in scans.scan_parquet_flex(spark, [folder]).collect())
+    assert got == want
+    skipped = {r["path"].split("/")[-1]: r["reason"].split(":")[0] for r in scans.skipped_files(spark, [folder]).collect()}
+    assert skipped == {"cut.parquet": "unreadable", "text.parquet": "no bytes"}
 
 
 def test_extract_variant_does_not_know_gen(spark, tmp_path):
@@ -114,11 +142,81 @@ def test_manifest_round_trip_writes_no_empty_split(spark, tmp_path):
     assert [tuple(r) for r in back] == [rows[0]]
 
 
+def appended(spark, path):
+    return sorted((r["k"], r["v"]) for r in sinks.read_appended(spark, path).collect())
+
+
 def test_resumable_append(spark, tmp_path):
-    df = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "k int, v string")
-    for part in (df.where("k < 2"), df, df):
-        sinks.append_resumable(part, f"{tmp_path}/t", ["k"])
-    assert sorted(r["k"] for r in spark.read.parquet(f"{tmp_path}/t").collect()) == list(range(5))
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(5)] + [(None, "none")], "k int, v string")
+    for part in (df.where("k < 2"), df, df, df.limit(0)):
+        sinks.append_resumable(part.where("k IS NOT NULL"), f"{tmp_path}/t", ["k"])
+    assert appended(spark, f"{tmp_path}/t") == [(i, f"v{i}") for i in range(5)]
+    for _ in range(2):
+        sinks.append_resumable(df.unionAll(df), f"{tmp_path}/t", ["k"])
+    assert len(sinks.read_appended(spark, f"{tmp_path}/t").collect()) == 6  # a null key is a key
+
+
+def test_a_run_killed_before_its_commit_is_not_read_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    df, path = spark.createDataFrame([(i, f"v{i}") for i in range(8)], "k int, v string"), f"{tmp_path}/t"
+    sinks.append_resumable(df.where("k < 3"), path, ["k"])
+    commit = sinks._commit
+
+    def killed(*args):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(sinks, "_commit", killed)
+    with pytest.raises(KeyboardInterrupt):
+        sinks.append_resumable(df, path, ["k"])
+    assert [k for k, _ in appended(spark, path)] == [0, 1, 2]
+    monkeypatch.setattr(sinks, "_commit", commit)
+    sinks.append_resumable(df, path, ["k"])
+    assert [k for k, _ in appended(spark, path)] == list(range(8))
+
+
+def test_two_runs_at_a_time_double_no_key(spark, tmp_path, monkeypatch):
+    """The second run starts and ends between the write and the commit of the first."""
+    df, path = spark.createDataFrame([(i, f"v{i}") for i in range(10)], "k int, v string"), f"{tmp_path}/t"
+    sinks.append_resumable(df.where("k < 2"), path, ["k"])
+    commit, other = sinks._commit, [lambda: sinks.append_resumable(df.where("k >= 1 AND k < 7"), path, ["k"])]
+
+    def late(*args):
+        if other:
+            other.pop()()
+        return commit(*args)
+
+    monkeypatch.setattr(sinks, "_commit", late)
+    sinks.append_resumable(df, path, ["k"])
+    assert [k for k, _ in appended(spark, path)] == list(range(10))
+
+
+def test_appends_from_threads(spark, tmp_path):
+    df, path = spark.createDataFrame([(i, f"v{i}") for i in range(30)], "k int, v string"), f"{tmp_path}/t"
+    with ThreadPoolExecutor(4) as pool:
+        runs = [pool.submit(sinks.append_resumable, df.where(f"k >= {5 * i} AND k < {5 * i + 15}"), path, ["k"]) for i in range(4)]
+        for run in runs:
+            run.result()
+    assert [k for k, _ in appended(spark, path)] == list(range(30))
+
+
+def test_records_are_moved_and_never_replaced(spark, tmp_path):
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in "abc":
+        (tmp_path / name).write_text(name)
+    a, b, c = (jvm.org.apache.hadoop.fs.Path(f"file:{tmp_path}/{name}") for name in "abc")
+    sinks._move(jvm, conf, a, jvm.org.apache.hadoop.fs.Path(f"file:{tmp_path}/d"))
+    assert (tmp_path / "d").read_text() == "a"
+    with pytest.raises(FileExistsError):
+        sinks._move(jvm, conf, b, c)
+    assert (tmp_path / "c").read_text() == "c"
+
+
+def test_rows_of_an_earlier_plain_folder_count(spark, tmp_path):
+    df, path = spark.createDataFrame([(i, f"v{i}") for i in range(4)], "k int, v string"), f"{tmp_path}/t"
+    df.where("k < 2").write.parquet(path)
+    sinks.append_resumable(df, path, ["k"])
+    assert [k for k, _ in appended(spark, path)] == list(range(4))
+    with pytest.raises(ValueError):
+        sinks.read_appended(spark, f"{tmp_path}/none")
 
 
 def test_registries(spark, tmp_path):
