@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.tables import ascii_lower, columns_of, in_batches, named, stored
+from assay.llm.tables import ascii_lower, columns_of, in_batches, named, split_by_ids, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The same on the UTF-8 bytes of a lower-cased text.
@@ -158,8 +158,11 @@ def decontaminate(
     anchors = stored(_anchors(windows, term_counts(rows, terms, block_terms)))
     keys = anchors.select(F.explode(F.array("a", "b")).alias("term")).filter("term IS NOT NULL").distinct()
     found = candidates(postings(rows, keys, block_terms), anchors)
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "window")).alias("found"))
-    judged = stored(_verify(rows.join(found, "doc_id", "left")).withColumn("row", F.monotonically_increasing_id()))
+    found = stored(found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "window")).alias("found")))
+    # only texts with candidates are shuffled to them
+    some, rest = split_by_ids(rows, found)
+    some, rest = some.join(found, "doc_id", "left"), rest.withColumn("found", F.lit(None).cast(found.schema["found"].dataType))
+    judged = stored(_verify(some.unionByName(rest)).withColumn("row", F.monotonically_increasing_id()))
     hits = judged.select("row", F.explode("windows").alias("window")).join(item_rows, "window")
     hits = hits.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     own = F.coalesce("items", F.array().cast("array<string>"))

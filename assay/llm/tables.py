@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,34 @@ def only_ids(rows: DataFrame, ids: DataFrame, few: int = 200_000) -> DataFrame:
     return rows.withColumn("slot", F.xxhash64("doc_id")).mapInArrow(pick, kept).drop("slot")
 
 
+def split_by_ids(rows: DataFrame, ids: DataFrame, few: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """The rows in two parts: those of the given ``doc_id``s, and perhaps some of others, and the rest. No row is shuffled.
+
+    ``ids`` is read more than once and should be stored; it has no repeated and no null id. Up to ``few`` ids are
+    broadcast, counted before, and the first part is exact then. Beyond, a filter of fixed size goes with both scans.
+    """
+    if ids.count() <= few:
+        sent = F.broadcast(ids.select("doc_id"))
+        return rows.join(sent, "doc_id", "left_semi").select(*rows.columns), rows.join(sent, "doc_id", "left_anti").select(*rows.columns)
+    wanted = rows.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    @F.pandas_udf(T.BooleanType())
+    def near(slot: pd.Series) -> pd.Series:
+        return pd.Series(wanted.value.passes(slot.to_numpy().view(np.uint64)))
+
+    passes = near(F.xxhash64("doc_id"))
+    return rows.filter(passes), rows.filter(~passes)
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, few: int = 200_000) -> DataFrame:
+    """The rows whose ``doc_id`` is not among the ids; rows without an id stay. Only rows that may go are shuffled."""
+    gone = stored(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct())
+    some, rest = split_by_ids(rows, gone, few)
+    if gone.count() <= few:
+        return rest
+    return rest.unionAll(some.join(gone, "doc_id", "left_anti").select(*rows.columns))
+
+
 def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
