@@ -11,7 +11,7 @@ from assay.llm.exact_dedup import exact_dedup
 from assay.llm.piece_codec import encode_pieces
 from assay.llm.positional_index import decontaminate
 from assay.llm.shingle_join import shingle_join
-from assay.llm.tables import documents, stored
+from assay.llm.tables import documents, stored, without_ids
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,25 +20,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(f"{VERDICT}.keep").drop(VERDICT)
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose ids are not dropped; rows without an id are not judged by any stage and stay."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-
-
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest id."""
-    return _without(docs, exact_dedup(docs).filter("NOT kept"))
+    return without_ids(docs, exact_dedup(docs).filter("NOT kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked near duplicates: the one with the smallest id."""
-    return _without(docs, shingle_join(docs).filter("doc_id <> component_id"))
+    return without_ids(docs, shingle_join(docs).filter("doc_id <> component_id"))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate(docs, items).filter("contaminated"))
+    return without_ids(docs, decontaminate(docs, items).filter("contaminated"))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
