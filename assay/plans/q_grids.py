@@ -5,6 +5,7 @@ The SQL twins work on one row per cell with self-joins, independently of the arr
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.arrays import mean
@@ -14,6 +15,10 @@ from assay.plans.base import query, r, rounded
 from assay.plans.proxies import grids, rgb_grids, wide_grids, with_ctes
 
 
+def rounded_present(df: DataFrame) -> DataFrame:
+    """Rounded features; null where the cells that are there give none."""
+    return rounded(df.select("id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in df.columns if c != "id"]))
+
 
 def _values(name: str, cols: str, rows: list[tuple]) -> str:
     body = ", ".join("(" + ", ".join(repr(x) if not isinstance(x, str) else f"'{x}'" for x in row) + ")" for row in rows)
@@ -69,7 +74,7 @@ SELECT id, {r('''(avg(x) FILTER (k = 'h' AND m = 0) + avg(x) FILTER (k = 'v' AND
     ).replace("\n, ", ",\n", 1),
 )
 def q_block_ratio(spark, sf):
-    return rounded(g.grid_features(wide_grids(spark, sf), ["blockiness"], ["id"]))
+    return rounded_present(g.grid_features(wide_grids(spark, sf), ["blockiness"], ["id"]))
 
 
 @query(
@@ -87,7 +92,7 @@ SELECT id, {r('avg(v)')} AS blockiness_phase FROM p GROUP BY id""",
     ).replace("\n, ", ",\n", 1),
 )
 def q_block_phase(spark, sf):
-    return rounded(g.grid_features(wide_grids(spark, sf), ["blockiness_phase"], ["id"]))
+    return rounded_present(g.grid_features(wide_grids(spark, sf), ["blockiness_phase"], ["id"]))
 
 
 @query(
@@ -136,7 +141,7 @@ k AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY x) AS n FROM t)
 SELECT id, {r('sqrt(avg(x))')} AS noise_sigma FROM k WHERE n <= 6 GROUP BY id""",
 )
 def q_noise(spark, sf):
-    return rounded(g.grid_features(wide_grids(spark, sf), ["noise_sigma"], ["id"]))
+    return rounded_present(g.grid_features(wide_grids(spark, sf), ["noise_sigma"], ["id"]))
 
 
 @query(
@@ -169,7 +174,7 @@ SELECT id, {r('avg(p) FILTER (ring BETWEEN 5 AND 8) / (avg(p) FILTER (ring BETWE
 )
 def q_hf(spark, sf):
     """Bands scaled to the 16x16 grids: rings 2..4 against 5..8."""
-    return rounded(g.grid_features(wide_grids(spark, sf), ["hf_ratio"], ["id"], low=(1, 4), high=(4, 8)))
+    return rounded_present(g.grid_features(wide_grids(spark, sf), ["hf_ratio"], ["id"], low=(1, 4), high=(4, 8)))
 
 
 @query(
@@ -264,7 +269,7 @@ FROM l JOIN e ON e.id = l.id JOIN h ON h.id = l.id AND h.kind = e.kind GROUP BY
     ).replace("\n, ", ",\n", 1),
 )
 def q_hard_signals(spark, sf):
-    return rounded(g.grid_features(wide_grids(spark, sf), ["lap", "block", "block_runs"], ["id"]))
+    return rounded_present(g.grid_features(wide_grids(spark, sf), ["lap", "block", "block_runs"], ["id"]))
 
 
 _CH = "SELECT id, 0 AS ch, red AS v FROM rgb UNION ALL SELECT id, 1, green FROM rgb UNION ALL SELECT id, 2, blue FROM rgb"

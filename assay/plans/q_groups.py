@@ -17,7 +17,10 @@ def planted_grids(spark, sf):
     dark = g.where("id % 10 = 3").select((F.col("id") + 1_000_000_000).alias("id"), "h", "w", F.transform("grid", lambda v: v * 0.5 + 16).alias("grid"))
     turned = F.transform("grid", lambda v, i: F.when(i == 5, 255 - v).otherwise(v))
     edited = g.where("id % 10 = 7").select((F.col("id") + 2_000_000_000).alias("id"), "h", "w", turned.alias("grid"))
-    return g.unionByName(dark).unionByName(edited)
+    planted = g.unionByName(dark).unionByName(edited)
+    # a signature is made of the rows that are there
+    there = planted.withColumn("grid", F.filter("grid", lambda v: ~F.isnan(v))).withColumn("h", F.floor(F.size("grid") / 16).cast("int"))
+    return there.where("h > 0")
 
 
 # the sides of these grids divide 32, so a signature repeats each cell's bit; distances count the repeats

@@ -189,3 +189,17 @@ def test_vector_order_and_extra_columns(table):
     row = df.where("id = 2").first()["features"]
     single = features(table, names[:-1])
     assert row == [single[n][2] for n in names[:-1]] + [1.0]
+
+
+@pytest.mark.parametrize("name", ["feat_blockiness_phase", "feat_hf_ratio", "feat_noise_sigma", "feat_blockiness_ratio", "feat_hard_signals", "near_dup_grids"])
+def test_wide_grids_with_absent_bands_match_their_sql(spark, tmp_path, name):
+    import __spark_entry__ as entry
+    from tests.oracle import compare, connect
+
+    # two whole grids, then ones with holes: each set of bands that can be there
+    ids = [i for g in range(17) for i in range(4 * g, 4 * g + 4) if g < 2 or (g - 1) >> i % 4 & 1]
+    rows = [(i, [float(v) for v in RNG.normal(size=64).clip(-1, 1)], i % 10) for i in ids]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/part")
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    ok, note = compare(spark, connect(str(tmp_path)), name, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path))
+    assert ok, note
