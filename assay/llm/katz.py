@@ -3,10 +3,14 @@
     P(w)     = d(c) c(w) / N, and what the discounts leave is the probability of the unknown word
     P(w | v) = d(c) c(v, w) / c(v)   for stored pairs, else   weight(v) P(w)
 
-Pairs seen once count towards c(v) but are not stored, as Katz proposes. The weight of a context gives what its pairs
-leave to the words that it has no pair with, divided by their unigram probability, so that every distribution sums to
-one. Evaluated in logarithms, the recursion is a sum over lookups: each word contributes log P(w) and, as a context,
+Every pair has its own Good-Turing factor, those seen once too. The weight of a context gives what its pairs leave to
+the words that it has no pair with, divided by their unigram probability, so that every distribution sums to one.
+Evaluated in logarithms, the recursion is a sum over lookups: each word contributes log P(w) and, as a context,
 log weight(v), and each stored pair the difference to that. All tables are keyed by hashes of words and pairs.
+
+A pair that occurs in one place of all texts needs no row: where a training text holds it, it was learnt there and
+nowhere else, so its probability d(1) / c(v) is known from the context alone, and a held-out text cannot ask for it. A
+filter tells the others, which are counted and looked up; a pair that passes it by chance is counted and found as well.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from assay.llm.wordhash import ROLL, BitFilter, by_part, mixed, packed, part_bit
 
 BEGIN, END = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179  # the hashes of the text's two ends
 MOST_DISCOUNTED = 5
-REST = 23  # bits of a pair's hash that travel beside its part when pairs are looked for that occur twice
+REST = 22  # bits of a pair's hash that travel beside its part and its two marks when pairs are looked for that occur twice
+AGAIN, ASKED = 1, 2  # marks: learnt more than once here; occurs in a held-out text
 
 
 def held_out_column(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
@@ -43,17 +48,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 class _Flush:
-    """Documents taken together, as contexts, words and the number of the document of each word."""
+    """Documents taken together, as contexts, words and the number of the document of each word; and who is held out."""
 
     def __init__(self, docs: list[tuple]):
         self.docs = docs
         words, contexts = [], []
-        for _, _, h in docs:
+        for _, _, h, _ in docs:
             words += [h, _END]
             contexts += [_BEGIN, h]
         self.word = np.concatenate(words) if words else np.zeros(0, np.uint64)
         self.context = np.concatenate(contexts) if contexts else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(docs)), [len(d[2]) + 1 for d in docs])
+        self.held = np.array([d[3] for d in docs], bool)[self.doc]
 
 
 _BEGIN, _END = np.array([BEGIN], np.uint64), np.array([END], np.uint64)
@@ -62,10 +68,10 @@ _BEGIN, _END = np.array([BEGIN], np.uint64), np.array([END], np.uint64)
 def _flushes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Flush]:
     held, weight = [], 0
     for batch in batches:
-        for doc, text in zip(*columns_of(batch, "doc_id", "text")):
+        for doc, text, out in zip(*columns_of(batch, "doc_id", "text", "held")):
             data = text.encode("utf-8", "replace")
             own = word_hashes(data, lower=True)
-            held.append((doc, zlib.crc32(data), own))
+            held.append((doc, zlib.crc32(data), own, out))
             weight += len(own) + 8
             if weight >= most:
                 yield _Flush(held)
@@ -98,7 +104,11 @@ class Discounts:
 
 @dataclass
 class Katz:
-    """A trained model. ``values`` has ``key, known, base, score``: what a word or a pair adds to that of an unknown word."""
+    """A trained model. ``values`` has ``key, known, base, score``: what a word or a pair adds to that of an unknown word.
+
+    Its ``word`` and ``context`` are what a word loses as either half of a pair that has no row, which gains ``single``;
+    that is None where such pairs are not in the model.
+    """
 
     values: DataFrame
     pairs: BitFilter
@@ -107,6 +117,8 @@ class Katz:
     unknown_base: float
     unknown_score: float
     begin_score: float
+    begin_context: float
+    single: float | None
 
 
 def _word_counts(train: DataFrame, most: int) -> DataFrame:
@@ -118,49 +130,59 @@ def _word_counts(train: DataFrame, most: int) -> DataFrame:
     return stored(train.mapInArrow(count, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")))
 
 
-def _twice(train: DataFrame, most: int, bits: int, filter_bits: int) -> BitFilter:
-    """A filter that all pairs pass which occur at least twice."""
+def _twice(rows: DataFrame, most: int, bits: int, filter_bits: int) -> BitFilter:
+    """A filter that all pairs pass which are learnt at least twice, or learnt and asked for by a held-out text."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for flush in _flushes(batches, most):
-                keys, count = np.unique(pair_keys(flush.context, flush.word), return_counts=True)
-                entry = rest_of(keys, bits, REST) << np.uint64(1) | (count > 1).astype(np.uint64)
-                for part, own in by_part(keys, bits):
-                    yield part, packed(entry[own], 3)
+                every = pair_keys(flush.context, flush.word)
+                for out in (False, True):
+                    keys, count = np.unique(every[flush.held == out], return_counts=True)
+                    mark = np.where(out, ASKED, np.where(count > 1, AGAIN, 0)).astype(np.uint64)
+                    entry = rest_of(keys, bits, REST) << np.uint64(2) | mark
+                    for part, own in by_part(keys, bits):
+                        yield part, packed(entry[own], 3)
 
         yield from in_batches(rows(), pa.schema([("part", pa.int32()), ("pairs", pa.binary())]))
 
     def match(table: pa.Table) -> pa.Table:
         entry = np.sort(np.concatenate([unpacked(b.as_py(), 3) for b in table.column("pairs")]))
-        rest = entry >> np.uint64(1)
+        rest, mark = entry >> np.uint64(2), entry & np.uint64(3)
         first = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
-        count = np.diff(np.append(first, len(rest))) + np.maximum.reduceat(entry & np.uint64(1), first).astype(np.int64)
-        segment = segment_of(rest[first[count > 1]], REST, filter_bits - bits)
+        learnt = np.add.reduceat(np.where(mark == ASKED, 0, 1 + mark.astype(np.int64)), first)
+        asked = np.maximum.reduceat(mark, first) == ASKED
+        segment = segment_of(rest[first[(learnt > 1) | (learnt > 0) & asked]], REST, filter_bits - bits)
         return pa.table({"part": table.column("part")[:1], "segment": pa.array([segment], pa.binary())})
 
     found = BitFilter(filter_bits)
-    asked = train.mapInArrow(ask, "part int, pairs binary")
+    asked = rows.mapInArrow(ask, "part int, pairs binary")
     for row in asked.groupBy("part").applyInArrow(match, "part int, segment binary").toLocalIterator():
         found.put_part(row["part"], bits, row["segment"])
     return found
 
 
-def _pair_counts(train: DataFrame, twice: BitFilter, most: int) -> DataFrame:
-    """``v, w, c`` of the pairs that occur at least twice."""
-    shared = train.sparkSession.sparkContext.broadcast(twice)
+def _pair_counts(train: DataFrame, twice: BitFilter, common: list[np.ndarray], most: int) -> DataFrame:
+    """``v, w, c`` of the pairs that pass, or whose word is not common; the others as ``v, null, c, p``: their number and sum of P(w)."""
+    shared = train.sparkSession.sparkContext.broadcast((twice, *common))
+    names = ["v", "w", "c", "p"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely = shared.value
+        likely, known, known_p = shared.value
         for flush in _flushes(batches, most):
             keys = pair_keys(flush.context, flush.word)
-            at = np.flatnonzero(likely.passes(keys))
+            place = np.minimum(np.searchsorted(known, _signed(flush.word)), max(len(known) - 1, 0))
+            alone = ~likely.passes(keys) & (known[place] == _signed(flush.word) if len(known) else False)
+            at = np.flatnonzero(~alone)
             _, first, c = np.unique(keys[at], return_index=True, return_counts=True)
             v, w = flush.context[at[first]], flush.word[at[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(v)), pa.array(_signed(w)), pa.array(c.astype(np.int64))], ["v", "w", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(v)), pa.array(_signed(w)), pa.array(c.astype(np.int64)), pa.nulls(len(c), pa.float64())], names)
+            v, which, c = np.unique(flush.context[alone], return_inverse=True, return_counts=True)
+            p = np.bincount(which, known_p[place[alone]], len(v)) if len(v) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(v)), pa.nulls(len(v), pa.int64()), pa.array(c.astype(np.int64)), pa.array(p)], names)
 
-    counts = train.mapInArrow(count, "v bigint, w bigint, c bigint").groupBy("v", "w").agg(F.sum("c").alias("c"))
-    return stored(counts.filter("c > 1"))
+    counts = train.mapInArrow(count, "v bigint, w bigint, c bigint, p double").groupBy("v", "w")
+    return stored(counts.agg(F.sum("c").alias("c"), F.sum("p").alias("p")))
 
 
 def _counts_of_counts(counts: DataFrame) -> dict[int, int]:
@@ -168,8 +190,12 @@ def _counts_of_counts(counts: DataFrame) -> dict[int, int]:
     return {r["c"]: r["n"] for r in small.collect()}
 
 
-def train_katz(train: DataFrame, flush_words: int = 1 << 19, filter_bits: int = 27) -> Katz:
-    """Learn from all rows of ``doc_id, text``."""
+def train_katz(rows: DataFrame, flush_words: int = 1 << 19, filter_bits: int = 27, pairs_from: int = 1, common_words: int = 1_000_000) -> Katz:
+    """Learn from all rows of ``doc_id, text, held`` that are not held out; the held-out ones are those that it can score besides.
+
+    Pairs are in the model that occur ``pairs_from`` times, 1 or 2; the others count towards c(v) alone.
+    """
+    train = rows.filter("NOT held")
     bits = min(filter_bits - 3, part_bits(shuffle_width(train.sparkSession)))
     words = _word_counts(train, flush_words)
     total = words.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("w") == _signed(_END)[0].item(), F.col("c"))).alias("texts")).first()
@@ -181,16 +207,21 @@ def train_katz(train: DataFrame, flush_words: int = 1 << 19, filter_bits: int =
     unknown = max(seats - kept, 1.0) / max(seats, 1) if tokens else 1.0
     words = words.withColumn("p", unigram.discounted(F.col("c")) / F.lit(float(max(seats, 1))))
 
-    twice = _twice(train, flush_words, bits, filter_bits)
-    pairs = _pair_counts(train, twice, flush_words)
+    twice = _twice(rows, flush_words, bits, filter_bits)
+    common = _most_common(words.select(F.col("w").alias("key"), "c", "p"), common_words, ("p",))
+    counts = _pair_counts(train, twice, common, flush_words)
+    pairs, alone = counts.filter("w IS NOT NULL").select("v", "w", "c"), counts.filter("w IS NULL")
     n = _counts_of_counts(pairs)
-    n[1] = tokens - (pairs.agg(F.sum("c")).first()[0] or 0)
-    bigram = Discounts.of(n, stored_from=2)
-    pairs = pairs.withColumn("d", bigram.discounted(F.col("c")))
+    n[1] = tokens - (pairs.filter("c > 1").agg(F.sum("c")).first()[0] or 0)
+    bigram = Discounts.of(n, stored_from=pairs_from)
+    pairs = pairs.filter(F.col("c") >= pairs_from).withColumn("d", bigram.discounted(F.col("c")))
     pairs = stored(pairs.join(words.select("w", F.col("p")), "w").select("v", "w", "d", "p"))
     contexts = words.filter(F.col("w") != _signed(_END)[0].item()).select(F.col("w").alias("v"), "c")
     contexts = contexts.unionAll(contexts.sparkSession.range(1).select(F.lit(_signed(_BEGIN)[0].item()).alias("v"), F.lit(texts).cast("long").alias("c")))
-    sums = pairs.groupBy("v").agg(F.sum("d").alias("d"), F.sum("p").alias("p"))
+    masses = pairs.select("v", "d", "p")
+    if pairs_from == 1:
+        masses = masses.unionAll(alone.select("v", F.col("c") * bigram.factor[0], "p"))
+    sums = masses.groupBy("v").agg(F.sum("d").alias("d"), F.sum("p").alias("p"))
     sums = sums.join(contexts, "v")
     full = F.when(F.col("d") < F.col("c") * (1 - 1e-9), F.col("c")).otherwise(F.col("c") + 1)
     sums = sums.select("v", full.alias("full"), ((1 - F.col("d") / full) / F.greatest(1 - F.col("p"), F.lit(1e-12))).alias("weight"))
@@ -200,13 +231,22 @@ def train_katz(train: DataFrame, flush_words: int = 1 << 19, filter_bits: int =
     floor = tokens + 0.5 * (distinct + 1)
     unknown_base, unknown_score = math.log10(0.5 / floor), math.log10(unknown)
     weight = F.coalesce("weight", F.lit(0.0))
-    own = words.join(sums.select(F.col("v").alias("w"), "weight"), "w", "left").select(
+    own = words.join(sums.select(F.col("v").alias("w"), "weight", "full"), "w", "left").select(
         F.col("w").alias("key"), F.lit(1).alias("known"), (F.log10((F.col("c") + 0.5) / F.lit(floor)) - F.lit(unknown_base)).alias("base"),
-        (F.log10("p") + weight - F.lit(unknown_score)).alias("score"), "c",
+        (F.log10("p") + weight - F.lit(unknown_score)).alias("score"), F.log10("p").alias("word"),
+        (weight + F.log10(F.coalesce("full", F.lit(1.0)))).alias("context"), "c",
     )
     gain = F.log10(F.col("d") / F.col("full")) - F.col("weight") - F.log10("p")
-    joint = pairs.join(sums, "v").select(_pair_key_column(F.col("v"), F.col("w")).alias("key"), F.lit(0).alias("known"), F.lit(0.0).alias("base"), gain.alias("score"), F.col("d").alias("c"))
-    return Katz(stored(own.unionAll(joint)), twice, tokens, distinct, unknown_base, unknown_score, begin["weight"] if begin else 0.0)
+    zero = F.lit(0.0)
+    joint = pairs.join(sums, "v").select(
+        _pair_key_column(F.col("v"), F.col("w")).alias("key"), F.lit(0).alias("known"), zero.alias("base"), gain.alias("score"),
+        zero.alias("word"), zero.alias("context"), F.col("d").alias("c"),
+    )
+    begin_score, begin_full = (begin["weight"], begin["full"]) if begin else (0.0, 1)
+    single = math.log10(bigram.factor[0]) if pairs_from == 1 else None
+    return Katz(
+        stored(own.unionAll(joint)), twice, tokens, distinct, unknown_base, unknown_score, begin_score, begin_score + math.log10(begin_full), single
+    )
 
 
 def _pair_key_column(v: Column, w: Column) -> Column:
@@ -217,8 +257,8 @@ def _pair_key_column(v: Column, w: Column) -> Column:
     return keys(v, w)
 
 
-def _most_common(values: DataFrame, most: int) -> list[np.ndarray]:
-    """Sorted keys of at most ``most`` common entries, and what each adds; packed on the executors.
+def _most_common(values: DataFrame, most: int, added: tuple[str, ...]) -> list[np.ndarray]:
+    """Sorted keys of at most ``most`` common entries, and what each adds in the named columns; packed on the executors.
 
     Counts fall into eighths of an octave, and whole ones are taken from the top while they fit.
     """
@@ -229,7 +269,7 @@ def _most_common(values: DataFrame, most: int) -> list[np.ndarray]:
         if total > most:
             break
         cut = row["size"]
-    columns = ("key", "base", "score")
+    columns = ("key", *added)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,26 +284,33 @@ def _most_common(values: DataFrame, most: int) -> list[np.ndarray]:
 
 
 def score_katz(rows: DataFrame, model: Katz, most_common: int = 1_500_000, flush_words: int = 1 << 19) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` of each row of ``doc_id, text``."""
-    shared = rows.sparkSession.sparkContext.broadcast((*_most_common(model.values, most_common), model.pairs))
+    """``doc_id, n_tokens, n_known, base_score, score`` of each row of ``doc_id, text, held`` that the model was trained with."""
+    added = ("base", "score", "word", "context")
+    shared = rows.sparkSession.sparkContext.broadcast((*_most_common(model.values, most_common, added), model.pairs))
     kind = T.StructType([rows.schema["doc_id"], *[T.StructField(n, t) for n, t in (
-        ("body", T.LongType()), ("key", T.LongType()), ("times", T.IntegerType()), ("rows", T.IntegerType()), ("n_tokens", T.LongType()),
+        ("body", T.LongType()), ("key", T.LongType()), ("times", T.IntegerType()), ("as_word", T.IntegerType()), ("as_context", T.IntegerType()),
+        ("rows", T.IntegerType()), ("n_tokens", T.LongType()),
         ("n_known", T.DoubleType()), ("base", T.DoubleType()), ("score", T.DoubleType()))]])
     unknown_base, unknown_score, begin_score = model.unknown_base, model.unknown_score, model.begin_score
+    begin_context, single = model.begin_context, model.single
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, base, score, likely = shared.value
+        hot, base, score, as_word, as_context, likely = shared.value
+        none = np.zeros(0, np.int64)
         doc_type, batches = peeked(batches, "doc_id")
         names = [f.name for f in kind.fields]
 
-        def found(keys: np.ndarray, doc: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Adds what the common keys are worth to the documents; the others are returned."""
+        def found(keys: np.ndarray, doc: np.ndarray, sums: np.ndarray, lost: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+            """Adds what the common keys are worth to the documents, or takes away what they lose; the others are returned."""
             if not len(hot):
                 return keys, doc
             signed = _signed(keys)
             at = np.minimum(np.searchsorted(hot, signed), len(hot) - 1)
             here = hot[at] == signed
             at, of = at[here], doc[here]
+            if lost is not None:
+                sums[2] -= np.bincount(of, lost[at], sums.shape[1])
+                return keys[~here], doc[~here]
             for k, value in enumerate((base[at] > 0, base[at], score[at])):  # every known word is worth more than an unknown one
                 sums[k] += np.bincount(of, value, sums.shape[1])
             return keys[~here], doc[~here]
@@ -276,11 +323,21 @@ def score_katz(rows: DataFrame, model: Katz, most_common: int = 1_500_000, flush
             pairs = pair_keys(flush.context, flush.word)
             passed = likely.passes(pairs)
             pairs, pair_doc = found(pairs[passed], flush.doc[passed], sums)
-            doc, key = np.concatenate([word_doc, pair_doc]), np.concatenate([words, pairs])
+            asked = [(words, word_doc), (pairs, pair_doc)]
+            if single is not None:
+                alone = ~passed & ~flush.held  # learnt here and nowhere else
+                begins = flush.context == _BEGIN
+                sums[2] += np.bincount(flush.doc[alone], minlength=n) * single - np.bincount(flush.doc[alone & begins], minlength=n) * begin_context
+                asked.append(found(flush.word[alone], flush.doc[alone], sums, as_word))
+                alone &= ~begins
+                asked.append(found(flush.context[alone], flush.doc[alone], sums, as_context))
+            key, doc = (np.concatenate(x) for x in zip(*asked))
+            use = np.repeat([0, 0, 1, 2][: len(asked)], [len(k) for k, _ in asked])
             order = np.lexsort((key, doc))
-            doc, key = doc[order], key[order]
-            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(key) else order
-            times, doc, key = np.diff(np.append(first, len(key))), doc[first], key[first]
+            doc, key, use = doc[order], key[order], use[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(key) else none
+            times = [np.add.reduceat((use == u).astype(np.int64), first) if len(key) else none for u in range(3)]
+            doc, key = doc[first], key[first]
             ids = pa.array([d[0] for d in docs], doc_type)
             body = np.array([d[1] & 0xFFFF for d in docs], np.int64)
             # The document's own row goes to a place of its own; it asks zero times.
@@ -288,17 +345,19 @@ def score_katz(rows: DataFrame, model: Katz, most_common: int = 1_500_000, flush
             yield pa.RecordBatch.from_arrays([
                 pa.concat_arrays([ids, ids.take(pa.array(doc))]), pa.array(np.concatenate([body, body[doc]])),
                 pa.array(np.concatenate([_signed(mixed(body.view(np.uint64) + np.arange(n, dtype=np.uint64))), _signed(key)])),
-                pa.array(np.concatenate([np.zeros(n), times]).astype(np.int32)), pa.array(np.concatenate([np.ones(n), zero]).astype(np.int32)),
+                *[pa.array(np.concatenate([np.zeros(n), t]).astype(np.int32)) for t in times],
+                pa.array(np.concatenate([np.ones(n), zero]).astype(np.int32)),
                 pa.array(np.concatenate([size, zero]).astype(np.int64)), *[pa.array(np.concatenate([s, np.zeros(m)])) for s in sums],
             ], names)
 
     asked = rows.mapInArrow(look, kind)
-    values = model.values.select("key", F.col("known").alias("v_known"), F.col("base").alias("v_base"), F.col("score").alias("v_score"))
+    values = model.values.select("key", F.col("known").alias("v_known"), F.col("base").alias("v_base"), F.col("score").alias("v_score"), F.col("word").alias("v_word"), F.col("context").alias("v_context"))
     got = asked.join(values, "key", "left")
-    add = lambda c: F.sum(F.col(c) + F.col("times") * F.coalesce(f"v_{c}", F.lit(0.0)))
+    worth = lambda times, c: F.col(times) * F.coalesce(f"v_{c}", F.lit(0.0))
     total = got.groupBy("doc_id", "body").agg(
         F.sum("rows").alias("rows"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.col("times") * F.coalesce("v_known", F.lit(0))).alias("n_known"),
-        add("base").alias("base"), add("score").alias("score"),
+        F.sum(F.col("base") + worth("times", "base")).alias("base"),
+        F.sum(F.col("score") + worth("times", "score") - worth("as_word", "word") - worth("as_context", "context")).alias("score"),
     )
     rows_of = F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))
     each = [(F.col(c) / F.col("rows")).alias(c) for c in ("n_tokens", "n_known", "base", "score")]
@@ -318,12 +377,14 @@ def katz_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     text is its end alone. Rows without an id are left out; repeated rows are learnt and scored each, and texts that
     share an id are told apart by 16 bits of their checksum. Without any training text the unknown word has probability one.
 
+    ``pairs_from=1`` puts every pair into the model, as the query does; by default pairs seen once are left out of it.
+
     ``most_common`` bounds the table of common words and pairs that is sent to the scans; the others are joined, and no
     key that is left then is frequent. The filter of pairs has a fixed size and never misses a pair.
     """
-    rows = named(df, id_col, text_col)
-    fit = {k: v for k, v in options.items() if k in ("flush_words", "filter_bits")}
-    model = train_katz(rows.filter(~held_out_column(F.col("doc_id"))), **fit)
+    rows = named(df, id_col, text_col).withColumn("held", held_out_column(F.col("doc_id")))
+    fit = {"pairs_from": 2} | {k: v for k, v in options.items() if k in ("flush_words", "filter_bits", "pairs_from", "common_words")}
+    model = train_katz(rows, **fit)
     scored = score_katz(rows, model, **{k: v for k, v in options.items() if k in ("flush_words", "most_common")})
     return scored.select(
         "doc_id", held_out_column(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",

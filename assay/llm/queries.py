@@ -47,7 +47,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_katz_scores")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(documents(spark, sf_dir))
+    return katz_scores(documents(spark, sf_dir), pairs_from=1)
 
 
 @query("op3_positional_index")
