@@ -158,14 +158,26 @@ def sliding_latency(panes: DataFrame, by: list[str], pane_seconds: int, per_wind
     return merged.select(*by, "start", "n", "max", at(0.5), at(0.95))
 
 
-def ordered_feed(spark, df: DataFrame, time: str, parts: int, path: str) -> DataFrame:
-    """A table as a file stream in the order of its event time, one micro-batch a part. Rows without a time are left out."""
+def ordered_feed(spark, df: DataFrame, time: str, parts: int, path: str, file_bytes: int = 32 << 20) -> DataFrame:
+    """A table as a file stream in the order of its event time, one micro-batch a part. Rows without a time are left out.
+
+    Every part has the same number of files, so many that the largest part has about ``file_bytes`` of values in each;
+    a part with too few rows for them gets empty ones. So a micro-batch is exactly a part, and no task reads a whole one.
+    """
     micros = F.unix_micros(time)
     ends = df.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()
     first, span = ends["a"] or 0, (ends["b"] or 0) - (ends["a"] or 0) + 1
+    part = F.floor((micros - first) * parts / span)
+    width = [F.coalesce(F.octet_length(c), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+    sizes = df.groupBy(part.alias("part")).agg(F.sum(sum(width[1:], width[0]).cast("long")).alias("size")).where("part IS NOT NULL")
+    files = max(1, -(-(sizes.agg(F.max("size")).first()[0] or 0) // file_bytes))
     for k in range(parts):
-        df.where(F.floor((micros - first) * parts / span) == k).coalesce(1).write.parquet(f"{path}/{k:04d}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+        rows, folder = df.where(part == k), f"{path}/{k:04d}"
+        rows = rows.repartition(files) if files > 1 else rows.coalesce(1)
+        rows.write.option("maxRecordsPerFile", 0).parquet(folder)
+        for _ in range(files - len(spark.read.schema(df.schema).parquet(folder).inputFiles())):
+            spark.createDataFrame([], df.schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
 
 
 def run_available(df: DataFrame, path: str, mode: str = "append") -> str:

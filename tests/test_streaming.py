@@ -107,3 +107,15 @@ def test_latest_announcement(spark):
     df = spark.createDataFrame(rows, "session string, ts int, ep string")
     got = {r["session"]: r["ep"] for r in ps.ready_state(df, ["ep"], ["ts"], ["session"]).collect()}
     assert got == {"s": "gpu", "t": "wasm"}
+
+
+def test_parts_of_a_feed_are_dealt_to_equally_many_files(spark, tmp_path):
+    rows = [image("s", f"{i:04d}" * 20, i % 300) for i in range(600)] + [image("s", "lone", 5000)]
+    df = spark.createDataFrame(rows, IMAGES)
+    feed = ps.ordered_feed(spark, df, "ts", 4, f"{tmp_path}/feed", file_bytes=10_000)
+    files = [len(list((tmp_path / "feed" / f"{k:04d}").glob("*.parquet"))) for k in range(4)]
+    assert files[0] > 4 and len(set(files)) == 1
+    out = spark.read.parquet(ps.run_available(feed, f"{tmp_path}/job"))
+    # a micro-batch is a part; empty ones may leave no folder of rows
+    got = {(r.batch, r["count"]) for r in out.groupBy("batch").count().collect()}
+    assert got == {(0, 600), (3, 1)}
