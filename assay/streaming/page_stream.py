@@ -180,13 +180,13 @@ def ordered_feed(spark, df: DataFrame, time: str, parts: int, path: str, file_by
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
 
 
-def run_available(df: DataFrame, path: str, mode: str = "append") -> str:
-    """Process everything available, one folder per micro-batch, and return the output folder.
+def run_available(df: DataFrame, path: str, mode: str = "append", reduce: Callable[[DataFrame], DataFrame] | None = None) -> str:
+    """Process everything available, one folder per micro-batch, and return the output folder. ``reduce`` makes a batch smaller.
 
     A batch that is retried overwrites its own folder, so the output is exactly-once.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+        (reduce(batch) if reduce else batch).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
     writer = df.writeStream.outputMode(mode).foreachBatch(save).trigger(availableNow=True)
     query = writer.option("checkpointLocation", f"{path}/checkpoint").start()

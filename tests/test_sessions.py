@@ -104,3 +104,34 @@ def test_feed_has_one_batch_a_part_in_order(spark, tmp_path):
     out = ps.run_available(ps.ordered_feed(spark, rows, "ts", 4, f"{tmp_path}/feed"), f"{tmp_path}/job")
     got = {(r.batch, int((r.ts - T0).total_seconds() // 60)) for r in spark.read.parquet(out).collect()}
     assert got == {(0, 0), (0, 3), (0, 20), (2, 50), (3, 99)} or [m for _, m in sorted(got)] == [0, 3, 20, 50, 99]
+
+
+def test_merged_batches_equal_the_visits_of_one_table(spark, tmp_path):
+    """Panes, latest announcements and rings of several batches against a table at rest; no task calls Python per session."""
+    rng = np.random.default_rng(8)
+    minutes = np.sort(rng.integers(0, 5000, 400))
+    rows = [call(f"s{rng.integers(0, 6)}", int(m), float(rng.integers(1, 99)), "boom" if rng.random() < 0.3 else None) for m in minutes]
+    rows += [call("edge", m, 1.0) for m in (0, 60, 121)] + [call("none", 4999), (None, T0, "response", None, 1.0)]
+    df = spark.createDataFrame(rows, CALLS)
+
+    def parts(name, reduce):
+        feed = ps.ordered_feed(spark, df, "ts", 3, f"{tmp_path}/{name}/feed", file_bytes=4000)
+        out = ps.run_available(feed, f"{tmp_path}/{name}/job", reduce=reduce)
+        return spark.read.parquet(out).drop("batch")
+
+    panes = parts("panes", lambda b: sessions.batch_panes(b, HOUR))
+    visits = sessions.pane_visits(panes, HOUR, "10 minutes")
+    counters = ("session", "started", "ended", "infer_calls", "infer_responses", "infer_errors", "last_error")
+    want = sessions.batch_visits(df.where("session IS NOT NULL"), "1 HOUR").select(*counters).collect()
+    assert sorted(visits.select(*counters).collect()) == sorted(want)
+    assert sorted((r.infer_calls, r.closed) for r in visits.where("session = 'edge'").collect()) == [(1, True), (2, True)]
+    assert not visits.where("session = 'none'").first().closed
+    assert "Python" not in visits._jdf.queryExecution().executedPlan().toString()
+    latest = {r.session: r.live for r in sessions.latest_ready(parts("latest", sessions.batch_latest), HOUR, "10 minutes").collect()}
+    assert latest["none"] and not latest["edge"] and len(latest) == 8
+    ring = {r.session: (r.n, r.max) for r in sessions.ring_figures(parts("ring", sessions.recent_samples), HOUR).collect()}
+    assert ring["edge"] == (1, 1.0) and "none" not in ring
+    for s in ("s0", "s5"):
+        mine = [(r[1], r[4]) for r in rows if r[0] == s and r[4] is not None]
+        last = max(i for i in range(len(mine)) if i == 0 or (mine[i][0] - mine[i - 1][0]).total_seconds() > 3600)
+        assert ring[s][0] == min(30, len(mine) - last)
