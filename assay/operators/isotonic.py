@@ -84,11 +84,14 @@ def interpolate(points: DataFrame, knots: DataFrame) -> DataFrame:
     ends = rows.groupBy("fit", "bucket").agg(F.min("knot").alias("first"), F.max("knot").alias("last"))
     order = Window.partitionBy("fit").orderBy("bucket")
     left = F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first("first", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # what follows is what precedes in descending order: a frame that ends at the last row is summed anew for every row
+    back = Window.partitionBy("fit").orderBy(F.desc("bucket"))
+    right = F.last("first", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select("fit", "bucket", left.alias("far_left"), right.alias("far_right"))
     inside = Window.partitionBy("fit", "bucket").orderBy("p")
     below = F.last("knot", ignorenulls=True).over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    above = F.first("knot", ignorenulls=True).over(inside.rangeBetween(0, Window.unboundedFollowing))
+    falling = Window.partitionBy("fit", "bucket").orderBy(F.desc("p"))
+    above = F.last("knot", ignorenulls=True).over(falling.rangeBetween(Window.unboundedPreceding, 0))
     near = rows.select("fit", "bucket", "p", "asked", below.alias("near_left"), above.alias("near_right")).where("asked")
     both = near.join(ends, ["fit", "bucket"]).select(
         "fit", "p", F.coalesce("near_left", "far_left").alias("a"), F.coalesce("near_right", "far_right").alias("b")
