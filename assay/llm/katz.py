@@ -162,8 +162,11 @@ def _twice(rows: DataFrame, most: int, bits: int, filter_bits: int) -> BitFilter
     return found
 
 
-def _pair_counts(train: DataFrame, twice: BitFilter, common: list[np.ndarray], most: int) -> DataFrame:
-    """``v, w, c`` of the pairs that pass, or whose word is not common; the others as ``v, null, c, p``: their number and sum of P(w)."""
+def _pair_counts(train: DataFrame, twice: BitFilter, common: list[np.ndarray], rest_p: float | None, most: int) -> DataFrame:
+    """``v, w, c`` of the pairs that pass, or whose P(w) is not at hand; the others as ``v, null, c, p``: their number and sum of P(w).
+
+    ``rest_p`` is P(w) of all words that are not common, where they share one.
+    """
     shared = train.sparkSession.sparkContext.broadcast((twice, *common))
     names = ["v", "w", "c", "p"]
 
@@ -172,13 +175,16 @@ def _pair_counts(train: DataFrame, twice: BitFilter, common: list[np.ndarray], m
         for flush in _flushes(batches, most):
             keys = pair_keys(flush.context, flush.word)
             place = np.minimum(np.searchsorted(known, _signed(flush.word)), max(len(known) - 1, 0))
-            alone = ~likely.passes(keys) & (known[place] == _signed(flush.word) if len(known) else False)
+            here = known[place] == _signed(flush.word) if len(known) else np.zeros(len(keys), bool)
+            alone = ~likely.passes(keys) & (here | (rest_p is not None))
             at = np.flatnonzero(~alone)
             _, first, c = np.unique(keys[at], return_index=True, return_counts=True)
             v, w = flush.context[at[first]], flush.word[at[first]]
             yield pa.RecordBatch.from_arrays([pa.array(_signed(v)), pa.array(_signed(w)), pa.array(c.astype(np.int64)), pa.nulls(len(c), pa.float64())], names)
             v, which, c = np.unique(flush.context[alone], return_inverse=True, return_counts=True)
-            p = np.bincount(which, known_p[place[alone]], len(v)) if len(v) else np.zeros(0)
+            p = np.full(len(keys), rest_p or 0.0)
+            p[here] = known_p[place[here]]
+            p = np.bincount(which, p[alone], len(v)) if len(v) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(v)), pa.nulls(len(v), pa.int64()), pa.array(c.astype(np.int64)), pa.array(p)], names)
 
     counts = train.mapInArrow(count, "v bigint, w bigint, c bigint, p double").groupBy("v", "w")
@@ -208,8 +214,11 @@ def train_katz(rows: DataFrame, flush_words: int = 1 << 19, filter_bits: int = 2
     words = words.withColumn("p", unigram.discounted(F.col("c")) / F.lit(float(max(seats, 1))))
 
     twice = _twice(rows, flush_words, bits, filter_bits)
-    common = _most_common(words.select(F.col("w").alias("key"), "c", "p"), common_words, ("p",))
-    counts = _pair_counts(train, twice, common, flush_words)
+    again = words.filter("c > 1").select(F.col("w").alias("key"), "c", "p")
+    common = _most_common(again, common_words, ("p",))
+    # where all other words are seen once, they share one probability
+    rest_p = unigram.factor[0] / max(seats, 1) if len(common[0]) == again.count() else None
+    counts = _pair_counts(train, twice, common, rest_p, flush_words)
     pairs, alone = counts.filter("w IS NOT NULL").select("v", "w", "c"), counts.filter("w IS NULL")
     n = _counts_of_counts(pairs)
     n[1] = tokens - (pairs.filter("c > 1").agg(F.sum("c")).first()[0] or 0)
