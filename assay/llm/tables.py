@@ -127,6 +127,12 @@ def columns_of(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def sliced(batch: pa.RecordBatch, *names: str, size: int = 512) -> Iterator[tuple]:
+    """The rows of the named columns, made in slices, so that the values of a whole batch are never held at once."""
+    for start in range(0, batch.num_rows, size):
+        yield from zip(*columns_of(batch.slice(start, size), *names))
+
+
 def peeked(batches: Iterator[pa.RecordBatch], field: str) -> tuple[pa.DataType, Iterator[pa.RecordBatch]]:
     """The Arrow type of a field, and the batches; no batch at all gives the null type."""
     first = next(batches, None)

@@ -4,8 +4,10 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+from assay.llm import shingle_join as shingle_join_module
 from assay.llm.block_anchors import drop_repeats
 from assay.llm.positional_index import decontaminate, named, postings, proximity
 from assay.llm.shingle_join import shingle_join
@@ -152,3 +154,23 @@ def test_many_documents_made_of_a_few_shared_passages(spark):
     for block in (5, 1000):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join(df, block=block, usual=3, tile=block).collect()}
         assert got == components_by_force(made)
+
+
+def test_pairs_need_room_behind_the_first_shared_token(spark):
+    """Sets of 90 that share no token before the place 15 have at most 75 in common, and need 80: no pair is made of them."""
+    sets = [(i, (90, *[0] * shingle_join_module.LONGS)) for i in range(4)]
+    kind = "id bigint, s struct<n: bigint, " + ", ".join(f"{b}: bigint" for b in shingle_join_module.BITMAP) + ">"
+    light = spark.createDataFrame(sets, kind)
+    met = spark.createDataFrame([(1, 0, 90, 15), (1, 1, 90, 15), (2, 2, 90, 10), (2, 3, 90, 10)], "token bigint, id bigint, n int, pos int")
+    assert [(r.a, r.b) for r in shingle_join_module._cross_pairs(met, light, None, 8000).collect()] == [(2, 3)]
+
+
+def test_sketches_keep_every_linked_pair():
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 700, 5000):
+        one = np.unique(rng.integers(-(2**62), 2**62, n))
+        for share in (1.0, 0.89, 0.6):
+            two = np.unique(np.concatenate([rng.permutation(one)[: max(1, int(n * share))], rng.integers(-(2**62), 2**62, n - int(n * share))]))
+            fit, link = (f(*map(form, (one, two))) for form, f in ((shingle_join_module.sketch, shingle_join_module.sketches_fit), (np.ndarray.tobytes, shingle_join_module.sets_link)))
+            assert fit or not link
+            assert not (fit and share == 0.6 and n > 40)
