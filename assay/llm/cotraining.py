@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from assay.llm.tables import columns_of, stored
+from assay.llm.tables import columns_of, sliced, stored
 
 SIGNS = re.compile(r"[^\w\s.,;:!?'\"()-]")
 LANGS, SOURCES = 16, 64
@@ -281,7 +281,7 @@ def train_quality(df: DataFrame, labels: DataFrame, rounds: int = 5, sure: float
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [np.array(coded(*row)).tobytes() for row in zip(*columns_of(batch, "text", "lang", "source", "n_chars"))]
+            codes = [np.array(coded(*row)).tobytes() for row in sliced(batch, "text", "lang", "source", "n_chars")]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(codes, pa.binary())], ["doc_id", "codes"])
 
     labels = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.tables import columns_of, in_batches, named, peeked, shuffle_width, stored
+from assay.llm.tables import in_batches, named, peeked, shuffle_width, sliced, stored
 from assay.llm.wordhash import ROLL, BitFilter, by_part, mixed, packed, part_bits, rest_of, segment_of, unpacked, word_hashes
 
 BEGIN, END = 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179  # the hashes of the text's two ends
@@ -68,7 +68,7 @@ _BEGIN, _END = np.array([BEGIN], np.uint64), np.array([END], np.uint64)
 def _flushes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Flush]:
     held, weight = [], 0
     for batch in batches:
-        for doc, text, out in zip(*columns_of(batch, "doc_id", "text", "held")):
+        for doc, text, out in sliced(batch, "doc_id", "text", "held"):
             data = text.encode("utf-8", "replace")
             own = word_hashes(data, lower=True)
             held.append((doc, zlib.crc32(data), own, out))

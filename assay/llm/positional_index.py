@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assay.llm.tables import ascii_lower, columns_of, in_batches, named, split_by_ids, stored
+from assay.llm.tables import ascii_lower, columns_of, in_batches, named, sliced, split_by_ids, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The same on the UTF-8 bytes of a lower-cased text.
@@ -59,7 +59,7 @@ def term_counts(rows: DataFrame, terms: DataFrame, block_terms: int) -> DataFram
             schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
             for batch in batches:
                 found: Counter = Counter()
-                for text in columns_of(batch, "text")[0]:
+                for (text,) in sliced(batch, "text"):
                     found.update(words_of(text))
                 yield from in_batches(((t.decode(), found[t]) for t in wanted.value & found.keys()), schema)
 

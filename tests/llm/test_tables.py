@@ -32,3 +32,14 @@ def test_both_parts_are_all_rows(spark, rows, few):
     assert sorted(r["id"] for r in some + rest) == list(range(5000))
     assert not any(r["doc_id"] in wanted for r in rest)
     assert len(some) < 2 * sum(r["doc_id"] in wanted for r in some) + 100
+
+
+def test_batches_are_read_in_slices():
+    import pyarrow as pa
+
+    from assay.llm.tables import sliced
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array([None if i % 3 else str(i) for i in range(1300)])], ["doc_id", "text"])
+    assert list(sliced(batch, "text", "doc_id")) == [(None if i % 3 else str(i), i) for i in range(1300)]
+    assert list(sliced(batch.slice(7, 1), "doc_id")) == [(7,)]
+    assert list(sliced(batch.slice(0, 0), "doc_id")) == []
