@@ -27,7 +27,7 @@ from assay.llm.tables import columns_of, in_batches, join_groups, named, only_id
 from assay.llm.wordhash import mixed, rolled, word_hashes
 
 WORDS = 5
-LONGS = 8  # of the bitmap: 512 bits
+LONGS = 16  # of the bitmap: 1024 bits
 BITMAP = [f"bits{i}" for i in range(LONGS)]
 
 
@@ -215,7 +215,8 @@ def shingle_join(
     ``most_common`` of them at most go last in every prefix; this only sets the order in which sets are compared, and
     any order gives the same links. Sets of one token beyond ``block`` are dealt to parts of that size to find leads, and
     beyond ``tile`` to tiles where they are compared; a set goes to each tile of its token. Before that, at most ``turns``
-    rounds compare components with random leads in tokens of more than ``crowd`` sets; they only save comparisons.
+    rounds compare components with random leads in tokens of more than ``crowd`` sets; they only save comparisons. In the
+    tiles of such tokens the bitmaps are compared inside the join.
     """
     rows = named(df, id_col, text_col)
     scan = stored(_scan(rows, usual))
@@ -260,7 +261,7 @@ def shingle_join(
         if found.isEmpty():
             break
         roots = _grown(roots, found)
-    pairs = stored(_cross_pairs(met.drop("lead"), light, roots, tile))
+    pairs = stored(_cross_pairs(met.drop("lead"), light, roots, tile, crowd))
     if not pairs.isEmpty():
         pairs = _passing(pairs, rows, sketch, sketches_fit)
     if not pairs.isEmpty():
@@ -341,21 +342,32 @@ def _drawn_pairs(met: DataFrame, light: DataFrame, roots: DataFrame | None, bloc
     return each.select("p.a", "p.b").distinct()
 
 
-def _cross_pairs(met: DataFrame, light: DataFrame, roots: DataFrame | None, tile: int) -> DataFrame:
-    """``a, b, differ, sizes``: pairs of sets in different components that share a token, fit in size and place, and pass the bitmaps."""
-    members = _apart(met, roots).withColumn("blocks", F.ceil(F.col("c") / tile).cast("int")).drop("c")
+def _meeting(members: DataFrame, bitmaps: bool) -> DataFrame:
+    """Pairs of sets in different components, once for every token that they share and fit in by size and place."""
+    held = lambda c: [F.col("s").alias(f"s{c}")] if bitmaps else []
     one = members.select(
         "token", F.col("id").alias("a"), F.col("rid").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"),
-        F.pmod(F.hash("id"), F.col("blocks")).alias("part"),
+        F.pmod(F.hash("id"), F.col("blocks")).alias("part"), *held("a"),
     )
     two = members.select(
         "token", F.col("id").alias("b"), F.col("rid").alias("rb"), F.col("n").alias("nb"), F.col("pos").alias("pb"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), *held("b"),
     )
     na, nb = F.col("na"), F.col("nb")
     smaller = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
     # judged inside the join, so that only pairs that may link come out of a tile; the first token that a linked pair shares passes
     apart = smaller & (F.col("ra") != F.col("rb")) & _sizes_fit(na, nb) & _room("na", "pa", "nb") & _room("nb", "pb", "na")
-    near = one.join(two, ["token", "part"]).filter(apart).select("a", "b").distinct()
-    near = _with_bitmaps(near, light).filter(_bits_fit("sa", "sb"))
-    return near.select("a", "b", _differ("sa", "sb").alias("differ"), (F.col("sa.n") + F.col("sb.n")).alias("sizes"))
+    return one.join(two, ["token", "part"]).filter(apart & _bits_fit("sa", "sb") if bitmaps else apart)
+
+
+def _cross_pairs(met: DataFrame, light: DataFrame, roots: DataFrame | None, tile: int, crowd: int = 32) -> DataFrame:
+    """``a, b, differ, sizes``: pairs of sets in different components that share a token, fit in size and place, and pass the bitmaps.
+
+    Rows of tokens of more than ``crowd`` sets carry their bitmaps into the join, and pairs that fail them are never rows:
+    most sets of a large group that link with none of it are told apart there. Other tokens have few pairs, whose bitmaps are fetched.
+    """
+    members = stored(_apart(met, roots).withColumn("blocks", F.ceil(F.col("c") / tile).cast("int")))
+    few = _with_bitmaps(_meeting(members.filter(F.col("c") <= crowd), False).select("a", "b").distinct(), light).filter(_bits_fit("sa", "sb"))
+    many = _meeting(members.filter(F.col("c") > crowd).join(light, "id"), True)
+    ends = ["a", "b", _differ("sa", "sb").alias("differ"), (F.col("sa.n") + F.col("sb.n")).alias("sizes")]
+    return few.select(*ends).unionAll(many.select(*ends)).distinct()

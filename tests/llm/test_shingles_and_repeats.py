@@ -165,6 +165,31 @@ def test_pairs_need_room_behind_the_first_shared_token(spark):
     assert [(r.a, r.b) for r in shingle_join_module._cross_pairs(met, light, None, 8000).collect()] == [(2, 3)]
 
 
+def rows_of_joins(plan):
+    """Rows that the joins of an executed plan have made, besides those that bring bitmaps to their ids."""
+    name, inner = plan.nodeName(), [plan.children().apply(i) for i in range(plan.children().size())]
+    if name.startswith("AdaptiveSparkPlan"):
+        inner = [plan.executedPlan()]
+    elif "QueryStage" in name:
+        inner = [plan.plan()]
+    own = plan.metrics().get("numOutputRows").get().value() if "Join" in name and plan.condition().isDefined() else 0
+    return own + sum(map(rows_of_joins, inner))
+
+
+def test_pairs_of_a_crowded_token_that_fail_their_bitmaps_are_never_rows(spark):
+    """A group of copies that are too far apart to link, but for three pairs: the pairs of the group are its square."""
+    rng = np.random.default_rng(3)
+    bits = [rng.integers(-(2**62), 2**62, shingle_join_module.LONGS).tolist() for _ in range(300)]
+    for i in range(3):
+        bits[i] = bits[299 - i]
+    kind = "id bigint, s struct<n: bigint, " + ", ".join(f"{b}: bigint" for b in shingle_join_module.BITMAP) + ">"
+    light = spark.createDataFrame([(i, (140 + i % 7, *b)) for i, b in enumerate(bits)], kind)
+    met = spark.createDataFrame([(token, i, 140 + i % 7, 3) for token in (1, 2) for i in range(300)], "token bigint, id bigint, n int, pos int")
+    pairs = shingle_join_module._cross_pairs(met, light, None, 100)
+    assert {frozenset((r.a, r.b)) for r in pairs.collect()} == {frozenset((i, 299 - i)) for i in range(3)}
+    assert rows_of_joins(pairs._jdf.queryExecution().executedPlan()) == 6
+
+
 def test_sketches_keep_every_linked_pair():
     rng = np.random.default_rng(5)
     for n in (3, 40, 700, 5000):
