@@ -11,17 +11,21 @@ log weight(v), and each stored pair the difference to that. All tables are keyed
 A pair that occurs in one place of all texts needs no row: where a training text holds it, it was learnt there and
 nowhere else, so its probability d(1) / c(v) is known from the context alone, and a held-out text cannot ask for it. A
 filter tells the others, which are counted and looked up; a pair that passes it by chance is counted and found as well.
+
+In tables of pairs a word is a code: its place among the common words, which tasks have at hand with their P(w), and else
+its hash. Pairs of common words are short rows then, and find P(w) without a join.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +51,18 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _coded(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places of words among the sorted known hashes; other words keep their hash."""
+    if not len(known):
+        return hashes
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, hashes)
+
+
+def _is_place(code: np.ndarray | Column, known: int):
+    return (code >= 0) & (code < known)
+
+
 class _Flush:
     """Documents taken together, as contexts, words and the number of the document of each word; and who is held out."""
 
@@ -162,30 +178,37 @@ def _twice(rows: DataFrame, most: int, bits: int, filter_bits: int) -> BitFilter
     return found
 
 
-def _pair_counts(train: DataFrame, twice: BitFilter, common: list[np.ndarray], rest_p: float | None, most: int) -> DataFrame:
+def _pair_counts(train: DataFrame, twice: BitFilter, table: Broadcast, rest_p: float | None, most: int) -> DataFrame:
     """``v, w, c`` of the pairs that pass, or whose P(w) is not at hand; the others as ``v, null, c, p``: their number and sum of P(w).
 
-    ``rest_p`` is P(w) of all words that are not common, where they share one.
+    Words are codes. ``rest_p`` is P(w) of all words that are not common, where they share one.
     """
-    shared = train.sparkSession.sparkContext.broadcast((twice, *common))
+    shared = train.sparkSession.sparkContext.broadcast(twice)
     names = ["v", "w", "c", "p"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        likely, known, known_p = shared.value
+        likely, (known, known_p) = shared.value, table.value
+
+        def counted(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(c.astype(np.int64)), pa.nulls(len(c), pa.float64())], names)
+
         for flush in _flushes(batches, most):
             keys = pair_keys(flush.context, flush.word)
-            place = np.minimum(np.searchsorted(known, _signed(flush.word)), max(len(known) - 1, 0))
-            here = known[place] == _signed(flush.word) if len(known) else np.zeros(len(keys), bool)
+            word = _coded(_signed(flush.word), known)
+            context = np.where(flush.context == _BEGIN, _signed(_BEGIN), np.roll(word, 1))
+            here = _is_place(word, len(known))
+            short = here & _is_place(context, len(known))
             alone = ~likely.passes(keys) & (here | (rest_p is not None))
-            at = np.flatnonzero(~alone)
+            pair, c = np.unique(context[short & ~alone] << 32 | word[short & ~alone], return_counts=True)
+            yield counted(pair >> 32, pair & 0xFFFFFFFF, c)
+            at = np.flatnonzero(~short & ~alone)
             _, first, c = np.unique(keys[at], return_index=True, return_counts=True)
-            v, w = flush.context[at[first]], flush.word[at[first]]
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(v)), pa.array(_signed(w)), pa.array(c.astype(np.int64)), pa.nulls(len(c), pa.float64())], names)
-            v, which, c = np.unique(flush.context[alone], return_inverse=True, return_counts=True)
+            yield counted(context[at[first]], word[at[first]], c)
             p = np.full(len(keys), rest_p or 0.0)
-            p[here] = known_p[place[here]]
+            p[here] = known_p[word[here]]
+            v, which, c = np.unique(context[alone], return_inverse=True, return_counts=True)
             p = np.bincount(which, p[alone], len(v)) if len(v) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(v)), pa.nulls(len(v), pa.int64()), pa.array(c.astype(np.int64)), pa.array(p)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(v), pa.nulls(len(v), pa.int64()), pa.array(c.astype(np.int64)), pa.array(p)], names)
 
     counts = train.mapInArrow(count, "v bigint, w bigint, c bigint, p double").groupBy("v", "w")
     return stored(counts.agg(F.sum("c").alias("c"), F.sum("p").alias("p")))
@@ -215,19 +238,29 @@ def train_katz(rows: DataFrame, flush_words: int = 1 << 19, filter_bits: int = 2
 
     twice = _twice(rows, flush_words, bits, filter_bits)
     again = words.filter("c > 1").select(F.col("w").alias("key"), "c", "p")
-    common = _most_common(again, common_words, ("p",))
+    common, _ = _most_common(again, common_words, ("p",))
     # where all other words are seen once, they share one probability
     rest_p = unigram.factor[0] / max(seats, 1) if len(common[0]) == again.count() else None
-    counts = _pair_counts(train, twice, common, rest_p, flush_words)
+    table = rows.sparkSession.sparkContext.broadcast(common)
+    code, word_p, pair_key = _code_columns(table)
+    counts = _pair_counts(train, twice, table, rest_p, flush_words)
     pairs, alone = counts.filter("w IS NOT NULL").select("v", "w", "c"), counts.filter("w IS NULL")
     n = _counts_of_counts(pairs)
     n[1] = tokens - (pairs.filter("c > 1").agg(F.sum("c")).first()[0] or 0)
     bigram = Discounts.of(n, stored_from=pairs_from)
-    pairs = pairs.filter(F.col("c") >= pairs_from).withColumn("d", bigram.discounted(F.col("c")))
-    pairs = stored(pairs.join(words.select("w", F.col("p")), "w").select("v", "w", "d", "p"))
-    contexts = words.filter(F.col("w") != _signed(_END)[0].item()).select(F.col("w").alias("v"), "c")
+    words = words.withColumn("code", code("w"))
+    pairs = pairs.filter(F.col("c") >= pairs_from)
+    # P(w) of common words is at hand wherever it is asked for, and so is that of all others where they share it
+    if rest_p is None:
+        far = words.filter(~_is_place(F.col("code"), len(common[0]))).select(F.col("code").alias("w"), "p")
+        far = stored(pairs.filter(~_is_place(F.col("w"), len(common[0]))).join(far, "w").select("v", "w", "c", "p"))
+        pairs = pairs.filter(_is_place(F.col("w"), len(common[0]))).withColumn("p", F.lit(None).cast("double")).unionAll(far)
+    else:
+        pairs = pairs.withColumn("p", F.when(~_is_place(F.col("w"), len(common[0])), rest_p))
+    pair_d, pair_p = bigram.discounted(F.col("c")), F.coalesce("p", word_p("w"))
+    contexts = words.filter(F.col("w") != _signed(_END)[0].item()).select(F.col("code").alias("v"), "c")
     contexts = contexts.unionAll(contexts.sparkSession.range(1).select(F.lit(_signed(_BEGIN)[0].item()).alias("v"), F.lit(texts).cast("long").alias("c")))
-    masses = pairs.select("v", "d", "p")
+    masses = pairs.select("v", pair_d.alias("d"), pair_p.alias("p"))
     if pairs_from == 1:
         masses = masses.unionAll(alone.select("v", F.col("c") * bigram.factor[0], "p"))
     sums = masses.groupBy("v").agg(F.sum("d").alias("d"), F.sum("p").alias("p"))
@@ -240,16 +273,16 @@ def train_katz(rows: DataFrame, flush_words: int = 1 << 19, filter_bits: int = 2
     floor = tokens + 0.5 * (distinct + 1)
     unknown_base, unknown_score = math.log10(0.5 / floor), math.log10(unknown)
     weight = F.coalesce("weight", F.lit(0.0))
-    own = words.join(sums.select(F.col("v").alias("w"), "weight", "full"), "w", "left").select(
+    own = words.join(sums.select(F.col("v").alias("code"), "weight", "full"), "code", "left").select(
         F.col("w").alias("key"), F.lit(1).alias("known"), (F.log10((F.col("c") + 0.5) / F.lit(floor)) - F.lit(unknown_base)).alias("base"),
         (F.log10("p") + weight - F.lit(unknown_score)).alias("score"), F.log10("p").alias("word"),
         (weight + F.log10(F.coalesce("full", F.lit(1.0)))).alias("context"), "c",
     )
-    gain = F.log10(F.col("d") / F.col("full")) - F.col("weight") - F.log10("p")
+    gain = F.log10(pair_d / F.col("full")) - F.col("weight") - F.log10(pair_p)
     zero = F.lit(0.0)
     joint = pairs.join(sums, "v").select(
-        _pair_key_column(F.col("v"), F.col("w")).alias("key"), F.lit(0).alias("known"), zero.alias("base"), gain.alias("score"),
-        zero.alias("word"), zero.alias("context"), F.col("d").alias("c"),
+        pair_key("v", "w").alias("key"), F.lit(0).alias("known"), zero.alias("base"), gain.alias("score"),
+        zero.alias("word"), zero.alias("context"), pair_d.alias("c"),
     )
     begin_score, begin_full = (begin["weight"], begin["full"]) if begin else (0.0, 1)
     single = math.log10(bigram.factor[0]) if pairs_from == 1 else None
@@ -258,21 +291,45 @@ def train_katz(rows: DataFrame, flush_words: int = 1 << 19, filter_bits: int = 2
     )
 
 
-def _pair_key_column(v: Column, w: Column) -> Column:
+def _code_columns(table: Broadcast) -> tuple[Callable, Callable, Callable]:
+    """The code of a hash, P(w) of a code if it is at hand, and the key of a pair of codes, by a table of sorted hashes and their P(w)."""
+
+    @F.arrow_udf("bigint")
+    def code(h: pa.Array) -> pa.Array:
+        return pa.array(_coded(h.to_numpy(zero_copy_only=False), table.value[0]))
+
+    @F.arrow_udf("double")
+    def word_p(w: pa.Array) -> pa.Array:
+        known, known_p = table.value
+        w = w.to_numpy(zero_copy_only=False)
+        here = _is_place(w, len(known))
+        p = np.zeros(len(w))
+        p[here] = known_p[w[here]]
+        return pa.array(p, mask=~here)
+
     @F.arrow_udf("bigint")
-    def keys(v: pa.Array, w: pa.Array) -> pa.Array:
-        return pa.array(_signed(pair_keys(v.to_numpy(zero_copy_only=False).view(np.uint64), w.to_numpy(zero_copy_only=False).view(np.uint64))))
+    def pair_key(v: pa.Array, w: pa.Array) -> pa.Array:
+        known = table.value[0]
+
+        def hashes(x: pa.Array) -> np.ndarray:
+            x = x.to_numpy(zero_copy_only=False)
+            here = _is_place(x, len(known))
+            out = x.copy()
+            out[here] = known[x[here]]
+            return out.view(np.uint64)
+
+        return pa.array(_signed(pair_keys(hashes(v), hashes(w))))
 
-    return keys(v, w)
+    return code, word_p, pair_key
 
 
-def _most_common(values: DataFrame, most: int, added: tuple[str, ...]) -> list[np.ndarray]:
-    """Sorted keys of at most ``most`` common entries, and what each adds in the named columns; packed on the executors.
+def _most_common(values: DataFrame, most: int, added: tuple[str, ...]) -> tuple[list[np.ndarray], DataFrame]:
+    """Sorted keys of at most ``most`` common entries, and what each adds in the named columns; packed on the executors. And the other entries.
 
     Counts fall into eighths of an octave, and whole ones are taken from the top while they fit.
     """
     size = F.floor(F.log2(F.greatest("c", F.lit(1e-6))) * 8).cast("int").alias("size")
-    cut, total = None, 0
+    cut, total = 1 << 30, 0
     for row in values.groupBy(size).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():  # some hundred sizes
         total += row["n"]
         if total > most:
@@ -284,18 +341,18 @@ def _most_common(values: DataFrame, most: int, added: tuple[str, ...]) -> list[n
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(c).to_numpy(zero_copy_only=False).tobytes()], pa.binary()) for c in columns], columns)
 
-    kept = values.filter(size >= (cut if cut is not None else 1 << 30))
-    kept = kept.select("key", *[F.col(c).cast("double") for c in columns[1:]])
+    kept = values.filter(size >= cut).select("key", *[F.col(c).cast("double") for c in columns[1:]])
     blobs = list(kept.mapInArrow(pack, ", ".join(f"{c} binary" for c in columns)).toLocalIterator())
     key, *rest = (np.frombuffer(b"".join(r[c] for r in blobs), np.int64 if c == "key" else np.float64) for c in columns)
     order = np.argsort(key)
-    return [key[order], *[x[order] for x in rest]]
+    return [key[order], *[x[order] for x in rest]], values.filter(size < cut)
 
 
 def score_katz(rows: DataFrame, model: Katz, most_common: int = 1_500_000, flush_words: int = 1 << 19) -> DataFrame:
     """``doc_id, n_tokens, n_known, base_score, score`` of each row of ``doc_id, text, held`` that the model was trained with."""
     added = ("base", "score", "word", "context")
-    shared = rows.sparkSession.sparkContext.broadcast((*_most_common(model.values, most_common, added), model.pairs))
+    common, others = _most_common(model.values, most_common, added)
+    shared = rows.sparkSession.sparkContext.broadcast((*common, model.pairs))
     kind = T.StructType([rows.schema["doc_id"], *[T.StructField(n, t) for n, t in (
         ("body", T.LongType()), ("key", T.LongType()), ("times", T.IntegerType()), ("as_word", T.IntegerType()), ("as_context", T.IntegerType()),
         ("rows", T.IntegerType()), ("n_tokens", T.LongType()),
@@ -360,7 +417,7 @@ def score_katz(rows: DataFrame, model: Katz, most_common: int = 1_500_000, flush
             ], names)
 
     asked = rows.mapInArrow(look, kind)
-    values = model.values.select("key", F.col("known").alias("v_known"), F.col("base").alias("v_base"), F.col("score").alias("v_score"), F.col("word").alias("v_word"), F.col("context").alias("v_context"))
+    values = others.select("key", F.col("known").alias("v_known"), F.col("base").alias("v_base"), F.col("score").alias("v_score"), F.col("word").alias("v_word"), F.col("context").alias("v_context"))
     got = asked.join(values, "key", "left")
     worth = lambda times, c: F.col(times) * F.coalesce(f"v_{c}", F.lit(0.0))
     total = got.groupBy("doc_id", "body").agg(

@@ -4,7 +4,9 @@ import math
 import zlib
 from collections import Counter, defaultdict
 
+from assay.llm import katz
 from assay.llm.katz import katz_scores
+from assay.llm.tables import stored as kept
 from tests.llm.test_katz import TEXTS, discounts
 
 
@@ -57,6 +59,21 @@ def test_documents_with_pairs_seen_once(spark):
     same(df, [(r.doc_id, r.text) for r in df.collect()], most_common=500, common_words=300, flush_words=5000)
 
 
+def test_pairs_of_common_words_are_short_and_find_their_word_without_a_join(spark, monkeypatch):
+    """Words of the pairs' table are places among the common words, not hashes, and the table is not stored again with P(w)."""
+    held = []
+    monkeypatch.setattr(katz, "stored", lambda df: held.append(kept(df)) or held[-1])
+    rows = [(i, f"one of {i % 7} and one of {i % 5} more words") for i in range(200)]
+    same_scores = katz_scores(spark.createDataFrame(rows, "doc_id long, text string"), pairs_from=1)
+    assert same_scores.count() == 200
+    tables = [t for t in held if {"v", "w"} <= set(t.columns)]
+    assert len(tables) == 1
+    places = [w for r in tables[0].filter("w IS NOT NULL").collect() for w in (r.v, r.w)]
+    assert len(places) > 20 and sum(0 <= w < 100 for w in places) >= len(places) / 2
+    begins = tables[0].filter(tables[0].v == katz._signed(katz._BEGIN)[0].item()).count()
+    assert sum(not 0 <= w < 100 for w in places) <= begins
+
+
 def test_the_query_stores_every_pair(spark):
     import __spark_entry__ as entry
 
